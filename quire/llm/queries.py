@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, secrets
+from quire.llm import langid, packing, secrets, token_counts, topk
 from quire.llm.common import table
 
 
@@ -16,9 +16,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_exact_complement(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_matrices, op3_best_fit_packing, op7_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(token_counts.token_counts(table(spark, sf_dir, "documents")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_matrices, op3_best_fit_packing, op5_embedding_top_k, op7_secret_scan, op8_token_counts, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL}

@@ -45,10 +45,10 @@ def _ranks(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def uncommon(column: pa.Array) -> np.ndarray:
-    """Per text: whether it has characters beyond U+02FF and U+2000 to U+20BF."""
+def uncommon(column: pa.Array, lead: int = 0xCC) -> np.ndarray:
+    """Per text: whether it has characters other than those below a lead byte (0xCC: U+0300) and U+2000 to U+20BF."""
     data, offsets = texts_of(column)
-    odd = data >= 0xCC
+    odd = data >= lead
     if odd.any():
         at = np.flatnonzero(odd)
         following = data[np.minimum(at + 1, len(data) - 1)]
