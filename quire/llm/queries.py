@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import langid, packing, secrets, token_counts, topk
+from quire.llm import chat, decontaminate, langid, packing, secrets, token_counts, topk
 from quire.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination_digest(found)
+
+
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,10 @@ def op5_embedding_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.embedding_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_digest(chat.format_preferences(chat.paired(table(spark, sf_dir, "conversations"))))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -32,5 +41,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_matrices, op3_best_fit_packing, op5_embedding_top_k, op7_secret_scan, op8_token_counts, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op10_language_id)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL,
+    "op6_preferences": chat.PREFERENCE_SQL,
+}
