@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, langid, packing, secrets, token_counts, topk
+from quire.llm import chat, decontaminate, langid, packing, secrets, substrings, token_counts, topk
 from quire.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_exact_complement(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_embedding_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.embedding_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,10 +47,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op10_language_id)
+    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op4_substring_dedup, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op4_substring_dedup": substrings.REPEATS_SQL,
     "op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL,
     "op6_preferences": chat.PREFERENCE_SQL,
 }

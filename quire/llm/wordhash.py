@@ -82,6 +82,12 @@ class Words:
         return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + _U(k))
 
 
+def last_starts(words: Words, k: int) -> np.ndarray:
+    """Whether the k words from each word on lie in one text."""
+    ends = np.repeat(words.first[1:], np.diff(words.first))
+    return np.arange(len(words.hash)) + k <= ends
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,0 +1,110 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quire.llm import meeting, substrings, wordhash
+
+
+def brute(rows, window=13):
+    words = [(k, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in rows if k is not None]
+    first = {}
+    for k, w in words:
+        for i in range(len(w) - window + 1):
+            g = tuple(w[i : i + window])
+            first[g] = min(k, first.get(g, k))
+    out = []
+    for k, w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < k:
+                gone |= set(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((k, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(400)] + ["é", "ß", " x"]
+    passages = [[rng.choice(vocab) for _ in range(rng.randrange(8, 70))] for _ in range(12)]
+    found = []
+    for i in range(150):
+        w = []
+        for _ in range(rng.randrange(5)):
+            w += rng.choice(passages) if rng.random() < 0.6 else [rng.choice(vocab) for _ in range(rng.randrange(30))]
+        found.append((i * 3, rng.choice([" ", "\n", "\t ", "\x0b"]).join(w)))
+    found += [(500, None), (501, ""), (502, " \n"), (503, "a " * 3000), (504, "a " * 40), (505, "a " * 12), (None, found[3][1]), found[5], (15, found[6][1] + " more"), (999, found[9][1])]
+    found += [(2000 + i, found[9][1]) for i in range(30)]
+    return found
+
+
+def test_repeats_match_brute_force(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n_words string").repartition(5)
+    try:
+        for limit in (500_000, 0):
+            substrings.BROADCAST_ROWS = limit
+            got = substrings.repeats_digest(substrings.remove_repeats(docs)).collect()
+            assert sorted(map(tuple, got)) == brute(rows)
+    finally:
+        substrings.BROADCAST_ROWS = 500_000
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cut = substrings.remove_repeats(docs).where("doc_id = 504").first()
+    assert [tuple(s) for s in cut.removed] == [(0, 40)] and cut.kept == ""
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_other_windows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (1, 2, 5):
+        assert sorted(map(tuple, substrings.repeats_digest(substrings.remove_repeats(docs, window=window)).collect())) == brute(rows, window)
+
+
+def test_longest_repeats(spark):
+    rng = random.Random(9)
+    a = [str(rng.random()) for _ in range(120)]
+    rows = [(1, " ".join(a)), (2, " ".join(["x", *a[:60]])), (3, " ".join(a[100:115])), (4, " ".join(a[:12])), (5, "none")]
+    got = dict(map(tuple, substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {1: 52, 2: 52, 3: 13}
+
+
+def test_packed_rows_round_trip():
+    rng = np.random.default_rng(1)
+    h, d = rng.integers(0, 40, 500).astype(np.uint64), rng.integers(0, 30, 500)
+    batch = meeting.pack(h, d)
+    assert batch.num_rows == len(np.unique(h))
+    got = meeting.unpack(batch)
+    assert set(zip(*map(np.ndarray.tolist, got))) == set(zip(h.tolist(), d.tolist())) and len(got[0]) == len(set(zip(h.tolist(), d.tolist())))
+    part = meeting.unpack(batch.slice(5, 7))
+    assert set(part[0].tolist()) == set(batch.column(0).to_pylist()[5:12])
+
+
+def test_meeting_tells_each_document_once(spark):
+    rng = np.random.default_rng(7)
+    h, d = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 50, 900)
+    h[:200] = 7  # a hot hash
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    parts = [(int(a.view(np.int64)), int(b), bytes(c)) for i in range(0, 900, 60) for a, b, c in zip(*(x if k < 2 else x for k, x in enumerate(map(list, meeting.pack(h[i : i + 60], d[i : i + 60]).to_pydict().values()))), strict=True) for a in [np.int64(a)]]
+    packed = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in parts], meeting.PACKED)
+    got = [tuple(r) for r in meeting.repeated(packed).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for x, y in zip(h.tolist(), d.tolist()):
+        by.setdefault(x, set()).add(y)
+    expected = {(y, x, y > min(s)) for x, s in by.items() if len(s) > 1 for y in s}
+    assert set(got) == expected
+
+
+def test_hashes_agree_across_places():
+    texts = pa.array(["one two three", None, "two three one two three four", "Two three"])
+    a = next(iter(wordhash.runs(texts)))
+    assert np.diff(a.first).tolist() == [3, 0, 6, 2]
+    w = a.windows(2)
+    assert w[0] == w[5] and w[1] == w[3] == w[6] and w[0] != w[1]
+    low = next(iter(wordhash.runs(texts, lower=True)))
+    assert low.hash[9] == low.hash[3] and a.hash[9] != a.hash[3]
