@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, langid, packing, secrets, substrings, token_counts, topk
+from quire.llm import chat, decontaminate, jaccard, langid, packing, secrets, substrings, token_counts, topk
 from quire.llm.common import table
 
 
@@ -41,17 +41,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(token_counts.token_counts(table(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op4_substring_dedup, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op10_language_id)
+    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op4_substring_dedup, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op9_jaccard_join, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.CONTAMINATION_SQL,
     "op4_substring_dedup": substrings.REPEATS_SQL,
     "op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL,
     "op6_preferences": chat.PREFERENCE_SQL,
+    "op9_jaccard_join": jaccard.JACCARD_SQL,
 }
