@@ -117,6 +117,15 @@ def contamination_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return counted.selectExpr(f"`{key}`", "n_words", "n_hit", "cast(size(ids) AS long) AS n_items", "sha2(array_join(ids, ','), 256) AS items_sha256", "n_hit > 0 AS contaminated")
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those whose text holds a window of an item; a null text holds none. All columns and repeated rows stay."""
+    texts = docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
+    hit = find_contamination(texts, items, "_text", "_key").where("size(hits) > 0").select("_key").distinct()
+    hit = materialize(hit, "contaminated")
+    gone = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
+    return docs.join(gone, F.xxhash64(text) == F.col("_key"), "left_anti")
+
+
 CONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents

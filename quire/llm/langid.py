@@ -262,3 +262,14 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.col(label).alias("_label"), held_out(key).alias("held_out"))
     model = learn(slim.where(~F.col("held_out") & F.col("_key").isNotNull()), "_t", "_label", "_key", sample_rows)
     return predict(slim, model, "_t", ["_key", "held_out"]).withColumnRenamed("_key", key)
+
+
+def keep_identified(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs without those whose text has no letters, or whose most likely language has a probability under ``least``.
+
+    Learns like identify. All columns and repeated rows stay.
+    """
+    labelled = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(text).alias("_t"), F.col(label).alias("_label"), F.col(key).alias("_key"))
+    model = learn(labelled, "_t", "_label", "_key", sample_rows)
+    found = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_t")), model, "_t", ["row"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -147,6 +147,20 @@ def _full_scan(texts: pa.Array, rule: Rule) -> np.ndarray:
     return np.arange(len(texts))
 
 
+def find_spans(texts: pa.Array, rules: tuple[Rule, ...], queries: dict[str, Query], compiled: dict[str, re.Pattern]) -> list[list[tuple[int, int, int]]]:
+    """(start, rule's place, end) of every match in each text of a block, in this order."""
+    index = TrigramIndex(texts)
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for order, rule in enumerate(rules):
+        query = queries[rule.kind]
+        rows = _full_scan(texts, rule) if query is True else index.answer(query)
+        for row in rows.tolist():
+            own = [(m.start(), order, m.end()) for m in compiled[rule.kind].finditer(texts[row].as_py()) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+            if own:
+                found.setdefault(row, []).extend(own)
+    return [sorted(found.get(i, ())) for i in range(len(texts))]
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Finds every rule's spans in whole texts.
 
@@ -162,23 +176,44 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {r.kind: r.compiled() for r in rules}
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            index = TrigramIndex(texts)
-            found: dict[int, list[tuple[int, int, int]]] = {}
-            for order, rule in enumerate(rules):
-                query = queries[rule.kind]
-                rows = _full_scan(texts, rule) if query is True else index.answer(query)
-                for row in rows.tolist():
-                    whole = texts[row].as_py()
-                    own = [(m.start(), order, m.end()) for m in compiled[rule.kind].finditer(whole) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-                    if own:
-                        found.setdefault(row, []).extend(own)
-            spans = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in sorted(found.get(i, ()))] for i in range(len(batch))]
+            found = find_spans(batch.column(1).fill_null(""), rules, queries, compiled)
+            spans = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in own] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type)], [key, "spans"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(scan, kind)
 
 
+def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """docs with every span that a rule finds, or several that overlap, replaced by ``mark``.
+
+    All columns and rows stay; a null text stays null.
+    """
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    at = docs.columns.index(text)
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {r.kind: r.compiled() for r in rules}
+        for batch in batches:
+            column = batch.column(at)
+            found = find_spans(column.fill_null(""), rules, queries, compiled)
+            out = []
+            for value, spans in zip(column, found, strict=True):
+                whole = value.as_py()
+                if spans:
+                    parts, end = [], 0
+                    for a, _, b in spans:
+                        if a >= end:
+                            parts += [whole[end:a], mark]
+                        end = max(end, b)
+                    whole = "".join([*parts, whole[end:]])
+                out.append(whole)
+            columns = batch.columns
+            columns[at] = pa.array(out, column.type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(redact, docs.schema)
+
+
 def secrets_digest(found: DataFrame, key: str = "doc_id", base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Counts and digests of scan_secrets' spans."""
     listed = "array_join(transform({0}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
