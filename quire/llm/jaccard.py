@@ -405,9 +405,9 @@ WITH RECURSIVE d AS (
 ), n AS (
   SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
 ), p AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
 ), e AS (
-  SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * both >= 80 * (na.n + nb.n - both)
+  SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
 ), r AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
 )
