@@ -15,20 +15,20 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 
 GUARANTEE, GRAM = 10, 5
-_RAW = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same words before A-Z are put in lower case.
-_CASED = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: ASCII letters and digits and all that is not ASCII; in lower case, the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+_WORD = r"[\\p{Alnum}\\P{ASCII}]+"
 #: Rows (hits) or windows of items that are broadcast; joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 
 
 def _words(text: str) -> str:
     """Words of a text with A-Z in lower case."""
-    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_RAW}', 0)"
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}', 0)"
 
 
 def _hashes(words: str, gram: int) -> str:
-    return f"IF(size({words}) < {gram}, cast(array() AS array<bigint>), transform(sequence(0, size({words}) - {gram}), i -> xxhash64(slice({words}, i + 1, {gram}), {gram})))"
+    run = ", ".join(f"{words}[i + {o}]" for o in range(gram))
+    return f"IF(size({words}) < {gram}, cast(array() AS array<bigint>), transform(sequence(0, size({words}) - {gram}), i -> xxhash64({run}, {gram})))"
 
 
 def _least(hashes: str, span: int) -> str:
@@ -99,7 +99,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
 
     keyed = doc.withColumn("_h", F.xxhash64("_t"))
     both = keyed.join(hits.withColumnRenamed("_k", "_k2").withColumnRenamed("_h", "_h2"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
-    read = both.selectExpr("_k", "_h", "hits", f"cast(coalesce(regexp_count(_t, '{_CASED}'), 0) AS long) AS n_words", f"IF(hits IS NULL, cast(array() AS array<string>), {_words('_t')}) AS w")
+    read = both.selectExpr("_k", "_h", "hits", f"cast(coalesce(regexp_count(_t, '{_WORD}'), 0) AS long) AS n_words", f"IF(hits IS NULL, cast(array() AS array<string>), {_words('_t')}) AS w")
     for k in kinds:
         read = read.withColumn(f"h{k.window}", F.expr(_hashes("w", k.gram)))
     near = read.selectExpr("_k", "_h", "n_words", f"inline_outer(concat({', '.join(map(_near, kinds))}))")
