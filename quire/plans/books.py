@@ -175,3 +175,37 @@ def status(store: Store, books: list[str] | None = None) -> DataFrame:
     usage = tr.usage_totals(store.read("translations", tr.TRANSLATIONS)).groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "total")))).alias("usage"))
     terms = store.read("glossary", GLOSSARY).select("book_id", F.lit(True).alias("glossary"))
     return reports.status(chunks).join(terms, "book_id", "left").join(usage, "book_id", "left").fillna({"glossary": False})
+
+
+def metadata(store: Store, books: list[str] | None = None) -> DataFrame:
+    """(book_id, title, artists, cover, image, toc): translated titles, authors, the cover's file and data, and a map from files to their translated labels."""
+    entries = _entries(store.spark, store, books)
+    package = epub.packages(entries)
+    named = store.read("labels", LABELS).select("book_id", F.col("label").alias("text"), "translation").dropDuplicates(["book_id", "text"])
+    listed = lambda kind, least: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "own")))), lambda x: x["own"]), 1, least)
+    about = package.where("kind IN ('title', 'creator')").join(named, ["book_id", "text"], "left").withColumn("own", F.when(F.col("kind") == "title", F.coalesce("translation", "text")).otherwise(F.col("text")))
+    texts = about.groupBy("book_id").agg(F.array_join(listed("title", 2), ": ").alias("title"), F.array_join(listed("creator", 1000), ", ").alias("artists"))
+    contents = segments.labels(segments.label_files(entries, epub.navigation(package))).where("toc AND href IS NOT NULL").withColumnRenamed("label", "text").join(named, ["book_id", "text"], "left")
+    first = contents.groupBy("book_id", "href").agg(F.min_by(F.coalesce("translation", "text"), "pos").alias("label"))
+    toc = first.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("href", "label")))).alias("toc"))
+    covers = epub.covers(package).select("book_id", F.col("file").alias("cover"))
+    images = covers.join(entries.select("book_id", F.col("entry").alias("cover"), F.col("data").alias("image")), ["book_id", "cover"])
+    return epub.navigation(package).select("book_id").join(texts, "book_id", "left").join(images, "book_id", "left").join(toc, "book_id", "left").select("book_id", F.coalesce(F.expr("nullif(title, '')"), "book_id").alias("title"), "artists", "cover", "image", "toc")
+
+
+def audiobook(store: Store, books: list[str] | None = None, skip: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((book_id, chapter, title, start_ms, end_ms, data), (book_id, metadata)): the complete chapters as WAV files, and the chapter marks as text.
+
+    A chapter's title is its label in the table of contents, else its beginning.
+    """
+    chunks = _chunks(store, books).select("book_id", "chunk")
+    read = written(_read_aloud(store, books, released(chunks, tr.translated(store)), skip or []), "read")
+    stored = store.read("pieces", PIECES).dropDuplicates(["piece_key"])
+    pieces = written(narration.narration(read, store.read("spoken", SPOKEN).dropDuplicates(["text"]), stored), "pieces")
+    titles = narration.chapter_titles(read)
+    whole = narration.complete_chapters(titles, pieces, stored).where("complete").select("book_id", "chapter")
+    sound = written(narration.chapter_audio(pieces.join(whole, ["book_id", "chapter"]), stored.select("piece_key", "data")), "chapters")
+    about = metadata(store, books).select("book_id", F.col("title").alias("book_title"), "artists", "toc")
+    marks = narration.offsets(sound.select("book_id", "chapter", "ms"), ["book_id"], ["chapter"]).join(titles, ["book_id", "chapter"]).join(about, "book_id")
+    marks = written(marks.withColumn("title", F.coalesce(F.expr("nullif(toc[file], '')"), "title")), "marks")
+    return marks.select("book_id", "chapter", "title", "start_ms", "end_ms").join(sound.select("book_id", "chapter", "data"), ["book_id", "chapter"]), narration.chapter_metadata(marks)

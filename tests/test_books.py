@@ -51,6 +51,13 @@ def test_steps(spark, folder):
     assert store.read("pieces", B.PIECES).count() == count
     B.narrate_stream(store, speak, f"{folder}/check", once=True).awaitTermination()
     assert store.read("pieces", B.PIECES).count() == count
+    about = B.metadata(store).first()
+    assert (about.title, about.artists, about.cover, bytes(about.image)) == ("A Book", "Some One", "OEBPS/img/pic.png", b"\x89PNG")
+    assert about.toc == {"OEBPS/text/one +a.xhtml": "Chapter One", "OEBPS/text/two.xhtml": "Two"}
+    sound, marks = B.audiobook(store)
+    made = sound.orderBy("chapter").collect()
+    assert [(r.chapter, r.title) for r in made] == [(1, "Chapter One"), (2, "Two")] and made[1].start_ms == made[0].end_ms
+    assert "title=Chapter One\n" in marks.first().metadata
     row = B.status(store).first()
     assert (row.book_id, row.done, row.total, row.glossary) == ("a", 1, 1, True) and row.usage["calls"] == 1.0
 
