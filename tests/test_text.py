@@ -37,7 +37,7 @@ def test_marks_and_numbers(spark):
 def test_names_and_escapes(spark):
     assert values(spark, T.slug("t", "book"), ["A  Bőrönd!", "--", "x"]) == ["a-b-r-nd", "book", "x"]
     assert values(spark, T.output_name("t"), ["a/b c.xhtml", "d.e/f", "é.x"]) == ["a_b_c", "d.e_f", "é"]
-    assert values(spark, T.metadata_escape("t"), ["a=b;c#d\\e\nf"]) == ["a\\=b\;c\\#d\\\\e\\\nf"]
+    assert values(spark, T.metadata_escape("t"), ["a=b;c#d\\e\nf"]) == ["a\\=b\\;c\\#d\\\\e\\\nf"]
     assert values(spark, T.quote_path("t"), ["it's"]) == ["'it'\\''s'"]
     assert values(spark, T.escape_bare_ampersands("t"), ["a & b &amp; &#1; &x;"]) == ["a &amp; b &amp; &#1; &amp;x;"]
     assert values(spark, F.array_sort(T.semantics("t", "u")), [("a doc-b", "doc-a c"), (None, None)], "t string, u string") == [["a", "b", "c", "doc-a", "doc-b"], []]
@@ -64,3 +64,12 @@ def test_answers(spark):
     for bad in ("[4]", '["a"]', "none", "[1", '{"a": 1}'):
         with pytest.raises(ValueError):
             string_list(bad, 2)
+
+
+def test_functions_in_sql(spark):
+    from quire.functions import register_sql
+
+    assert "quire_similarity" in register_sql(spark)
+    row = spark.sql("""SELECT quire_similarity('a b', 'a b') AS s, quire_unescape_html('&eacute;') AS u, quire_split_long('x y') AS p, quire_normalize_spoken('2 Almák') AS n,
+        quire_tag_signature('<b n="1"/>') AS t, quire_json_value('x [1, 2] y', '[') AS j, quire_parse_answer('<seg id="1">x</seg>').segments[0].markup AS a""").first()
+    assert tuple(row) == (1.0, "é", ["x y"], "kettő almák", ["1 b"], "[1, 2]", "x")
