@@ -17,6 +17,7 @@ def register_sql(spark: SparkSession, prefix: str = "quire_") -> list[str]:
         "parse_answer": answers.parse_answer,
         "tag_signature": answers.tag_signature,
         "json_value": answers.json_value,
+        "yaml_text": answers.yaml_text,
         "split_long": split_long,
     }
     for name, function in found.items():

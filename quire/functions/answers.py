@@ -85,3 +85,11 @@ def json_value(text: pd.Series, opener: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(a, b) for a, b in zip(text, opener, strict=True)], dtype="object")
+
+
+@F.pandas_udf(StringType())
+def yaml_text(value: pd.Series) -> pd.Series:
+    """JSON values as YAML, with keys in their order and lines of at most 100 characters where they can be broken."""
+    import yaml
+
+    return value.map(lambda x: yaml.safe_dump(json.loads(x), allow_unicode=True, sort_keys=False, width=100), na_action="ignore")

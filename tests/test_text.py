@@ -66,6 +66,13 @@ def test_answers(spark):
             string_list(bad, 2)
 
 
+def test_glossaries_as_yaml(spark):
+    pytest.importorskip("yaml")
+    from quire.functions.answers import yaml_text
+
+    assert values(spark, yaml_text("t"), ['{"b": ["é"], "a": 1}', None]) == ["b:\n- é\na: 1\n", None]
+
+
 def test_functions_in_sql(spark):
     from quire.functions import register_sql
 
