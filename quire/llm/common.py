@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dir: list[str] = []
 
 
+#: Rows of an Arrow batch between the JVM and a worker; a batch of long texts would be large with Spark's 10,000.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session to Arrow batches of at most BATCH_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ SAMPLE_ROWS = 4096
 #: One in so many of them is for the temperature alone.
 CALIBRATE = 4
 #: n-grams are handled in runs of about so many bytes of text.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _SPACE = 32
 _SCALE = np.float32(100)
 
@@ -222,8 +222,8 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", order: s
     return Model(classes, (weights * idf[:, None] * _SCALE).astype(np.float32), temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` of docs.
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score, or two other names, to the columns ``keep`` of docs.
 
     A text that is null or has no letters, or any text where nothing was
     learned, gets ``und`` with score 0. Repeated rows get the same answer each;
@@ -231,22 +231,23 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     """
     keep = keep if keep is not None else docs.columns
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` string, `{names[1]}` double"
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             if model is not None and n:
-                p, letters = model.probabilities(batch.column(len(keep)))
+                p, letters = model.probabilities(batch.column(at))
                 known = letters > 0
                 best = p.argmax(1)
                 lang[known] = np.array(model.classes, object)[best[known]]
                 score[known] = p[np.arange(n), best][known]
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in (keep if text in keep else [*keep, text])]).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -271,5 +272,5 @@ def keep_identified(docs: DataFrame, text: str = "text", key: str = "doc_id", la
     """
     labelled = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(text).alias("_t"), F.col(label).alias("_label"), F.col(key).alias("_key"))
     model = learn(labelled, "_t", "_label", "_key", sample_rows)
-    found = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_t")), model, "_t", ["row"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    found = predict(docs, model, text, names=("_lang", "_score"))
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")

@@ -1,8 +1,8 @@
 """Finding where equal hashes of different documents meet, in one shuffle.
 
-Each batch of documents sends a row for each distinct hash: the smallest
+Some documents at a time send a row for each distinct hash: the smallest
 document that has it, and the others packed beside it. So a hash that a third
-of all documents share costs a row a batch, not a row a document. Rows are
+of all documents share costs a row a pack, not a row a document. Rows are
 dealt by hash and sorted; a stream over them sees each hash's documents side by
 side.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 PACKED = "h long, doc long, more binary"
 _NAMES = ["h", "doc", "more"]
+#: Values that are packed at once.
+PACK_VALUES = 1 << 18
 
 
 def pack(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
@@ -95,12 +97,18 @@ def repeated(packed: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Packed rows of what ``hashes_of`` finds in each batch: (hashes, documents) arrays."""
+    """Packed rows of what ``hashes_of`` finds: (hashes, documents) arrays, packed some at a time to bound memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(hashes_of(batch))
-            if found:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+        for pair in (pair for batch in batches for pair in hashes_of(batch)):
+            found.append(pair)
+            count += len(pair[0])
+            if count >= PACK_VALUES:
                 yield pack(np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found]))
+                found, count = [], 0
+        if found:
+            yield pack(np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found]))
 
     return docs.mapInArrow(run, PACKED)

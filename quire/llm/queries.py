@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import chat, decontaminate, jaccard, langid, packing, secrets, substrings, token_counts, topk
-from quire.llm.common import table
+from quire.llm.common import bound_batches, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, in Arrow batches that hold long texts in bounded memory."""
+    bound_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_digest(found)
 
 
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_matrices(table(spark, sf_dir, "documents"))
+    return packing.packed_matrices(documents(spark, sf_dir))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_exact_complement(table(spark, sf_dir, "documents"))
+    return packing.pack_exact_complement(documents(spark, sf_dir))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats_digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+    return substrings.repeats_digest(substrings.remove_repeats(documents(spark, sf_dir)))
 
 
 def op5_embedding_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,19 +40,19 @@ def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+    return secrets.secrets_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.over_limit(token_counts.token_counts(table(spark, sf_dir, "documents")))
+    return token_counts.over_limit(token_counts.token_counts(documents(spark, sf_dir)))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 QUERIES = {

@@ -46,6 +46,8 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
+#: Texts of a block, which has one index.
+BLOCK_ROWS = 2048
 #: Exact strings of a part are enumerated up to so many.
 _MOST = 64
 
@@ -161,6 +163,12 @@ def find_spans(texts: pa.Array, rules: tuple[Rule, ...], queries: dict[str, Quer
     return [sorted(found.get(i, ())) for i in range(len(texts))]
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(i, BLOCK_ROWS)
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Finds every rule's spans in whole texts.
 
@@ -175,7 +183,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {r.kind: r.compiled() for r in rules}
-        for batch in batches:
+        for batch in blocks(batches):
             found = find_spans(batch.column(1).fill_null(""), rules, queries, compiled)
             spans = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in own] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type)], [key, "spans"])
@@ -193,7 +201,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {r.kind: r.compiled() for r in rules}
-        for batch in batches:
+        for batch in blocks(batches):
             column = batch.column(at)
             found = find_spans(column.fill_null(""), rules, queries, compiled)
             out = []

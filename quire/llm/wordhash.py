@@ -25,7 +25,7 @@ _LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Texts are handled in runs of about so many bytes, to bound memory.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,0 +1,32 @@
+from quire.llm import meeting
+from quire.llm.common import BATCH_ROWS, bound_batches
+
+NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def test_batches_are_bounded_and_smaller_settings_stay(spark):
+    before = spark.conf.get(NAME)
+    try:
+        for value, expected in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("37", 37)):
+            spark.conf.set(NAME, value)
+            bound_batches(spark)
+            assert int(spark.conf.get(NAME)) == expected
+    finally:
+        spark.conf.set(NAME, before)
+
+
+def test_values_are_packed_across_batches_and_found_again(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(d, h) for d in range(60) for h in range(d % 7, 40, 3)]
+    docs = spark.createDataFrame(rows, "doc long, h long").repartition(3)
+
+    def hashes(batch):
+        yield batch.column(1).to_numpy().view(np.uint64), batch.column(0).to_numpy()
+
+    monkeypatch.setattr(meeting, "PACK_VALUES", 50)
+    found = sorted(map(tuple, meeting.repeated(meeting.emit(docs, hashes)).collect()))
+    by = {}
+    for d, h in rows:
+        by.setdefault(h, set()).add(d)
+    assert found == sorted((d, h, d > min(own)) for h, own in by.items() if len(own) > 1 for d in own)
