@@ -6,31 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard, langid, packing, secrets
-from quire.llm.common import materialize, table
+from quire.llm.common import bound_batches, materialize, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language with a probability of a half, go."""
+    bound_batches(spark)
     return langid.keep_identified(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    bound_batches(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets replaced by a mark."""
+    bound_batches(spark)
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: a row for each piece."""
+    bound_batches(spark)
     return packing.pack_exact_complement(docs)
 
 
