@@ -65,7 +65,7 @@ def ngram_runs(column: pa.Array) -> Iterator[Run]:
         starts = np.zeros(len(own) + 1, np.int64)
         np.cumsum((own & 0xC0) != 0x80, out=starts[1:])
         bounds = starts[offsets[i : j + 1] - offsets[i]]
-        # every text gets max(ORDERS) spaces after it, so that no n-gram reaches into the next
+        # every text gets max(ORDERS) spaces after it; n-grams that begin there count as spaces alone, whatever text is next
         pad = max(ORDERS)
         text = np.repeat(np.arange(j - i), np.diff(bounds))
         size = len(points) + pad * (j - i)
@@ -84,6 +84,8 @@ def ngram_runs(column: pa.Array) -> Iterator[Run]:
                 x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
                 slots[:, at] = (x ^ (x >> np.uint32(15))) & np.uint32(SLOTS - 1)
                 at += 1
+        for back in range(1, pad):
+            slots[ends[1:] - back] = slots[size - 1]
         yield Run(i, slots.ravel(), ends * len(ORDERS), np.diff(letters[bounds]))
         i = j
 

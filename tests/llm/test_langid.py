@@ -59,3 +59,15 @@ def test_temperature_softens_overconfident_scores():
     labels = np.array([0, 0, 0, 1])
     scores = np.array([[20.0, 0.0]] * 4)
     assert langid.fit_temperature(scores, labels) > 5
+
+
+def test_a_text_counts_the_same_whatever_text_is_next():
+    import numpy as np
+    import pyarrow as pa
+
+    alone = {t: next(langid.ngram_runs(pa.array([t]))).slots for t in ("abc", "", "é x")}
+    for texts in (["abc", "é x", ""], ["", "abc", "abc", "é x"], ["é x", "zzz", "abc", "y"]):
+        run = next(langid.ngram_runs(pa.array(texts)))
+        for t, a, b in zip(texts, run.bounds, run.bounds[1:], strict=False):
+            if t in alone:
+                assert np.array_equal(run.slots[a:b], alone[t])
