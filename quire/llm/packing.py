@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
-from quire.llm.tokens import Encoder, default_path
+from quire.llm.tokens import Encoder, added_tokens, default_path, library
 
 CAPACITY, END = 2048, 0
+#: Texts that a task holds as strings.
+TEXTS_AT_ONCE = 1024
 Run = tuple[int, int, int, int, int]  # length, rank, count, sequence, offset
 
 
@@ -191,8 +193,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
-#: Rank bases are broadcast up to so many rows (about 24 bytes each), joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Rank bases are broadcast up to so many rows (about 140 bytes each as Spark holds them), joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -209,14 +211,14 @@ def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capac
     kinds = [docs.schema[key].dataType.simpleString(), "int", "long", "long", "long", "int", "long"] + ["binary"] * with_ids
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
+    added = added_tokens(path)
+    width = "<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4"
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from quire.llm.tokens import library
-
-        encoder, task, ranks = Encoder(path), TaskContext.get().partitionId(), defaultdict(int)
-        width = "<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in batches:
+        encoder, task, ranks = Encoder(path, added), TaskContext.get().partitionId(), defaultdict(int)
+        for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, TEXTS_AT_ONCE)):
             rows: list[tuple] = []
 
             def flush(kind=batch.schema.field(0).type):
@@ -299,8 +301,6 @@ def packed_matrices(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
     their order, from which each document can be put together without loss).
     Edge cases as in pack_exact_complement.
     """
-    from quire.llm.tokens import library
-
     path = path or default_path()
     width = 2 if library(path).get_vocab_size() <= 1 << 16 else 4
     pieces = materialize(token_pieces(docs, text, key, capacity, end, path, with_ids=True), "pieces")

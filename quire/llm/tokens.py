@@ -59,12 +59,20 @@ def uncommon(column: pa.Array, lead: int = 0xCC) -> np.ndarray:
     return counts[1:] > counts[:-1]
 
 
+def added_tokens(path: str) -> list[str]:
+    return [t.content for t in library(path).get_added_tokens_decoder().values()]
+
+
 class Encoder:
-    """ids(texts): a list of ids for each text, no special tokens added."""
+    """ids(texts): a list of ids for each text, no special tokens added.
+
+    ``added`` are the vocabulary's added tokens. With them given, a task loads
+    the library only when it meets a text that needs it.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: list[str] | None = None):
         self.path = path
-        self.added = [t.content for t in library(path).get_added_tokens_decoder().values()]
+        self.added = added_tokens(path) if added is None else added
 
     def ids(self, column: pa.Array):
         slow, ranks = uncommon(column), _ranks(self.path)
