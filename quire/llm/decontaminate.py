@@ -103,6 +103,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
     for k in kinds:
         read = read.withColumn(f"h{k.window}", F.expr(_hashes("w", k.gram)))
     near = read.selectExpr("_k", "_h", "n_words", f"inline_outer(concat({', '.join(map(_near, kinds))}))")
+    # documents without hits go each its own way, not together as one null
+    near = near.withColumn("window", F.coalesce("window", F.concat(F.lit("\0"), F.xxhash64("_k", "_h").cast("string"))))
     matched = near.join(windows, "window", "left")
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n")).cast("long").alias("end"), "items"))
     return matched.groupBy("_k", "_h", "n_words").agg(F.array_sort(F.collect_set(hit)).alias("hits")).select(F.col("_k").alias(key), "n_words", "hits")
