@@ -285,11 +285,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(doc, component) of every document with an edge: the smallest one it is connected with.
 
     In turns, a document's larger neighbours are linked to its smallest
-    neighbour, then its smaller ones, until nothing changes.
+    neighbour, then its smaller ones, until each component is a star.
     """
     edges = materialize(edges.selectExpr("greatest(a, b) AS x", "least(a, b) AS y").where("x <> y").distinct(), "edges")
-    state = _state(edges)
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.selectExpr("y AS x", "x AS y"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).selectExpr("x", "least(x, m) AS m")
         large = both.where("y > x").join(least, "x").selectExpr("y AS x", "m AS y").unionByName(least.where("m < x").selectExpr("x", "m AS y")).distinct()
@@ -297,13 +296,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x")
         edges = materialize(small.where("y <> m").selectExpr("y AS x", "m AS y").unionByName(least.selectExpr("x", "m AS y")).distinct(), "edges")
-        before, state = state, _state(edges)
-        if before == state:
-            return materialize(edges.selectExpr("x AS doc", "y AS component").unionByName(edges.selectExpr("y AS doc", "y AS component").distinct()), "components")
+    return materialize(edges.selectExpr("x AS doc", "y AS component").unionByName(edges.selectExpr("y AS doc", "y AS component").distinct()), "components")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(x, y))"), F.expr("bit_xor(xxhash64(y, x, 1))")).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each document has one edge to a smaller one, which has none: that is then its component."""
+    ends = edges.selectExpr("x AS doc", "1 AS down", "0 AS up").unionByName(edges.selectExpr("y AS doc", "0 AS down", "1 AS up"))
+    return ends.groupBy("doc").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").isEmpty()
 
 
 def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -332,14 +331,17 @@ def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
         words = np.frombuffer(b"".join(group.column("bits").to_pylist()), _U).reshape(-1, bits // 8)
         left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
-        found: list[np.ndarray] = [np.empty(0, np.int64)] * 2
-        for x in left.tolist():
-            least = (n[x] + n[right]) * (100 - percent) // (100 + percent)
-            y = right[(c[right] != c[x]) & (doc[right] != doc[x]) & (np.abs(n[right] - n[x]) <= least)]
-            apart = np.bitwise_count(words[y] ^ words[x]).sum(1)
-            y = y[apart <= (n[x] + n[y]) * (100 - percent) // (100 + percent)]
-            found = [np.concatenate([found[0], np.minimum(doc[x], doc[y])]), np.concatenate([found[1], np.maximum(doc[x], doc[y])])]
-        pairs = np.unique(np.stack(found), axis=1)
+        both = n[left, None] + n[right]
+        most = both * (100 - percent) // (100 + percent)  # that can differ
+        ok = (c[left, None] != c[right]) & (doc[left, None] != doc[right]) & (np.abs(n[left, None] - n[right]) <= most)
+        at = np.nonzero(ok)
+        found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+        for k in range(0, len(at[0]), 1 << 14):
+            x, y = left[at[0][k : k + (1 << 14)]], right[at[1][k : k + (1 << 14)]]
+            near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= (n[x] + n[y]) * (100 - percent) // (100 + percent)
+            a, b = doc[x[near]], doc[y[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
     return blocks.groupBy("h", "p", "q").applyInArrow(meet, "a long, b long").distinct()
