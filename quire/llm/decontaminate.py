@@ -62,7 +62,8 @@ def _near(k: _Kind) -> str:
     last = f"size(w) - {k.window}"
     starts = f"array_distinct(flatten(transform({where}, p -> sequence(greatest(0, p - {k.span - 1}), least(p, {last})))))"
     windows = f"transform({starts}, s -> struct(s AS at, {k.window} AS n, array_join(slice(w, s + 1, {k.window}), ' ') AS window))"
-    return f"IF(hits IS NULL OR size(h{k.window}) = 0, cast(array() AS array<struct<at: int, n: int, window: string>>), {windows})"
+    # a text of fewer words can hold hit fingerprints all the same, as its 5-word runs are those of items of 5 words
+    return f"IF(hits IS NULL OR size(w) < {k.window}, cast(array() AS array<struct<at: int, n: int, window: string>>), {windows})"
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

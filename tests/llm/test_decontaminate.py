@@ -73,3 +73,14 @@ def test_empty_tables(spark, tables):
     clean = decontaminate.contamination_digest(decontaminate.find_contamination(d, b.limit(0))).collect()
     assert {(r.n_hit, r.contaminated) for r in clean} == {(0, False)} and len(clean) == len(set(docs))
     assert decontaminate.find_contamination(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [range(1, 10), [5]])
+def test_short_items_in_short_documents(spark, lengths):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in lengths] + [(20, " ".join(f"long{j}" for j in range(12)))]
+    docs = [(100 * n + m, " ".join(["pad"] * ((m - n) // 2) + [items[i][1]] + ["pad"] * (m - n - (m - n) // 2))) for i, n in enumerate(lengths) for m in range(n, 13)]
+    docs += [(m, " ".join(f"long{j}" for j in range(m))) for m in range(1, 13)] + [(50, "i5w0 i5w1 i5w2 i5w3 pad")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contamination_digest(decontaminate.find_contamination(d, b)).collect()}
+    assert got == brute(docs, items)
