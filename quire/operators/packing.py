@@ -1,18 +1,23 @@
 """Cutting a book's segments into chunks, parts and slices by their words.
 
 Where a group ends depends on where it began, which no window frame can say. So
-the word counts of a book, two integers and a count for each segment, meet in
-one task, which jumps from cut to cut by searching their running sums; texts
-stay where they are.
+a book is dealt by ranges of its order, and each range finds where the groups
+end for every place the first cut in it can have; there are no more such places
+than items in one group. These few rows of a book meet and say what is open where
+each range begins; then the ranges are numbered, each by itself. No task holds
+more than a range of a book, or one file; texts stay where they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.common import written
+from quire.operators.ordered import PART, spread
+
 CHUNK_WORDS, SLICE_WORDS = 8000, 40000
 
 
@@ -62,26 +67,90 @@ def chunk_numbers(files: np.ndarray, words: np.ndarray, limit: int) -> np.ndarra
     return np.cumsum(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(0)]))
 
 
-def _by_book(segments: DataFrame, number, name: str) -> DataFrame:
-    """segments with a column of numbers for its rows in order; segments has book_id, file_pos, idx, words."""
-    kind = segments.schema["book_id"].dataType.simpleString()
-    keys = ["book_id", "file_pos", "idx"]
+def _fitting(total: np.ndarray, at: np.ndarray | int, limit: int) -> np.ndarray:
+    """Where the next group starts, as packed_groups does, from running sums and the sum at which the open one began."""
+    return np.searchsorted(total, np.asarray(at) + limit, "right") - 1
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["file_pos", "idx"], kind="stable")
-        return rows[keys].assign(**{name: number(rows["file_pos"].to_numpy(), rows["words"].to_numpy(np.int64))})
 
-    return segments.select(*keys, "words").groupBy("book_id").applyInPandas(fold, f"book_id {kind}, file_pos long, idx int, {name} int")
+def _reaching(total: np.ndarray, at: np.ndarray | int, limit: int) -> np.ndarray:
+    """The same as full_slices does."""
+    return np.searchsorted(total, np.asarray(at) + limit, "left")
+
+
+def _paths(sizes: np.ndarray, limit: int, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the first cut can have: the running sum there, how many groups start from it on, and what is open at the end."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    reach = total[: np.searchsorted(total, limit, "right") + 1]
+    at = np.arange(len(reach))
+    starts, last = np.zeros(len(reach), np.int64), at.copy()
+    while (alive := at < len(sizes)).any():
+        last[alive] = at[alive]
+        starts += alive
+        at[alive] = np.maximum(at[alive] + 1, cut(total, total[at[alive]], limit))
+    return reach, starts, total[-1] - total[last]
+
+
+def _numbered(items: DataFrame, order: list[str], limit: int, cut, name: str) -> DataFrame:
+    """(book_id, order, name): the number, from 1, of the group of each item; items: book_id, order, words and more, by which numbers rise after an item."""
+    kind = items.schema["book_id"].dataType.simpleString()
+    dealt = spread(items.select("book_id", *order, F.col("words").cast("long").alias("words"), F.col("more").cast("long").alias("more")), ["book_id"], order)
+    keys = [PART, "book_id"]
+
+    def survey(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, "words"], kind="stable")
+        reach, starts, open_ = _paths(rows["words"].to_numpy(np.int64), limit, cut)
+        return rows[keys].head(1).assign(n=len(rows), total=rows["words"].sum(), more=rows["more"].sum(), reach=[reach], starts=[starts], open=[open_])
+
+    def carry(ranges: pd.DataFrame) -> pd.DataFrame:
+        ranges = ranges.sort_values(PART)
+        open_, number, found = limit + 1, 0, []  # nothing is open: the first item starts a group
+        for r in ranges.itertuples(index=False):
+            found.append((open_, number))
+            first = max(0, int(cut(np.asarray(r.reach), -open_, limit)))
+            if first < r.n:
+                open_, number = int(r.open[first]), number + int(r.starts[first])
+            else:
+                open_ += int(r.total)
+            number += int(r.more)
+        return ranges[keys].assign(open=[f[0] for f in found], number=[f[1] for f in found])
+
+    def number(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, "words"], kind="stable")
+        total = np.concatenate([[0], np.cumsum(rows["words"].to_numpy(np.int64))])
+        more = rows["more"].to_numpy(np.int64)
+        starts = np.zeros(len(rows), np.int64)
+        i = max(0, int(cut(total, -int(before["open"].iloc[0]), limit)))
+        while i < len(rows):
+            starts[i] = 1
+            i = max(i + 1, int(cut(total, total[i], limit)))
+        return rows[["book_id", *order]].assign(**{name: int(before["number"].iloc[0]) + np.cumsum(starts) + np.cumsum(more) - more})
+
+    surveyed = dealt.groupBy(*keys).applyInPandas(survey, f"{PART} int, book_id {kind}, n long, total long, more long, reach array<long>, starts array<long>, open array<long>")
+    carried = surveyed.groupBy("book_id").applyInPandas(carry, f"{PART} int, book_id {kind}, open long, number long")
+    places = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in order)
+    return dealt.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(number, f"book_id {kind}, {places}, {name} int")
 
 
 def chunks(segments: DataFrame, limit: int = CHUNK_WORDS) -> DataFrame:
     """(book_id, file_pos, idx, chunk): the chunk, from 1, of every segment of a book."""
-    return _by_book(segments, lambda files, words: chunk_numbers(files, words, limit), "chunk")
+    own, file = ["book_id", "file_pos", "idx"], ["book_id", "file_pos"]
+    sized = segments.select("book_id", F.col("file_pos").cast("long").alias("file_pos"), F.col("idx").cast("int").alias("idx"), "words")
+    sized = sized.withColumn("_file", F.sum("words").over(Window.partitionBy(*file)))
+    cut = written(parts(sized.where(F.col("_file") > limit), limit), "parts")
+    whole = sized.where(F.col("_file") <= limit)
+    files = whole.groupBy(*file).agg(F.sum("words").alias("words"), F.lit(0).alias("more"))
+    # a longer file is alone, however long; its parts are numbers of their own
+    files = files.unionByName(cut.groupBy(*file).agg(F.lit(limit + 1).alias("words"), (F.max("part") - 1).alias("more")))
+    first = _numbered(files, ["file_pos"], limit, _fitting, "chunk").select(F.col("book_id").alias("_b"), F.col("file_pos").alias("_f"), "chunk")
+    rows = whole.select(*own, F.lit(1).alias("part")).unionByName(cut)
+    joined = rows.join(first, F.col("book_id").eqNullSafe(F.col("_b")) & F.col("file_pos").eqNullSafe(F.col("_f")))
+    return joined.select(*own, (F.col("chunk") + F.col("part") - 1).alias("chunk"))
 
 
 def slices(segments: DataFrame, limit: int = SLICE_WORDS) -> DataFrame:
     """(book_id, file_pos, idx, slice): the slice, from 1, of every segment, for gathering terms; slices cross files and chunks."""
-    return _by_book(segments, lambda files, words: full_slices(words, limit) + 1, "slice")
+    items = segments.select("book_id", F.col("file_pos").cast("long").alias("file_pos"), F.col("idx").cast("int").alias("idx"), "words", F.lit(0).alias("more"))
+    return _numbered(items, ["file_pos", "idx"], limit, _reaching, "slice")
 
 
 def parts(segments: DataFrame, limit: int) -> DataFrame:

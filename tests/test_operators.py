@@ -40,6 +40,25 @@ def test_packing_known_values():
     assert packing.chunk_numbers(files, words, 8).tolist() == [1, 1, 1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40, 100_000])
+def test_hot_book_is_numbered_in_ranges(spark, monkeypatch, limit):
+    rng = random.Random(limit)
+    rows = [(b, f, i, rng.choice([0, 1, 1, 2, 3, 9])) for b, n in (("hot", 60), ("b", 3), (None, 5)) for f in range(n) for i in range(rng.randrange(1, 9))]
+    segs = spark.createDataFrame(rows, "book_id string, file_pos long, idx int, words int").repartition(5)
+    ranges = []
+    monkeypatch.setattr(packing, "spread", lambda *a: ranges.append(spread(*a)) or ranges[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    got = {(r.book_id, r.file_pos, r.idx): (r.chunk, r.slice) for r in packing.chunks(segs, limit).alias("c").join(packing.slices(segs, limit).alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("book_id", "file_pos", "idx")]).select("c.*", "slice").collect()}
+    assert len(got) == len(rows)
+    for b in ("hot", "b", None):
+        own = [r for r in rows if r[0] == b]
+        files, words = np.array([r[1] for r in own]), np.array([r[3] for r in own])
+        want = zip(packing.chunk_numbers(files, words, limit).tolist(), (packing.full_slices(words, limit) + 1).tolist(), strict=True)
+        assert [got[r[:3]] for r in own] == list(want)
+    assert all(d.where("book_id = 'hot'").select("_part").distinct().count() > 1 for d in ranges) and len(ranges) == 2
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_slice_texts_and_chunk_ids(spark):
     rows = spark.createDataFrame([("b", 1, 0, "x", 1), ("b", 1, 1, "y", 2), ("b", 2, 0, "z", 1)], "book_id string, file_pos long, idx int, text string, words int")
     assert [tuple(r) for r in packing.slice_texts(rows, 3).orderBy("slice").collect()] == [("b", 1, "x\n\ny"), ("b", 2, "z")]
