@@ -118,9 +118,11 @@ def chapter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _lines(spark, sf_dir).groupBy("book_id", "file_pos").agg(F.bool_or(F.col("text").rlike("(?i)licen[cs]e|rights reserved")).alias("skip"))
+    """A page with a licence is marked in itself, one with reserved rights by a link to it."""
+    holds = lambda pattern: F.bool_or(F.col("text").rlike(pattern))
+    pages = _lines(spark, sf_dir).groupBy("book_id", "file_pos").agg(holds("(?i)licen[cs]e").alias("skip"), holds("(?i)rights reserved").alias("linked"))
     named = pages.withColumn("file", F.concat_ws("/", "book_id", F.col("file_pos").cast("string")))
-    labels = named.limit(0).select("book_id", "skip", F.col("file").alias("href"), F.lit(1).alias("source"))
+    labels = named.select("book_id", F.col("linked").alias("skip"), F.col("file").alias("href"), F.lit(1).alias("source"))
     gone = narration.skipped_files(named, labels)
     return named.where(~narration.matches_any("file", ["/13"])).join(gone, ["book_id", "file"], "left_anti").select("book_id", "file_pos")
 

@@ -59,6 +59,17 @@ def test_hot_book_is_numbered_in_ranges(spark, monkeypatch, limit):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_skip_files_meets_labels(spark, tmp_path, monkeypatch):
+    from quire.plans import queries
+
+    rows = [(1, "s", "All rights reserved"), (2, "s", "read\nthis"), (3, "s", "a License"), (4, "t", "licence, RIGHTS RESERVED"), (13, "t", "gone")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, own = [], narration.skipped_files
+    monkeypatch.setattr(narration, "skipped_files", lambda pages, labels: seen.append(labels) or own(pages, labels))
+    assert [tuple(r) for r in queries.skip_files(spark, str(tmp_path)).collect()] == [("s", 2)]
+    assert sorted(r.href for r in seen[0].where("skip").collect()) == ["s/1", "t/4"]
+
+
 def test_slice_texts_and_chunk_ids(spark):
     rows = spark.createDataFrame([("b", 1, 0, "x", 1), ("b", 1, 1, "y", 2), ("b", 2, 0, "z", 1)], "book_id string, file_pos long, idx int, text string, words int")
     assert [tuple(r) for r in packing.slice_texts(rows, 3).orderBy("slice").collect()] == [("b", 1, "x\n\ny"), ("b", 2, "z")]
