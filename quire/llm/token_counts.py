@@ -165,7 +165,8 @@ def prefix_table(text: str, odd: bool, path: str) -> tuple[list[int], list[int]]
         totals: list[int] = []
         found = library(path).encode(text, add_special_tokens=False)
         for n, (word, (_, end)) in enumerate(zip(found.word_ids, found.offsets, strict=True)):
-            if n and word is not None and word == found.word_ids[n - 1]:
+            # a character that lower case makes two may hold two words: there is no prefix between them
+            if n and (ends[-1] == end or word is not None and word == found.word_ids[n - 1]):
                 ends[-1], totals[-1] = end, n + 1
             else:
                 ends.append(end)
@@ -226,12 +227,35 @@ def longest_prefix(text: str | None, word_ends: list[int], tokens_at: list[int],
     odd = bool(uncommon(pa.array([text]), LEAD)[0])
     words = _words(text, odd)
     if words is None:
-        return end, before
+        return _inside_odd(text, end, word_ends[done], before, budget, path or default_path())
     word = words[done]
     inside = _tables(path or default_path()).prefixes(word.group())
     fits = [i for i, n in enumerate(inside) if before + n <= budget]
     return (word.start() + fits[-1], before + inside[fits[-1]])
 
 
+def _inside_odd(text: str, start: int, stop: int, before: int, budget: int, path: str) -> tuple[int, int]:
+    """longest_prefix where the library splits the text: it ends from start to before stop, the next word's end.
+
+    The word tables hold for the library's own word if each character has one of
+    its own in the library's spelling; otherwise prefixes are encoded, the longest
+    first.
+    """
+    lib = library(path)
+    low = lib.normalizer.normalize_str(text[start:stop])
+    if "<|" not in text and low == "".join(map(lib.normalizer.normalize_str, text[start:stop])) and len(low) == stop - start:
+        found = [(a, b) for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(low)]
+        if len(found) == 1:
+            a, b = found[0]
+            inside = _tables(path).prefixes(low[a:b])
+            i = max(i for i, n in enumerate(inside) if before + n <= budget)
+            return start + a + i, before + inside[i]
+    for i in range(stop - 1, start, -1):
+        n = len(lib.encode(text[:i], add_special_tokens=False).ids)
+        if n <= budget:
+            return i, n
+    return start, before
+
+
 def over_limit(counted: DataFrame, limit: int = LIMIT) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -70,3 +70,11 @@ def test_prefix_tables(texts):
 def test_prefixes_inside_words():
     for word in ("onenerth", "étionner", "'re", "'ll", "!!!!??", "internationalization"):
         assert tc._tables(PATH).prefixes(word) == [lib(word[:i]) for i in range(len(word) + 1)]
+
+
+@pytest.mark.parametrize("text", ["中文字符没有空格", "  Привет, мир! ΑΣ όδοςΣ", "مرحبا بالعالم 😀😀x", "İstanbul e\u0301te\u0301 ab", "ab <|endoftext|> 中文", "中文's 日本語123 'Re", "ﬁne한국어"])
+def test_longest_prefix_of_other_scripts(text):
+    ends, at = tc.prefix_table(text, True, PATH)
+    for budget in range(lib(text) + 2):
+        fits = max(i for i in range(len(text) + 1) if lib(text[:i]) <= budget)
+        assert tc.longest_prefix(text, ends, at, budget, PATH) == (fits, lib(text[:fits])), budget
