@@ -166,7 +166,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     copies = copies_of(rows, window)
     few = copies.count() <= BROADCAST_ROWS
-    ids = copies.select("doc").distinct()
+    # a key whose other text is no copy is searched, with all its texts
+    own = rows.select("doc", F.xxhash64("text").alias("h")).join(F.broadcast(copies.select("doc").distinct()) if few else copies.select("doc").distinct(), "doc", "left_semi")
+    ids = materialize(own.groupBy("doc").agg(F.min("h").alias("h"), F.max("h").alias("last")).where("h = last").select("doc"), "copies-alone")
     searched = rows.join(F.broadcast(ids) if few else ids, "doc", "left_anti")
     _, repeats = next(levels(searched, window), (window, None))
     marks = copies.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("copied"))

@@ -108,3 +108,11 @@ def test_hashes_agree_across_places():
     assert w[0] == w[5] and w[1] == w[3] == w[6] and w[0] != w[1]
     low = next(iter(wordhash.runs(texts, lower=True)))
     assert low.hash[9] == low.hash[3] and a.hash[9] != a.hash[3]
+
+
+def test_another_text_of_a_copys_key_is_searched(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    rows = [(1, text("a")), (2, text("b")), (5, text("a")), (5, "x " + text("b") + " y"), (5, text("c")), (7, "z " + text("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.kept) for r in substrings.remove_repeats(docs).collect())
+    assert got == sorted([(1, text("a")), (2, text("b")), (5, ""), (5, "x y"), (5, text("c")), (7, "z")])
