@@ -10,11 +10,14 @@ sketch of the same kind and are verified on their whole shingle sets.
 
 What is needed is who is connected, not every link: in each set of documents
 that share a cell, all are compared with the smallest one first, and pairs are
-only formed between documents that this leaves in different components.
+only formed between documents that this leaves in different components, and
+whose sizes allow that they are similar. Verification counts shingles that agree
+in two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import meeting
-from quire.llm.common import materialize
+from quire.llm.common import materialize, shuffle_partitions
 from quire.llm.wordhash import Words, mix, runs
 
 SHINGLE, PERCENT = 5, 80
@@ -42,20 +45,27 @@ _U = np.uint64
 _BAND_BITS = 5
 
 
-def shingle_sets(words: Words, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each text of a run; of all words where they are fewer."""
+def shingle_sets(words: Words, size: int, second: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of each text of a run; of all words where they are fewer. With ``second``, their second hashes are a second row."""
     count = np.diff(words.first)
-    found = words.windows(size)
-    short = {k: words.windows(k) for k in np.unique(count[(count > 0) & (count < size)]).tolist()}
+    which = (0, 1) if second else (0,)
+    found = [words.windows(size, x) for x in which]
+    short = {k: [words.windows(k, x) for x in which] for k in np.unique(count[(count > 0) & (count < size)]).tolist()}
     for i in range(words.count):
         a, n = int(words.first[i]), int(count[i])
-        if n >= size:
-            own = np.sort(found[a : a + n - size + 1])
-            new = np.ones(len(own), bool)
-            np.not_equal(own[1:], own[:-1], out=new[1:])
-            yield words.row + i, own[new]
+        if not n:
+            own = np.empty((len(which), 0), _U)
+        elif n < size:
+            own = np.stack([x[a : a + 1] for x in short[n]])
+        elif second:
+            own = np.stack([x[a : a + n - size + 1] for x in found])
+            own = own[:, np.argsort(own[0])]
         else:
-            yield words.row + i, short[n][a : a + 1] if n else np.empty(0, _U)
+            own = np.sort(found[0][a : a + n - size + 1])[None]
+        new = np.ones(own.shape[1], bool)
+        np.not_equal(own[0, 1:], own[0, :-1], out=new[1:])
+        own = own[:, new]
+        yield words.row + i, own if second else own[0]
 
 
 @dataclass(frozen=True)
@@ -138,7 +148,7 @@ def _cells_of(size: int, bands: Bands):
 
 
 def counted(packed: DataFrame) -> DataFrame:
-    """(doc, h, n) of each value that more than one document has, n being how many, up to SATURATED; of negative ones too."""
+    """(doc, h, n) of each value that more than one document has, n being how many, up to SATURATED, as of values that are hot in some pack; of negative ones too."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_h, held_d = np.empty(0, _U), np.empty(0, np.int64)  # the last value's documents, while few
@@ -149,13 +159,18 @@ def counted(packed: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(d[told]), pa.array(h[told].view(np.int64)), pa.array(n[told].astype(np.int32))], ["doc", "h", "n"])
 
         for batch in batches:
-            h, d = meeting.unpack(batch)
+            h, _, kind, d, _ = meeting.unpack(batch)
+            apart = kind == meeting.APART
+            if apart.any():
+                yield out(h[apart], d[apart], np.full(int(apart.sum()), SATURATED))
+                h, kind, d = h[~apart], kind[~apart], d[~apart]
             if not len(h):
                 continue
+            head = np.concatenate([np.zeros(len(held_h), bool), kind == meeting.HEAD])
             h, d = np.concatenate([held_h, h]), np.concatenate([held_d, d])
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(at, len(h)))
-            n = np.minimum(size, SATURATED)
+            n = np.where(np.logical_or.reduceat(head, at), SATURATED, np.minimum(size, SATURATED))
             if full is not None and int(h[0]) == full:
                 n[0] = SATURATED
             else:
@@ -169,7 +184,7 @@ def counted(packed: DataFrame) -> DataFrame:
         if len(held_h):
             yield out(held_h, held_d, np.full(len(held_h), len(held_h)))
 
-    return meeting.by_hash(packed).mapInArrow(stream, "doc long, h long, n int")
+    return meeting.by_hash(packed, "kind", "doc").mapInArrow(stream, "doc long, h long, n int")
 
 
 def _spares(bands: Bands) -> str:
@@ -197,37 +212,39 @@ def rarest_cells(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
 
 
 def hub_pairs(kept: DataFrame) -> DataFrame:
-    """(a, b): each document with the smallest one that shares a cell."""
+    """(a, b): each document with the smallest one that shares a cell, or the smallest of its pack where the cell is hot."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h = hub = None
         for batch in batches:
-            h, d = meeting.unpack(batch)
-            if not len(h):
-                continue
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            least = d[at].copy()
-            if last_h is not None and int(h[0]) == last_h:
-                least[0] = hub
-            hubs = np.repeat(least, np.diff(np.append(at, len(h))))
-            last_h, hub = int(h[-1]), int(least[-1])
+            h, _, kind, d, hubs = meeting.unpack(batch)
+            hubs = hubs.copy()
+            own = np.flatnonzero(kind != meeting.APART)
+            if len(own):
+                x = h[own]
+                at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                least = d[own][at]
+                if last_h is not None and int(x[0]) == last_h:
+                    least[0] = hub
+                hubs[own] = np.repeat(least, np.diff(np.append(at, len(x))))
+                last_h, hub = int(x[-1]), int(least[-1])
             other = np.unique(np.stack([hubs, d])[:, hubs != d], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(other[0]), pa.array(other[1])], ["a", "b"])
 
     rows = kept.select("h", "doc").mapInArrow(_packed, meeting.PACKED)
-    return meeting.by_hash(rows).mapInArrow(pairs, "a long, b long").distinct()
+    return meeting.by_hash(rows, "doc", "kind").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield meeting.pack(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy())
+            yield from meeting.pack(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy())
 
 
 def _each_set(size: int, names: list[str], row_of: Callable[[np.ndarray], tuple]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row_of(own) for words in runs(batch.column(1), lower=True) for _, own in shingle_sets(words, size)]
+            rows = [row_of(own) for words in runs(batch.column(1), lower=True) for _, own in shingle_sets(words, size, True)]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary() if n == "own" else pa.int64()) for n, c in zip(names, columns, strict=True))], ["doc", *names])
 
@@ -238,8 +255,8 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
     """(doc, n, s, t): the size of each document's set, and a 128-bit sum of it."""
 
     def row_of(own: np.ndarray) -> tuple:
-        mixed = mix(own)
-        return len(own), int(mixed.sum().view(np.int64)), int(mix(mixed + _U(1)).sum().view(np.int64))
+        sums = mix(own).sum(1).view(np.int64).tolist()
+        return own.shape[1], *sums
 
     return docs.mapInArrow(_each_set(size, ["n", "s", "t"], row_of), "doc long, n long, s long, t long")
 
@@ -250,15 +267,22 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    return docs.mapInArrow(_each_set(size, ["own"], lambda own: (own.tobytes(),)), "doc long, own binary")
+    """(doc, n, own): each document's shingles, their hashes and then their second ones."""
+    return docs.mapInArrow(_each_set(size, ["n", "own"], lambda own: (own.shape[1], own.tobytes())), "doc long, n long, own binary")
+
+
+def read_set(own: bytes) -> np.ndarray:
+    return np.frombuffer(own, _U).reshape(2, -1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
+    """Whether two sets, each sorted hashes and their second ones, are."""
+    n, m = a.shape[1], b.shape[1]
+    if min(n, m) * 100 < max(n, m) * percent:
         return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int(np.count_nonzero(b[at] == a))
-    return both * 100 >= (len(a) + len(b) - both) * percent
+    at = np.minimum(np.searchsorted(b[0], a[0]), m - 1)
+    both = int(np.count_nonzero((b[0, at] == a[0]) & (b[1, at] == a[1])))
+    return both * 100 >= (n + m - both) * percent
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,15 +294,16 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def verify(hub: pa.Table, others: pa.Table) -> pa.Table:
         found: list[list[int]] = [[], []]
-        of = [np.frombuffer(x, _U) for x in hub.column("held").to_pylist()]
+        of = [read_set(x) for x in hub.column("held").to_pylist()]
         for name, b in zip(others.column("other").to_pylist(), others.column("held").to_pylist(), strict=True):
-            own = np.frombuffer(b, _U)
+            own = read_set(b)
             if any(similar(x, own, percent) for x in of):
                 found[0].append(hub.column("hub")[0].as_py())
                 found[1].append(name)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
-    return left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(verify, "a long, b long").distinct()
+    deal = (shuffle_partitions(pairs.sparkSession), "hub", "part")  # small rows, much work: not to be put together by size
+    return left.repartition(*deal).groupBy("hub", "part").cogroup(right.repartition(*deal).groupBy("hub", "part")).applyInArrow(verify, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,26 +330,42 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("doc").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").isEmpty()
 
 
+def _size_class(percent: int) -> str:
+    """Sets whose classes differ by more than one can't be similar."""
+    return "n" if percent >= 100 else f"cast(floor(ln(n) / {math.log(100 / percent)!r}) AS long)"
+
+
+#: Ids of blocks: class * 2**24 + place. A class has fewer than 2**24 blocks of one cell.
+_CLASS = 1 << 24
+
+
 def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of different components that share a cell and whose sketches allow that they are similar.
+    """(a, b): documents of different components that share a cell and whose sizes and sketches allow that they are similar.
 
-    A cell's documents are dealt into blocks of about BLOCK, and each two
-    blocks meet in one group, however many documents the cell has.
+    A cell's documents are dealt by classes of size into blocks of about BLOCK,
+    and each two blocks of one class or of neighbouring ones meet in one group,
+    however many documents the cell has.
     """
-    known = kept.join(labels, "doc", "left").selectExpr("doc", "h", "coalesce(component, doc) AS component")
+    known = kept.join(labels, "doc", "left").join(sets.select("doc", "n"), "doc").selectExpr("doc", "h", "coalesce(component, doc) AS component", f"{_size_class(percent)} AS c")
     known = materialize(known, "cells")
-    open_cells = known.groupBy("h").agg(F.count("*").alias("docs"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").selectExpr("h", f"cast(ceil(docs / {BLOCK}) AS int) AS g")
-    rows = materialize(known.join(open_cells, "h").selectExpr("*", "cast(pmod(xxhash64(doc), g) AS int) AS i"), "open-cells")
-    sets = sets.join(rows.select("doc").distinct(), "doc", "left_semi")
+    open_cells = known.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h")
+    open_cells = materialize(known.join(open_cells, "h").groupBy("h", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g")), "open-cells")
+    beside = [open_cells.selectExpr("h", f"c + {d} AS c", f"g AS g{i}") for i, d in enumerate((1, -1))]
+    counts = open_cells.join(beside[0], ["h", "c"], "left").join(beside[1], ["h", "c"], "left").selectExpr("h", "c", "g", "coalesce(g0, 0) AS below", "coalesce(g1, 0) AS above")
+    rows = materialize(known.join(counts, ["h", "c"]).selectExpr("*", "cast(pmod(xxhash64(doc), g) AS int) AS i"), "open-rows")
+    sets = sets.join(rows.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "own")
     bits = SKETCH_BITS // 8
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(x, _U) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x).tobytes() for x in own], pa.binary())], ["doc", "n", "bits"])
+            own = [sketch(read_set(x)[0]).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc", "n", "bits"])
 
     sketches = sets.mapInArrow(sketched, "doc long, n long, bits binary")
-    blocks = rows.join(sketches, "doc").selectExpr("h", "explode(sequence(0, g - 1)) AS j", "i", "doc", "component", "n", "bits").selectExpr("h", "least(i, j) AS p", "greatest(i, j) AS q", "i", "doc", "component", "n", "bits")
+    same = f"transform(sequence(0, g - 1), j -> struct(c * {_CLASS} + least(i, j) AS p, c * {_CLASS} + greatest(i, j) AS q))"
+    up = f"transform(slice(sequence(0, above), 1, above), j -> struct(c * {_CLASS} + i AS p, (c + 1) * {_CLASS} + j AS q))"
+    down = f"transform(slice(sequence(0, below), 1, below), j -> struct((c - 1) * {_CLASS} + j AS p, c * {_CLASS} + i AS q))"
+    blocks = rows.join(sketches, "doc").selectExpr("h", f"c * {_CLASS} + i AS i", "doc", "component", "n", "bits", f"inline(concat({same}, {up}, {down}))")
 
     def meet(group: pa.Table) -> pa.Table:
         i, doc, c, n = (group.column(x).to_numpy() for x in ("i", "doc", "component", "n"))
@@ -344,7 +385,8 @@ def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
-    return blocks.groupBy("h", "p", "q").applyInArrow(meet, "a long, b long").distinct()
+    keys = ["h", "p", "q"]
+    return blocks.repartition(shuffle_partitions(kept.sparkSession), *keys).groupBy(*keys).applyInArrow(meet, "a long, b long").distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

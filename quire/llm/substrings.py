@@ -1,28 +1,32 @@
 """Substring deduplication by level-wise doubling.
 
 Windows of words that repeat at one length are extended to twice that length;
-others can't be part of anything longer that repeats. The first level is half
-of the least length asked for, and there only the least hash of each run of
-windows counts: two equal windows of the full length hold the same one.
+others can't be part of anything longer that repeats. The lengths are half of
+the least length asked for, that length, twice it, four times, ... until no
+window repeats. At the first length only the least hash of each run of windows
+counts: two equal windows of the full length hold the same one.
+
+Texts are written once, in buckets of their documents; each level brings the
+repeated hashes to the buckets, so texts are shuffled once for all levels.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import meeting
-from quire.llm.common import materialize
+from quire.llm.common import materialize, shared_dir, shuffle_partitions
 from quire.llm.wordhash import Words, last_starts, runs, texts_of
 
 WINDOW = 13
-#: Ids of copies that are broadcast; joined by a shuffle beyond.
-BROADCAST_ROWS = 500_000
 
 
 def _least(words: Words, base: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,43 +62,42 @@ def _anchors(base: int, window: int):
     return of
 
 
-def _among(values: np.ndarray, hits: np.ndarray) -> np.ndarray:
+def _among_hits(words: Words, hashes: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Whether the hash at each word is among the hits of its text."""
+    own = column.slice(words.row, words.count)
+    hits = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.zeros(len(hashes), bool)
     if not len(hits):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(hits, values), len(hits) - 1)
-    return hits[at] == values
-
-
-def _one(words: Words, i: int) -> Words:
-    """The words of text i of a run alone."""
-    a, b = words.first[i], words.first[i + 1]
-    return Words(words.row + i, 1, words.data, words.start[a:b], words.end[a:b], words.hash[a:b], np.array([0, b - a]))
-
-
-def _hits(column: pa.Array, i: int) -> np.ndarray:
-    value = column[i]
-    return np.sort(value.values.to_numpy().view(np.uint64)) if value.is_valid else np.empty(0, np.uint64)
-
-
-def _extended(length: int, before: int, base: int | None):
-    """Windows of ``length`` words whose parts repeat at the level ``before``: by their least hash where that was sampled, else by both ends."""
-
-    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return out
+    known, place = np.unique(hits, return_inverse=True)
+    sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+    pairs = np.sort(np.repeat(np.arange(words.count), sizes) * len(known) + place)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    at = np.flatnonzero(known[place] == hashes)
+    text = np.repeat(np.arange(words.count), np.diff(words.first))[at]
+    asked = text * len(known) + place[at]
+    out[at] = pairs[np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)] == asked
+    return out
+
+
+def _extended(length: int, before: int, sampled: bool):
+    """Windows of ``length`` words whose parts repeat at the level ``before``: by their least hash where that was sampled, else by both halves. With second hashes."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         keys = batch.column(0).to_numpy()
         for words in runs(batch.column(1)):
-            for i in range(words.count):
-                hits = _hits(batch.column(2), words.row + i)
-                own = _one(words, i)
-                if not len(hits) or len(own.hash) < length:
-                    continue
-                if base is not None:
-                    ok = _among(_least(own, base, length)[1], hits)
-                else:
-                    part = _among(own.windows(before), hits)
-                    n = len(own.hash) - length + 1
-                    ok = part[:n] & part[length - before : length - before + n]
-                found = own.windows(length)[ok]
-                yield found, np.full(len(found), keys[own.row])
+            n = len(words.hash) - length + 1
+            if n <= 0:
+                continue
+            whole = last_starts(words, length)[:n]
+            if sampled:
+                ok = whole & _among_hits(words, _least(words, before, length)[1], batch.column(2))
+            else:
+                part = _among_hits(words, words.windows(before), batch.column(2))
+                ok = whole & part[:n] & part[length - before : length - before + n]
+            at = np.flatnonzero(ok)
+            if len(at):
+                yield words.windows(length)[at], _rows(words, keys)[at], words.windows(length, 1)[at]
 
     return of
 
@@ -102,18 +105,19 @@ def _extended(length: int, before: int, base: int | None):
 def levels(docs: DataFrame, window: int = WINDOW) -> Iterator[tuple[int, DataFrame]]:
     """(length, table of doc, hits, later_hits) from ``window`` on, doubling until nothing repeats.
 
-    docs: columns doc and text. hits: hashes of the document's windows of this
-    length that another document has too; later_hits: those that a smaller one
-    has. Each level is computed when it is asked for.
+    docs: columns doc and text, best bucketed by doc. hits: hashes of the
+    document's windows of this length that another document has too;
+    later_hits: those that a smaller one has. Windows are equal if two
+    independent 64-bit hashes are. Each level is computed when it is asked for.
     """
     base = (window + 1) // 2
     found = meeting.repeated(meeting.emit(docs, _anchors(base, window)))
     length, before, sampled = window, base, True
     while True:
-        grouped = found.groupBy("doc").agg(F.collect_list("h").alias("hits"))
+        grouped = found.groupBy("doc").agg(F.collect_set("h").alias("hits"))
         source = docs.join(grouped, "doc").select("doc", "text", "hits")
-        found = meeting.repeated(meeting.emit(source, _extended(length, before, base if sampled else None)))
-        grouped = found.groupBy("doc").agg(F.collect_list("h").alias("hits"), F.collect_list(F.when(F.col("later"), F.col("h"))).alias("later_hits"))
+        found = meeting.repeated(meeting.emit(source, _extended(length, before, sampled)))
+        grouped = found.groupBy("doc").agg(F.collect_set("h").alias("hits"), F.collect_set(F.when(F.col("later"), F.col("h"))).alias("later_hits"))
         level = materialize(grouped, f"repeats-{length}")
         if level.isEmpty():
             return
@@ -126,107 +130,97 @@ def _digest(value: bytes) -> bytes:
     return hashlib.blake2b(value, digest_size=16).digest()
 
 
-def _contents(window: int):
-    """(doc, a, b): a digest of the words of each text that has a window."""
+def _with_digest(window: int):
+    """(doc, text, n, a, b): each text with its words and a digest of them, if it has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, digests = [], b""
-            parts = []
+            found: list[tuple] = []
             data, offsets = texts_of(batch.column(1))
             raw = data.tobytes()
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
                 words = raw[a:b].split()
-                if len(words) >= window:
-                    docs.append(doc)
-                    parts.append(_digest(b" ".join(words)))
-            digests = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["doc", "a", "b"])
+                digest = np.frombuffer(_digest(b" ".join(words)), "<i8").tolist() if len(words) >= window else (None, None)
+                found.append((len(words), *digest))
+            added = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], ["doc", "text", "n", "a", "b"])
 
     return run
 
 
-def copies_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, a, b) of each document whose words, all of them, are those of a smaller one; a, b: their digest."""
-    known = materialize(docs.mapInArrow(_contents(window), "doc long, a long, b long"), "contents")
-    first = materialize(known.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "first-copies")
-    return materialize(known.join(first.drop("last"), ["a", "b"]).where("doc > first").select("doc", "a", "b").distinct(), "copies")
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """rows written into the shared folder in buckets of ``key``: joins by that key shuffle the other side alone."""
+    spark, n = rows.sparkSession, shuffle_partitions(rows.sparkSession)
+    name = f"buckets_{uuid.uuid4().hex}"
+    dealt = rows.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd")
+    dealt.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """Removes words covered by windows that also start in a document with a smaller key.
 
-    Returns key, n_words, removed: array of (start, end) in words, and kept: the
-    other words joined by one space. Windows are judged on the input. A
-    document that copies a smaller one whole loses all its words (if it has a
-    window), without a search. A null or empty text has no words; rows without
+    Returns key, n_words, removed: array of (start, end) in words, kept: the
+    other words joined by one space, and longest_repeat: the longest of window,
+    2 * window, 4 * window, ... words that another document has too (0: none).
+    Windows are judged on the input. A row that copies a smaller document whole
+    loses all its words (if it has a window), without a search; what it shares is
+    known from the smallest one. A null or empty text has no words; rows without
     a key are left out; rows that repeat a key are each judged against the
-    smaller keys; an empty table gives none; other columns are not read.
+    smaller keys, and longest_repeat is that of the key; an empty table gives
+    none; other columns are not read. Keys are integers.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    copies = copies_of(rows, window)
-    few = copies.count() <= BROADCAST_ROWS
-    # a key whose other text is no copy is searched, with all its texts
-    own = rows.select("doc", F.xxhash64("text").alias("h")).join(F.broadcast(copies.select("doc").distinct()) if few else copies.select("doc").distinct(), "doc", "left_semi")
-    ids = materialize(own.groupBy("doc").agg(F.min("h").alias("h"), F.max("h").alias("last")).where("h = last").select("doc"), "copies-alone")
-    searched = rows.join(F.broadcast(ids) if few else ids, "doc", "left_anti")
-    _, repeats = next(levels(searched, window), (window, None))
-    marks = copies.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("copied"))
-    if repeats is not None:
-        marks = marks.join(repeats.where(F.size("later_hits") > 0).select("doc", "later_hits"), "doc", "full")
-    else:
+    texts = bucketed(rows.mapInArrow(_with_digest(window), "doc long, text string, n long, a long, b long"), "doc")
+    same = texts.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
+    same = materialize(same, "first-copies")
+    whole = f"{window}L << length(bin(max(n) div {window})) - 1"
+    copies = texts.select("doc", "n", "a", "b").join(same, ["a", "b"]).groupBy("doc").agg(F.collect_set(F.expr("IF(doc > first, struct(a, b), NULL)")).alias("copied"), F.expr(f"cast({whole} AS int)").alias("shared"))
+    copies = materialize(copies, "copies")
+    listed = texts.join(copies, "doc", "left")
+    searched = listed.where("copied IS NULL OR NOT coalesce(exists(copied, x -> x.a = a AND x.b = b), false)").select("doc", "text")
+
+    marks, longest = copies.select("doc", "copied"), copies.select("doc", F.col("shared").alias("longest"))
+    for length, level in levels(searched, window):
+        if length == window:
+            marks = marks.join(level.where(F.size("later_hits") > 0).select("doc", "later_hits"), "doc", "full")
+        longest = longest.unionByName(level.select("doc", F.lit(length).alias("longest")))
+    if "later_hits" not in marks.columns:
         marks = marks.withColumn("later_hits", F.lit(None).cast("array<long>"))
-    marked = rows.join(marks, "doc", "left").select("doc", "text", "later_hits", F.transform("copied", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("copied"))
+    marks = marks.join(longest.groupBy("doc").agg(F.max("longest").alias("longest")), "doc", "full")
+    copy = F.coalesce(F.expr("exists(copied, x -> x.a = a AND x.b = b)"), F.lit(False))
+    marked = texts.join(marks, "doc", "left").select("doc", "text", copy.alias("copy"), "later_hits", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
+            copies = batch.column(2).to_numpy(zero_copy_only=False)
             for words in runs(batch.column(1)):
+                n = len(words.hash)
+                gone = np.zeros(n + 1, np.int64)
+                at = np.flatnonzero(_among_hits(words, words.windows(window), batch.column(3)) & last_starts(words, window)[: max(0, n - window + 1)])
+                np.add.at(gone, at, 1)
+                np.subtract.at(gone, at + window, 1)
+                out = (np.cumsum(gone[:n]) > 0) | np.repeat(copies[words.row : words.row + words.count], np.diff(words.first))
                 for i in range(words.count):
-                    own = _one(words, i)
-                    n = len(own.hash)
-                    row = own.row
-                    hits = _hits(batch.column(2), row)
-                    gone = np.zeros(n + 1, np.int64)
-                    value = batch.column(1)[row].as_buffer()
+                    own = out[words.first[i] : words.first[i + 1]]
+                    value = batch.column(1)[words.row + i].as_buffer()
                     parts = value.to_pybytes().split() if value is not None else []
-                    copied = batch.column(3)[row]
-                    if copied.is_valid and n >= window:
-                        own_digest = np.frombuffer(_digest(b" ".join(parts)), "<i8").tolist()
-                        if own_digest in [[x["a"], x["b"]] for x in copied.as_py()]:
-                            gone[0] = 1
-                    if len(hits) and n >= window:
-                        at = np.flatnonzero(_among(own.windows(window), hits))
-                        np.add.at(gone, at, 1)
-                        np.subtract.at(gone, at + window, 1)
-                    out = np.cumsum(gone[:n]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                    counts.append(n)
+                    edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)) if own.any() else own[:0]
+                    counts.append(len(own))
                     removed.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                     if len(edges):
-                        parts = [p for p, x in zip(parts, out.tolist(), strict=True) if not x]
+                        parts = [p for p, x in zip(parts, own.tolist(), strict=True) if not x]
                     kept.append(b" ".join(parts).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.string())], ["k", "n_words", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.string()), batch.column(4)], ["k", "n_words", "removed", "kept", "l"])
 
-    return marked.mapInArrow(cut, f"`{key}` long, n_words long, removed array<struct<start: int, end: int>>, kept string")
+    return marked.mapInArrow(cut, f"`{key}` long, n_words long, removed array<struct<start: int, end: int>>, kept string, longest_repeat long")
 
 
 def repeats_digest(cut: DataFrame, key: str = "doc_id") -> DataFrame:
     n = "aggregate(removed, 0L, (n, x) -> n + x.end - x.start)"
-    return cut.selectExpr(f"`{key}`", "n_words", f"{n} AS n_removed", "sha2(kept, 256) AS kept_sha256")
-
-
-def longest_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(key, length): the longest of the lengths window, 2 * window, 4 * window, ... at which a document shares words with another."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    out = None
-    for length, level in levels(rows, window):
-        own = level.select(F.col("doc").alias(key), F.lit(length).alias("length"))
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return rows.limit(0).select(F.col("doc").alias(key), F.lit(0).alias("length"))
-    return out.groupBy(key).agg(F.max("length").alias("length"))
+    return cut.selectExpr(f"`{key}`", "n_words", f"{n} AS n_removed", "sha2(kept, 256) AS kept_sha256", "longest_repeat")
 
 
 REPEATS_SQL = r"""
@@ -242,6 +236,12 @@ WITH d AS (
   SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r, string_agg(w[p], ' ' ORDER BY p) AS kept
   FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM d) AS q ON q.doc_id = d.doc_id AND NOT coalesce(list_contains(gone, p), false)
   GROUP BY d.doc_id, len(w), len(gone)
+), v AS (
+  SELECT doc_id, n, md5(array_to_string(w[i:i + n - 1], ' ')) AS g FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT doc_id, w, CAST(unnest(list_transform(range(0, 24), lambda j: 13 * 2 ** j)) AS BIGINT) AS n FROM d) WHERE len(w) >= n)
+), longest AS (
+  SELECT doc_id, max(n) AS l FROM v WHERE (n, g) IN (SELECT (n, g) FROM v GROUP BY n, g HAVING min(doc_id) < max(doc_id)) GROUP BY doc_id
 )
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(l, 0) AS BIGINT) AS longest_repeat
+FROM k LEFT JOIN longest USING (doc_id)
 """

@@ -1,13 +1,16 @@
-"""Word and word-window hashes of a batch of texts, vectorised over its bytes.
-
-Hashes are 64-bit: a polynomial over random byte values for a word, a second
-polynomial over mixed word hashes for a window, both read off prefix sums.  Two
-different windows of one corpus get the same hash with a chance of about 2**-64
-a pair.
+"""Word and word-window hashes of a batch of texts, vectorised over its words.
+
+A word's bytes go through a 64-bit finaliser eight at a time (words of more than
+LONG_BYTES bytes through BLAKE2b); a window of words is the finaliser over two
+windows of a smaller length that cover it. No step is a sum of powers, so words
+and windows that differ in an orderly way are as unlike as any others. Two
+different ones get the same hash with a chance of about 2**-64; with a second
+hash from other constants, where a decision needs it, of 2**-128.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,17 +18,17 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E6C63D0876A9A47 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Separators of words written as [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Texts are handled in runs of about so many bytes, to bound memory.
 RUN_BYTES = 1 << 19
+LONG_BYTES = 64
+#: Constants of the two independent hashes.
+_STEP = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,26 +40,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (self._series(b, n) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _series(base: int, n: int) -> np.ndarray:
-        out = np.full(n, _U(base))
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def joined(a: np.ndarray, b: np.ndarray, length: int, step: np.uint64 = _STEP[0]) -> np.ndarray:
+    """Hashes of windows of ``length`` words, each covered by the two windows a and b."""
+    return mix(mix(a + _U(int(step) * length % 2**64)) * step + b)
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each on
+    step = _STEP[which]
+    out = mix(size.astype(np.uint64) * step + _U(which + 1))
+    if len(out):
+        out = mix((out ^ (eight[start] & _MASK[np.minimum(size, 8)])) * step)
+    for done in range(8, LONG_BYTES, 8):
+        more = np.flatnonzero(size > done)
+        if not len(more):
+            break
+        out[more] = mix((out[more] ^ (eight[start[more] + done] & _MASK[np.minimum(size[more] - done, 8)])) * step)
+    for i in np.flatnonzero(size > LONG_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
 
 
 @dataclass
@@ -65,21 +70,22 @@ class Words:
 
     row: int  # of the run's first text in its batch
     count: int  # texts
-    data: np.ndarray  # bytes of all texts
+    data: np.ndarray  # bytes of all texts, in lower case where asked for
     start: np.ndarray  # of each word, in data
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
 
-    def windows(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on; those that leave the text are meaningless."""
-        n = len(self.hash)
-        if n < k:
+    def windows(self, k: int, which: int = 0) -> np.ndarray:
+        """Hash of the k words from each word on; those that leave the text are meaningless. which: 0, or 1 for the second hash."""
+        own = self.hash if which == 0 else _word_hashes(self.data, self.start, self.end, which)
+        if len(own) < k:
             return np.empty(0, np.uint64)
-        up, down = _word_powers.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * up[:n], out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + _U(k))
+        n = 1
+        while 2 * n <= k:
+            own = joined(own[:-n], own[n:], 2 * n, _STEP[which])
+            n *= 2
+        return own if n == k else joined(own[: n - k], own[k - n :], k, _STEP[which])
 
 
 def last_starts(words: Words, k: int) -> np.ndarray:
@@ -109,11 +115,11 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def runs(column: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -> Iterator[Words]:
     """The words of every text of a string column, some texts at a time."""
     data, offsets = texts_of(column)
-    value = _BYTE[_LOWER] if lower else _BYTE
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + RUN_BYTES, "right")) - 1)
         own = data[offsets[i] : offsets[j]]
+        own = _LOWER[own] if lower else own
         bounds = offsets[i : j + 1] - offsets[i]
         word = np.zeros(len(own) + 2, bool)
         word[1:-1] = ~separator[own]
@@ -124,9 +130,6 @@ def runs(column: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -
         last = bounds[1:][bounds[:-1] < bounds[1:]] - 1
         ends[last] |= inner[last]
         start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        up, down = _byte_powers.get(len(own) + 1)
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(value[own] * up[: len(own)], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        hashes = _word_hashes(own, start, end, 0)
         yield Words(i, j - i, own, start, end, hashes, np.searchsorted(start, bounds))
         i = j

@@ -86,6 +86,46 @@ def test_documents_that_are_all_alike_or_share_a_passage(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_hot_cells(spark):
+    """More documents of one cell in one pack than are sent together."""
+    rng = random.Random(8)
+    first = [f"v{rng.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(edited(rng, first, rng.randrange(1, 5)))) for i in rng.sample(range(10**5), 420)]
+    rows += [(10**6 + i, " ".join([*first[:20], *(f"q{rng.randrange(60)}" for _ in range(30))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == brute(rows)
+
+
+def test_values_that_are_hot_in_a_pack_count_as_saturated(spark, monkeypatch):
+    import numpy as np
+
+    from quire.llm import meeting
+
+    monkeypatch.setattr(meeting, "HOT", 4)
+    monkeypatch.setattr(meeting, "TOGETHER", 3)
+    pairs = [(h, d) for h in range(30) for d in range(h % 9 + 1)] + [(2**63 + 5, d) for d in range(7)] + [(2**63 + 9, 1)]
+    h, d = (np.array(x, t) for x, t in zip(zip(*pairs), (np.uint64, np.int64)))
+    order = np.random.default_rng(1).permutation(len(h))
+    rows = [tuple(r.values()) for part in np.array_split(order, 3) for b in meeting.pack(h[part], d[part]) for r in b.to_pylist()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    got = jaccard.counted(spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], meeting.PACKED)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.h % 2**64, r.doc) for r in got) == sorted((x, y) for x, y in pairs if x > 2**63 or x % 9)
+    n = {}
+    for r in got:
+        n.setdefault(r.h % 2**64, set()).add(r.n)
+    assert all(len(x) == 1 and x <= {k % 9 + 1, jaccard.SATURATED} for k, x in n.items() if k < 2**63)
+
+
+def test_texts_that_differ_in_an_orderly_way(spark):
+    one, other = "a", "b"
+    while len(one) < 1024:
+        one, other = one + other, other + one
+    rows = [(1, f"{one} one two three four five"), (2, f"{other} one two three four five"), (3, f"{one} one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == brute(rows) == [(1, 2, 1), (2, 2, 2), (3, 2, 1)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     found = jaccard.near_duplicates(docs)
@@ -111,7 +151,7 @@ def test_every_similar_pair_shares_a_kept_cell():
                 b = a.copy()
                 while True:
                     c = b[rng.permutation(len(b))][int(rng.integers(2)) :] if rng.random() < 0.5 else np.append(b, rng.integers(0, 2**63, dtype=np.uint64))
-                    if not jaccard.similar(np.sort(a), np.sort(c), 80):
+                    if not jaccard.similar(np.stack([np.sort(a)] * 2), np.stack([np.sort(c)] * 2), 80):
                         break
                     b = c
                 x, y = (np.concatenate([v for v in jaccard.cells(np.sort(s), bands) if not v[0] >> np.uint64(63)]) for s in (a, b))

@@ -16,6 +16,15 @@ def brute(rows, window=13):
         for i in range(len(w) - window + 1):
             g = tuple(w[i : i + window])
             first[g] = min(k, first.get(g, k))
+    longest = {}
+    n = window
+    while any(len(w) >= n for _, w in words):
+        has = {}
+        for k, w in words:
+            for i in range(len(w) - n + 1):
+                has.setdefault(tuple(w[i : i + n]), set()).add(k)
+        longest |= {k: n for s in has.values() if len(s) > 1 for k in s}
+        n *= 2
     out = []
     for k, w in words:
         gone = set()
@@ -23,7 +32,7 @@ def brute(rows, window=13):
             if first[tuple(w[i : i + window])] < k:
                 gone |= set(range(i, i + window))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((k, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((k, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), longest.get(k, 0)))
     return sorted(out)
 
 
@@ -47,12 +56,9 @@ def test_repeats_match_brute_force(spark, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n_words string").repartition(5)
     try:
-        for limit in (500_000, 0):
-            substrings.BROADCAST_ROWS = limit
-            got = substrings.repeats_digest(substrings.remove_repeats(docs)).collect()
-            assert sorted(map(tuple, got)) == brute(rows)
+        got = substrings.repeats_digest(substrings.remove_repeats(docs)).collect()
+        assert sorted(map(tuple, got)) == brute(rows)
     finally:
-        substrings.BROADCAST_ROWS = 500_000
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     cut = substrings.remove_repeats(docs).where("doc_id = 504").first()
     assert [tuple(s) for s in cut.removed] == [(0, 40)] and cut.kept == ""
@@ -68,36 +74,58 @@ def test_other_windows(spark, rows):
 def test_longest_repeats(spark):
     rng = random.Random(9)
     a = [str(rng.random()) for _ in range(120)]
-    rows = [(1, " ".join(a)), (2, " ".join(["x", *a[:60]])), (3, " ".join(a[100:115])), (4, " ".join(a[:12])), (5, "none")]
-    got = dict(map(tuple, substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == {1: 52, 2: 52, 3: 13}
+    rows = [(1, " ".join(a)), (2, " ".join(["x", *a[:60]])), (3, " ".join(a[100:115])), (4, " ".join(a[:12])), (5, "none"), (6, " ".join(a[90:])), (6, " ".join(a))]
+    got = {(r.doc_id, r.longest_repeat) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 104), (2, 52), (3, 13), (4, 0), (5, 0), (6, 104)}
+
+
+def _morse(a, b, n):
+    """Differ in an orderly way: sums of powers modulo 2**64 can't tell such texts from each other."""
+    x, y = [a], [b]
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_and_windows_that_differ_in_an_orderly_way(spark):
+    one, other = ("".join(x) for x in _morse("a", "b", 1024))
+    rows = [(1, " ".join([one] * 14)), (2, " ".join([other] * 14 + ["q"]))]
+    words = [" ".join(x) for x in _morse("ab", "cd", 1024)]
+    rows += [(10, words[0]), (11, "x " + words[1])]
+    got = sorted(map(tuple, substrings.repeats_digest(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()))
+    assert got == brute(rows) and got[1][2] == 0
 
 
 def test_packed_rows_round_trip():
     rng = np.random.default_rng(1)
     h, d = rng.integers(0, 40, 500).astype(np.uint64), rng.integers(0, 30, 500)
-    batch = meeting.pack(h, d)
+    batch = next(meeting.pack(h, d))
     assert batch.num_rows == len(np.unique(h))
     got = meeting.unpack(batch)
+    got = got[0], got[3]  # hashes and documents
     assert set(zip(*map(np.ndarray.tolist, got))) == set(zip(h.tolist(), d.tolist())) and len(got[0]) == len(set(zip(h.tolist(), d.tolist())))
     part = meeting.unpack(batch.slice(5, 7))
     assert set(part[0].tolist()) == set(batch.column(0).to_pylist()[5:12])
 
 
-def test_meeting_tells_each_document_once(spark):
+@pytest.mark.parametrize("hot", [256, 2, 1])
+def test_meeting_tells_each_document_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(meeting, "HOT", hot)
+    monkeypatch.setattr(meeting, "TOGETHER", 5)
     rng = np.random.default_rng(7)
-    h, d = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 50, 900)
+    h, d, g = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 50, 900), rng.integers(0, 2, 900).astype(np.uint64)
     h[:200] = 7  # a hot hash
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    parts = [(int(a.view(np.int64)), int(b), bytes(c)) for i in range(0, 900, 60) for a, b, c in zip(*(x if k < 2 else x for k, x in enumerate(map(list, meeting.pack(h[i : i + 60], d[i : i + 60]).to_pydict().values()))), strict=True) for a in [np.int64(a)]]
-    packed = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in parts], meeting.PACKED)
-    got = [tuple(r) for r in meeting.repeated(packed).collect()]
+    for second in (None, g):
+        parts = [tuple(r.values()) for i in range(0, 900, 60) for b in meeting.pack(h[i : i + 60], d[i : i + 60], None if second is None else second[i : i + 60]) for r in b.to_pylist()]
+        packed = spark.createDataFrame([(*p[:4], bytearray(p[4])) for p in parts], meeting.PACKED)
+        got = [tuple(r) for r in meeting.repeated(packed).collect()]
+        by = {}
+        for x, y, z in zip(h.tolist(), d.tolist(), g.tolist() if second is not None else [0] * 900):
+            by.setdefault((x, z), set()).add(y)
+        expected = {(y, x, y > min(s)) for (x, _), s in by.items() if len(s) > 1 for y in s}
+        assert set(got) == expected
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    by = {}
-    for x, y in zip(h.tolist(), d.tolist()):
-        by.setdefault(x, set()).add(y)
-    expected = {(y, x, y > min(s)) for x, s in by.items() if len(s) > 1 for y in s}
-    assert set(got) == expected
 
 
 def test_hashes_agree_across_places():
