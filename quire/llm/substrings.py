@@ -224,7 +224,7 @@ def repeats_digest(cut: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 REPEATS_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
 ), g AS (
   SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
@@ -237,10 +237,13 @@ WITH d AS (
   FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM d) AS q ON q.doc_id = d.doc_id AND NOT coalesce(list_contains(gone, p), false)
   GROUP BY d.doc_id, len(w), len(gone)
 ), v AS (
-  SELECT doc_id, n, md5(array_to_string(w[i:i + n - 1], ' ')) AS g FROM (
-    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT doc_id, w, CAST(unnest(list_transform(range(0, 24), lambda j: 13 * 2 ** j)) AS BIGINT) AS n FROM d) WHERE len(w) >= n)
+  SELECT 13 AS n, doc_id, i, md5(g) AS h FROM g
+  UNION ALL
+  SELECT 2 * a.n, a.doc_id, a.i, md5(a.h || b.h)
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) <> max(doc_id) OVER (PARTITION BY h) AS s FROM v) AS a
+  JOIN (SELECT *, min(doc_id) OVER (PARTITION BY h) <> max(doc_id) OVER (PARTITION BY h) AS s FROM v) AS b ON a.doc_id = b.doc_id AND b.i = a.i + a.n AND a.s AND b.s
 ), longest AS (
-  SELECT doc_id, max(n) AS l FROM v WHERE (n, g) IN (SELECT (n, g) FROM v GROUP BY n, g HAVING min(doc_id) < max(doc_id)) GROUP BY doc_id
+  SELECT doc_id, max(n) AS l FROM v WHERE (n, h) IN (SELECT (n, h) FROM v GROUP BY n, h HAVING min(doc_id) < max(doc_id)) GROUP BY doc_id
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(l, 0) AS BIGINT) AS longest_repeat
 FROM k LEFT JOIN longest USING (doc_id)
