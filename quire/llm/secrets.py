@@ -1,15 +1,17 @@
 """Secret scans by a trigram inverted index.
 
 Each rule's regular expression gives a Boolean query over trigrams that every
-match must hold. A block of texts gets an index from trigram to postings; a
-rule's query is answered by uniting and intersecting postings, and only the
-candidates are matched. A rule without mandatory trigrams scans the block.
+match must hold. One pass over the bytes of a block of texts gives an index from
+trigram to postings; a rule's query is answered by uniting and intersecting
+postings, and only the candidates are matched. A rule without mandatory trigrams
+(of those here: hex) scans the block. No rule's matching takes more than a time
+in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from re import _constants as sre  # the parse tree of the standard library's own regular expressions
 from re import _parser
@@ -20,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.wordhash import RUN_BYTES, texts_of
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,7 +47,8 @@ BASE = (
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("repository_token", r"gh[opsu]_[A-Za-z0-9]+", 40),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # possessive, and not inside a longer run: otherwise each eyJ of a run would read it to its end
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
 )
 RULES = BASE + MORE
 #: Texts of a block, which has one index.
@@ -83,7 +88,7 @@ def _walk(tree) -> tuple[set[str] | None, Query]:
             if all(e is not None for e, _ in parts):
                 own = set().union(*(e for e, _ in parts))
             query = _join("or", [_join("and", [q, True if e is None else _trigrams(e)]) for e, q in parts]) if own is None else True
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
             low, high, inner = value
             e, q = _walk(inner)
             if (low, high) == (0, 1) and e is not None:
@@ -114,17 +119,58 @@ def trigram_query(pattern: str) -> Query:
     return query if exact is None else _trigrams(exact)
 
 
-class TrigramIndex:
-    """Trigram to postings (sorted row numbers) over a block of texts."""
+def _leaves(query: Query) -> set[str]:
+    if isinstance(query, bool):
+        return set()
+    return {query} if isinstance(query, str) else set().union(*map(_leaves, query[1:]))
+
+
+def _codes(trigram: str) -> list[int]:
+    """The byte trigrams, as numbers of 24 bits, of three characters."""
+    raw = trigram.encode()
+    return [raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16 for i in range(len(raw) - 2)]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Asked:
+    """The byte trigrams that some queries ask for."""
 
-    def __init__(self, texts: pa.Array):
-        self.size, self.lower = len(texts), pc.ascii_lower(texts)
-        self.lists: dict[str, np.ndarray] = {}
+    def __init__(self, queries: Iterable[Query]):
+        self.codes = sorted({c for q in queries for leaf in _leaves(q) for c in _codes(leaf)})
+        self.flags = np.zeros(1 << 24, bool)
+        self.flags[self.codes] = True
+
+
+class TrigramIndex:
+    """Trigram to postings (sorted row numbers) over a block of texts in ASCII lower case, for the trigrams asked for."""
+
+    def __init__(self, texts: pa.Array, asked: Asked):
+        self.size, self.known = len(texts), set(asked.codes)
+        data, offsets = texts_of(texts)
+        found = []
+        for a in range(0, len(data), RUN_BYTES):  # runs overlap by two bytes
+            low = _LOWER[data[a : a + RUN_BYTES + 2]].astype(np.uint32)
+            code = low[:-2] | low[1:-1] << 8 | low[2:] << 16
+            at = np.flatnonzero(asked.flags[code])
+            row = np.searchsorted(offsets, a + at, "right") - 1
+            whole = a + at + 3 <= offsets[row + 1]
+            found.append(np.unique(code[at[whole]].astype(np.int64) << 32 | row[whole]))
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        code = pairs >> 32
+        cuts = np.flatnonzero(np.diff(code, prepend=-1))
+        self.lists = {int(code[i]): rows for i, rows in zip(cuts, np.split(pairs & 0xFFFFFFFF, cuts[1:]), strict=False)} if len(pairs) else {}
 
     def postings(self, trigram: str) -> np.ndarray:
-        if trigram not in self.lists:
-            self.lists[trigram] = np.flatnonzero(pc.match_substring(self.lower, trigram).to_numpy(zero_copy_only=False))
-        return self.lists[trigram]
+        codes = _codes(trigram)
+        assert self.known.issuperset(codes), "the index wasn't asked for this trigram"
+        none = np.empty(0, np.int64)
+        out = self.lists.get(codes[0], none)
+        for c in codes[1:]:
+            out = np.intersect1d(out, self.lists.get(c, none), assume_unique=True)
+        return out
 
     def answer(self, query: Query) -> np.ndarray:
         if query is True:
@@ -149,18 +195,26 @@ def _full_scan(texts: pa.Array, rule: Rule) -> np.ndarray:
     return np.arange(len(texts))
 
 
-def find_spans(texts: pa.Array, rules: tuple[Rule, ...], queries: dict[str, Query], compiled: dict[str, re.Pattern]) -> list[list[tuple[int, int, int]]]:
-    """(start, rule's place, end) of every match in each text of a block, in this order."""
-    index = TrigramIndex(texts)
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for order, rule in enumerate(rules):
-        query = queries[rule.kind]
-        rows = _full_scan(texts, rule) if query is True else index.answer(query)
-        for row in rows.tolist():
-            own = [(m.start(), order, m.end()) for m in compiled[rule.kind].finditer(texts[row].as_py()) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-            if own:
-                found.setdefault(row, []).extend(own)
-    return [sorted(found.get(i, ())) for i in range(len(texts))]
+class Scanner:
+    """What a task needs to find the spans of some rules, made once."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.queries = [trigram_query(r.pattern) for r in rules]
+        self.patterns = [r.compiled() for r in rules]
+        self.asked = Asked(self.queries)
+
+    def spans(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """(start, rule's place, end) of every match in each text of a block, in this order."""
+        index = TrigramIndex(texts, self.asked)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for order, (rule, query, pattern) in enumerate(zip(self.rules, self.queries, self.patterns, strict=True)):
+            rows = _full_scan(texts, rule) if query is True else index.answer(query)
+            for row in rows.tolist():
+                own = [(m.start(), order, m.end()) for m in pattern.finditer(texts[row].as_py()) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                if own:
+                    found.setdefault(row, []).extend(own)
+        return [sorted(found.get(i, ())) for i in range(len(texts))]
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +231,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     repeated rows give repeated rows; an empty table none; a null key stays
     null; other columns are not read.
     """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
     kind = f"`{key}` {docs.schema[key].dataType.simpleString()}, spans array<struct<kind: string, start: int, end: int>>"
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.kind: r.compiled() for r in rules}
+        scanner = Scanner(rules)
         for batch in blocks(batches):
-            found = find_spans(batch.column(1).fill_null(""), rules, queries, compiled)
+            found = scanner.spans(batch.column(1).fill_null(""))
             spans = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in own] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type)], [key, "spans"])
 
@@ -196,14 +249,13 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
     All columns and rows stay; a null text stays null.
     """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
     at = docs.columns.index(text)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.kind: r.compiled() for r in rules}
+        scanner = Scanner(rules)
         for batch in blocks(batches):
             column = batch.column(at)
-            found = find_spans(column.fill_null(""), rules, queries, compiled)
+            found = scanner.spans(column.fill_null(""))
             out = []
             for value, spans in zip(column, found, strict=True):
                 whole = value.as_py()
@@ -229,5 +281,3 @@ def secrets_digest(found: DataFrame, key: str = "doc_id", base: tuple[Rule, ...]
     base_spans = f"filter(spans, x -> x.kind IN ({kinds}))"
     counts = [f"cast(size(filter(spans, x -> x.kind = '{r.kind}')) AS long) AS n_{r.kind}" for r in base]
     return found.selectExpr(f"`{key}`", *counts, f"sha2({listed.format(base_spans)}, 256) AS base_sha256", f"{listed.format('spans')} AS spans")
-
-

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from quire.llm import secrets
@@ -61,3 +63,40 @@ def test_queries_from_patterns():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secrets_digest(secrets.scan_secrets(none)).count() == 0
+
+
+def test_postings_are_those_of_a_scan():
+    texts = [text_of(i) for i in range(200)] + ["", "ab", "Éab ſéx", "a" * (1 << 20) + "Token"]
+    asked = secrets.Asked([True, ("and", "tok", ("or", "éx", "abc")), "\u017fé"])
+    index = secrets.TrigramIndex(pa.array(texts), asked)
+    for trigram in ("tok", "abc", "\u017fé"):
+        low = "".join(trigram)
+        assert index.postings(trigram).tolist() == [i for i, t in enumerate(texts) if low in t.lower() and low.encode() in bytes(secrets._LOWER[b] for b in t.encode())]
+
+
+def test_a_block_is_indexed_in_one_pass(monkeypatch):
+    """No scan of texts for single trigrams: the index alone says which texts a rule's pattern sees."""
+    seen = []
+    scanner = secrets.Scanner(tuple(r for r in secrets.RULES if r.kind != "hex"))
+
+    class Spy:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, text):
+            seen.append(text)
+            return self.pattern.finditer(text)
+
+    scanner.patterns = [Spy(p) for p in scanner.patterns]
+    monkeypatch.setattr(secrets, "pc", None)  # what scans arrays
+    texts = ["nothing here"] * 500 + ["token = abcdefgh", "PASSWORD: xyzxyz", "tok en", "akia", "AKIA" + "A" * 20]
+    spans = scanner.spans(pa.array(texts))
+    assert [i for i, s in enumerate(spans) if s] == [500, 501, 504]
+    assert sorted(set(seen)) == sorted({texts[500], texts[501], texts[503], texts[504]})
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 700_000 + " .eyJ", "eyJa." * 400_000, "-----BEGIN " * 200_000, "-----BEGIN " + "PRIVATE " * 250_000, "gho_" * 500_000, "token" * 400_000, "token" + " " * 2_000_000, "token= " * 300_000, "AKIA" * 500_000, "ab" * 11 + "x" + "f" * 2_000_000, "secret" + "'" * 2_000_000], ids=lambda t: t[:12])
+def test_long_texts_take_a_time_in_proportion(text):
+    began = time.perf_counter()
+    secrets.Scanner(secrets.RULES).spans(pa.array([text]))
+    assert time.perf_counter() - began < 8
