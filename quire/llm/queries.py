@@ -44,7 +44,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.over_limit(token_counts.token_counts(documents(spark, sf_dir)))
+    counted = token_counts.token_counts(documents(spark, sf_dir), budget=token_counts.LIMIT)
+    return token_counts.over_limit(counted).withColumnsRenamed({"budget_chars": "limit_chars", "budget_tokens": "limit_tokens"})
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from quire.llm.tokens import library, uncommon
 LIMIT = 2048
 #: Words whose counts a worker keeps; a cache only.
 KEPT_WORDS = 400_000
+#: Pairs of tokens of which a worker keeps whether they merge; a cache only.
+KEPT_PAIRS = 2_000_000
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _LAST = "</w>"
 #: Texts of characters below U+0200 stay below U+0300 in lower case.
@@ -97,6 +101,8 @@ class WordTables:
                 x, until_x = px[1], px[2]
             else:
                 y, until_y = py[0], py[2]
+        if len(self.apart) >= KEPT_PAIRS:
+            self.apart.clear()
         self.apart[a << 20 | b] = found
         return found
 
@@ -173,46 +179,49 @@ def prefix_table(text: str, odd: bool, path: str) -> tuple[list[int], list[int]]
                 totals.append(n + 1)
         return ends, totals
     counts = _tables(path).counts
-    return [m.end() for m in words], np.cumsum([counts[m.group()] for m in words], dtype=np.int64).tolist()
+    return [m.end() for m in words], list(accumulate(counts[m.group()] for m in words))
 
 
-def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, prefixes: bool = False) -> DataFrame:
-    """Bytes and tokens of every whole text.
+def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, prefixes: bool = False, budget: int | None = None) -> DataFrame:
+    """Bytes and tokens of every whole text, from its prefix table.
 
-    Returns key, n_bytes, n_tokens and, with ``prefixes``, the prefix table:
+    Returns key, n_bytes and n_tokens; with ``prefixes``, the table itself:
     word_ends (characters up to each word's end) and tokens_at (tokens up to
-    there). A null text is empty; a null key stays null; repeated rows are
-    counted each; other columns are not read.
+    there); with ``budget``, the longest prefix of at most so many tokens, looked
+    up in the table: budget_chars and budget_tokens. A null text is empty; a null
+    key stays null; repeated rows are counted each; an empty table gives none;
+    other columns are not read.
     """
     path = path or default_path()
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long" + ", word_ends array<int>, tokens_at array<int>" * prefixes
+    added = ["word_ends array<int>", "tokens_at array<int>"] * prefixes + ["budget_chars long", "budget_tokens long"] * (budget is not None)
+    schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", "n_bytes long", "n_tokens long", *added])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _tables(path).counts
-        added = [t.content for t in library(path).get_added_tokens_decoder().values()]
-        assert all(a.startswith("<|") for a in added), "an added token would go unseen"
+        special = [t.content for t in library(path).get_added_tokens_decoder().values()]
+        assert all(a.startswith("<|") for a in special), "an added token would go unseen"
         for batch in batches:
             texts = batch.column(1).fill_null("")
-            sizes, totals, ends, at = [], [], [], []
+            sizes, totals, ends, at, fits = [], [], [], [], []
             for value, odd in zip(texts, uncommon(texts, LEAD), strict=True):
                 raw = value.as_buffer()
                 own = value.as_py()
+                where, sums = prefix_table(own, odd, path)
                 sizes.append(raw.size if raw is not None else 0)
+                totals.append(sums[-1] if sums else 0)
                 if prefixes:
-                    where, sums = prefix_table(own, odd, path)
                     ends.append(where)
                     at.append(sums)
-                    totals.append(sums[-1] if sums else 0)
-                elif odd or "<|" in own or len(low := own.lower()) != len(own):
-                    totals.append(len(library(path).encode(own, add_special_tokens=False).ids))
-                else:
-                    totals.append(sum(map(counts.__getitem__, WORD.findall(low))))
+                if budget is not None:
+                    fits.append(longest_prefix(own, where, sums, budget, path))
                 if len(counts) > KEPT_WORDS:
                     counts.clear()
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())]
             if prefixes:
                 columns += [pa.array(x, pa.list_(pa.int32())) for x in (ends, at)]
-            yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", "word_ends", "tokens_at"][: len(columns)])
+            if budget is not None:
+                columns += [pa.array([f[i] for f in fits], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", *(x.split()[0] for x in added)])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(count, schema)
 
@@ -220,7 +229,7 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
 def longest_prefix(text: str | None, word_ends: list[int], tokens_at: list[int], budget: int, path: str | None = None) -> tuple[int, int]:
     """(characters, tokens) of the longest prefix of at most ``budget`` tokens, from the prefix table."""
     text = text or ""
-    done = int(np.searchsorted(np.asarray(tokens_at, np.int64), budget, "right"))
+    done = bisect_right(tokens_at, budget)
     before, end = (tokens_at[done - 1], word_ends[done - 1]) if done else (0, 0)
     if done == len(word_ends):
         return len(text), before

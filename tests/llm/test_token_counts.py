@@ -72,7 +72,25 @@ def test_prefixes_inside_words():
         assert tc._tables(PATH).prefixes(word) == [lib(word[:i]) for i in range(len(word) + 1)]
 
 
-@pytest.mark.parametrize("text", ["中文字符没有空格", "  Привет, мир! ΑΣ όδοςΣ", "مرحبا بالعالم 😀😀x", "İstanbul e\u0301te\u0301 ab", "ab <|endoftext|> 中文", "中文's 日本語123 'Re", "ﬁne한국어"])
+@pytest.mark.parametrize("budget", [0, 1, 3, 11, 40])
+def test_budgets_are_answered_from_the_table(spark, texts, budget):
+    own = [*texts[:60], *[t[:300] for t in texts[300:340] if t], *texts[-11:-4], "мир" * 30, "中文" * 30 + " 'Re", "x <|endoftext|> " * 9, "İ" * 40]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id int, text string").repartition(3)
+    for r in tc.token_counts(docs, budget=budget).collect():
+        text = own[r.doc_id] or ""
+        fits = max(i for i in range(len(text) + 1) if lib(text[:i]) <= budget)
+        assert (r.budget_chars, r.budget_tokens, r.n_tokens) == (fits, lib(text[:fits]), lib(text)), text
+
+
+def test_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(tc, "KEPT_PAIRS", 50)
+    tables = tc.WordTables(PATH)
+    for word in ("internationalization", "onenerth", "étionner", "unbelievableness") * 3:
+        assert tables.whole(word) == lib(word)
+    assert len(tables.apart) <= 50
+
+
+@pytest.mark.parametrize("text", ["м" * 95, "中文字符没有空格", "  Привет, мир! ΑΣ όδοςΣ", "مرحبا بالعالم 😀😀x", "İstanbul e\u0301te\u0301 ab", "ab <|endoftext|> 中文", "中文's 日本語123 'Re", "ﬁne한국어"])
 def test_longest_prefix_of_other_scripts(text):
     ends, at = tc.prefix_table(text, True, PATH)
     for budget in range(lib(text) + 2):
