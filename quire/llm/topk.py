@@ -10,13 +10,17 @@ vectors allows (Cauchy-Schwarz), reaches the k-th best guaranteed sum.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, BLOCK_ROWS, DIMENSIONS = 4096, 1024, 8
+from quire.llm.common import shuffle_partitions
+
+#: Candidates of a shard and queries of a block, at most; shards are smaller, down to LEAST_ROWS, where there would be fewer of them than partitions.
+SHARD_ROWS, LEAST_ROWS, BLOCK_ROWS, DIMENSIONS = 1 << 16, 4096, 1 << 14, 8
 
 
 def finite(vector: str) -> Column:
@@ -30,36 +34,49 @@ def quantized(vector: str, scale: int = 1024) -> Column:
     return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def branch_and_bound(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+class OwnRows:
+    """For each query, which candidates have its key."""
+
+    def __init__(self, queries: np.ndarray, candidates: np.ndarray):
+        self.queries, self.candidates = queries, candidates
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.candidates == self.queries[i]
+
+
+def branch_and_bound(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray | OwnRows, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query (row of integers) the candidate rows that can be among its k best, and their scores.
 
-    own: for each query the candidate rows that are not to be found by it, as a mask row.
+    own: for each query the candidate rows that are not to be found by it, as a
+    mask. Sums are doubles and bounds allow for their rounding; where sums
+    can be inexact, the scores of what is left are computed again in integers.
+    Fails if one of them doesn't fit into 64 bits.
     """
     dims = queries.shape[1]
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(dims, 1)
-    if largest >= 2**53:  # beyond exact doubles; whole numbers of any size, held within 64 bits at the end
-        exact = candidates.astype(object) @ queries.astype(object).T if dims else np.zeros((len(candidates), len(queries)), object)
-        top = np.clip(exact, -(2**63), 2**63 - 1)
-        return [(np.flatnonzero(~own[i]), top[~own[i], i].astype(np.int64)) for i in range(len(queries))]
-    order = np.argsort(-np.square(candidates, dtype=np.float64).sum(0), kind="stable")  # heavy dimensions first
-    vertical = np.ascontiguousarray(candidates[:, order].T, np.float64)
-    q = queries[:, order].astype(np.float64)
+    c, q = candidates.astype(np.float64), queries.astype(np.float64)
+    order = np.argsort(-np.square(c).sum(0), kind="stable")  # heavy dimensions first
+    vertical, q = np.ascontiguousarray(c[:, order].T), q[:, order]
     edges = [*range(0, dims, DIMENSIONS), dims]
-    rest_c = [np.sqrt(np.square(vertical[e:]).sum(0)) for e in edges[1:]]
-    rest_q = [np.sqrt(np.square(q[:, e:]).sum(1)) for e in edges[1:]]
-    out = []
+    rest_c = [np.sqrt(np.square(vertical[e:]).sum(0)) for e in edges]
+    rest_q = [np.sqrt(np.square(q[:, e:]).sum(1)) for e in edges]
+    exact = np.abs(q).max(initial=0) * np.abs(vertical).max(initial=0) * max(dims, 1) < 2**53
     for i in range(len(q)):
         alive = np.flatnonzero(~own[i])
         total = np.zeros(len(alive))
         for b, (a, e) in enumerate(zip(edges, edges[1:], strict=False)):
             total += q[i, a:e] @ (vertical[a:e] if len(alive) == vertical.shape[1] else vertical[a:e, alive])
-            if len(alive) > k and e < dims:
-                slack = rest_c[b][alive] * (rest_q[b][i] * (1 + 1e-9)) + 1
+            if len(alive) > k and (e < dims or not exact):
+                slack = rest_c[b + 1][alive] * (rest_q[b + 1][i] * (1 + 1e-9)) + 1
+                if not exact:
+                    slack += rest_c[0][alive] * (rest_q[0][i] * (dims + 4) * 2.0**-50)
                 sure = np.partition(total - slack, len(alive) - k)[len(alive) - k]
                 keep = total + slack >= sure
                 alive, total = alive[keep], total[keep]
-        out.append((alive, total.astype(np.int64)))
-    return out
+        if exact:
+            yield alive, total.astype(np.int64)
+            continue
+        whole = candidates[alive].astype(object) @ queries[i].astype(object) if dims else [0] * len(alive)
+        yield alive, np.array([int(x) for x in whole], np.int64)  # OverflowError beyond 64 bits
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "vector") -> DataFrame:
@@ -69,13 +86,15 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str
     components. Returns query_id, rank (from 1), key, score. A candidate with a
     query's key is its own and not found by it; vectors of another length don't
     meet; rows repeated in key and vector count once; rows with a null key or
-    vector take no part; a query without candidates gives no row.
+    vector take no part; a query without candidates gives no row. A score beyond
+    64 bits ends the job.
     """
     kind = candidates.schema[key].dataType.simpleString()
     whole = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"), F.size(vector).alias("_d")).dropDuplicates([key, "_v"])
     queries, candidates = whole(queries), whole(candidates)
     blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-    shards = max(1, math.ceil(candidates.count() / SHARD_ROWS))
+    rows = candidates.count()
+    shards = max(1, math.ceil(rows / SHARD_ROWS), min(math.ceil(rows / LEAST_ROWS), shuffle_partitions(candidates.sparkSession)))
     deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_b", deal(blocks)).withColumn("_s", spread(shards))
@@ -86,12 +105,10 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str
         if q.num_rows and c.num_rows:
             own_q, own_c = (t.column(key).to_numpy() for t in (q, c))
             mq, mc = (t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (q, c))
-            for i in range(0, len(own_q), 64):
-                part = slice(i, i + 64)
-                for name, (at, score) in zip(own_q[part], branch_and_bound(mq[part], mc, own_q[part, None] == own_c[None], k), strict=True):
-                    best = np.lexsort((own_c[at], -score))[:k]
-                    for column, values in zip(rows, (np.full(len(best), name), own_c[at][best], score[best]), strict=True):
-                        column.append(values)
+            for name, (at, score) in zip(own_q, branch_and_bound(mq, mc, OwnRows(own_q, own_c), k), strict=True):
+                best = np.lexsort((own_c[at], -score))[:k]
+                for column, values in zip(rows, (np.full(len(best), name), own_c[at][best], score[best]), strict=True):
+                    column.append(values)
         merged = [np.concatenate(r) if r else np.empty(0, np.int64) for r in rows]
         id_type = c.schema.field(key).type
         return pa.table([pa.array(merged[0]).cast(id_type), pa.array(merged[1]).cast(id_type), pa.array(merged[2], pa.int64())], ["query_id", key, "score"])

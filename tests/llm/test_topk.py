@@ -20,7 +20,8 @@ def brute(rows, every=100, k=10):
 
 
 def test_whole_table(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 150)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 200)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 2)
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
@@ -36,13 +37,22 @@ def test_edge_cases(spark):
     assert topk.embedding_top_k(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [10, 2**40])
+@pytest.mark.parametrize("size", [1, 10, 2**24, 2**28])
 def test_bounds_lose_nothing(size):
     rng = np.random.default_rng(size % 97)
-    q, c = rng.integers(-size, size, (5, 37)), rng.integers(-size, size, (300, 37))
+    q, c = rng.integers(-size, size, (5, 37), endpoint=True), rng.integers(-size, size, (300, 37), endpoint=True)
+    c[:40] = q[0] + rng.integers(-1, 2, (40, 37))  # scores that differ by less than doubles tell
     own = rng.random((5, 300)) < 0.1
     for i, (at, score) in enumerate(topk.branch_and_bound(q, c, own, 10)):
-        exact = np.clip(c.astype(object) @ q[i].astype(object), -(2**63), 2**63 - 1)
+        exact = c.astype(object) @ q[i].astype(object)
         best = sorted(exact[~own[i]], reverse=True)[:10]
         assert sorted(score.tolist(), reverse=True)[:10] == best
         assert all(exact[a] == s for a, s in zip(at, score.tolist()))
+        assert set(at) >= {j for j in range(300) if not own[i][j] and exact[j] > best[-1]}
+        assert len(at) < 300 or size == 1
+
+
+def test_a_score_beyond_64_bits_ends_the_job():
+    q = np.full((1, 4), 2**40)
+    with pytest.raises(OverflowError):
+        list(topk.branch_and_bound(q, np.repeat(q, 3, 0), np.zeros((1, 3), bool), 2))
