@@ -1,4 +1,8 @@
-"""A corpus made ready for training, in stages that each call one operator of quire.llm."""
+"""A corpus made ready for training, in stages that each call one operator of quire.llm.
+
+Stages take documents with any further columns and keep them, whatever their
+names; nulls, empty texts, repeated rows and empty tables as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard, langid, packing, secrets
-from quire.llm.common import bound_batches, materialize, table
+from quire.llm.common import bound_batches, materialize, remove_tables, table, tables_written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its secrets replaced by a mark."""
+    """Every document stays, with its secrets replaced by a mark, and n_chars, which the table must have, the length of what is left."""
     bound_batches(spark)
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -43,9 +47,11 @@ STAGES = [("language_id", identified), ("jaccard_join", deduplicated), ("deconta
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage is written, and what was needed for it then removed."""
+    docs, first = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        remove_tables(spark, first, keep=1)
     return docs
 
 

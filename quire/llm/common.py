@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_tables: list[str] = []
 
 
 #: Rows of an Arrow batch between the JVM and a worker; a batch of long texts would be large with Spark's 10,000.
@@ -26,15 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none: one of this machine if all run on it (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="quire-shared-"))
     return _own_dir[0]
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A place in the shared folder, to be removed by remove_tables."""
+    _tables.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and rereads it.
 
@@ -42,10 +51,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     executor costs the tasks it was running and nothing before this point.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that operators wrote in this process, from the ``first``-th on but for the last ``keep``; to be called when what was computed from them is itself written."""
+    jvm = spark.sparkContext._jvm
+    for path in _tables[first : len(_tables) - keep]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _tables[first : len(_tables) - keep]
+
+
+def tables_written() -> int:
+    return len(_tables)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

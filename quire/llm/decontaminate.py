@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import materialize, unused
 
 GUARANTEE, GRAM = 10, 5
 #: ASCII letters and digits and all that is not ASCII; in lower case, the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -121,12 +121,14 @@ def contamination_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those whose text holds a window of an item; a null text holds none. All columns and repeated rows stay."""
-    texts = docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    hit = find_contamination(texts, items, "_text", "_key").where("size(hits) > 0").select("_key").distinct()
+    """docs without those whose text holds a window of an item; a null text holds none. All columns, whatever their names, and repeated rows stay."""
+    name = unused(docs, "_key")
+    digest = F.sha2(F.col(text), 256)
+    texts = docs.select(digest.alias("_key"), F.col(text).alias("_text"))
+    hit = find_contamination(texts, items, "_text", "_key").where("size(hits) > 0").select(F.col("_key").alias(name)).distinct()
     hit = materialize(hit, "contaminated")
     gone = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    return docs.join(gone, F.xxhash64(text) == F.col("_key"), "left_anti")
+    return docs.join(gone, digest == F.col(name), "left_anti")
 
 
 CONTAMINATION_SQL = r"""

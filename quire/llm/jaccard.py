@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import meeting
-from quire.llm.common import materialize, shuffle_partitions
+from quire.llm.common import materialize, shuffle_partitions, unused
 from quire.llm.wordhash import Words, mix, runs
 
 SHINGLE, PERCENT = 5, 80
@@ -434,10 +434,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest of their group; those without a key stay."""
-    found = materialize(near_duplicates(docs, text, key).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "duplicates")
+    """The documents that are the smallest of their group; those without a key stay, as do all columns, whatever their names."""
+    name = unused(docs, "_gone")
+    found = materialize(near_duplicates(docs, text, key).where(F.col("component_id") != F.col(key)).select(F.col(key).alias(name)).distinct(), "duplicates")
     gone = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
 
 
 JACCARD_SQL = r"""

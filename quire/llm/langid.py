@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import materialize, unused
 from quire.llm.wordhash import texts_of
 
 SLOTS = 1 << 16
@@ -25,6 +26,10 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Labelled documents that the weights and the temperature are fitted on, at most, for all languages together.
 SAMPLE_ROWS = 4096
+#: Bytes of their n-grams that go to the driver, at most; with very long texts that is fewer rows.
+SAMPLE_BYTES = 1 << 28
+#: Languages that are learned, at most: the most frequent ones.
+LANGUAGES = 256
 #: One in so many of them is for the temperature alone.
 CALIBRATE = 4
 #: n-grams are handled in runs of about so many bytes of text.
@@ -185,11 +190,13 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", order: s
     """Fits a model on rows with a label and a text; None where there are none.
 
     Document frequencies are counted over all rows. The weights see a sample of
-    at most ``sample_rows`` rows, shared evenly among labels and taken by a hash
-    of ``order``.
+    at most ``sample_rows`` rows and SAMPLE_BYTES, shared evenly among labels and
+    taken by a hash of ``order``. At most LANGUAGES labels are learned, the most
+    frequent ones.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    frequent = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(LANGUAGES)
+    sizes = {r[0]: r[1] for r in frequent.collect()}
     if not sizes:
         return None
     classes = sorted(sizes)
@@ -207,11 +214,13 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", order: s
     place = F.pmod(F.xxhash64(F.col(order), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(min(1.0, most / sizes[c])))])[F.col(label)]
     sampled = rows.where(place < share).select(F.col(label).alias("label"), place.alias("ord"), F.col(text).alias("text"))
-    found = sampled.mapInArrow(_sparse, "label string, ord double, slots binary, shares binary").collect()
+    found = materialize(sampled.mapInArrow(_sparse, "label string, ord double, slots binary, shares binary"), "sample")
+    room = Window.partitionBy("label").orderBy("ord", "slots").rowsBetween(Window.unboundedPreceding, 0)
+    taken = found.withColumns({"_n": F.row_number().over(Window.partitionBy("label").orderBy("ord", "slots")), "_b": F.sum(F.length("slots") * 3).over(room)})
+    taken = taken.where((F.col("_n") <= most) & (F.col("_b") <= SAMPLE_BYTES // len(classes)))
     by: dict[str, list] = {c: [] for c in classes}
-    for r in sorted(found, key=lambda r: (r.ord, r.label, bytes(r.slots))):
-        if len(by[r.label]) < most:
-            by[r.label].append(r)
+    for r in sorted(taken.select("label", "ord", "slots", "shares").collect(), key=lambda r: (r.ord, r.label, bytes(r.slots))):
+        by[r.label].append(r)
     fit, calibrate = [], []
     for k, c in enumerate(classes):
         for i, r in enumerate(by[c]):
@@ -232,9 +241,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     an empty table gives none.
     """
     keep = keep if keep is not None else docs.columns
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` string, `{names[1]}` double"
-    at = keep.index(text) if text in keep else len(keep)
+    # by number, as Spark passes no column whose name has a dot
+    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", lang string, score double"
+    read = keep if text in keep else [*keep, text]
+    at = read.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +257,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                 lang[known] = np.array(model.classes, object)[best[known]]
                 score[known] = p[np.arange(n), best][known]
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*(f"c{i}" for i in range(len(keep))), "lang", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in (keep if text in keep else [*keep, text])]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(read)]).mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -270,9 +280,10 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
 def keep_identified(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs without those whose text has no letters, or whose most likely language has a probability under ``least``.
 
-    Learns like identify. All columns and repeated rows stay.
+    Learns like identify. All columns, whatever their names, and repeated rows stay.
     """
     labelled = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(text).alias("_t"), F.col(label).alias("_label"), F.col(key).alias("_key"))
     model = learn(labelled, "_t", "_label", "_key", sample_rows)
-    found = predict(docs, model, text, names=("_lang", "_score"))
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    lang, score = unused(docs, "_lang"), unused(docs, "_score")
+    found = predict(docs, model, text, names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -247,7 +247,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
 def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """docs with every span that a rule finds, or several that overlap, replaced by ``mark``.
 
-    All columns and rows stay; a null text stays null.
+    All columns, whatever their names, and rows stay; a null text stays null.
     """
     at = docs.columns.index(text)
 
@@ -271,7 +271,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
             columns[at] = pa.array(out, column.type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(redact, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # as Spark passes no column whose name has a dot
+    return numbered.mapInArrow(redact, numbered.schema).toDF(*docs.columns)
 
 
 def secrets_digest(found: DataFrame, key: str = "doc_id", base: tuple[Rule, ...] = BASE) -> DataFrame:

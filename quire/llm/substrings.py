@@ -13,7 +13,6 @@ repeated hashes to the buckets, so texts are shuffled once for all levels.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import meeting
-from quire.llm.common import materialize, shared_dir, shuffle_partitions
+from quire.llm.common import materialize, new_path, shuffle_partitions
 from quire.llm.wordhash import Words, last_starts, runs, texts_of
 
 WINDOW = 13
@@ -151,9 +150,9 @@ def _with_digest(window: int):
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
     """rows written into the shared folder in buckets of ``key``: joins by that key shuffle the other side alone."""
     spark, n = rows.sparkSession, shuffle_partitions(rows.sparkSession)
-    name = f"buckets_{uuid.uuid4().hex}"
-    dealt = rows.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd")
-    dealt.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = new_path(spark, "buckets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -1,5 +1,7 @@
+import pytest
+
 from quire.llm import meeting
-from quire.llm.common import BATCH_ROWS, bound_batches
+from quire.llm.common import BATCH_ROWS, bound_batches, materialize, remove_tables, shared_dir, tables_written, unused
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -30,3 +32,30 @@ def test_values_are_packed_across_batches_and_found_again(spark, monkeypatch):
     for d, h in rows:
         by.setdefault(h, set()).add(d)
     assert found == sorted((d, h, d > min(own)) for h, own in by.items() if len(own) > 1 for d in own)
+
+
+def test_tables_are_removed_when_asked(spark):
+    first = tables_written()
+    kept = [materialize(spark.range(3 + i), f"t{i}") for i in range(3)]
+    remove_tables(spark, first, keep=1)
+    assert tables_written() == first + 1 and kept[2].count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(kept[0].inputFiles()[0]).count()
+    remove_tables(spark, first)
+    assert tables_written() == first
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared_dir(Session).startswith("file:")
+
+
+def test_unused_names(spark):
+    assert unused(spark.range(1), "x") == "x"
+    assert unused(spark.range(1).selectExpr("id AS _X", "id AS _x_"), "_x") == "_x__"

@@ -88,3 +88,16 @@ def test_run_writes_each_stage_and_returns_the_last(spark, sf_dir):
 def test_stages_take_empty_tables(spark, sf_dir, stage):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert stage[1](spark, docs, sf_dir).collect() == []
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_columns_of_any_name(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = "_lang _score _gone _key _text _k _h _t _label _v doc h k n own hits spans window items component_id lang_pred score held_out piece length kept `a.b`".split()
+    wide = docs.selectExpr("*", *[f"'{i}' AS {n}" for i, n in enumerate(names)])
+    got, plain = stage[1](spark, wide, sf_dir), stage[1](spark, docs, sf_dir)
+    if stage is not corpus_pipeline.STAGES[-1]:
+        assert got.columns == wide.columns and [t for _, t in got.dtypes] == [t for _, t in wide.dtypes]
+        assert {tuple(r)[5:] for r in got.collect()} == {tuple(str(i) for i in range(len(names)))}
+    own = [c for c in plain.columns if c not in ("sequence_id", "offset")]
+    assert sorted(map(tuple, got.select(*own).collect()), key=repr) == sorted(map(tuple, plain.select(*own).collect()), key=repr)
