@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quire.functions.markup import MarkupError, Node, numeric_references, parse, signature
+from quire.functions.text import BARE_AMPERSAND
 
-_BARE = re.compile(rb"&(?!#\d+;|#x[0-9a-fA-F]+;|amp;|lt;|gt;|quot;|apos;)")
+_BARE = re.compile(BARE_AMPERSAND.encode())
 _SEGMENT = StructType([StructField("id", StringType()), StructField("markup", StringType()), StructField("signature", ArrayType(StringType()))])
 ANSWER = StructType([StructField("segments", ArrayType(_SEGMENT)), StructField("error", StringType())])
 

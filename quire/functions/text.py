@@ -73,6 +73,23 @@ def word_count(text: ColumnOrName) -> Column:
     return F.coalesce(F.regexp_count(_col(text), F.lit(f"{NO_SPACE}+")), F.lit(0))
 
 
+# Patterns of what isn't read aloud.
+SPOKEN_BREAK, SUPERSCRIPT = r'<br n="\d+"/>', r'<sup n="\d+">.*?</sup>'
+EMPTY_LINK = r'<a n="\d+">[^<\p{L}\p{Nl}\p{No}]*</a>'
+SECTION_NUMBER, SECTION_NUMBER_IN_TEXT = (rf"^(?U)\d+(?:\.\d+){more}\.?{SPACE}+(?={CAPITAL})" for more in "*+")
+BLANK = "_{2,}"
+_PAGES = rf"\d+(?:{SPACE}*[–-]{SPACE}*\d+)?"
+PAGE_REFERENCE = rf"(?U){SPACE}*\((?:pp?|o|old)\.{SPACE}*{_PAGES}\)|{SPACE}*\({_PAGES}\.{SPACE}*o(?:ld)?\.\)"
+# What ends a sentence, needs spelling out, or is an ampersand that isn't a reference.
+SENTENCE_END = f"[{SENTENCE_MARKS}][{CLOSING_QUOTES}]*\\n?\\z"
+NUMBER = r"(?U)\d|\b(?:[IVXLCDM]{2,}|[IVX])\."
+BARE_AMPERSAND = r"&(?!#\d+;|#x[0-9a-fA-F]+;|amp;|lt;|gt;|quot;|apos;)"
+# How services say that a quota is used up.
+QUOTA = r"usage limit|rate limit|limit reached|hit your limit|resets? at|credit balance|insufficient_quota|quota"
+# Codec frames a second, seconds a character, and the fewest frames asked for.
+FRAME_RATE, CHARACTER_SECONDS, LEAST_FRAMES = 25, 0.12, 400
+
+
 def domain_only(text: ColumnOrName) -> Column:
     """Web addresses become their domain."""
     return F.regexp_replace(_col(text), rf"(?iU)(?:https?://)?(?:www\.)?((?:[\w-]+\.)+(?:{DOMAINS}))(?:/{NO_SPACE}*)?", "$1")
@@ -80,29 +97,26 @@ def domain_only(text: ColumnOrName) -> Column:
 
 def speech_text(markup: ColumnOrName, html5: bool = True) -> Column:
     """What is read aloud: breaks are spaces, superscripts and links without letters go."""
-    out = F.regexp_replace(_col(markup), r'<br n="\d+"/>', " ")
-    out = F.regexp_replace(out, r'<sup n="\d+">.*?</sup>', "")
-    out = F.regexp_replace(out, rf'<a n="\d+">[^<\p{{L}}\p{{Nl}}\p{{No}}]*</a>', "")
+    out = F.regexp_replace(_col(markup), SPOKEN_BREAK, " ")
+    for silent in (SUPERSCRIPT, EMPTY_LINK):
+        out = F.regexp_replace(out, silent, "")
     return domain_only(plain_text(out, html5))
 
 
 def prepare(text: ColumnOrName, heading: ColumnOrName) -> Column:
     """Without section numbers (before a capital; in body text those of several levels), blanks to fill in, and page references."""
-    own = _col(text)
-    number = lambda more: F.regexp_replace(own, rf"^(?U)\d+(?:\.\d+){more}\.?{SPACE}+(?={CAPITAL})", "")
-    out = F.when(_col(heading), number("*")).otherwise(number("+"))
-    out = F.regexp_replace(out, "_{2,}", "")
-    pages = rf"\d+(?:{SPACE}*[–-]{SPACE}*\d+)?"
-    return F.regexp_replace(out, rf"(?U){SPACE}*\((?:pp?|o|old)\.{SPACE}*{pages}\)|{SPACE}*\({pages}\.{SPACE}*o(?:ld)?\.\)", "")
+    own, in_text = (F.regexp_replace(_col(text), pattern, "") for pattern in (SECTION_NUMBER, SECTION_NUMBER_IN_TEXT))
+    out = F.when(_col(heading), own).otherwise(in_text)
+    return F.regexp_replace(F.regexp_replace(out, BLANK, ""), PAGE_REFERENCE, "")
 
 
 def ends_sentence(text: ColumnOrName) -> Column:
-    return _col(text).rlike(f"[{SENTENCE_MARKS}][{CLOSING_QUOTES}]*\\n?\\z")
+    return _col(text).rlike(SENTENCE_END)
 
 
 def needs_spelling(text: ColumnOrName) -> Column:
     """Holds a digit, or a Roman numeral followed by a full stop (a single letter only if I, V or X)."""
-    return _col(text).rlike(r"(?U)\d|\b(?:[IVXLCDM]{2,}|[IVX])\.")
+    return _col(text).rlike(NUMBER)
 
 
 def is_short(text: ColumnOrName, heading: ColumnOrName) -> Column:
@@ -120,12 +134,12 @@ def piece_seed(text: ColumnOrName, attempt: ColumnOrName | int = 0) -> Column:
 
 
 def frame_cap(longest: ColumnOrName) -> Column:
-    """Most codec frames for a longest text of so many characters: 25 a second, 0.12 seconds a character, 400 at least."""
-    return F.greatest(F.lit(400), F.floor(_col(longest) * F.lit(0.12) * F.lit(25.0)).cast("int"))
+    """Most codec frames for a longest text of so many characters."""
+    return F.greatest(F.lit(LEAST_FRAMES), F.floor(_col(longest) * F.lit(CHARACTER_SECONDS) * F.lit(float(FRAME_RATE))).cast("int"))
 
 
 def escape_bare_ampersands(text: ColumnOrName) -> Column:
-    return F.regexp_replace(_col(text), r"&(?!#\d+;|#x[0-9a-fA-F]+;|amp;|lt;|gt;|quot;|apos;)", "&amp;")
+    return F.regexp_replace(_col(text), BARE_AMPERSAND, "&amp;")
 
 
 def semantics(kinds: ColumnOrName, roles: ColumnOrName) -> Column:
@@ -169,9 +183,7 @@ def is_noise(line: ColumnOrName) -> Column:
 
 
 def is_quota_error(message: ColumnOrName) -> Column:
-    # How services say that a quota is used up.
-    marks = "usage limit|rate limit|limit reached|hit your limit|resets? at|credit balance|insufficient_quota|quota"
-    return F.coalesce(_col(message).rlike(f"(?i){marks}"), F.lit(False))
+    return F.coalesce(_col(message).rlike(f"(?i){QUOTA}"), F.lit(False))
 
 
 def occurrences(text: ColumnOrName, mark: str) -> Column:

@@ -12,15 +12,16 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from quire.functions.text import QUOTA
 from quire.operators.providers import ModelError, QuotaError, Result, register
 
+# Seconds that a call may take, and tokens that an answer may have.
 TIMEOUT, MAX_TOKENS = 1800, 64000
-# How services say that a quota is used up.
-QUOTA = re.compile(r"usage limit|rate limit|limit reached|hit your limit|resets? at|credit balance|insufficient_quota|quota", re.I)
+_QUOTA = re.compile(QUOTA, re.I)
 
 
 def failure(message: str) -> ModelError:
-    return QuotaError(message) if QUOTA.search(message) else ModelError(message)
+    return QuotaError(message) if _QUOTA.search(message) else ModelError(message)
 
 
 @dataclass(frozen=True)

@@ -30,13 +30,13 @@ def _page_rows(book: str, file: str, pos: int, data: bytes) -> Iterator[tuple]:
     document = parse(data)
     base = posixpath.dirname(file)
     body = next((n for n in document.root.walk() if n.tag == "body"), None)
-    skip = body is not None and any(n.meanings() & SKIP_TYPES for n in body.walk())
+    skip = body is not None and any(n.meanings & SKIP_TYPES for n in body.walk())
     for idx, node in enumerate(segments(document)):
-        meanings = [(a, a.meanings()) for a in node.up()]
+        meanings = [(a, a.meanings) for a in node.up()]
         note = next(((file, a.attributes.get("id", "")) for a, m in meanings if m & NOTE_TYPES), None)
         refs = []
         for a in node.walk():
-            if a.tag == "a" and "noteref" in a.meanings() and a.attributes.get("href"):
+            if a.tag == "a" and "noteref" in a.meanings and a.attributes.get("href"):
                 where, name = resolve(base, a.attributes["href"])
                 refs.append({"file": where or file, "id": name})
         reference = any(m & REFERENCE_TYPES for _, m in meanings)
@@ -99,7 +99,7 @@ def _label_nodes(kind: str, document: Document) -> list[tuple[Node, bool]]:
         return [(n, False) for n in document.root.walk() if n.tag == "title"]
     if kind == "nav":
         tables = [n for n in document.root.walk() if n.tag == "nav"]
-        toc = next((n for n in tables if "toc" in n.meanings()), None)
+        toc = next((n for n in tables if "toc" in n.meanings), None)
         for n in document.root.walk():
             if n.tag == "a" and any(a.tag == "nav" for a in n.up()) and n.text().split():
                 found.append((n, any(a is toc for a in n.up())))
@@ -125,7 +125,7 @@ def labels(files: DataFrame) -> DataFrame:
                 for pos, (node, toc) in enumerate(_label_nodes(kind, parse(data))):
                     href = node.attributes.get("href")
                     where = resolve(posixpath.dirname(file), href)[0] if href else None
-                    rows.append((book, source, file, pos, " ".join(node.text().split()), where, toc, bool(node.meanings() & SKIP_TYPES)))
+                    rows.append((book, source, file, pos, " ".join(node.text().split()), where, toc, bool(node.meanings & SKIP_TYPES)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LABELS.split(", ")])
 
     return files.mapInPandas(extract, LABELS)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quire.functions.speech import matching_ratio
-from quire.functions.text import LEAST_SIMILARITY
+from quire.functions.text import CHARACTER_SECONDS, FRAME_RATE, LEAST_FRAMES, LEAST_SIMILARITY
 from quire.operators.narration import pcm, wav
 
 RETAKES = 3
@@ -36,7 +36,9 @@ def loaded(load: Callable[[], Voice], name: object) -> Voice:
 
 
 def most_frames(texts: list[str]) -> int:
-    return max(400, int(max(map(len, texts)) * 0.12 * 25))
+    """frame_cap of the longest of some texts."""
+    seconds = len(max(texts, key=len)) * CHARACTER_SECONDS
+    return max(LEAST_FRAMES, int(seconds * FRAME_RATE))
 
 
 def _take(voice: Voice, text: str, sound: np.ndarray) -> tuple[float, np.ndarray, str]:

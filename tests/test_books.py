@@ -13,7 +13,7 @@ from tests import books
 def speak(pieces):
     """A voice of silence that hears what it said, but for the text of the heading."""
     sound = bytearray(wav(B.narration.silence(0.01)))
-    score = F.when(F.col("text").startswith("HU Two"), 0.5).otherwise(1.0)
+    score = F.when(F.col("text").startswith("HU Tide"), 0.5).otherwise(1.0)
     return pieces.select("piece_key", "text", F.col("text").alias("heard"), score.alias("score"), F.lit(sound).alias("data"))
 
 
@@ -40,24 +40,24 @@ def test_steps(spark, folder):
     B.build(store, f"{folder}/out")
     got = books.unpacked((folder / "out" / "a.epub").read_bytes())
     assert next(iter(got)) == "mimetype" and set(got) == set(books.ENTRIES)
-    assert 'HU Chapter <em class="x">One</em>!' in got["OEBPS/text/one +a.xhtml"].decode()
-    assert "Reference matter" in got["OEBPS/text/two.xhtml"].decode() and "HU Reference" not in got["OEBPS/text/two.xhtml"].decode()
+    assert 'HU The <strong class="c">Harbour</strong> at night' in got["pkg/parts/a b.xhtml"].decode()
+    assert "<p>Listed matter" in got["pkg/parts/tide.xhtml"].decode()
 
     chapters = {r.chapter: (r.complete, r.title) for r in B.narrate(store, speak).collect()}
-    assert chapters == {1: (True, "HU Chapter One!"), 2: (True, "HU Two")}
-    assert [r.text for r in B.report(store).collect()] == ["HU Two"]
+    assert chapters == {1: (True, "HU The Harbour at night"), 2: (True, "HU Tide")}
+    assert [r.text for r in B.report(store).collect()] == ["HU Tide"]
     count = store.read("pieces", B.PIECES).count()
     B.narrate(store, speak).collect()
     assert store.read("pieces", B.PIECES).count() == count
     B.narrate_stream(store, speak, f"{folder}/check", once=True).awaitTermination()
     assert store.read("pieces", B.PIECES).count() == count
     about = B.metadata(store).first()
-    assert (about.title, about.artists, about.cover, bytes(about.image)) == ("A Book", "Some One", "OEBPS/img/pic.png", b"\x89PNG")
-    assert about.toc == {"OEBPS/text/one +a.xhtml": "Chapter One", "OEBPS/text/two.xhtml": "Two"}
+    assert (about.title, about.artists, about.cover, bytes(about.image)) == ("The Harbour", "Ada Lind, Bo Ek", "pkg/art/front.jpg", b"\xff\xd8")
+    assert about.toc == {"pkg/parts/a b.xhtml": "The Harbour", "pkg/parts/tide.xhtml": "Tide"}
     sound, marks = B.audiobook(store)
     made = sound.orderBy("chapter").collect()
-    assert [(r.chapter, r.title) for r in made] == [(1, "Chapter One"), (2, "Two")] and made[1].start_ms == made[0].end_ms
-    assert "title=Chapter One\n" in marks.first().metadata
+    assert [(r.chapter, r.title) for r in made] == [(1, "The Harbour"), (2, "Tide")] and made[1].start_ms == made[0].end_ms
+    assert "title=The Harbour\n" in marks.first().metadata
     row = B.status(store).first()
     assert (row.book_id, row.done, row.total, row.glossary) == ("a", 1, 1, True) and row.usage["calls"] == 1.0
 

@@ -21,26 +21,26 @@ def test_entries_packages_and_spine(spark, entries):
     assert {r.book_id for r in entries.select("book_id").collect()} == {"a", "b"}
     own = entries.where("book_id = 'a'").orderBy("ord").collect()
     assert [r.entry for r in own] == list(books.ENTRIES)
-    assert [r.stored for r in own if r.entry.endswith("png")] == [True]
+    assert [r.stored for r in own if r.entry.endswith("jpg")] == [True]
     package = epub.packages(entries).cache()
-    assert [tuple(r)[1:] for r in epub.spine(package).where("book_id = 'a'").orderBy("file_pos").collect()] == [(1, "OEBPS/text/one +a.xhtml"), (4, "OEBPS/text/two.xhtml"), (5, "OEBPS/text/notes.xhtml")]
-    assert [tuple(r) for r in epub.navigation(package).orderBy("book_id").collect()] == [(b, "OEBPS/content.opf", "OEBPS/nav.xhtml", "OEBPS/toc.ncx") for b in "ab"]
-    assert [tuple(r) for r in epub.covers(package).orderBy("book_id").collect()] == [("a", "OEBPS/img/pic.png"), ("b", "OEBPS/img/pic.png")]
-    assert [r.text for r in package.where("kind = 'creator'").collect()] == ["Some One"] * 2
+    assert [tuple(r)[1:] for r in epub.spine(package).where("book_id = 'a'").orderBy("file_pos").collect()] == [(1, "pkg/parts/a b.xhtml"), (3, "pkg/parts/tide.xhtml"), (5, "pkg/parts/remarks.xhtml")]
+    assert [tuple(r) for r in epub.navigation(package).orderBy("book_id").collect()] == [(b, "pkg/harbour.opf", "pkg/contents.xhtml", "pkg/old.ncx") for b in "ab"]
+    assert [tuple(r) for r in epub.covers(package).orderBy("book_id").collect()] == [("a", "pkg/art/front.jpg"), ("b", "pkg/art/front.jpg")]
+    assert sorted(r.text for r in package.where("kind = 'creator'").collect()) == ["Ada Lind"] * 2 + ["Bo Ek"] * 2
 
 
 def test_segments_of_pages(spark, entries):
     pages = S.book_pages(entries, epub.spine(epub.packages(entries))).where("book_id = 'a'")
     rows = {(r.file.split("/")[-1], r.idx): r for r in S.page_segments(pages).collect()}
-    assert sorted(rows) == [("notes.xhtml", 0), ("notes.xhtml", 1), ("notes.xhtml", 2), ("one +a.xhtml", 0), ("one +a.xhtml", 1), ("one +a.xhtml", 2), ("one +a.xhtml", 3), ("two.xhtml", 0), ("two.xhtml", 1), ("two.xhtml", 2)]
-    first = rows["one +a.xhtml", 0]
-    assert (first.tag, first.src, first.heading, first.words) == ("h1", 'Chapter <em n="1">One</em>!', True, 2)
-    assert rows["one +a.xhtml", 1].src == 'It was 12 o\'clock &amp; late<a n="1"><sup n="2">1</sup></a>.'
-    assert rows["one +a.xhtml", 2].src == 'An image <img n="1"/> here<br n="2"/>and more.'
-    assert [(x.file, x.id) for x in rows["one +a.xhtml", 3].refs] == [("OEBPS/text/notes.xhtml", "n2"), ("OEBPS/text/notes.xhtml", "n9")]
-    assert rows["notes.xhtml", 2].note.id == "n2"
-    everything = S.page_segments(pages, references=True).where("file LIKE '%two%'").collect()
-    assert sorted((r.idx, r.reference) for r in everything) == [(0, False), (1, False), (2, False), (3, True)]
+    assert sorted(rows) == [("a b.xhtml", i) for i in range(4)] + [("remarks.xhtml", i) for i in range(3)] + [("tide.xhtml", i) for i in range(4)]
+    first = rows["a b.xhtml", 0]
+    assert (first.tag, first.src, first.heading, first.words) == ("h2", 'The <strong n="1">Harbour</strong> at night', True, 4)
+    assert rows["a b.xhtml", 1].src == 'Lamps — seven of them &lt; eight<a n="1">[<sup n="2">7</sup>]</a>.'
+    assert (rows["a b.xhtml", 2].src, rows["a b.xhtml", 3].tag) == ('See <svg n="1"/> the<br n="2"/>map <i n="3"/>now.', "td")
+    assert [(x.file, x.id) for x in rows["a b.xhtml", 3].refs] == [("pkg/parts/remarks.xhtml", "r2"), ("pkg/parts/remarks.xhtml", "zz")]
+    assert [rows["remarks.xhtml", i].note.id for i in range(3)] == ["r1", "r1", "r2"]
+    everything = S.page_segments(pages, references=True).where("file LIKE '%tide%'").collect()
+    assert sorted((r.idx, r.reference) for r in everything) == [(0, False), (1, False), (2, False), (3, False), (4, True)]
 
 
 def test_identity_translation_leaves_text_as_it_was(spark, entries):
@@ -48,17 +48,17 @@ def test_identity_translation_leaves_text_as_it_was(spark, entries):
     found = S.page_segments(pages, references=True).selectExpr("book_id", "file", "idx", "src AS markup")
     out = {(r.book_id, r.entry): bytes(r.data).decode() for r in S.written_back(pages, found, "hu").collect()}
     assert len(out) == 6
-    for name, source in (("one +a", books.ONE), ("two", books.TWO), ("notes", books.NOTES)):
-        expected = source.replace("&nbsp;", " ").replace("<!-- not read -->", "").replace('lang="en"', 'lang="hu"').replace('lang="la"', 'lang="hu"').replace('lang="hu"><head>', 'lang="hu" xml:lang="hu"><head>')
-        assert out["a", f"OEBPS/text/{name}.xhtml"] == expected
+    for name, source in (("a b", books.PART), ("tide", books.TIDE), ("remarks", books.REMARKS)):
+        expected = source.replace("&mdash;", "—").replace("<!-- aside -->", "").replace("<?pi x?>", "").replace('lang="en"', 'lang="hu"').replace('lang="la"', 'lang="hu"').replace('lang="hu"><head>', 'lang="hu" xml:lang="hu"><head>')
+        assert out["a", f"pkg/parts/{name}.xhtml"] == expected
 
 
 def test_translations_move_tags_and_keep_attributes():
-    document = parse(books.ONE.encode())
+    document = parse(books.PART.encode())
     nodes = segments(document)
-    assert spliced(document, nodes[0], '<em n="1">Első</em> fejezet &amp; más') == '<em class="x">Első</em> fejezet &amp; más'.encode()
-    assert spliced(document, nodes[2], 'itt <br n="2"/>kép <img n="1"/>') == 'itt <br/>kép <img src="../img/pic.png" alt="p"/>'.encode()
-    assert [n.tag for n in inline_nodes(nodes[2])] == ["img", "br"]
+    assert spliced(document, nodes[0], '<strong n="1">Kikötő</strong> &amp; éj') == '<strong class="c">Kikötő</strong> &amp; éj'.encode()
+    assert spliced(document, nodes[2], '<i n="3">most</i><br n="2"/>itt <svg n="1"/>') == """<i title='"'>most</i><br/>itt <svg xmlns="http://www.w3.org/2000/svg"><text>no</text></svg>""".encode()
+    assert [n.tag for n in inline_nodes(nodes[2])] == ["svg", "br", "i"]
 
 
 def test_labels(spark, entries):
@@ -66,25 +66,25 @@ def test_labels(spark, entries):
     files = S.label_files(entries, navigation)
     rows = S.labels(files).where("book_id = 'a'").orderBy("source", "pos").collect()
     assert [(r.source, r.label, r.href, r.toc, r.skip) for r in rows] == [
-        (0, "A Book", None, False, False), (1, "Chapter One", "OEBPS/text/one +a.xhtml", True, False), (1, "Two", "OEBPS/text/two.xhtml", True, False),
-        (1, "Contents", "OEBPS/nav.xhtml", False, True), (2, "Two", None, False, False), (2, "A Book", None, False, False),
+        (0, "The Harbour", None, False, False), (1, "The Harbour", "pkg/parts/a b.xhtml", True, False), (1, "Tide", "pkg/parts/tide.xhtml", True, False),
+        (1, "List", "pkg/contents.xhtml", False, True), (2, "Tide", None, False, False), (2, "The Harbour", None, False, False),
     ]
-    texts = spark.createDataFrame([("a", "A Book", "Egy <könyv>"), ("a", "Two", ""), ("a", "Chapter One", "Első")], "book_id string, label string, translation string")
+    texts = spark.createDataFrame([("a", "The Harbour", "A <kikötő>"), ("a", "Tide", ""), ("a", "List", "Lista")], "book_id string, label string, translation string")
     out = {r.entry: bytes(r.data).decode() for r in S.relabelled(files, texts).where("book_id = 'a'").collect()}
-    assert "<dc:title>Egy &lt;könyv></dc:title>" in out["OEBPS/content.opf"] and "<dc:language>hu</dc:language>" in out["OEBPS/content.opf"]
-    assert ">Első</a>" in out["OEBPS/nav.xhtml"] and ">Two</a>" in out["OEBPS/nav.xhtml"] and 'xml:lang="hu"' in out["OEBPS/nav.xhtml"]
+    assert "<dc:title>A &lt;kikötő></dc:title>" in out["pkg/harbour.opf"] and "<dc:language>hu</dc:language>" in out["pkg/harbour.opf"]
+    assert ">Lista</a>" in out["pkg/contents.xhtml"] and ">Tide</a>" in out["pkg/contents.xhtml"] and 'xml:lang="hu"' in out["pkg/contents.xhtml"]
 
 
 def test_writing_and_reading_the_data_source(spark, entries, tmp_path):
-    new = spark.createDataFrame([("a", "OEBPS/style.css", bytearray(b"p {color: red}"))], "book_id string, entry string, data binary")
+    new = spark.createDataFrame([("a", "pkg/look.css", bytearray(b"p {color: red}"))], "book_id string, entry string, data binary")
     epub.write_books(epub.overlaid(entries, new), str(tmp_path))
     got = books.unpacked((tmp_path / "a.epub").read_bytes())
     assert list(got) == ["mimetype", *[n for n in books.ENTRIES if n != "mimetype"]]
-    assert got["OEBPS/style.css"] == b"p {color: red}"
+    assert got["pkg/look.css"] == b"p {color: red}"
     again = spark.read.format("epub").load(str(tmp_path))
     assert again.count() == 20
     packed = {r.book_id: bytes(r.data) for r in epub.packed_books(entries).collect()}
-    assert books.unpacked(packed["b"])["OEBPS/text/two.xhtml"] == books.TWO.encode()
+    assert books.unpacked(packed["b"])["pkg/parts/tide.xhtml"] == books.TIDE.encode()
 
 
 def test_documents_are_parsed_without_expansion_or_loading():

@@ -175,23 +175,23 @@ def test_a_book_is_narrated(spark, tmp_path):
     texts = found.withColumn("text", narration.T.speech_text("src"))
     labels = segments.labels(segments.label_files(entries, epub.navigation(package)))
     skipped = narration.skipped_files(found.select("book_id", "file", "skip"), labels)
-    assert [r.file for r in skipped.collect()] == ["OEBPS/nav.xhtml"]
+    assert [r.file for r in skipped.collect()] == ["pkg/contents.xhtml"]
     read = narration.chapters(narration.flow(texts, skipped, note_label="Note: ")).cache()
     rows = read.orderBy("file_pos", "idx", "sub").collect()
     assert [(r.chapter, r.text) for r in rows] == [
-        (1, "Chapter One!"), (1, "It was 12 o'clock & late."), (1, "Note: Note one. More of it."), (1, "An image here and more."), (1, "Cited twice and unknown."),
-        (1, "Note: Note two."), (1, "Note: Note one. More of it."), (2, "Two"), (2, "first"), (2, "second"),
+        (1, "The Harbour at night"), (1, "Lamps — seven of them < eight."), (1, "Note: First remark. Still first."), (1, "See the map now."), (1, "Old and lost."),
+        (1, "Note: Second remark."), (1, "Note: First remark. Still first."), (2, "Tide"), (2, "ebb"), (2, "falls"), (2, "flow"),
     ]
-    assert [tuple(r)[1:] for r in narration.chapter_titles(read).orderBy("chapter").collect()] == [(1, "OEBPS/text/one +a.xhtml", "Chapter One!"), (2, "OEBPS/text/two.xhtml", "Two")]
+    assert [tuple(r)[1:] for r in narration.chapter_titles(read).orderBy("chapter").collect()] == [(1, "pkg/parts/a b.xhtml", "The Harbour at night"), (2, "pkg/parts/tide.xhtml", "Tide")]
     none = spark.createDataFrame([], "text string, spoken string")
     stored = spark.createDataFrame([], "piece_key string")
-    known = spark.createDataFrame([("It was 12 o'clock & late.", "It was twelve.")], "text string, spoken string")
+    known = spark.createDataFrame([("Lamps — seven of them < eight.", "Seven lamps.")], "text string, spoken string")
     pieces = narration.narration(read, known, stored).cache()
     got = [(r.chapter, r.text, r.pause) for r in pieces.orderBy("chapter", "run", "part").collect()]
-    assert got[1] == (1, "It was twelve.", 0.6) and got[0][2] == 1.2 and got[-1] == (2, "first, second", 0.6)
-    old = spark.createDataFrame([(narration.split_text(t)[0],) for t in ("first", "second")], "text string").select(narration.T.piece_key("text").alias("piece_key"))
+    assert got[1] == (1, "Seven lamps.", 0.6) and got[0][2] == 1.2 and got[-1] == (2, "ebb, falls, flow", 0.6)
+    old = spark.createDataFrame([(narration.split_text(t)[0],) for t in ("ebb", "falls", "flow")], "text string").select(narration.T.piece_key("text").alias("piece_key"))
     again = narration.narration(read, none, old)
-    assert [r.text for r in again.where("chapter = 2").orderBy("run", "sub_order", "part").collect()] == ["Two", "first", "second"]
+    assert [r.text for r in again.where("chapter = 2").orderBy("run", "sub_order", "part").collect()] == ["Tide", "ebb", "falls", "flow"]
 
     missing = narration.missing(pieces, stored, ["book_id", "chapter", "run", "part"])
     assert missing.count() == len({t for _, t, _ in got})
@@ -206,7 +206,7 @@ def test_a_book_is_narrated(spark, tmp_path):
     assert made[2].ms == 3820
     marks = narration.offsets(narration.chapter_audio(pieces, sound).select("book_id", "chapter", "ms"), ["book_id"], ["chapter"]).join(chapters, ["book_id", "chapter"])
     text = narration.chapter_metadata(marks.selectExpr("*", "'A=B' AS book_title", "'Some One' AS artists")).first().metadata
-    assert text.startswith(";FFMETADATA1\ntitle=A\\=B\n") and f"START={made[1].ms}\nEND={made[1].ms + 3820}\ntitle=Two\n" in text
+    assert text.startswith(";FFMETADATA1\ntitle=A\\=B\n") and f"START={made[1].ms}\nEND={made[1].ms + 3820}\ntitle=Tide\n" in text
     assert [len(r.keys_) for r in narration.manifests(pieces).withColumnRenamed("keys", "keys_").orderBy("chapter").collect()] == [len([g for g in got if g[0] == c]) for c in (1, 2)]
 
 

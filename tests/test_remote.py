@@ -109,7 +109,7 @@ def test_trials(spark):
     specs = ["a:x", "b:y", "c"]
     assert trials.blind_letters(specs, "judge") == trials.blind_letters(specs, "judge") and sorted(trials.blind_letters(specs, "judge").values()) == sorted(specs)
     letters = {"A": "b:y"}
-    assert '<translation id="A">\nT\n</translation>' in trials.blind_prompt("S", {"b:y": "T"}, letters)
+    assert "# Version A\n\nT" in trials.blind_prompt("S", {"b:y": "T"}, letters)
     runs = spark.createDataFrame([("a:x", True, 5, 2.0), ("b:y", True, 6, None), ("c", True, 7, 1.0)], "spec string, ok boolean, seconds int, cost double")
     scores = spark.createDataFrame([("a:x", "j1", 8, 6), ("a:x", "j2", 4, 2), ("c", "j1", 9, 9)], "spec string, judge string, style int, sense int")
     got = [tuple(r) for r in trials.results(runs, scores, ["style", "sense"], F.lit(500.0), ("c",)).collect()]
