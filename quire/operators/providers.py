@@ -63,12 +63,9 @@ def check_ready(name: str) -> None:
 
 def echo(prompt: str, system: str, model: str | None) -> Result:
     """Answers without a model: segments with a mark before their text, lists as they are, an empty object."""
-    source = re.search(r"<source>\n(.*)\n</source>", prompt, re.S)
-    if source:
-        text = re.sub(r'(<seg id="\d+">)', r"\1HU ", source[1])
-    else:
-        listed = re.search(r"\[.*\]", prompt, re.S)
-        text = listed[0] if listed and "<labels>" in prompt or system == "speech" else "{}"
+    asked = re.search(r'^<seg id="1">.*', prompt, re.S | re.M)
+    listed = re.search(r"\[.*\]", prompt, re.S) if prompt.startswith("Labels:") or system == "speech" else None
+    text = re.sub(r'(<seg id="\d+">)', r"\1HU ", asked[0]) if asked else listed[0] if listed else "{}"
     return Result(text, {"input_tokens": len(prompt.split()), "output_tokens": len(text.split())})
 
 

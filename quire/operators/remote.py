@@ -101,3 +101,47 @@ def register_command(name: str, *arguments: str, **settings) -> None:
 def register_chat(name: str, url: str, key: str, **settings) -> None:
     call = Chat(url, key, **{k: settings.pop(k) for k in ("timeout", "max_tokens") if k in settings})
     register(name, call, ready=call.ready, needs_model=True, **settings)
+
+
+def _inside(value, path: str):
+    """What a dotted path names in nested objects; None where it leads nowhere."""
+    for name in path.split("."):
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
+
+
+@dataclass(frozen=True)
+class JsonAnswer:
+    """Reads a program's output of JSON: the last object with text under ``text``, and counters, each the sum of what some paths name."""
+
+    text: str = "result"
+    usage: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def __call__(self, output: str) -> Result:
+        try:
+            found = [json.loads(output)]
+        except ValueError:
+            found = json_lines(output)
+        answers = [x for x in found if isinstance(_inside(x, self.text), str)]
+        if not answers:
+            raise failure(output.strip()[-2000:] or "the program answered nothing")
+        counts = {name: [v for x in found for v in [_inside(x, p) for p in paths] if isinstance(v, int | float)] for name, paths in self.usage}
+        return Result(_inside(answers[-1], self.text), {k: float(sum(v)) for k, v in counts.items() if v})
+
+
+def register_settings(settings: dict[str, dict]) -> None:
+    """Registers the providers that a settings file lists by name.
+
+    Each has either ``command`` (a list of arguments, and perhaps ``answer``: a
+    path, and ``usage``: names to lists of paths), or ``url`` and ``key`` (a
+    variable of the environment); and perhaps default_model, light_model and
+    timeout.
+    """
+    for name, own in settings.items():
+        more = {k: own[k] for k in ("default_model", "light_model", "timeout") if k in own}
+        if "command" in own:
+            if "answer" in own:
+                more["read"] = JsonAnswer(own["answer"], tuple((k, tuple(v)) for k, v in own.get("usage", {}).items()))
+            register_command(name, *own["command"], **more)
+        else:
+            register_chat(name, own["url"], own["key"], **more)

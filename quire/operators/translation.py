@@ -4,13 +4,17 @@ A chunk needs the end of the one before it, so within a book chunks follow one
 another; books run side by side. Each round takes the next chunk of every book,
 calls the model in tasks, and appends what came to the stored tables. A later
 run goes on from there. A model stage is written before anything reads it, so
-no call is made twice for one result.
+no call is made twice for one result. Each call's usage is stored with its
+result, also where the answer was of no use.
 """
 
 from __future__ import annotations
 
+import html
 import json
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +24,24 @@ from pyspark.sql.utils import AnalysisException
 from quire.functions import text as T
 from quire.functions.answers import first_json, read_segments, string_list
 from quire.functions.markup import MarkupError, signature
+from quire.operators.common import written
 from quire.operators.packing import slice_texts
 from quire.operators.providers import ModelError, Provider, QuotaError
 
 CONTEXT_SEGMENTS, ATTEMPTS, SPEECH_BATCH = 10, 2, 60
 TRANSLATIONS = "book_id string, chunk int, translation array<string>, usage map<string,double>, error string, error_kind string"
-SYSTEM = "Translate every segment of the source. Keep each segment's id and all numbered tags. Answer with the segments alone."
+ROUND = TRANSLATIONS + ", provider string"
+USAGE = "usage map<string,double>"
+PARTS, LABELS = f"book_id string, slice int, part string, {USAGE}", f"book_id string, label string, translation string, {USAGE}"
+SPOKEN = f"text string, spoken string, book_id string, {USAGE}"
+SYSTEM = "Translate every segment into Hungarian. Keep each segment's id and all its numbered tags, in whatever order the sentence needs. Answer with the segments alone."
+SYSTEMS = {
+    "fiction": SYSTEM + " This is a novel or a story: keep the narrator's voice and each speaker's manner, and how characters address each other, as the terms say.",
+    "nonfiction": SYSTEM + " This is a factual text: be exact, use the field's established terms as listed, and leave names, titles, numbers and units as they are.",
+}
+#: Where the segments of a prompt begin.
+ASKED = "Segments to translate:"
+LISTED = "Labels:"
 
 
 class Store:
@@ -45,12 +61,31 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(f"{self.path}/{name}")
 
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Puts df, which may read the table, in the table's place."""
+        new = f"{self.path}/_new-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(new)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        old, fresh = hadoop.Path(f"{self.path}/{name}"), hadoop.Path(new)
+        system = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        system.delete(old, True)
+        system.rename(fresh, old)
+
+    def without(self, name: str, schema: str, books: DataFrame) -> None:
+        """Takes the rows of some books out of a table."""
+        self.replace(name, self.read(name, schema).join(books.select("book_id").distinct(), "book_id", "left_anti").select(*[c.split()[0] for c in fields(schema)]))
+
+
+def fields(schema: str) -> list[str]:
+    """The fields of a schema, as text."""
+    return re.split(r", (?=\w+ )(?![^<]*>)", schema)
+
 
 def prompt_of(glossary: str, context: list[str], sources: list[str], error: str | None = None) -> str:
-    """A prompt: the glossary, what was translated before, and the segments, numbered from 1."""
-    numbered = "\n".join(f'<seg id="{i}">{s}</seg>' for i, s in enumerate(sources, 1))
-    out = f"<glossary>\n{glossary}\n</glossary>\n\n<previous_translation>\n" + "\n\n".join(context) + f"\n</previous_translation>\n\n<source>\n{numbered}\n</source>\n"
-    return out + f"\n<previous_attempt_error>\n{error}\n</previous_attempt_error>\n" if error else out
+    """What a model is asked: terms, what was translated before, what was wrong with its last answer, and the segments, numbered from 1."""
+    parts = [("Terms:", glossary), ("Translated before, for the context alone:", "\n".join(context)), ("The last answer couldn't be used:", error)]
+    named = [f"{title}\n{text}\n" for title, text in parts if text]
+    return "\n".join([*named, ASKED, *(f'<seg id="{i}">{own}</seg>' for i, own in enumerate(sources, 1))])
 
 
 def checked(answer: str, sources: list[str]) -> list[str]:
@@ -66,9 +101,6 @@ def checked(answer: str, sources: list[str]) -> list[str]:
 
 
 def _plain(markup: str) -> str:
-    import html
-    import re
-
     return html.unescape(" ".join(re.sub(r"<[^>]+>", "", markup).split()))
 
 
@@ -119,122 +151,163 @@ def translated(store: Store) -> DataFrame:
     return store.read("translations", TRANSLATIONS).where("translation IS NOT NULL").dropDuplicates(["book_id", "chunk"])
 
 
+def _tails(done: DataFrame) -> DataFrame:
+    """(book_id, chunk, context): the end of each translated chunk, for the chunk after it."""
+    tail = F.slice("translation", F.greatest(F.size("translation") - (CONTEXT_SEGMENTS - 1), F.lit(1)), CONTEXT_SEGMENTS)
+    return done.select("book_id", (F.col("chunk") + 1).alias("chunk"), tail.alias("context"))
+
+
 def next_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """The first untranslated chunk of each book, with the end of the chunk before it as context."""
     todo = chunks.join(done.select("book_id", "chunk"), ["book_id", "chunk"], "left_anti")
     first = todo.groupBy("book_id").agg(F.min("chunk").alias("chunk"))
-    tail = F.slice("translation", F.greatest(F.size("translation") - (CONTEXT_SEGMENTS - 1), F.lit(1)), CONTEXT_SEGMENTS)
-    before = done.select("book_id", (F.col("chunk") + 1).alias("chunk"), tail.alias("context"))
-    return chunks.join(first, ["book_id", "chunk"]).join(before, ["book_id", "chunk"], "left")
+    return chunks.join(first, ["book_id", "chunk"]).join(_tails(done), ["book_id", "chunk"], "left")
 
 
-def translate(chunks: DataFrame, store: Store, call: Provider, model: str | None = None, glossary: DataFrame | None = None, system: str = SYSTEM, max_chunks: int | None = None) -> bool:
+def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Provider], model: str | None = None, glossary: DataFrame | None = None, system: str = SYSTEM, max_chunks: int | None = None) -> bool:
     """Translates what the store lacks, at most ``max_chunks`` new ones a book; True when all chunks are done.
 
-    chunks: book_id, chunk (from 1), sources. A book whose chunk fails stops for
-    this run and keeps what it has; its errors are in the store. glossary:
-    book_id, glossary.
+    chunks: book_id, chunk (from 1), sources, and, where books differ in them,
+    provider, model and system; call is then a map from providers. A book whose
+    chunk fails stops for this run and keeps what it has; its errors are in the
+    store. A provider whose quota is used up is asked no more after that round.
+    glossary: book_id, glossary. A round reads what the round before it wrote,
+    not the whole store.
     """
-    failed = chunks.select("book_id").limit(0)
+    for name, value in (("provider", None), ("model", model), ("system", system)):
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(value).cast("string"))
+    known = translated(store)
+    todo = written(chunks.join(known.select("book_id", "chunk"), ["book_id", "chunk"], "left_anti"), "todo")
+    before = context = written(_tails(known), "context")
+    following = todo.groupBy("book_id").agg(F.min("chunk").alias("chunk"))
+    stopped: set[str | None] = set()
     rounds = 0
     while max_chunks is None or rounds < max_chunks:
-        rows = next_chunks(chunks, translated(store)).join(failed, "book_id", "left_anti")
-        rows = rows.join(glossary, "book_id", "left") if glossary is not None else rows.withColumn("glossary", F.lit(""))
+        rows = todo.join(following, ["book_id", "chunk"]).join(context, ["book_id", "chunk"], "left")
+        rows = rows.join(glossary.select("book_id", "glossary"), "book_id", "left") if glossary is not None else rows.withColumn("glossary", F.lit(""))
 
         def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for r in batch.itertuples():
+                    own = call if callable(call) else call[r.provider]
                     context = [_plain(m) for m in r.context] if r.context is not None else []
-                    found = translate_chunk(call, list(r.sources), context, r.glossary or "", system, model)
-                    yield pd.DataFrame([(r.book_id, r.chunk, *found)], columns=["book_id", "chunk", "translation", "usage", "error", "error_kind"])
+                    found = translate_chunk(own, list(r.sources), context, r.glossary or "", r.system, r.model)
+                    yield pd.DataFrame([(r.book_id, r.chunk, *found, r.provider)], columns=["book_id", "chunk", "translation", "usage", "error", "error_kind", "provider"])
 
         path = f"translations/round={pd.Timestamp.now().value}"
-        asked = rows.select("book_id", "chunk", "sources", "context", "glossary").repartition("book_id").mapInPandas(answer, TRANSLATIONS)
+        asked = rows.select("book_id", "chunk", "sources", "context", "glossary", "provider", "model", "system").repartition("book_id").mapInPandas(answer, ROUND)
         store.append(path, asked)
-        now = store.spark.read.parquet(f"{store.path}/{path}")
+        now = store.spark.read.schema(ROUND).parquet(f"{store.path}/{path}")
         if now.isEmpty():
             break
-        failed = failed.unionByName(now.where("translation IS NULL").select("book_id").distinct())
+        stopped |= {r[0] for r in now.where("error_kind = 'quota'").select("provider").distinct().collect()}
+        good = now.where("translation IS NOT NULL")
+        if stopped:
+            good = good.where(~F.coalesce("provider", F.lit("")).isin([x or "" for x in stopped]))
+        context = before.unionByName(_tails(good))
+        following = todo.join(good.select("book_id", F.col("chunk").alias("_last")), "book_id").where("chunk > _last").groupBy("book_id").agg(F.min("chunk").alias("chunk"))
         rounds += 1
     return chunks.join(translated(store).select("book_id", "chunk"), ["book_id", "chunk"], "left_anti").isEmpty()
 
 
+def compact(store: Store) -> None:
+    """Puts the many small files of translations together; not while a run or a stream uses them."""
+    store.replace("translations", store.read("translations", TRANSLATIONS).repartition("book_id"))
+
+
 def usage_totals(usage: DataFrame) -> DataFrame:
     """(book_id, name, total): the sums of each counter over a table with book_id and usage."""
     return usage.select("book_id", F.explode("usage").alias("name", "value")).groupBy("book_id", "name").agg(F.sum("value").alias("total"))
 
 
+def _counted(call: Provider, prompt: str, system: str, model: str | None, read: Callable[[str], object], tries: int = 1) -> tuple[object, dict[str, float], Exception | None]:
+    """(what ``read`` made of the answer, usage of all calls, the error of the last one)."""
+    usage: dict[str, float] = {"calls": 0.0}
+    error: Exception | None = None
+    for _ in range(tries):
+        try:
+            result = call(prompt, system, model)
+            usage["calls"] += 1
+            for k, v in result.usage.items():
+                usage[k] = usage.get(k, 0.0) + v
+            return read(result.text), usage, None
+        except (ValueError, ModelError) as e:
+            error = e
+            if isinstance(e, QuotaError):
+                break
+    return None, usage, error
+
+
+def _object(call: Provider, prompt: str, system: str, model: str | None) -> tuple[str, dict[str, float]]:
+    """A JSON object as text, and usage; an answer that can't be read is asked for once more."""
+    found, usage, error = _counted(call, prompt, system, model, lambda text: json.dumps(first_json(text, "{"), ensure_ascii=False), tries=2)
+    if error is not None:
+        raise error
+    return found, usage
+
+
 def glossary_parts(segments: DataFrame, store: Store, call: Provider, model: str | None = None, limit: int = 40000) -> None:
-    """Asks for the terms of each slice of a book that the store has none for; an answer that can't be read is asked for once more."""
-    have = store.read("glossary_parts", "book_id string, slice int, part string").select("book_id", "slice")
+    """Asks for the terms of each slice of a book that the store has none for."""
+    have = store.read("glossary_parts", PARTS).select("book_id", "slice")
     todo = slice_texts(segments, limit).join(have, ["book_id", "slice"], "left_anti")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(b, s, _object(call, f"<book_slice>\n{t}\n</book_slice>", "List the characters, places, terms and relationships as JSON.", model)) for b, s, t in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["book_id", "slice", "part"])
+            rows = [(b, s, *_object(call, f"Part {s} of a book:\n{t}", "List the characters, places, terms and relationships as one JSON object.", model)) for b, s, t in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["book_id", "slice", "part", "usage"])
 
-    store.append("glossary_parts", todo.select("book_id", "slice", "text").mapInPandas(ask, "book_id string, slice int, part string"))
+    store.append("glossary_parts", todo.select("book_id", "slice", "text").mapInPandas(ask, PARTS))
 
 
-def _object(call: Provider, prompt: str, system: str, model: str | None) -> str:
-    for attempt in range(2):
-        try:
-            return json.dumps(first_json(call(prompt, system, model).text, "{"), ensure_ascii=False)
-        except ValueError:
-            if attempt:
-                raise
-    raise AssertionError
-
-
-def merged_glossary(store: Store, call: Provider, model: str | None = None) -> DataFrame:
-    """(book_id, glossary): one call for each book over all its parts in order. To be written before use."""
-    parts = store.read("glossary_parts", "book_id string, slice int, part string").dropDuplicates(["book_id", "slice"])
+def merged_glossary(store: Store, call: Provider, model: str | None = None, books: DataFrame | None = None) -> DataFrame:
+    """(book_id, glossary, usage): one call for each book, of those given, over all its parts in order. To be written before use."""
+    parts = store.read("glossary_parts", PARTS).dropDuplicates(["book_id", "slice"])
+    if books is not None:
+        parts = parts.join(books.select("book_id").distinct(), "book_id", "left_semi")
     listed = parts.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("slice", "part"))).alias("p")).select("book_id", F.concat(F.lit("[\n"), F.array_join(F.transform("p", lambda x: x["part"]), ",\n"), F.lit("\n]")).alias("parts"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(b, _object(call, f"<extracted>\n{p}\n</extracted>\n", "Merge the parts into one glossary, as JSON.", model)) for b, p in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["book_id", "glossary"])
+            rows = [(b, *_object(call, f"What was found in the parts of a book:\n{p}", "Merge this into one glossary, as one JSON object.", model)) for b, p in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["book_id", "glossary", "usage"])
 
-    return listed.mapInPandas(ask, "book_id string, glossary string")
+    return listed.mapInPandas(ask, f"book_id string, glossary string, {USAGE}")
 
 
 def translated_labels(labels: DataFrame, call: Provider, model: str | None = None) -> DataFrame:
-    """(book_id, label, translation) of the distinct labels of each book, one call a book; a wrong answer leaves that book without. To be written before use."""
+    """LABELS of the distinct labels of each book, one call a book; after a wrong answer a book has a row without label alone, with the usage. To be written before use."""
     first = labels.where("label <> ''").groupBy("book_id", "label").agg(F.min(F.struct("source", "pos")).alias("at"))
     listed = first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("l")).select("book_id", F.transform("l", lambda x: x["label"]).alias("labels"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for book, own in batch.itertuples(index=False):
                 own = list(own)
-                try:
-                    answer = string_list(call(f"<labels>\n{json.dumps(own, ensure_ascii=False)}\n</labels>\n", "Translate the labels, as a JSON list.", model).text, len(own))
-                except (ValueError, ModelError):
-                    continue
-                rows += [(book, a, b) for a, b in zip(own, answer, strict=True)]
-            yield pd.DataFrame(rows, columns=["book_id", "label", "translation"])
+                answer, usage, _ = _counted(call, f"{LISTED}\n{json.dumps(own, ensure_ascii=False)}", "Translate the labels into Hungarian, as one JSON list of as many.", model, lambda text, n=len(own): string_list(text, n))
+                rows += [(book, a, b, None if i else usage) for i, (a, b) in enumerate(zip(own, answer, strict=True))] if answer is not None else [(book, None, None, usage)]
+            yield pd.DataFrame(rows, columns=["book_id", "label", "translation", "usage"])
 
-    return listed.mapInPandas(ask, "book_id string, label string, translation string")
+    return listed.mapInPandas(ask, LABELS)
 
 
 def spelled(texts: DataFrame, known: DataFrame, call: Provider, model: str | None = None, size: int = SPEECH_BATCH) -> DataFrame:
-    """(text, spoken) for the distinct texts with numbers that ``known`` (text, spoken) lacks, in batches; a wrong answer leaves its batch out.
+    """SPOKEN for the distinct texts with numbers that ``known`` (text) lacks, in batches; after a wrong answer a batch is a row without text, with the usage.
 
-    texts: columns text and seq, its place. Batches are cut within tasks, so their number, not their content, follows the data. To be written before use.
+    texts: columns text and seq, its place, and perhaps book_id, which usage is
+    booked on. Batches are cut within tasks, so their number, not their content,
+    follows the data. To be written before use.
     """
-    todo = texts.where(T.needs_spelling("text")).groupBy("text").agg(F.min("seq").alias("seq")).join(known.select("text"), "text", "left_anti")
+    book = F.col("book_id") if "book_id" in texts.columns else F.lit(None).cast("string")
+    todo = texts.where(T.needs_spelling("text")).groupBy("text").agg(F.min(F.struct("seq", book.alias("book_id"))).alias("at")).select("text", "at.*").join(known.select("text"), "text", "left_anti")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), size):
-                own = batch["text"].iloc[a : a + size].tolist()
-                try:
-                    answer = string_list(call(json.dumps(own, ensure_ascii=False), "speech", model).text, len(own))
-                except (ValueError, ModelError):
-                    continue
-                yield pd.DataFrame({"text": own, "spoken": answer})
-
-    return todo.repartitionByRange("seq").sortWithinPartitions("seq").select("text").mapInPandas(ask, "text string, spoken string")
+                own, books = batch["text"].iloc[a : a + size].tolist(), batch["book_id"].iloc[a : a + size].tolist()
+                answer, usage, _ = _counted(call, json.dumps(own, ensure_ascii=False), "speech", model, lambda text, n=len(own): string_list(text, n))
+                rows = [(t, x, b, None if i else usage) for i, (t, x, b) in enumerate(zip(own, answer, books, strict=True))] if answer is not None else [(None, None, books[0], usage)]
+                yield pd.DataFrame(rows, columns=["text", "spoken", "book_id", "usage"])
+
+    return todo.repartitionByRange("seq").sortWithinPartitions("seq").select("text", "book_id").mapInPandas(ask, SPOKEN)

@@ -1,14 +1,17 @@
 """The steps of a book's work over one store: prepare, glossary, translate, build, narrate, status.
 
 A store is a folder that all executors share. It holds any number of books; each
-step takes all of them, or those named, and goes on from what is there.
+step takes all of them, or those named, and goes on from what is there. Each
+book's own provider, model and profile, as prepare stored them, rule every step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -16,15 +19,17 @@ from quire.operators import narration, packing, reports, segments
 from quire.operators import translation as tr
 from quire.operators.common import written
 from quire.operators.providers import Provider, check_ready, chosen_model, provider
-from quire.operators.translation import Store
+from quire.operators.translation import LABELS, SPOKEN, SYSTEMS, Store
 from quire.sources import epub
 from quire.streaming.follow import follow, released
 
-STATE = "book_id string, profile string, provider string, model string, source string"
+STATE = "book_id string, profile string, provider string, model string, source string, archive string"
 SEGMENTS = segments.SEGMENTS + ", words int, chunk int"
-SPOKEN, PIECES, LABELS = "text string, spoken string", "piece_key string, text string, heard string, score double, data binary", "book_id string, label string, translation string"
-GLOSSARY = "book_id string, glossary string"
-PROFILES = ("fiction", "nonfiction")
+PIECES = "piece_key string, text string, heard string, score double, data binary"
+GLOSSARY = f"book_id string, glossary string, {tr.USAGE}"
+CHAPTERS = "book_id string, chapter long, keys array<string>, ms long, data binary"
+PROFILES = tuple(SYSTEMS)
+Books = list[str] | DataFrame | None
 
 
 class BookError(Exception):
@@ -35,77 +40,136 @@ def state(store: Store) -> DataFrame:
     return store.read("state", STATE)
 
 
-def prepare(spark: SparkSession, path: str, store: Store, profile: str, provider_name: str = "echo", model: str | None = None, references: bool = False) -> DataFrame:
+def _of(df: DataFrame, books: Books) -> DataFrame:
+    """The rows of these books; of all if None."""
+    if books is None:
+        return df
+    return df.where(F.col("book_id").isin(books)) if isinstance(books, list) else df.join(books.select("book_id").distinct(), "book_id", "left_semi")
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Books that share a provider, a model and a profile."""
+
+    provider: str
+    model: str | None
+    call: Provider
+    light_model: str | None
+    books: DataFrame
+
+
+def _settings(store: Store, books: Books, provider_name: str | None = None, model: str | None = None, call: Provider | None = None) -> list[Setting]:
+    """The books by what they are worked on with: what is stored with them, or what is named here; ``call`` stands for any provider."""
+    own = _of(state(store), books)
+    out = []
+    for r in own.select("provider", "model").distinct().collect():  # as many as there are providers and models
+        name = provider_name or r.provider
+        chosen = model or (r.model if name == r.provider else None)
+        if call is None:
+            check_ready(name)
+            chosen = chosen_model(name, chosen)
+        light = None if call is not None else provider(name).light_model
+        out.append(Setting(name, chosen, call or provider(name).call, light, own.where(F.col("provider").eqNullSafe(r.provider) & F.col("model").eqNullSafe(r.model)).select("book_id")))
+    return out
+
+
+def prepare(spark: SparkSession, path: str, store: Store, profile: str, provider_name: str, model: str | None = None, references: bool = False, known: str = "refuse", book_id: str | None = None) -> DataFrame:
     """Reads the archives below a path, cuts them into chunks and registers them; the state is written last, so a broken run leaves no book.
 
-    Books that the store has are refused.
+    known: what is done with books that the store has: ``refuse`` (an error),
+    ``keep`` (only others are prepared) or ``replace`` (all that is stored of
+    them goes). book_id: the name of the one book there. Returns the state rows
+    of what was prepared.
     """
     if profile not in PROFILES:
         raise BookError(f"no profile {profile}; there are: {', '.join(PROFILES)}")
     check_ready(provider_name)
     model = chosen_model(provider_name, model)
-    entries = epub.read_entries(spark, path)
-    names = entries.select("book_id").distinct()
-    there = names.join(state(store), "book_id").select("book_id").take(5)
-    if there:
-        raise BookError(f"already prepared: {', '.join(r[0] for r in there)}")
+    entries = epub.read_entries(spark, path).withColumn("archive", F.col("book_id"))
+    if book_id is not None:
+        if entries.select("archive").distinct().count() != 1:
+            raise BookError("a name can be given to one book alone")
+        entries = entries.withColumn("book_id", F.lit(book_id))
+    names = entries.select("book_id", "archive").distinct()
+    there = names.join(state(store), "book_id", "left_semi")
+    first = there.select("book_id").take(5)
+    if first and known == "refuse":
+        raise BookError(f"already prepared: {', '.join(r[0] for r in first)}")
+    if first and known == "replace":
+        gone = written(there.select("book_id"), "replaced")
+        for name, schema in (("state", STATE), ("segments", SEGMENTS), ("translations", tr.TRANSLATIONS), ("glossary_parts", tr.PARTS), ("glossary", GLOSSARY), ("labels", LABELS), ("chapters", CHAPTERS)):
+            store.without(name, schema, gone)
+    if first and known == "keep":
+        names = written(names.join(state(store), "book_id", "left_anti"), "new-books")
+        entries = entries.join(names.select("book_id"), "book_id", "left_semi")
     found = written(segments.page_segments(segments.book_pages(entries, epub.spine(epub.packages(entries))), references), "segments")
-    store.append("segments", found.join(packing.chunks(found), ["book_id", "file_pos", "idx"]).select(*[c.split()[0] for c in SEGMENTS.replace("struct<file: string, id: string>", "s").split(", ")]))
-    fresh = names.select("book_id", F.lit(profile).alias("profile"), F.lit(provider_name).alias("provider"), F.lit(model).cast("string").alias("model"), F.lit(path).alias("source"))
+    store.append("segments", found.join(packing.chunks(found), ["book_id", "file_pos", "idx"]).select(*[c.split()[0] for c in tr.fields(SEGMENTS)]))
+    fresh = names.select("book_id", F.lit(profile).alias("profile"), F.lit(provider_name).alias("provider"), F.lit(model).cast("string").alias("model"), F.lit(path).alias("source"), "archive")
+    fresh = written(fresh, "state")
     store.append("state", fresh)
     return fresh
 
 
-def _segments(store: Store, books: list[str] | None) -> DataFrame:
-    out = store.read("segments", SEGMENTS)
-    return out.where(F.col("book_id").isin(books)) if books else out
+def _segments(store: Store, books: Books) -> DataFrame:
+    return _of(store.read("segments", SEGMENTS), books)
 
 
-def _chunks(store: Store, books: list[str] | None) -> DataFrame:
+def _chunks(store: Store, books: Books) -> DataFrame:
     own = _segments(store, books)
     return written(tr.chunk_rows(own.drop("chunk"), own.select("book_id", "file_pos", "idx", "chunk")), "chunks")
 
 
-def _call(name: str, call: Provider | None) -> Provider:
-    return call or provider(name).call
-
+def glossary(store: Store, provider_name: str | None = None, model: str | None = None, books: Books = None, call: Provider | None = None) -> None:
+    """Terms of each slice that has none yet, merged anew for each of these books; other books keep theirs."""
+    for own in _settings(store, books, provider_name, model, call):
+        texts = _segments(store, own.books).withColumn("text", T.plain_text("src"))
+        tr.glossary_parts(texts, store, own.call, own.model)
+        merged = written(tr.merged_glossary(store, own.call, own.model, own.books), "glossary")
+        others = store.read("glossary", GLOSSARY).join(merged.select("book_id"), "book_id", "left_anti")
+        store.replace("glossary", others.select(*merged.columns).unionByName(merged))
 
-def glossary(store: Store, provider_name: str = "echo", model: str | None = None, books: list[str] | None = None, call: Provider | None = None) -> None:
-    """Terms of each slice that has none yet, merged anew for each book."""
-    own = _segments(store, books).withColumn("text", T.plain_text("src"))
-    tr.glossary_parts(own, store, _call(provider_name, call), model)
-    merged = tr.merged_glossary(store, _call(provider_name, call), model)
-    merged.write.mode("overwrite").parquet(f"{store.path}/glossary")
 
+def translate(store: Store, provider_name: str | None = None, model: str | None = None, books: Books = None, max_chunks: int | None = None, call: Provider | None = None) -> bool:
+    """Translates what isn't yet, then the labels of books without any. True when all chunks are done.
 
-def translate(store: Store, provider_name: str = "echo", model: str | None = None, books: list[str] | None = None, max_chunks: int | None = None, call: Provider | None = None) -> bool:
-    """Translates what isn't yet, then the labels of books without any. True when all chunks are done."""
-    spark, run = store.spark, _call(provider_name, call)
-    done = tr.translate(_chunks(store, books), store, run, model, store.read("glossary", GLOSSARY), max_chunks=max_chunks)
+    A provider whose quota is used up is asked no more in this run.
+    """
+    settings = _settings(store, books, provider_name, model, call)
+    chunks, rows = _chunks(store, books), None
+    system = F.create_map(*[F.lit(x) for pair in SYSTEMS.items() for x in pair])[F.col("profile")]
+    for i, own in enumerate(settings):
+        named = own.books.join(state(store).select("book_id", "profile"), "book_id").select("book_id", F.lit(str(i)).alias("provider"), F.lit(own.model).cast("string").alias("model"), system.alias("system"))
+        rows = named if rows is None else rows.unionByName(named)
+    if rows is None:
+        raise BookError("the store has none of these books")
+    calls = {str(i): own.call for i, own in enumerate(settings)}
+    done = tr.translate(chunks.join(rows, "book_id"), store, calls, glossary=store.read("glossary", GLOSSARY), max_chunks=max_chunks)
     if done:
-        have = store.read("labels", LABELS).select("book_id").distinct()
-        new = labels(spark, store, books).join(have, "book_id", "left_anti")
-        store.append("labels", tr.translated_labels(new, run, model))
+        have = store.read("labels", LABELS).where("label IS NOT NULL").select("book_id").distinct()
+        new = written(labels(store.spark, store, books).join(have, "book_id", "left_anti"), "labels")
+        for own in settings:
+            store.append("labels", tr.translated_labels(_of(new, own.books), own.call, own.model))
     return done
 
 
-def _entries(spark: SparkSession, store: Store, books: list[str] | None) -> DataFrame:
-    paths = [r[0] for r in state(store).select("source").distinct().collect()]  # the folders that prepare was called with
+def _entries(spark: SparkSession, store: Store, books: Books) -> DataFrame:
+    """The archives' entries, under the names that books have in the store."""
+    named = _of(state(store), books).select("book_id", "source", F.coalesce("archive", "book_id").alias("archive"))
     out = None
-    for path in paths:
-        own = epub.read_entries(spark, path)
+    for (path,) in named.select("source").distinct().collect():  # the folders that prepare was called with
+        own = epub.read_entries(spark, path).withColumnRenamed("book_id", "archive").join(named.where(F.col("source") == path).select("archive", "book_id"), "archive").drop("archive")
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise BookError("the store has no books")
-    return out.where(F.col("book_id").isin(books)) if books else out
+    return out
 
 
-def labels(spark: SparkSession, store: Store, books: list[str] | None = None) -> DataFrame:
+def labels(spark: SparkSession, store: Store, books: Books = None) -> DataFrame:
     entries = _entries(spark, store, books)
     return segments.labels(segments.label_files(entries, epub.navigation(epub.packages(entries))))
 
 
-def _markup(store: Store, books: list[str] | None, done: DataFrame) -> DataFrame:
+def _markup(store: Store, books: Books, done: DataFrame) -> DataFrame:
     """(book_id, file, file_pos, idx, markup): translations by their place; a chunk whose translation has another length fails."""
     order = F.array_sort(F.collect_list(F.struct("file_pos", "idx", "file")))
     own = _segments(store, books).groupBy("book_id", "chunk").agg(order.alias("s"))
@@ -114,7 +178,7 @@ def _markup(store: Store, books: list[str] | None, done: DataFrame) -> DataFrame
     return both.select("book_id", F.explode(told).alias("z")).select("book_id", "z.s.file", "z.s.file_pos", "z.s.idx", F.col("z.translation").alias("markup"))
 
 
-def build(store: Store, target: str, books: list[str] | None = None, partial: bool = False, language: str = "hu") -> None:
+def build(store: Store, target: str, books: Books = None, partial: bool = False, language: str = "hu") -> None:
     """Writes the translated archives into a folder that all executors mount. Missing chunks are refused, or with ``partial`` left as they were."""
     spark = store.spark
     done = tr.translated(store)
@@ -130,14 +194,18 @@ def build(store: Store, target: str, books: list[str] | None = None, partial: bo
     epub.write_books(epub.overlaid(entries, new.unionByName(named)), target)
 
 
-def _read_aloud(store: Store, books: list[str] | None, done: DataFrame, skip: list[str]) -> DataFrame:
+def _read_aloud(store: Store, books: Books, done: DataFrame, skip: list[str]) -> DataFrame:
     own = _segments(store, books)
     texts = own.join(_markup(store, books, done).select("book_id", "file", "idx", "markup"), ["book_id", "file", "idx"]).withColumn("text", T.speech_text("markup"))
     skipped = narration.skipped_files(own.select("book_id", "file", "skip"), labels(store.spark, store, books))
     return narration.chapters(narration.flow(texts, skipped, skip))
 
 
-def narrate(store: Store, speak: Callable[[DataFrame], DataFrame], provider_name: str = "echo", model: str | None = None, books: list[str] | None = None, skip: list[str] | None = None, call: Provider | None = None) -> DataFrame:
+def _spoken(store: Store) -> DataFrame:
+    return store.read("spoken", SPOKEN).where("text IS NOT NULL").select("text", "spoken").dropDuplicates(["text"])
+
+
+def narrate(store: Store, speak: Callable[[DataFrame], DataFrame], provider_name: str | None = None, model: str | None = None, books: Books = None, skip: list[str] | None = None, call: Provider | None = None) -> DataFrame:
     """Makes the pieces that are missing for what is translated without a gap, and returns (book_id, chapter, complete, title).
 
     speak: takes (piece_key, text, window, batch, place, seed), the missing
@@ -146,11 +214,11 @@ def narrate(store: Store, speak: Callable[[DataFrame], DataFrame], provider_name
     """
     chunks = _chunks(store, books).select("book_id", "chunk")
     read = written(_read_aloud(store, books, released(chunks, tr.translated(store)), skip or []), "read")
-    known = store.read("spoken", SPOKEN)
     prepared = read.withColumn("text", T.prepare("text", "heading")).withColumn("seq", F.xxhash64("book_id", "file_pos", "idx", "sub"))
-    store.append("spoken", tr.spelled(prepared, known, _call(provider_name, call), provider(provider_name).light_model or model))
+    for own in _settings(store, books, provider_name, model, call):
+        store.append("spoken", tr.spelled(_of(prepared, own.books), _spoken(store), own.call, own.light_model or own.model))
     stored = store.read("pieces", PIECES)
-    made = written(narration.narration(read, store.read("spoken", SPOKEN).dropDuplicates(["text"]), stored), "pieces")
+    made = written(narration.narration(read, _spoken(store), stored), "pieces")
     order = ["book_id", "chapter", "run", "sub_order", "part"]
     missing = narration.missing(made, stored, order).withColumn("seed", T.piece_seed("text"))
     store.append("pieces", speak(narration.length_batches(missing, ["first", "piece_key"]).drop("first", "seq")))
@@ -169,22 +237,32 @@ def narrate_stream(store: Store, speak: Callable[[DataFrame], DataFrame], checkp
     return follow(store.spark, store, chunks, lambda _: narrate(store, speak, **settings).write.format("noop").mode("overwrite").save(), checkpoint, seconds, once)
 
 
-def status(store: Store, books: list[str] | None = None) -> DataFrame:
+def usage_log(store: Store) -> DataFrame:
+    """(book_id, step, name, total): what each step's calls took for each book."""
+    steps = {"translate": ("translations", tr.TRANSLATIONS), "glossary": ("glossary_parts", tr.PARTS), "merge": ("glossary", GLOSSARY), "labels": ("labels", LABELS), "speech": ("spoken", SPOKEN)}
+    out = None
+    for step, (name, schema) in steps.items():
+        own = tr.usage_totals(store.read(name, schema).select("book_id", "usage")).withColumn("step", F.lit(step))
+        out = own if out is None else out.unionByName(own)
+    return out.select("book_id", "step", "name", "total")
+
+
+def status(store: Store, books: Books = None) -> DataFrame:
     """(book_id, done, total, missing, first_missing, glossary, usage): how far each book is."""
     chunks = _segments(store, books).select("book_id", "chunk").distinct().join(tr.translated(store).select("book_id", "chunk", "translation"), ["book_id", "chunk"], "left")
-    usage = tr.usage_totals(store.read("translations", tr.TRANSLATIONS)).groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "total")))).alias("usage"))
+    usage = usage_log(store).groupBy("book_id", "name").agg(F.sum("total").alias("total")).groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "total")))).alias("usage"))
     terms = store.read("glossary", GLOSSARY).select("book_id", F.lit(True).alias("glossary"))
     return reports.status(chunks).join(terms, "book_id", "left").join(usage, "book_id", "left").fillna({"glossary": False})
 
 
-def metadata(store: Store, books: list[str] | None = None) -> DataFrame:
+def metadata(store: Store, books: Books = None) -> DataFrame:
     """(book_id, title, artists, cover, image, toc): translated titles, authors, the cover's file and data, and a map from files to their translated labels."""
     entries = _entries(store.spark, store, books)
     package = epub.packages(entries)
-    named = store.read("labels", LABELS).select("book_id", F.col("label").alias("text"), "translation").dropDuplicates(["book_id", "text"])
-    listed = lambda kind, least: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "own")))), lambda x: x["own"]), 1, least)
+    named = store.read("labels", LABELS).where("label IS NOT NULL").select("book_id", F.col("label").alias("text"), "translation").dropDuplicates(["book_id", "text"])
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "own")))), lambda x: x["own"])
     about = package.where("kind IN ('title', 'creator')").join(named, ["book_id", "text"], "left").withColumn("own", F.when(F.col("kind") == "title", F.coalesce("translation", "text")).otherwise(F.col("text")))
-    texts = about.groupBy("book_id").agg(F.array_join(listed("title", 2), ": ").alias("title"), F.array_join(listed("creator", 1000), ", ").alias("artists"))
+    texts = about.groupBy("book_id").agg(F.array_join(listed("title"), ": ").alias("title"), F.array_join(listed("creator"), ", ").alias("artists"))
     contents = segments.labels(segments.label_files(entries, epub.navigation(package))).where("toc AND href IS NOT NULL").withColumnRenamed("label", "text").join(named, ["book_id", "text"], "left")
     first = contents.groupBy("book_id", "href").agg(F.min_by(F.coalesce("translation", "text"), "pos").alias("label"))
     toc = first.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("href", "label")))).alias("toc"))
@@ -193,19 +271,53 @@ def metadata(store: Store, books: list[str] | None = None) -> DataFrame:
     return epub.navigation(package).select("book_id").join(texts, "book_id", "left").join(images, "book_id", "left").join(toc, "book_id", "left").select("book_id", F.coalesce(F.expr("nullif(title, '')"), "book_id").alias("title"), "artists", "cover", "image", "toc")
 
 
-def audiobook(store: Store, books: list[str] | None = None, skip: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def audiobook(store: Store, books: Books = None, skip: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """((book_id, chapter, title, start_ms, end_ms, data), (book_id, metadata)): the complete chapters as WAV files, and the chapter marks as text.
 
     A chapter's title is its label in the table of contents, else its beginning.
+    Chapters are kept in the store, and made anew only where their pieces changed.
     """
     chunks = _chunks(store, books).select("book_id", "chunk")
     read = written(_read_aloud(store, books, released(chunks, tr.translated(store)), skip or []), "read")
     stored = store.read("pieces", PIECES).dropDuplicates(["piece_key"])
-    pieces = written(narration.narration(read, store.read("spoken", SPOKEN).dropDuplicates(["text"]), stored), "pieces")
+    pieces = written(narration.narration(read, _spoken(store), stored), "pieces")
     titles = narration.chapter_titles(read)
     whole = narration.complete_chapters(titles, pieces, stored).where("complete").select("book_id", "chapter")
-    sound = written(narration.chapter_audio(pieces.join(whole, ["book_id", "chapter"]), stored.select("piece_key", "data")), "chapters")
+    wanted = written(narration.manifests(pieces.join(whole, ["book_id", "chapter"])), "manifests")
+    have = store.read("chapters", CHAPTERS)
+    same = F.col("keys") == F.col("_keys")
+    changed = wanted.join(have.select("book_id", "chapter", F.col("keys").alias("_keys")), ["book_id", "chapter"], "left").where(~F.coalesce(same, F.lit(False))).select("book_id", "chapter", "keys")
+    changed = written(changed, "changed-chapters")
+    if not changed.isEmpty():
+        made = narration.chapter_audio(pieces.join(changed.select("book_id", "chapter"), ["book_id", "chapter"]), stored.select("piece_key", "data")).join(changed, ["book_id", "chapter"])
+        kept = have.join(changed.select("book_id", "chapter"), ["book_id", "chapter"], "left_anti")
+        columns = [c.split()[0] for c in tr.fields(CHAPTERS)]
+        store.replace("chapters", kept.select(*columns).unionByName(made.select(*columns)))
+    sound = store.read("chapters", CHAPTERS).join(wanted.select("book_id", "chapter"), ["book_id", "chapter"], "left_semi")
     about = metadata(store, books).select("book_id", F.col("title").alias("book_title"), "artists", "toc")
     marks = narration.offsets(sound.select("book_id", "chapter", "ms"), ["book_id"], ["chapter"]).join(titles, ["book_id", "chapter"]).join(about, "book_id")
     marks = written(marks.withColumn("title", F.coalesce(F.expr("nullif(toc[file], '')"), "title")), "marks")
     return marks.select("book_id", "chapter", "title", "start_ms", "end_ms").join(sound.select("book_id", "chapter", "data"), ["book_id", "chapter"]), narration.chapter_metadata(marks)
+
+
+def write_audio(sound: DataFrame, marks: DataFrame, target: str) -> None:
+    """Writes a folder for each book into one that all executors mount: chapters as WAV files, and the chapter marks as metadata.txt."""
+    os.makedirs(target, exist_ok=True)
+
+    def put(folder: str, name: str, data: bytes) -> None:
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, f".{name}.tmp"), "wb") as f:
+            f.write(data)
+        os.replace(f.name, os.path.join(folder, name))
+
+    def chapters(rows: Iterator[Row]) -> None:
+        for r in rows:
+            put(os.path.join(target, r.book_id), f"{r.chapter:04d}-{r.name}.wav", bytes(r.data))
+
+    def texts(rows: Iterator[Row]) -> None:
+        for r in rows:
+            put(os.path.join(target, r.book_id), "metadata.txt", r.metadata.encode())
+
+    name = F.substring(T.output_name("title"), 1, 60)
+    sound.select("book_id", "chapter", name.alias("name"), "data").foreachPartition(chapters)
+    marks.foreachPartition(texts)

@@ -31,11 +31,20 @@ def follow(spark: SparkSession, store: Store, chunks: DataFrame, process: Callab
         done = store.read("translations", TRANSLATIONS).where("translation IS NOT NULL").dropDuplicates(["book_id", "chunk"])
         process(released(chunks.join(books, "book_id", "left_semi"), done.join(books, "book_id", "left_semi")))
 
-    stream = spark.readStream.schema(TRANSLATIONS).option("recursiveFileLookup", "true").parquet(f"{store.path}/translations")
+    stream = spark.readStream.schema(TRANSLATIONS).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(f"{store.path}/translations")
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def wait_until_finished(query: StreamingQuery, chunks: DataFrame, store: Store, seconds: float = 60) -> None:
+    """Lets a stream run until every chunk is translated and what came has been processed, then ends it; a stream that fails raises."""
+    while not query.awaitTermination(seconds):
+        if finished(chunks, store):
+            query.processAllAvailable()
+            query.stop()
+            return
+
+
 def finished(chunks: DataFrame, store: Store) -> bool:
     """Whether every chunk is translated."""
     done = store.read("translations", TRANSLATIONS).where(F.col("translation").isNotNull())

@@ -92,7 +92,7 @@ class Scripted:
         self.calls.append(prompt)
         if "QUOTA" in prompt:
             raise QuotaError("quota")
-        if "ONCE" in prompt and "previous_attempt_error" not in prompt:
+        if "ONCE" in prompt and "couldn't be used" not in prompt:
             return Result("nothing", {"tokens": 1})
         if "PAIR" in prompt and prompt.count("<seg") > 1:
             raise ModelError("too long")
@@ -103,9 +103,9 @@ def test_chunks_are_retried_and_halved():
     call = Scripted()
     done, usage, error, kind = translation.translate_chunk(call, ["ONCE", "x <b n=\"1\">y</b>"], ["before"], "g", "s", None)
     assert (done, error, kind) == (["HU ONCE", 'HU x <b n="1">y</b>'], None, "ok")
-    assert usage == {"calls": 2.0, "tokens": 2.0} and "<previous_translation>\nbefore\n" in call.calls[0]
+    assert usage == {"calls": 2.0, "tokens": 2.0} and "before\n" in call.calls[0].split(translation.ASKED)[0]
     done, _, _, kind = translation.translate_chunk(call, ["PAIR a", "PAIR b", "PAIR c"], [], "", "s", None)
-    assert (done, kind) == (["HU PAIR a", "HU PAIR b", "HU PAIR c"], "ok") and "HU PAIR b" in call.calls[-1].split("<source>")[0]
+    assert (done, kind) == (["HU PAIR a", "HU PAIR b", "HU PAIR c"], "ok") and "HU PAIR b" in call.calls[-1].split(translation.ASKED)[0]
     assert translation.translate_chunk(call, ["fine", "BAD"], [], "", "s", None)[3] == "invalid"
     assert translation.translate_chunk(call, ["QUOTA"], [], "", "s", None)[2:] == ("quota", "quota")
 
@@ -125,6 +125,37 @@ def test_books_are_translated_resumably(spark, tmp_path):
     assert status == {"a": (2, 2, None), "b": (0, 2, 1), "c": (1, 1, None)}
 
 
+class Refusing:
+    """A provider that has no more quota from some call on."""
+
+    def __init__(self, folder, left):
+        self.folder, self.left = folder, left
+
+    def __call__(self, prompt, system, model):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        if "QUOTA" in prompt:
+            raise QuotaError("quota")
+        return echo(prompt, system, model)
+
+
+def test_a_quota_ends_the_run_of_its_provider(spark, tmp_path):
+    rows = [("a", 1, ["QUOTA"], "p"), ("a", 2, ["x"], "p"), ("b", 1, ["y"], "p"), ("b", 2, ["never"], "p"), ("c", 1, ["z"], "q"), ("c", 2, ["w"], "q")]
+    chunks = spark.createDataFrame(rows, "book_id string, chunk int, sources array<string>, provider string")
+    store = translation.Store(spark, f"file://{tmp_path}/work")
+    (tmp_path / "calls").mkdir()
+    call = Refusing(str(tmp_path / "calls"), 0)
+    assert not translation.translate(chunks, store, {"p": call, "q": echo})
+    assert {(r.book_id, r.chunk) for r in translation.translated(store).collect()} == {("b", 1), ("c", 1), ("c", 2)}
+    assert len(list((tmp_path / "calls").iterdir())) == 2
+    assert translation.translate(chunks, store, echo)
+    files = len(list((tmp_path / "work" / "translations").rglob("*.parquet")))
+    translation.compact(store)
+    assert translation.translated(store).count() == 6 and len(list((tmp_path / "work" / "translations").rglob("*.parquet"))) <= files
+
+
 def test_context_is_the_end_of_the_chunk_before(spark):
     chunks = spark.createDataFrame([("a", 1, ["x"]), ("a", 2, ["y"])], "book_id string, chunk int, sources array<string>")
     done = spark.createDataFrame([("a", 1, [f"t{i}" for i in range(12)])], "book_id string, chunk int, translation array<string>")
@@ -135,18 +166,22 @@ def test_context_is_the_end_of_the_chunk_before(spark):
 def test_glossary_labels_and_spelling(spark, tmp_path):
     store = translation.Store(spark, f"file://{tmp_path}/g")
     rows = spark.createDataFrame([("b", 1, 0, "x", 3), ("b", 1, 1, "y", 1)], "book_id string, file_pos long, idx int, text string, words int")
-    answers = lambda prompt, system, model: Result('text {"terms": ["%s"]} more' % prompt.split("\n")[1])
+    answers = lambda prompt, system, model: Result('text {"terms": ["%s"]} more' % prompt.split("\n")[1], {"t": 2})
     translation.glossary_parts(rows, store, answers, limit=3)
     translation.glossary_parts(rows, store, lambda *a: (_ for _ in ()).throw(AssertionError("asked again")), limit=3)
-    assert [tuple(r) for r in store.read("glossary_parts", "book_id string, slice int, part string").orderBy("slice").collect()] == [("b", 1, '{"terms": ["x"]}'), ("b", 2, '{"terms": ["y"]}')]
+    assert [tuple(r) for r in store.read("glossary_parts", translation.PARTS).orderBy("slice").collect()] == [("b", 1, '{"terms": ["x"]}', {"calls": 1.0, "t": 2.0}), ("b", 2, '{"terms": ["y"]}', {"calls": 1.0, "t": 2.0})]
     merged = translation.merged_glossary(store, lambda prompt, system, model: Result('{"n": %d}' % prompt.count("terms"))).collect()
-    assert [tuple(r) for r in merged] == [("b", '{"n": 2}')]
+    assert [tuple(r) for r in merged] == [("b", '{"n": 2}', {"calls": 1.0})]
     labels = spark.createDataFrame([("a", 0, 0, "A"), ("a", 1, 0, "B"), ("a", 1, 1, "A"), ("b", 0, 0, "X")], "book_id string, source int, pos int, label string")
     call = lambda prompt, system, model: Result('["a", "b"]')
-    assert sorted(map(tuple, translation.translated_labels(labels, call).collect())) == [("a", "A", "a"), ("a", "B", "b")]
+    got = translation.translated_labels(labels, call)
+    assert sorted(map(tuple, got.where("label IS NOT NULL").select("book_id", "label", "translation").collect())) == [("a", "A", "a"), ("a", "B", "b")]
+    assert sorted((r.book_id, r.total) for r in translation.usage_totals(got).collect()) == [("a", 1.0), ("b", 1.0)]
     texts = spark.createDataFrame([("1 a", 1), ("2 b", 2), ("none", 3), ("1 a", 4), ("3 known", 5)], "text string, seq long").coalesce(1)
     known = spark.createDataFrame([("3 known", "three")], "text string, spoken string")
-    assert sorted(map(tuple, translation.spelled(texts, known, echo, size=60).collect())) == [("1 a", "1 a"), ("2 b", "2 b")]
+    assert sorted(map(tuple, translation.spelled(texts, known, echo, size=60).select("text", "spoken").collect())) == [("1 a", "1 a"), ("2 b", "2 b")]
+    wrong = translation.spelled(texts.withColumn("book_id", F.lit("x")), known, lambda *a: Result("no list", {"t": 5})).collect()
+    assert [tuple(r) for r in wrong] == [(None, None, "x", {"calls": 1.0, "t": 5.0})]
 
 
 def test_providers():
