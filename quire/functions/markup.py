@@ -84,6 +84,8 @@ class Node:
             node = node.parent
 
     def text(self) -> str:
+        if len(self.content) == 1 and isinstance(self.content[0], str):
+            return self.content[0]
         out, stack = [], [self]
         while stack:
             x = stack.pop()
@@ -172,6 +174,8 @@ def inline_nodes(segment: Node) -> list[Node]:
 
 def numbered(segment: Node) -> str:
     """A segment's content with its elements as numbered tags without attributes."""
+    if not any(isinstance(x, Node) for x in segment.content):
+        return escape("".join(segment.content))
     number = {id(n): i for i, n in enumerate(inline_nodes(segment), 1)}
 
     def inside(node: Node) -> str:

@@ -10,8 +10,12 @@ more than a range of a book, or one file; texts stay where they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,14 +158,45 @@ def slices(segments: DataFrame, limit: int = SLICE_WORDS) -> DataFrame:
 
 
 def parts(segments: DataFrame, limit: int) -> DataFrame:
-    """(book_id, file_pos, idx, part): each file in even parts, from 1."""
+    """(book_id, file_pos, idx, part): each file in even parts, from 1. A task holds a batch and the numbers of one file, not its texts."""
     kind = segments.schema["book_id"].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable")
-        return rows[["book_id", "file_pos", "idx"]].assign(part=even_parts(rows["words"].to_numpy(np.int64), limit) + 1)
-
-    return segments.select("book_id", "file_pos", "idx", "words").groupBy("book_id", "file_pos").applyInPandas(fold, f"book_id {kind}, file_pos long, idx int, part int")
+    names = ["book_id", "file_pos", "idx", "part"]
+
+    def numbered(rows: pa.Table) -> pa.RecordBatch:
+        """Whole files, side by side."""
+        first, words = _first_rows(rows), rows.column("words").to_numpy()
+        part = np.concatenate([even_parts(own, limit) + 1 for own in np.split(words, first[1:])])
+        columns = [rows.column(c).combine_chunks() for c in names[:3]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(part, pa.int32())], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last file's rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            last = int(_first_rows(rows)[-1])
+            if last:
+                yield numbered(rows.slice(0, last))
+            held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield numbered(pa.Table.from_batches(held))
+
+    sized = segments.select("book_id", F.col("file_pos").cast("long").alias("file_pos"), F.col("idx").cast("int").alias("idx"), F.col("words").cast("long").alias("words"))
+    dealt = sized.repartition("book_id", "file_pos").sortWithinPartitions("book_id", "file_pos", "idx", "words")
+    return dealt.mapInArrow(fold, f"book_id {kind}, file_pos long, idx int, part int")
+
+
+def _first_rows(rows: pa.Table) -> np.ndarray:
+    """The first row of each file in rows sorted by file."""
+    new = np.ones(len(rows), bool)
+    new[1:] = False
+    for name in ("book_id", "file_pos"):
+        column = rows.column(name).combine_chunks()
+        a, b = column.slice(1), column.slice(0, len(rows) - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+        new[1:] |= differ
+    return np.flatnonzero(new)
 
 
 def slice_texts(segments: DataFrame, limit: int = SLICE_WORDS) -> DataFrame:

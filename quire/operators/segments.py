@@ -6,6 +6,7 @@ import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +27,35 @@ def lines(docs: DataFrame, book: str = "source", file: str = "doc_id", text: str
     return split.where(T.has_letter("text")).withColumn("words", T.word_count("text"))
 
 
+def _notes(node: Node, file: str) -> tuple[dict | None, list[dict], bool]:
+    """(the note that a segment is of, the notes it refers to, whether it is reference matter)."""
+    above = [a for a in node.up() if a.meanings]
+    note = next(({"file": file, "id": a.attributes.get("id", "")} for a in above if a.meanings & NOTE_TYPES), None)
+    refs = []
+    for a in node.walk():
+        if a.tag == "a" and "noteref" in a.meanings and a.attributes.get("href"):
+            where, name = resolve(posixpath.dirname(file), a.attributes["href"])
+            refs.append({"file": where or file, "id": name})
+    return note, refs, any(a.meanings & REFERENCE_TYPES for a in above)
+
+
 def _page_rows(book: str, file: str, pos: int, data: bytes) -> Iterator[tuple]:
     document = parse(data)
-    base = posixpath.dirname(file)
     body = next((n for n in document.root.walk() if n.tag == "body"), None)
-    skip = body is not None and any(n.meanings & SKIP_TYPES for n in body.walk())
+    meant = any(n.meanings for n in document.root.walk())
+    skip = meant and body is not None and any(n.meanings & SKIP_TYPES for n in body.walk())
     for idx, node in enumerate(segments(document)):
-        meanings = [(a, a.meanings) for a in node.up()]
-        note = next(((file, a.attributes.get("id", "")) for a, m in meanings if m & NOTE_TYPES), None)
-        refs = []
-        for a in node.walk():
-            if a.tag == "a" and "noteref" in a.meanings and a.attributes.get("href"):
-                where, name = resolve(base, a.attributes["href"])
-                refs.append({"file": where or file, "id": name})
-        reference = any(m & REFERENCE_TYPES for _, m in meanings)
-        yield book, file, pos, idx, node.tag, numbered(node), reference, node.tag in HEADINGS, skip, {"file": note[0], "id": note[1]} if note else None, refs
+        note, refs, reference = _notes(node, file) if meant else (None, [], False)
+        yield book, file, pos, idx, node.tag, numbered(node), reference, node.tag in HEADINGS, skip, note, refs
+
+
+_POINTER = pa.struct([("file", pa.string()), ("id", pa.string())])
+_COLUMNS = {
+    "book_id": pa.string(), "file": pa.string(), "file_pos": pa.int64(), "idx": pa.int32(), "tag": pa.string(), "src": pa.string(),
+    "reference": pa.bool_(), "heading": pa.bool_(), "skip": pa.bool_(), "note": _POINTER, "refs": pa.list_(_POINTER),
+}
+#: Segments that a task gathers before it passes them on.
+ROWS_AT_ONCE = 2000
 
 
 def page_segments(pages: DataFrame, references: bool = False) -> DataFrame:
@@ -51,13 +66,22 @@ def page_segments(pages: DataFrame, references: bool = False) -> DataFrame:
     read aloud. words counts the plain text.
     """
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SEGMENTS.replace("struct<file: string, id: string>", "s").split(", ")]
-        for batch in batches:
-            for own in batch.itertuples(index=False, name=None):
-                yield pd.DataFrame(list(_page_rows(*own)), columns=names)
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
 
-    found = pages.select("book_id", "file", F.col("file_pos").cast("long"), "data").mapInPandas(extract, SEGMENTS)
+        def passed() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(_COLUMNS)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COLUMNS.values(), strict=True)], list(_COLUMNS))
+
+        for batch in batches:
+            for own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += _page_rows(*own)
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield passed()
+                    rows.clear()
+        yield passed()
+
+    found = pages.select("book_id", "file", F.col("file_pos").cast("long"), "data").mapInArrow(extract, SEGMENTS)
     kept = found if references else found.where(~F.col("reference"))
     return kept.withColumn("words", T.word_count(T.plain_text("src")))
 
