@@ -27,6 +27,11 @@ def lines(docs: DataFrame, book: str = "source", file: str = "doc_id", text: str
     return split.where(T.has_letter("text")).withColumn("words", T.word_count("text"))
 
 
+def first_places(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """(text, first, copies): each distinct text with the place it comes first and how often it comes."""
+    return rows.groupBy(text).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"))
+
+
 def _notes(node: Node, file: str) -> tuple[dict | None, list[dict], bool]:
     """(the note that a segment is of, the notes it refers to, whether it is reference matter)."""
     above = [a for a in node.up() if a.meanings]

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import speech
+from quire.functions import answers, speech
 from quire.functions import text as T
 from quire.operators import narration, packing, reports, segments, translation, validation
 from quire.operators.common import shared_dir, table, written
@@ -73,8 +73,7 @@ def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _lines(spark, sf_dir).groupBy("text").agg(F.min(F.struct(*ORDER)).alias("at"), F.count("*").alias("copies"))
-    return found.select("text", "at.file_pos", "at.idx", "copies")
+    return segments.first_places(_lines(spark, sf_dir), "text", ORDER).select("text", "first.file_pos", "first.idx", "copies")
 
 
 def _page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +133,10 @@ def short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each citing a benchmark item as a note, or one that isn't there: then the first of its file."""
     none = F.lit(None).cast("struct<file: string, id: string>")
     ref = F.struct(F.concat(F.lit("notes"), (F.col("n_chars") % 7).cast("string")).alias("file"), (F.col("n_chars") % 60).cast("string").alias("id"))
-    docs = _documents(spark, sf_dir).select(F.lit("b").alias("book_id"), F.col("source").alias("file"), F.col("doc_id").alias("file_pos"), F.lit(0).alias("idx"), F.substring_index("text", "\n", 1).alias("text"), F.lit(False).alias("heading"), none.alias("note"), F.array(ref).alias("refs"))
+    docs = _documents(spark, sf_dir).select(F.lit("b").alias("book_id"), F.col("source").alias("file"), F.col("doc_id").alias("file_pos"), F.lit(0).alias("idx"), "text", F.lit(False).alias("heading"), none.alias("note"), F.array(ref).alias("refs"))
     where = F.concat(F.lit("notes"), (F.col("item_id") % 7).cast("string"))
     notes = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("book_id"), where.alias("file"), (F.col("item_id") + 10**12).alias("file_pos"), F.lit(0).alias("idx"), "text", F.lit(False).alias("heading"), F.struct(where.alias("file"), F.col("item_id").cast("string").alias("id")).alias("note"), F.array().cast(docs.schema["refs"].dataType).alias("refs"))
     skipped = docs.limit(0).select("book_id", "file")
@@ -214,9 +214,14 @@ def spoken_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "pages").select("page_id", T.collapse(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("label"))
-    known = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label", F.concat(F.lit("["), "label", F.lit("]")).alias("translation"))
-    return labels.join(known, "label", "left").select("page_id", F.coalesce(F.expr("nullif(translation, '')"), "label").alias("label"))
+    """Labels in old tables of contents; those of several pages are translated, every third to nothing, which leaves it as it was."""
+    title = T.collapse(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), "[&;]", ""))
+    own = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("book_id"), title.alias("label"))
+    known = own.withColumn("n", F.count("*").over(Window.partitionBy("label"))).where("n > 1")
+    translated = known.select("book_id", "label", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("[A & "), "label", F.lit("]"))).alias("translation"))
+    data = F.concat(F.lit("<ncx><docTitle><text> "), "label", F.lit("</text></docTitle></ncx>"))
+    files = own.select("book_id", F.lit(2).alias("source"), F.lit("ncx").alias("kind"), F.lit("toc.ncx").alias("file"), F.encode(data, "UTF-8").alias("data"))
+    return segments.relabelled(files, translated).select(F.col("book_id").cast("long").alias("page_id"), F.decode("data", "UTF-8").alias("data"))
 
 
 def slug_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +230,10 @@ def slug_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first JSON value in a text that has more around it."""
     rows = table(spark, sf_dir, "events").where(F.col("props").startswith("{"))
-    return rows.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    found = answers.json_value(F.concat(F.lit("log "), "props", F.lit(" {more")), F.lit("{"))
+    return rows.select("event_id", F.from_json(found, "k long")["k"].alias("k"))
 
 
 def similarity_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +252,48 @@ def xhtml_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.page_segments(pages).select("book_id", *ORDER, "tag", "src", "words")
 
 
+def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages whose lines are paragraphs with elements inside: nested, empty, opaque, and a comment."""
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def paragraph(line: Column) -> Column:
+        first = F.regexp_extract(line, "^[^ ]*", 0)
+        return F.concat(F.lit("<p>"), first, F.lit(' <em class="k"><b>'), F.substr(line, F.length(first) + 2), F.lit("</b></em><!-- c --><br/>!<svg><text>no</text></svg></p>"))
+
+    body = F.array_join(F.transform(F.split(safe, "\n"), paragraph), "")
+    docs = _documents(spark, sf_dir).where("text IS NOT NULL")
+    page = F.concat(F.lit('<html lang="en"><body>'), body, F.lit("</body></html>"))
+    return docs.select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("file_pos"), F.encode(page, "UTF-8").alias("data"))
+
+
+def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with numbered elements inside, and their signatures."""
+    found = segments.page_segments(_marked_up(spark, sf_dir))
+    return found.select("book_id", *ORDER, "src", "words", F.array_join(answers.tag_signature("src"), ",").alias("signature"))
+
+
+def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations that leave elements out and bring others in another order, put back into their pages."""
+    pages = _marked_up(spark, sf_dir)
+    first = F.regexp_extract("src", "^[^ ]*", 0)
+    found = segments.page_segments(pages).select("book_id", "file", "idx", F.concat(F.lit('<br n="3"/><svg n="4"/><em n="1">'), first, F.lit("</em>")).alias("markup"))
+    out = segments.written_back(pages, found)
+    return out.select("book_id", F.col("entry").cast("long").alias("file_pos"), F.sha1("data").alias("digest"))
+
+
+def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of a book from its package, its table of contents and its old one."""
+    url = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    texts = {
+        "opf": ('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>', "</dc:title></metadata></package>"),
+        "nav": ('<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><a href="x.xhtml#a">Part <i> of </i> ', '</a><a href="y"> </a></nav><nav><a epub:type="cover" href="z">Cover</a></nav></body></html>'),
+        "ncx": ("<ncx><navMap><navPoint><navLabel><text>", "</text></navLabel></navPoint></navMap><docTitle><text>All</text></docTitle></ncx>"),
+    }
+    kinds = F.array(*[F.struct(F.lit(i).alias("source"), F.lit(k).alias("kind"), F.lit(f"d/{k}").alias("file"), F.encode(F.concat(F.lit(a), url, F.lit(b)), "UTF-8").alias("data")) for i, (k, (a, b)) in enumerate(texts.items())])
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book_id"), F.inline(kinds))
+    return segments.labels(files).select(F.col("book_id").cast("long").alias("page_id"), "source", "pos", "label", "href", "toc", "skip")
+
+
 def translate_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole books through the translation loop with the provider that needs no model."""
     lines = _lines(spark, sf_dir).withColumn("src", F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
@@ -254,7 +303,7 @@ def translate_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.translated(store).select("book_id", "chunk", F.size("translation").alias("segments"), F.sha1(F.array_join("translation", "\n")).alias("digest"))
 
 
-def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals and preceding events of each user, in order of time."""
     rows = spread(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
     rows = previous(rows, ["user_id"], ["ts", "event_id"], {"before": "event_type"})
@@ -267,7 +316,7 @@ QUERIES = {
         segments_explode, plain_text_pages, word_counts, chunk_packing, split_by_words, glossary_slices, rolling_context, ordered_distinct, tag_signature, validate_ids,
         signature_mismatch, usage_rollup, status_rollup, first_gap_prefix, chapter_runs, skip_files, short_runs, note_join, speech_text, prepare_text, spell_detect,
         split_long_pieces, piece_keys, missing_pieces, length_batches, fixed_batches, best_take, chapter_offsets, judge_report, price_report, log_counters, spoken_lookup,
-        label_translate, slug_urls, json_props, similarity_best, xhtml_segments, translate_echo, event_sessions,
+        label_translate, slug_urls, json_props, similarity_best, xhtml_segments, inline_markup, write_back, label_union, translate_echo, event_sequences,
     )
 }
 
@@ -319,6 +368,8 @@ sized AS (
 )"""
 
 
+#: A closing angle bracket as a page's text is written anew.
+_SHOWN = "replace({}, '>', '&gt;')"
 _HEADING = r"CASE WHEN idx = 0 THEN regexp_replace(t, '^\p{Nd}+(?:\.\p{Nd}+)*\.?" + _WS + r"+([A-ZÁÉÍÓÖŐÚÜŰ])', '\1') ELSE regexp_replace(t, '^\p{Nd}+(?:\.\p{Nd}+)+\.?" + _WS + r"+([A-ZÁÉÍÓÖŐÚÜŰ])', '\1') END"
 _PAGES = r"\p{Nd}+(?:" + _WS + "*[–-]" + _WS + r"*\p{Nd}+)?"
 
@@ -365,7 +416,7 @@ s AS (SELECT *, {_words('text')} <= 3 AND NOT regexp_matches(text, '[.!?…]["
 r AS (SELECT *, sum(CASE WHEN short AND coalesce(last, false) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS run FROM (SELECT *, lag(short) OVER (PARTITION BY page_id ORDER BY i) AS last FROM s)),
 g AS (SELECT *, lag(text) OVER (PARTITION BY page_id, run ORDER BY i) AS before FROM r WHERE regexp_matches(text, '{_L}'))
 SELECT page_id, CAST(run AS BIGINT) AS run, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[,:;–—]$') THEN ' ' ELSE ', ' END || text, '' ORDER BY i) AS text FROM g GROUP BY page_id, run""",
-    "note_join": f"""WITH m AS (SELECT doc_id AS file_pos, string_split(text, chr(10))[1] AS text, n_chars % 7 AS f, n_chars % 60 AS id FROM documents WHERE regexp_matches(string_split(text, chr(10))[1], '{_L}')),
+    "note_join": f"""WITH m AS (SELECT doc_id AS file_pos, text, n_chars % 7 AS f, n_chars % 60 AS id FROM documents WHERE regexp_matches(text, '{_L}')),
 b AS (SELECT item_id % 7 AS f, item_id AS id, CASE WHEN regexp_matches(text, '{_L}') THEN text ELSE '' END AS text FROM benchmark), o AS (SELECT f, arg_min(text, id) AS text FROM b GROUP BY f)
 SELECT file_pos, CAST(0 AS INTEGER) AS sub, text FROM m
 UNION ALL
@@ -386,11 +437,37 @@ SELECT substr(sha1(text), 1, 16) AS piece_key, text, file_pos, idx FROM (SELECT
     "price_report": "SELECT event_type, round(sum(value) / (count(*) / 250.0) * 10, 4) AS ten_pages, round(sum(value) / (count(*) / 250.0) * 300, 4) AS book FROM events GROUP BY event_type",
     "log_counters": "SELECT conv_id, CAST(sum((length(text) - length(replace(text, 'th', ''))) // 2) AS BIGINT) AS retries, CAST(sum((length(text) - length(replace(text, 'an', ''))) // 2) AS BIGINT) AS splits FROM conversations GROUP BY conv_id",
     "spoken_lookup": f"WITH {_LINES} SELECT book_id, file_pos, idx, CASE WHEN regexp_matches(text, '{_SPELL}') THEN regexp_replace(text, '[0-9]', '#', 'g') ELSE text END AS text FROM lines",
-    "label_translate": f"WITH l AS (SELECT page_id, {_collapsed("regexp_extract(html, '<title>([^<]*)', 1)")} AS label FROM pages) SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN '[' || label || ']' ELSE label END AS label FROM l",
+    "label_translate": f"""WITH l AS (SELECT page_id, {_collapsed("regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[&;]', '', 'g')")} AS label FROM pages)
+SELECT page_id, '<ncx><docTitle><text>' || CASE WHEN count(*) OVER (PARTITION BY label) > 1 AND page_id % 3 <> 0 AND label <> '' THEN '[A &amp; ' || label || ']' ELSE ' ' || label END || '</text></docTitle></ncx>' AS data FROM l""",
     "slug_urls": rf"""SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'book') AS slug,
        regexp_replace(regexp_replace(url, '([^/])\.[^./]+$', '\1'), '[^\p{{L}}\p{{N}}\p{{M}}_.-]+', '_', 'g') AS output_name, regexp_replace(url, '([=;#\\\n])', '\\\1', 'g') AS escaped,
        '''' || replace(url, '''', '''\''''') || '''' AS quoted, {_domain('url')} AS domain FROM pages""",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE starts_with(props, '{')",
     "xhtml_segments": f"WITH {_LINES} SELECT book_id, file_pos, idx, 'p' AS tag, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS src, words FROM lines",
-    "event_sessions": "SELECT event_id, lag(event_type) OVER w AS before, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "inline_markup": f"""WITH {_LINES}, s AS (SELECT book_id, file_pos, idx, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS l, text FROM lines),
+t AS (SELECT *, regexp_extract(l, '^[^ ]*') AS a, {_SHOWN.format("substr(l, length(regexp_extract(l, '^[^ ]*')) + 2)")} AS b FROM s)
+SELECT book_id, file_pos, CAST(row_number() OVER (PARTITION BY book_id, file_pos ORDER BY idx) - 1 AS INTEGER) AS idx, {_SHOWN.format('a')} || ' <em n="1">' || CASE WHEN b = '' THEN '<b n="2"/>' ELSE '<b n="2">' || b || '</b>' END || '</em><br n="3"/>!<svg n="4"/>' AS src,
+       {_words("regexp_extract(text, '^[^ ]*') || ' ' || substr(text, length(regexp_extract(text, '^[^ ]*')) + 2) || '!'")} AS words, '1 em,2 b,3 br,4 svg' AS signature FROM t""",
+    "write_back": f"""WITH d AS (SELECT source AS book_id, doc_id AS file_pos, unnest(string_split(replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT book_id, file_pos, i, regexp_extract(l, '^[^ ]*') AS a, l FROM d)
+SELECT book_id, file_pos, sha1('<html lang="hu" xml:lang="hu"><body>' || string_agg('<p>' || CASE WHEN regexp_matches(l, '{_L}') THEN '<br/><svg><text>no</text></svg><em class="k">' || {_SHOWN.format('a')} || '</em>'
+  ELSE a || ' <em class="k"><b>' || substr(l, length(a) + 2) || '</b></em><!-- c --><br/>!<svg><text>no</text></svg>' END || '</p>', '' ORDER BY i) || '</body></html>') AS digest FROM p GROUP BY book_id, file_pos""",
+    "label_union": f"""WITH u AS (SELECT page_id, {_collapsed('url')} AS url FROM pages)
+SELECT page_id, CAST(0 AS INTEGER) AS source, CAST(0 AS INTEGER) AS pos, url AS label, CAST(NULL AS VARCHAR) AS href, false AS toc, false AS skip FROM u
+UNION ALL SELECT page_id, 1, 0, 'Part of ' || url, 'd/x.xhtml', true, false FROM u
+UNION ALL SELECT page_id, 1, 1, 'Cover', 'd/z', false, true FROM u
+UNION ALL SELECT page_id, 2, 0, url, NULL, false, false FROM u UNION ALL SELECT page_id, 2, 1, 'All', NULL, false, false FROM u""",
+    "translate_echo": f"""WITH RECURSIVE {_LINES}, files AS (
+  SELECT book_id, file_pos, sum(words) AS w, row_number() OVER (PARTITION BY book_id ORDER BY file_pos) AS rn FROM lines GROUP BY book_id, file_pos
+), groups AS (
+  SELECT book_id, file_pos, rn, 0 AS g, w AS n FROM files WHERE rn = 1
+  UNION ALL
+  SELECT f.book_id, f.file_pos, f.rn, CASE WHEN g.n + f.w > 8000 THEN g.g + 1 ELSE g.g END, CASE WHEN g.n + f.w > 8000 THEN f.w ELSE g.n + f.w END
+  FROM groups g JOIN files f ON f.book_id = g.book_id AND f.rn = g.rn + 1
+), long AS (SELECT book_id, file_pos FROM files WHERE w > 8000), {_parts(8000, 'long')}, numbered AS (
+  SELECT l.*, CAST(dense_rank() OVER (PARTITION BY l.book_id ORDER BY g.g, coalesce(p.part, 0)) AS INTEGER) AS chunk
+  FROM lines l JOIN groups g ON g.book_id = l.book_id AND g.file_pos = l.file_pos LEFT JOIN part_of p ON p.book_id = l.book_id AND p.file_pos = l.file_pos AND p.idx = l.idx
+)
+SELECT book_id, chunk, CAST(count(*) AS INTEGER) AS segments, sha1(string_agg('HU ' || replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10) ORDER BY file_pos, idx)) AS digest FROM numbered GROUP BY book_id, chunk""",
+    "event_sequences": "SELECT event_id, lag(event_type) OVER w AS before, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
 }
