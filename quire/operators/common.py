@@ -1,4 +1,4 @@
-"""Reading tables, and cutting lineage at written ones."""
+"""Reading tables, and cutting lineage at written ones. quire.llm has its own of these, as either part works without the other."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a new one only where it names none (tests)."""
+    """The folder that all executors share, as the session names it. Where it names none: one of this machine if all run on it (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quire-shared-"))
     return _own[0]

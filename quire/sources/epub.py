@@ -109,6 +109,8 @@ class _Writer(DataSourceWriter):
     def commit(self, messages) -> None:
         for message in messages:
             for a, b in message.files if message else ():
+                if not os.path.exists(a):
+                    raise FileNotFoundError(f"{a} was written by an executor and isn't here: {self.path} must be mounted on all machines")
                 os.replace(a, b)
 
     def abort(self, messages) -> None:
