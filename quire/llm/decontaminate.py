@@ -19,6 +19,8 @@ GUARANTEE, GRAM = 10, 5
 _WORD = r"[\\p{Alnum}\\P{ASCII}]+"
 #: Rows (hits) or windows of items that are broadcast; joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: Characters of windows and their items' names that are broadcast, at most.
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(text: str) -> str:
@@ -88,7 +90,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
     ).select("item", F.explode("windows").alias("window"))
     windows = materialize(windows.groupBy("window").agg(F.collect_set("item").alias("items")), "item-windows")
     kept = materialize(_fingerprints(item, [], kinds).distinct(), "item-fingerprints")
-    if windows.count() <= BROADCAST_ROWS:  # an item has no more fingerprints than windows
+    size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("window") + 24 * F.size("items")), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES:  # an item has no more fingerprints than windows
         windows, kept = F.broadcast(windows), F.broadcast(kept)
 
     split = doc.where("_t IS NOT NULL").selectExpr("_k", "xxhash64(_t) AS _h", f"{_words('_t')} AS w")

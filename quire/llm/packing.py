@@ -135,9 +135,12 @@ def plan_exact_complement(counts: dict[int, int], capacity: int = CAPACITY) -> R
     """Fills gaps exactly by one, two or three pieces while counts allow, then best-fits what is left.
 
     From the longest length down, each is completed by a single length, else by
-    a pair, else by a triple whose sum is the gap; sums are looked up by
-    addressing the count table with what is missing. A combination is used as
-    often as the counts of its members allow.
+    a pair, else by a triple whose sum is the gap. A combination is used as
+    often as the counts of its members allow. Lengths are small whole numbers,
+    so the table of counts is itself the index of single, pair and triple sums:
+    what a sum lacks is an address in it. A table of all pairs' sums would have
+    capacity**2 / 4 entries, nearly all of lengths that are used up before a
+    gap asks for them.
     """
     have = np.zeros(capacity + 1, np.int64)
     for x, n in counts.items():
