@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import trials, voices
 from quire.operators.narration import samples
-from quire.operators.providers import ModelError, QuotaError, check_ready, provider
-from quire.operators.remote import Chat, Command, json_lines, register_chat, register_command
+from quire.operators.providers import ModelError, QuotaError, Result, check_ready, provider
+from quire.operators.remote import Chat, Command, JsonAnswer, json_lines, register_chat, register_command
 
 
 def test_commands():
@@ -114,3 +114,44 @@ def test_trials(spark):
     scores = spark.createDataFrame([("a:x", "j1", 8, 6), ("a:x", "j2", 4, 2), ("c", "j1", 9, 9)], "spec string, judge string, style int, sense int")
     got = [tuple(r) for r in trials.results(runs, scores, ["style", "sense"], F.lit(500.0), ("c",)).collect()]
     assert got == [("c", "c", "", 9.0, 1, None, None, 7), ("a:x", "a", "x", 5.0, 2, 10.0, 300.0, 5), ("b:y", "b", "y", 0.0, 0, 0.0, 0.0, 6)]
+
+
+def test_judges_see_letters_alone(spark):
+    asked = []
+
+    def call(prompt, system, model):
+        asked.append(prompt)
+        return Result('scores: {"A": {"style": 7, "sense": 3}, "B": {"style": "high", "sense": 2}}' if len(asked) > 1 else "no object")
+
+    letters = trials.blind_letters(["p:one", "p:two", "q"], "ann")
+    got = trials.judged_by("ann", "S", {"p:one": "first", "p:two": "second", "q": "third"}, ["style", "sense"], call)
+    assert {spec: scores for spec, _, scores in got} == {letters["A"]: {"style": 7.0, "sense": 3.0}, letters["B"]: {"sense": 2.0}, letters["C"]: {}}
+    assert len(asked) == 2 and not any(spec in asked[0] for spec in letters.values() if ":" in spec)
+    books = spark.createDataFrame([("b", "S", {"p:one": "first", "q": "third"})], "book_id string, source string, translations map<string,string>")
+    answers = lambda prompt, system, model: Result('{"A": {"style": 9, "sense": 9}, "B": {"style": 1, "sense": 1}}')
+    rows = trials.judge(books, {"ann": (answers, None), "ben": (answers, "m")}, ["style", "sense"]).collect()
+    assert sorted((r.judge, r.spec, r.style) for r in rows) == sorted((j, s, 9.0 if x == "A" else 1.0) for j in ("ann", "ben") for x, s in trials.blind_letters(["p:one", "q"], j).items())
+    runs = spark.createDataFrame([("p:one", True, 5, 2.0), ("q", True, 6, None)], "spec string, ok boolean, seconds int, cost double")
+    table = trials.results(runs, trials.judge(books, {"ann": (answers, None)}, ["style", "sense"]).drop("book_id"), ["style", "sense"], F.lit(500.0)).collect()
+    assert [r.score for r in table] == [9.0, 1.0]
+
+
+def test_voices_by_name(spark):
+    assert voices.voice_loader("silent") is voices.Silent
+    assert voices.voice_loader("quire.operators.voices:Silent") is voices.Silent
+    for wrong in ("none", "no.such.module:x", "quire.operators.voices:Nobody"):
+        with pytest.raises(ModelError):
+            voices.voice_loader(wrong)
+    rows = [(f"k{i}", f"text {i}", 0, 0, i, i) for i in range(3)]
+    pieces = spark.createDataFrame(rows, "piece_key string, text string, window long, batch long, place long, seed long")
+    assert sorted((r.text, r.heard, r.score) for r in voices.spoken_by(voices.Silent, "silent")(pieces).collect()) == [(f"text {i}", f"text {i}", 1.0) for i in range(3)]
+
+
+def test_answers_in_json():
+    read = JsonAnswer("answer.text", (("tokens", ("n.in", "n.cache")),))
+    found = read('log\n{"n": {"in": 3}}\n{"answer": {"text": "hello"}, "n": {"in": 4, "cache": 5}}\n')
+    assert (found.text, found.usage) == ("hello", {"tokens": 12.0})
+    with pytest.raises(QuotaError):
+        read("usage limit reached")
+    with pytest.raises(ModelError):
+        read("")
