@@ -80,7 +80,7 @@ def _among_hits(words: Words, hashes: np.ndarray, column: pa.Array) -> np.ndarra
 
 
 def _extended(length: int, before: int, sampled: bool):
-    """Windows of ``length`` words whose parts repeat at the level ``before``: by their least hash where that was sampled, else by both halves. With second hashes."""
+    """Windows of ``length`` words whose parts repeat at the level ``before``: by their least hash where that was sampled, and then with second hashes, else by both halves."""
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         keys = batch.column(0).to_numpy()
@@ -96,32 +96,33 @@ def _extended(length: int, before: int, sampled: bool):
                 ok = whole & part[:n] & part[length - before : length - before + n]
             at = np.flatnonzero(ok)
             if len(at):
-                yield words.windows(length)[at], _rows(words, keys)[at], words.windows(length, 1)[at]
+                found = words.windows(length)[at], _rows(words, keys)[at]
+                yield (*found, words.windows(length, 1)[at]) if sampled else found
 
     return of
 
 
 def levels(docs: DataFrame, window: int = WINDOW) -> Iterator[tuple[int, DataFrame]]:
-    """(length, table of doc, hits, later_hits) from ``window`` on, doubling until nothing repeats.
+    """(length, table of doc, hits and, at the first length, later_hits) from ``window`` on, doubling until nothing repeats.
 
     docs: columns doc and text, best bucketed by doc. hits: hashes of the
     document's windows of this length that another document has too;
-    later_hits: those that a smaller one has. Windows are equal if two
-    independent 64-bit hashes are. Each level is computed when it is asked for.
+    later_hits: those that a smaller one has. Windows of the first length are
+    equal if two independent 64-bit hashes are, longer ones if one is. Each level is computed when it is asked for.
     """
     base = (window + 1) // 2
-    found = meeting.repeated(meeting.emit(docs, _anchors(base, window)))
+    anchors = meeting.repeated(meeting.emit(docs, _anchors(base, window)))
+    hits = anchors.groupBy("doc").agg(F.collect_list("h").alias("hits"))
     length, before, sampled = window, base, True
     while True:
-        grouped = found.groupBy("doc").agg(F.collect_set("h").alias("hits"))
-        source = docs.join(grouped, "doc").select("doc", "text", "hits")
-        found = meeting.repeated(meeting.emit(source, _extended(length, before, sampled)))
-        grouped = found.groupBy("doc").agg(F.collect_set("h").alias("hits"), F.collect_set(F.when(F.col("later"), F.col("h"))).alias("later_hits"))
-        level = materialize(grouped, f"repeats-{length}")
+        source = docs.join(hits, "doc").select("doc", "text", "hits")
+        found = meeting.repeated(meeting.emit(source, _extended(length, before, sampled), twice=sampled))
+        later = [F.collect_list(F.when(F.col("later"), F.col("h"))).alias("later_hits")] * sampled
+        level = materialize(found.groupBy("doc").agg(F.collect_list("h").alias("hits"), *later), f"repeats-{length}")
         if level.isEmpty():
             return
         yield length, level
-        found = level.select("doc", F.explode("hits").alias("h"))
+        hits = level.select("doc", "hits")
         length, before, sampled = 2 * length, length, False
 
 

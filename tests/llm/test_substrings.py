@@ -117,8 +117,8 @@ def test_meeting_tells_each_document_once(spark, monkeypatch, hot):
     h[:200] = 7  # a hot hash
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     for second in (None, g):
-        parts = [tuple(r.values()) for i in range(0, 900, 60) for b in meeting.pack(h[i : i + 60], d[i : i + 60], None if second is None else second[i : i + 60]) for r in b.to_pylist()]
-        packed = spark.createDataFrame([(*p[:4], bytearray(p[4])) for p in parts], meeting.PACKED)
+        parts = [tuple(bytearray(x) if isinstance(x, bytes) else x for x in r.values()) for i in range(0, 900, 60) for b in meeting.pack(h[i : i + 60], d[i : i + 60], None if second is None else second[i : i + 60]) for r in b.to_pylist()]
+        packed = spark.createDataFrame(parts, meeting.PACKED if second is None else meeting.PACKED_TWICE)
         got = [tuple(r) for r in meeting.repeated(packed).collect()]
         by = {}
         for x, y, z in zip(h.tolist(), d.tolist(), g.tolist() if second is not None else [0] * 900):
