@@ -11,14 +11,15 @@ sketch of the same kind and are verified on their whole shingle sets.
 What is needed is who is connected, not every link: in each set of documents
 that share a cell, all are compared with the smallest one first, and pairs are
 only formed between documents that this leaves in different components, and
-whose sizes allow that they are similar. Verification counts shingles that agree
+whose sizes allow that they are similar (similar_pairs forms them all and gives
+every link). Verification counts shingles that agree
 in two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,8 @@ SATURATED = 4096
 BLOCK = 256
 #: Bits of the sketch that candidates are filtered by.
 SKETCH_BITS = 2048
+#: Sets of so many are found equal however often their shingles repeat. Those too small for a band must be; larger ones meet in their cells.
+SMALL = 32
 _U = np.uint64
 _BAND_BITS = 5
 
@@ -241,24 +244,26 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from meeting.pack(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy())
 
 
-def _each_set(size: int, names: list[str], row_of: Callable[[np.ndarray], tuple]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row_of(own) for words in runs(batch.column(1), lower=True) for _, own in shingle_sets(words, size, True)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary() if n == "own" else pa.int64()) for n, c in zip(names, columns, strict=True))], ["doc", *names])
-
-    return run
-
-
 def set_sizes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, s, t): the size of each document's set, and a 128-bit sum of it."""
-
-    def row_of(own: np.ndarray) -> tuple:
-        sums = mix(own).sum(1).view(np.int64).tolist()
-        return own.shape[1], *sums
+    """(doc, n, s, t): the size of each document's set, and sums of its hashes and of second ones. Equal sets of up to SMALL have equal sums, larger ones only if their texts repeat the same shingles."""
 
-    return docs.mapInArrow(_each_set(size, ["n", "s", "t"], row_of), "doc long, n long, s long, t long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, int]] = []
+            for words in runs(batch.column(1), lower=True):
+                count = np.diff(words.first)
+                both = {k: [words.windows(k, x) for x in (0, 1)] for k in {size, *count[(count > 0) & (count < size)].tolist()}}
+                for row, own in shingle_sets(words, size):
+                    a, n = int(words.first[row - words.row]), int(count[row - words.row])
+                    k = min(n, size)
+                    first, second = (x[a : a + n - k + 1] for x in both[k]) if n else (own, own)
+                    if len(own) <= SMALL:
+                        second = mix(second[np.unique(first, return_index=True)[1]])
+                    rows.append((len(own), int(mix(own).sum().view(np.int64)), int(second.sum().view(np.int64))))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc", "n", "s", "t"])
+
+    return docs.mapInArrow(run, "doc long, n long, s long, t long")
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -268,7 +273,13 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc, n, own): each document's shingles, their hashes and then their second ones."""
-    return docs.mapInArrow(_each_set(size, ["n", "own"], lambda own: (own.shape[1], own.tobytes())), "doc long, n long, own binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own for words in runs(batch.column(1), lower=True) for _, own in shingle_sets(words, size, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.shape[1] for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc", "n", "own"])
+
+    return docs.mapInArrow(run, "doc long, n long, own binary")
 
 
 def read_set(own: bytes) -> np.ndarray:
@@ -355,6 +366,7 @@ def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     rows = materialize(known.join(counts, ["h", "c"]).selectExpr("*", "cast(pmod(xxhash64(doc), g) AS int) AS i"), "open-rows")
     sets = sets.join(rows.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "own")
     bits = SKETCH_BITS // 8
+    edges = [0, *(x for x in (4, 8, 16) if x < bits // 8), bits // 8]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,26 +379,60 @@ def across(kept: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     down = f"transform(slice(sequence(0, below), 1, below), j -> struct((c - 1) * {_CLASS} + j AS p, c * {_CLASS} + i AS q))"
     blocks = rows.join(sketches, "doc").selectExpr("h", f"c * {_CLASS} + i AS i", "doc", "component", "n", "bits", f"inline(concat({same}, {up}, {down}))")
 
-    def meet(group: pa.Table) -> pa.Table:
-        i, doc, c, n = (group.column(x).to_numpy() for x in ("i", "doc", "component", "n"))
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        words = np.frombuffer(b"".join(group.column("bits").to_pylist()), _U).reshape(-1, bits // 8)
-        left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
-        both = n[left, None] + n[right]
-        most = both * (100 - percent) // (100 + percent)  # that can differ
-        ok = (c[left, None] != c[right]) & (doc[left, None] != doc[right]) & (np.abs(n[left, None] - n[right]) <= most)
-        at = np.nonzero(ok)
-        found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
-        for k in range(0, len(at[0]), 1 << 14):
-            x, y = left[at[0][k : k + (1 << 14)]], right[at[1][k : k + (1 << 14)]]
-            near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= (n[x] + n[y]) * (100 - percent) // (100 + percent)
-            a, b = doc[x[near]], doc[y[near]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+    def near(words: list[np.ndarray], x: np.ndarray, y: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows whose sketches differ in at most ``room`` bits. A few words of the sketches at a time, as most pairs differ too much early."""
+        for part in words:
+            room = room - np.bitwise_count(part[x] ^ part[y]).sum(1, dtype=np.int64)
+            x, y, room = x[room >= 0], y[room >= 0], room[room >= 0]
+        return x, y
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole groups, rows of a group side by side: rows one apart, two apart, ..."""
+        p, q, i, doc, c, n = (rows.column(x).to_numpy() for x in ("p", "q", "i", "doc", "component", "n"))
+        sketches = np.frombuffer(b"".join(rows.column("bits").to_pylist()), _U).reshape(-1, bits // 8)
+        words = [np.ascontiguousarray(sketches[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        first = _group_starts(rows)
+        after = np.repeat(np.append(first[1:], len(p)), np.diff(np.append(first, len(p)))) - np.arange(len(p)) - 1  # rows of the group after each
+        found, waiting, count = [np.empty((2, 0), np.int64)], [], 0
+        x = np.arange(len(p))
+        for k in range(1, int(after.max(initial=0)) + 1):
+            x = x[after[x] >= k]
+            y = x + k
+            most = (n[x] + n[y]) * (100 - percent) // (100 + percent)  # that can differ
+            ok = (c[x] != c[y]) & (doc[x] != doc[y]) & (np.abs(n[x] - n[y]) <= most) & ((p[x] == q[x]) | (i[x] != i[y]))
+            waiting.append((x[ok], y[ok], most[ok]))
+            count += int(ok.sum())
+            if count >= 1 << 14 or k == after.max():
+                a, b = near(words, *map(np.concatenate, zip(*waiting, strict=True)))
+                found.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]))
+                waiting, count = [], 0
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last group's rows so far: two blocks at most
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            last = int(_group_starts(rows)[-1])
+            if last:
+                yield meet(rows.slice(0, last))
+            held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield meet(pa.Table.from_batches(held))
 
     keys = ["h", "p", "q"]
-    return blocks.repartition(shuffle_partitions(kept.sparkSession), *keys).groupBy(*keys).applyInArrow(meet, "a long, b long").distinct()
+    dealt = blocks.repartition(shuffle_partitions(kept.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "i", "doc", "component", "n", "bits").mapInArrow(stream, "a long, b long").distinct()
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """The first row of each group (h, p, q)."""
+    new = np.ones(len(rows), bool)
+    h, p, q = (rows.column(x).to_numpy() for x in ("h", "p", "q"))
+    new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    return np.flatnonzero(new)
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -394,17 +440,18 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", how)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Groups documents connected by links: 100 * shared shingles >= percent * all shingles of the two.
+@dataclass(frozen=True)
+class Search:
+    """What is known of documents before any two are compared. All are written tables, but for ``same``."""
 
-    Words are runs of other than ASCII white space, with A-Z in lower case.
-    Returns key, n_shingles (distinct shingles) and component_id (the smallest
-    key of the group). A text of fewer words than a shingle is one shingle; one
-    without words, or null, links with nothing. Rows without a key are left
-    out; a key with several texts is one document that any of them can link, with
-    a row for each number of shingles. An empty table gives none; other columns
-    are not read. Keys are integers.
-    """
+    sizes: DataFrame  # doc, n and sums: a row for each text
+    alone: DataFrame  # doc, first: documents of a smaller one's set, left out of the search
+    same: DataFrame  # a, b: other documents of equal sets
+    kept: DataFrame  # doc, h: cells in which similar documents meet
+    sets: DataFrame  # doc, n, own
+
+
+def _search(docs: DataFrame, text: str, key: str, shingle: int, percent: int) -> Search:
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sizes = materialize(set_sizes(rows, shingle), "sizes")
     same = ["n", "s", "t"]
@@ -420,19 +467,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     kept = materialize(rarest_cells(left, shingle, fine), "rarest-cells")
     candidates = materialize(kept.select("doc").distinct(), "candidates")
     sets = materialize(full_sets(_only(left, candidates, "left_semi"), shingle), "sets")
+    return Search(sizes, alone, copies.join(plural, "doc", "left_semi").selectExpr("first AS a", "doc AS b"), kept, sets)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Groups documents connected by links: 100 * shared shingles >= percent * all shingles of the two.
 
-    hubs = materialize(hub_pairs(kept), "hub-pairs")
-    same_set = copies.join(plural, "doc", "left_semi").selectExpr("first AS a", "doc AS b")
-    edges = materialize(linked(hubs, sets, percent).unionByName(same_set), "links")
+    Words are runs of other than ASCII white space, with A-Z in lower case.
+    Returns key, n_shingles (distinct shingles) and component_id (the smallest
+    key of the group). A text of fewer words than a shingle is one shingle; one
+    without words, or null, links with nothing. Rows without a key are left
+    out; a key with several texts is one document that any of them can link, with
+    a row for each number of shingles. An empty table gives none; other columns
+    are not read. Keys are integers.
+    """
+    own = _search(docs, text, key, shingle, percent)
+    hubs = materialize(hub_pairs(own.kept), "hub-pairs")
+    edges = materialize(linked(hubs, own.sets, percent).unionByName(own.same), "links")
     labels = components(edges)
-    others = materialize(across(kept, labels, sets, percent).join(hubs, ["a", "b"], "left_anti"), "pairs-across")
+    others = materialize(across(own.kept, labels, own.sets, percent).join(hubs, ["a", "b"], "left_anti"), "pairs-across")
     if not others.isEmpty():
-        labels = components(edges.unionByName(linked(others, sets, percent)))
+        labels = components(edges.unionByName(linked(others, own.sets, percent)))
 
-    named = sizes.select("doc", "n").distinct().join(alone, "doc", "left").selectExpr("doc", "n", "coalesce(first, doc) AS first")
+    named = own.sizes.select("doc", "n").distinct().join(own.alone, "doc", "left").selectExpr("doc", "n", "coalesce(first, doc) AS first")
     return named.join(labels.withColumnRenamed("doc", "first"), "first", "left").selectExpr(f"doc AS `{key}`", "n AS n_shingles", "coalesce(component, first) AS component_id")
 
 
+def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """((a, b), (doc, first)): every link between different sets, a < b, and which document of a smaller key each left-out copy equals.
+
+    Of documents with equal sets the smallest stands for all. Their number grows
+    with the square of a cluster of near copies, as the result does: where only
+    groups are asked for, near_duplicates is the cheaper question. Edge cases as
+    there.
+    """
+    own = _search(docs, text, key, shingle, percent)
+    unlabelled = own.kept.limit(0).selectExpr("doc", "doc AS component")
+    pairs = materialize(across(own.kept, unlabelled, own.sets, percent), "pairs")
+    links = linked(pairs, own.sets, percent).unionByName(own.same).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    return materialize(links, "links"), own.alone
+
+
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that are the smallest of their group; those without a key stay, as do all columns, whatever their names."""
     name = unused(docs, "_gone")

@@ -77,6 +77,20 @@ def test_components_match_brute_force(spark, monkeypatch, seed, limit):
     assert got == brute(rows)
 
 
+def test_every_link_is_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = [r for r in dict(r for r in corpus(4) if r[0] is not None).items()]
+    links, copies = jaccard.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    first, sets = {}, {}
+    for k, s in sorted((k, frozenset(shingles(t))) for k, t in rows):
+        sets[k] = s
+        first.setdefault(s, k)
+    assert {(r.doc, r["first"]) for r in copies.collect()} == {(k, first[s]) for k, s in sets.items() if s and first[s] != k}
+    own = sorted(first.values())
+    expected = {(a, b) for i, b in enumerate(own) for a in own[:i] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(expected) > 300 and sorted(map(tuple, links.collect())) == sorted(expected)
+
+
 def test_documents_that_are_all_alike_or_share_a_passage(spark):
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(30))
@@ -106,9 +120,9 @@ def test_values_that_are_hot_in_a_pack_count_as_saturated(spark, monkeypatch):
     pairs = [(h, d) for h in range(30) for d in range(h % 9 + 1)] + [(2**63 + 5, d) for d in range(7)] + [(2**63 + 9, 1)]
     h, d = (np.array(x, t) for x, t in zip(zip(*pairs), (np.uint64, np.int64)))
     order = np.random.default_rng(1).permutation(len(h))
-    rows = [tuple(r.values()) for part in np.array_split(order, 3) for b in meeting.pack(h[part], d[part]) for r in b.to_pylist()]
+    rows = [tuple(bytearray(x) if isinstance(x, bytes) else x for x in r.values()) for part in np.array_split(order, 3) for b in meeting.pack(h[part], d[part]) for r in b.to_pylist()]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    got = jaccard.counted(spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], meeting.PACKED)).collect()
+    got = jaccard.counted(spark.createDataFrame(rows, meeting.PACKED)).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.h % 2**64, r.doc) for r in got) == sorted((x, y) for x, y in pairs if x > 2**63 or x % 9)
     n = {}
