@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, jaccard, langid, packing, secrets, substrings, token_counts, topk
+from quire.llm import chat, decontaminate, divergence, hard_negatives, jaccard, langid, mixing, packing, secrets, substrings, token_counts, topk
 from quire.llm.common import bound_batches, table
 
 
@@ -56,14 +56,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.embedding_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_matrices, op3_best_fit_packing, op4_substring_dedup, op5_embedding_top_k, op6_preferences, op7_secret_scan, op8_token_counts, op9_jaccard_join, op10_language_id)
-}
+    for f in (
+        op1_decontamination, op2_token_matrices, op3_best_fit_packing, op4_substring_dedup, op5_embedding_top_k, op6_preferences, op7_secret_scan,
+        op8_token_counts, op9_jaccard_join, op10_language_id, op11_source_divergence, op12_hard_negatives, op13_source_mix,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.CONTAMINATION_SQL,
     "op4_substring_dedup": substrings.REPEATS_SQL,
     "op5_embedding_top_k": topk.EMBEDDING_TOP_K_SQL,
     "op6_preferences": chat.PREFERENCE_SQL,
     "op9_jaccard_join": jaccard.JACCARD_SQL,
+    "op11_source_divergence": divergence.DIVERGENCE_SQL,
+    "op12_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL,
+    "op13_source_mix": mixing.MIXING_SQL,
 }
