@@ -31,7 +31,14 @@ def finite(vector: str) -> Column:
 
 
 def quantized(vector: str, scale: int = 1024) -> Column:
-    return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """Components rounded down to 1/scale, as whole numbers; one beyond 64 bits ends the job."""
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        beyond = (y < F.lit(-(2.0**63))) | (y >= F.lit(2.0**63))
+        return F.when(beyond, F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")).otherwise(F.floor(y).cast("long"))
+
+    return F.transform(F.col(vector), whole)
 
 
 class OwnRows:
@@ -120,7 +127,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str
 
 
 def embedding_top_k(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
-    """exact_top_k of the rows whose vec_id is divisible by ``every`` against all rows, vectors rounded down to 1/scale."""
+    """exact_top_k of the rows whose vec_id is divisible by ``every`` against all rows, vectors rounded down to 1/scale; a component beyond 64 bits ends the job as such a score does."""
     rows = embeddings.where(finite("embedding")).select("vec_id", quantized("embedding", scale).alias("vector"))
     return exact_top_k(rows.where(F.col("vec_id") % every == 0), rows, k)
 

@@ -56,3 +56,11 @@ def test_a_score_beyond_64_bits_ends_the_job():
     q = np.full((1, 4), 2**40)
     with pytest.raises(OverflowError):
         list(topk.branch_and_bound(q, np.repeat(q, 3, 0), np.zeros((1, 3), bool), 2))
+
+
+def test_a_component_beyond_64_bits_ends_the_job(spark):
+    rows = [(0, [1 / 1024, 0.0]), (1, [1e30, 0.0]), (2, [5e29, 0.0])]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.embedding_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    rows = [(0, [1 / 1024, 0.0]), (1, [2.0**52, 0.0]), (2, [2.0**52 - 1, 0.0])]
+    assert sorted(map(tuple, topk.embedding_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == brute(rows)
