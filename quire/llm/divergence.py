@@ -129,7 +129,7 @@ def _in_shards(rows: DataFrame, shards: int, sql: str, out: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """COUNTED: occurrences and documents of the terms of each (lang, source), added up within tasks; a row without term for each group."""
-    schema = _schema(COUNTED)
+    schema, most = _schema(COUNTED), HELD_ROWS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _Duck() as con:
@@ -137,14 +137,14 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
             for batch in batches:
                 con.register("batch", pa.Table.from_batches([batch]))
-                held += con.execute(f"INSERT INTO held {_TERMS_SQL}").fetchone()[0]
+                held += con.execute(f"INSERT INTO held {_TERMS_SQL}").fetchall()[0][0]
                 con.unregister("batch")
-                if held > HELD_ROWS:
+                if held > most:
                     con.execute(f"CREATE TABLE less AS {_SUM_SQL.format('held')}")
                     con.execute("DROP TABLE held")
                     con.execute("ALTER TABLE less RENAME TO held")
-                    held = con.execute("SELECT count(*) FROM held").fetchone()[0]
-                    if held > HELD_ROWS // 2:
+                    held = con.execute("SELECT count(*) FROM held").fetchall()[0][0]
+                    if held > most // 2:
                         yield from _arrow(con, "SELECT * FROM held", schema).to_batches(1 << 16)
                         con.execute("DELETE FROM held")
                         held = 0

@@ -57,11 +57,14 @@ def test_edge_cases(spark):
 
 
 def test_tasks_that_hold_little_and_many_shards_give_the_same(spark, sf_dir, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     whole = found(docs, best=7)
+    monkeypatch.setattr(dv, "HELD_ROWS", 50)
     monkeypatch.setattr(dv, "SHARD_ROWS", 500)
     monkeypatch.setattr(dv, "BROADCAST_ROWS", 0)
     assert found(docs, best=7) == whole == brute([(r.text, r.lang, r.source) for r in docs.collect()], best=7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def test_counts_beyond_64_bits_of_products(spark):
