@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.providers import ModelError
 from quire.operators.remote import register_settings
-from quire.operators.translation import Store
+from quire.operators.store import Store
 from quire.operators.voices import spoken_by, voice_loader
 from quire.plans import books
 from quire.streaming.follow import wait_until_finished
@@ -68,7 +68,7 @@ def _narrate(store: Store, a: argparse.Namespace, named: list[str] | None, follo
     speak = spoken_by(voice_loader(a.voice), a.voice)
     if follow:
         chunks = books._chunks(store, named).select("book_id", "chunk")
-        query = books.narrate_stream(store, speak, f"{store.path}/_follow-{time.time_ns()}", seconds=a.seconds, skip=a.skip, books=named)
+        query = books.narrate_stream(store, speak, f"{store.path}/_follow-{time.time_ns()}", seconds=a.seconds, skip=a.skip, books=named, target=a.audio_target)
         wait_until_finished(query, chunks, store, a.seconds)
     told = books.narrate(store, speak, skip=a.skip, books=named)
     print(*[f"{r.book_id} {r.chapter} {r.title}: {'complete' if r.complete else 'incomplete'}" for r in told.orderBy("book_id", "chapter").toLocalIterator()], sep="\n")

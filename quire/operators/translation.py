@@ -13,11 +13,10 @@ from __future__ import annotations
 import html
 import json
 import re
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -27,10 +26,13 @@ from quire.functions.markup import MarkupError, signature
 from quire.operators.common import written
 from quire.operators.packing import slice_texts
 from quire.operators.providers import ModelError, Provider, QuotaError
+from quire.operators.store import Store
 
 CONTEXT_SEGMENTS, ATTEMPTS, SPEECH_BATCH = 10, 2, 60
 TRANSLATIONS = "book_id string, chunk int, translation array<string>, usage map<string,double>, error string, error_kind string"
 ROUND = TRANSLATIONS + ", provider string"
+#: Which chunks the store has, for streams; an edition is a book as it was prepared once.
+ARRIVALS = "book_id string, edition string, chunk int"
 USAGE = "usage map<string,double>"
 PARTS, LABELS = f"book_id string, slice int, part string, {USAGE}", f"book_id string, label string, translation string, {USAGE}"
 SPOKEN = f"text string, spoken string, book_id string, {USAGE}"
@@ -44,43 +46,6 @@ ASKED = "Segments to translate:"
 LISTED = "Labels:"
 
 
-class Store:
-    """Tables below a folder of the shared store, each a set of appended Parquet files."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Puts df, which may read the table, in the table's place."""
-        new = f"{self.path}/_new-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(new)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        old, fresh = hadoop.Path(f"{self.path}/{name}"), hadoop.Path(new)
-        system = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        system.delete(old, True)
-        system.rename(fresh, old)
-
-    def without(self, name: str, schema: str, books: DataFrame) -> None:
-        """Takes the rows of some books out of a table."""
-        self.replace(name, self.read(name, schema).join(books.select("book_id").distinct(), "book_id", "left_anti").select(*[c.split()[0] for c in fields(schema)]))
-
-
-def fields(schema: str) -> list[str]:
-    """The fields of a schema, as text."""
-    return re.split(r", (?=\w+ )(?![^<]*>)", schema)
-
-
 def prompt_of(glossary: str, context: list[str], sources: list[str], error: str | None = None) -> str:
     """What a model is asked: terms, what was translated before, what was wrong with its last answer, and the segments, numbered from 1."""
     parts = [("Terms:", glossary), ("Translated before, for the context alone:", "\n".join(context)), ("The last answer couldn't be used:", error)]
@@ -151,6 +116,21 @@ def translated(store: Store) -> DataFrame:
     return store.read("translations", TRANSLATIONS).where("translation IS NOT NULL").dropDuplicates(["book_id", "chunk"])
 
 
+def arrivals(store: Store) -> DataFrame:
+    """What was announced to streams; a chunk may be there more than once."""
+    try:
+        return store.spark.read.schema(ARRIVALS).parquet(f"{store.path}/arrivals")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return store.spark.createDataFrame([], ARRIVALS)
+
+
+def announce(store: Store, chunks: DataFrame) -> None:
+    """Tells streams of chunks (ARRIVALS) that the store has."""
+    chunks.select("book_id", "edition", "chunk").write.mode("append").parquet(f"{store.path}/arrivals")
+
+
 def _tails(done: DataFrame) -> DataFrame:
     """(book_id, chunk, context): the end of each translated chunk, for the chunk after it."""
     tail = F.slice("translation", F.greatest(F.size("translation") - (CONTEXT_SEGMENTS - 1), F.lit(1)), CONTEXT_SEGMENTS)
@@ -168,16 +148,22 @@ def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Pro
     """Translates what the store lacks, at most ``max_chunks`` new ones a book; True when all chunks are done.
 
     chunks: book_id, chunk (from 1), sources, and, where books differ in them,
-    provider, model and system; call is then a map from providers. A book whose
+    provider, model, system and edition; call is then a map from providers. A book whose
     chunk fails stops for this run and keeps what it has; its errors are in the
     store. A provider whose quota is used up is asked no more after that round.
     glossary: book_id, glossary. A round reads what the round before it wrote,
-    not the whole store.
+    not the whole store. What a round stored is then announced to streams; what
+    a run that broke off had stored and not announced is at the next one's start.
     """
-    for name, value in (("provider", None), ("model", model), ("system", system)):
+    for name, value in (("provider", None), ("model", model), ("system", system), ("edition", "")):
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit(value).cast("string"))
     known = translated(store)
+    editions = written(chunks.select("book_id", "edition").distinct(), "editions")
+    untold = known.select("book_id", "chunk").join(editions, "book_id").join(arrivals(store), ["book_id", "edition", "chunk"], "left_anti")
+    untold = written(untold.select("book_id", "edition", "chunk"), "untold")
+    if not untold.isEmpty():
+        announce(store, untold)
     todo = written(chunks.join(known.select("book_id", "chunk"), ["book_id", "chunk"], "left_anti"), "todo")
     before = context = written(_tails(known), "context")
     following = todo.groupBy("book_id").agg(F.min("chunk").alias("chunk"))
@@ -195,12 +181,13 @@ def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Pro
                     found = translate_chunk(own, list(r.sources), context, r.glossary or "", r.system, r.model)
                     yield pd.DataFrame([(r.book_id, r.chunk, *found, r.provider)], columns=["book_id", "chunk", "translation", "usage", "error", "error_kind", "provider"])
 
-        path = f"translations/round={pd.Timestamp.now().value}"
         asked = rows.select("book_id", "chunk", "sources", "context", "glossary", "provider", "model", "system").repartition("book_id").mapInPandas(answer, ROUND)
-        store.append(path, asked)
-        now = store.spark.read.schema(ROUND).parquet(f"{store.path}/{path}")
+        folder = store.stage("translations", asked)
+        now = store.staged("translations", folder, ROUND)
         if now.isEmpty():
             break
+        store.commit("translations", folder)
+        announce(store, now.where("translation IS NOT NULL").select("book_id", "chunk").join(editions, "book_id"))
         stopped |= {r[0] for r in now.where("error_kind = 'quota'").select("provider").distinct().collect()}
         good = now.where("translation IS NOT NULL")
         if stopped:
@@ -212,8 +199,9 @@ def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Pro
 
 
 def compact(store: Store) -> None:
-    """Puts the many small files of translations together; not while a run or a stream uses them."""
-    store.replace("translations", store.read("translations", TRANSLATIONS).repartition("book_id"))
+    """Puts the many small files of translations together, and deletes what no readable version needs."""
+    store.compact("translations", TRANSLATIONS, "book_id")
+    store.clean("translations")
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ book's own provider, model and profile, as prepare stored them, rule every step.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,12 @@ from quire.operators import narration, packing, reports, segments
 from quire.operators import translation as tr
 from quire.operators.common import written
 from quire.operators.providers import Provider, check_ready, chosen_model, provider
-from quire.operators.translation import LABELS, SPOKEN, SYSTEMS, Store
+from quire.operators.store import Store, columns
+from quire.operators.translation import LABELS, SPOKEN, SYSTEMS
 from quire.sources import epub
 from quire.streaming.follow import follow, released
 
-STATE = "book_id string, profile string, provider string, model string, source string, archive string"
+STATE = "book_id string, profile string, provider string, model string, source string, archive string, edition string"
 SEGMENTS = segments.SEGMENTS + ", words int, chunk int"
 PIECES = "piece_key string, text string, heard string, score double, data binary"
 GLOSSARY = f"book_id string, glossary string, {tr.USAGE}"
@@ -103,8 +105,8 @@ def prepare(spark: SparkSession, path: str, store: Store, profile: str, provider
         names = written(names.join(state(store), "book_id", "left_anti"), "new-books")
         entries = entries.join(names.select("book_id"), "book_id", "left_semi")
     found = written(segments.page_segments(segments.book_pages(entries, epub.spine(epub.packages(entries))), references), "segments")
-    store.append("segments", found.join(packing.chunks(found), ["book_id", "file_pos", "idx"]).select(*[c.split()[0] for c in tr.fields(SEGMENTS)]))
-    fresh = names.select("book_id", F.lit(profile).alias("profile"), F.lit(provider_name).alias("provider"), F.lit(model).cast("string").alias("model"), F.lit(path).alias("source"), "archive")
+    store.append("segments", found.join(packing.chunks(found), ["book_id", "file_pos", "idx"]).select(*columns(SEGMENTS)))
+    fresh = names.select("book_id", F.lit(profile).alias("profile"), F.lit(provider_name).alias("provider"), F.lit(model).cast("string").alias("model"), F.lit(path).alias("source"), "archive", F.lit(uuid.uuid4().hex).alias("edition"))
     fresh = written(fresh, "state")
     store.append("state", fresh)
     return fresh
@@ -125,8 +127,7 @@ def glossary(store: Store, provider_name: str | None = None, model: str | None =
         texts = _segments(store, own.books).withColumn("text", T.plain_text("src"))
         tr.glossary_parts(texts, store, own.call, own.model)
         merged = written(tr.merged_glossary(store, own.call, own.model, own.books), "glossary")
-        others = store.read("glossary", GLOSSARY).join(merged.select("book_id"), "book_id", "left_anti")
-        store.replace("glossary", others.select(*merged.columns).unionByName(merged))
+        store.replace_rows("glossary", GLOSSARY, merged, merged.select("book_id"))
 
 
 def translate(store: Store, provider_name: str | None = None, model: str | None = None, books: Books = None, max_chunks: int | None = None, call: Provider | None = None) -> bool:
@@ -138,7 +139,7 @@ def translate(store: Store, provider_name: str | None = None, model: str | None
     chunks, rows = _chunks(store, books), None
     system = F.create_map(*[F.lit(x) for pair in SYSTEMS.items() for x in pair])[F.col("profile")]
     for i, own in enumerate(settings):
-        named = own.books.join(state(store).select("book_id", "profile"), "book_id").select("book_id", F.lit(str(i)).alias("provider"), F.lit(own.model).cast("string").alias("model"), system.alias("system"))
+        named = own.books.join(state(store).select("book_id", "profile", "edition"), "book_id").select("book_id", "edition", F.lit(str(i)).alias("provider"), F.lit(own.model).cast("string").alias("model"), system.alias("system"))
         rows = named if rows is None else rows.unionByName(named)
     if rows is None:
         raise BookError("the store has none of these books")
@@ -231,10 +232,20 @@ def report(store: Store) -> DataFrame:
     return narration.suspects(store.read("pieces", PIECES).drop("data"))
 
 
-def narrate_stream(store: Store, speak: Callable[[DataFrame], DataFrame], checkpoint: str, seconds: int = 60, once: bool = False, **settings):
-    """narrate, each time new chunks are translated."""
-    chunks = _chunks(store, settings.get("books")).select("book_id", "chunk")
-    return follow(store.spark, store, chunks, lambda _: narrate(store, speak, **settings).write.format("noop").mode("overwrite").save(), checkpoint, seconds, once)
+def narrate_stream(store: Store, speak: Callable[[DataFrame], DataFrame], checkpoint: str, seconds: int = 60, once: bool = False, target: str | None = None, **settings):
+    """narrate and refresh_chapters for the books of which chunks were released, each time some are; with a target the chapters that changed are written there."""
+
+    def came(new: DataFrame) -> None:
+        books = written(_of(new.select("book_id").distinct(), settings.get("books")), "released-books")
+        if books.isEmpty():
+            return
+        narrate(store, speak, **settings | {"books": books}).write.format("noop").mode("overwrite").save()
+        if target is None:
+            refresh_chapters(store, _narrated(store, books, settings.get("skip")))
+        else:
+            write_audio(*audiobook(store, books, settings.get("skip"), only_changed=True), target)
+
+    return follow(store.spark, store, came, checkpoint, seconds, once)
 
 
 def usage_log(store: Store) -> DataFrame:
@@ -271,40 +282,66 @@ def metadata(store: Store, books: Books = None) -> DataFrame:
     return epub.navigation(package).select("book_id").join(texts, "book_id", "left").join(images, "book_id", "left").join(toc, "book_id", "left").select("book_id", F.coalesce(F.expr("nullif(title, '')"), "book_id").alias("title"), "artists", "cover", "image", "toc")
 
 
-def audiobook(store: Store, books: Books = None, skip: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """((book_id, chapter, title, start_ms, end_ms, data), (book_id, metadata)): the complete chapters as WAV files, and the chapter marks as text.
+@dataclass(frozen=True)
+class Narrated:
+    """What is read aloud of some books: the pieces' table, the pieces of each chapter, titles, and the keys of each chapter that is complete."""
 
-    A chapter's title is its label in the table of contents, else its beginning.
-    Chapters are kept in the store, and made anew only where their pieces changed.
-    """
+    stored: DataFrame
+    pieces: DataFrame
+    titles: DataFrame
+    wanted: DataFrame
+
+
+def _narrated(store: Store, books: Books, skip: list[str] | None) -> Narrated:
     chunks = _chunks(store, books).select("book_id", "chunk")
     read = written(_read_aloud(store, books, released(chunks, tr.translated(store)), skip or []), "read")
     stored = store.read("pieces", PIECES).dropDuplicates(["piece_key"])
     pieces = written(narration.narration(read, _spoken(store), stored), "pieces")
     titles = narration.chapter_titles(read)
     whole = narration.complete_chapters(titles, pieces, stored).where("complete").select("book_id", "chapter")
-    wanted = written(narration.manifests(pieces.join(whole, ["book_id", "chapter"])), "manifests")
+    return Narrated(stored, pieces, titles, written(narration.manifests(pieces.join(whole, ["book_id", "chapter"])), "manifests"))
+
+
+def refresh_chapters(store: Store, own: Narrated) -> DataFrame:
+    """Makes the complete chapters that the store lacks or whose pieces changed, in one version of the table; others stay in their files. Returns (book_id, chapter) of those made."""
     have = store.read("chapters", CHAPTERS)
     same = F.col("keys") == F.col("_keys")
-    changed = wanted.join(have.select("book_id", "chapter", F.col("keys").alias("_keys")), ["book_id", "chapter"], "left").where(~F.coalesce(same, F.lit(False))).select("book_id", "chapter", "keys")
+    changed = own.wanted.join(have.select("book_id", "chapter", F.col("keys").alias("_keys")), ["book_id", "chapter"], "left").where(~F.coalesce(same, F.lit(False))).select("book_id", "chapter", "keys")
     changed = written(changed, "changed-chapters")
     if not changed.isEmpty():
-        made = narration.chapter_audio(pieces.join(changed.select("book_id", "chapter"), ["book_id", "chapter"]), stored.select("piece_key", "data")).join(changed, ["book_id", "chapter"])
-        kept = have.join(changed.select("book_id", "chapter"), ["book_id", "chapter"], "left_anti")
-        columns = [c.split()[0] for c in tr.fields(CHAPTERS)]
-        store.replace("chapters", kept.select(*columns).unionByName(made.select(*columns)))
-    sound = store.read("chapters", CHAPTERS).join(wanted.select("book_id", "chapter"), ["book_id", "chapter"], "left_semi")
+        made = narration.chapter_audio(own.pieces.join(changed.select("book_id", "chapter"), ["book_id", "chapter"]), own.stored.select("piece_key", "data")).join(changed, ["book_id", "chapter"])
+        store.replace_rows("chapters", CHAPTERS, made.select(*columns(CHAPTERS)), changed.select("book_id", "chapter"))
+    return changed.select("book_id", "chapter")
+
+
+def audiobook(store: Store, books: Books = None, skip: list[str] | None = None, only_changed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((book_id, chapter, title, start_ms, end_ms, data), (book_id, metadata)): the complete chapters as WAV files, and the chapter marks as text.
+
+    A chapter's title is its label in the table of contents, else its beginning.
+    Chapters are kept in the store, and made anew only where their pieces
+    changed; with ``only_changed`` only those are returned, with all marks.
+    """
+    own = _narrated(store, books, skip)
+    made = refresh_chapters(store, own)
+    sound = store.read("chapters", CHAPTERS).join(own.wanted.select("book_id", "chapter"), ["book_id", "chapter"], "left_semi")
     about = metadata(store, books).select("book_id", F.col("title").alias("book_title"), "artists", "toc")
-    marks = narration.offsets(sound.select("book_id", "chapter", "ms"), ["book_id"], ["chapter"]).join(titles, ["book_id", "chapter"]).join(about, "book_id")
+    marks = narration.offsets(sound.select("book_id", "chapter", "ms"), ["book_id"], ["chapter"]).join(own.titles, ["book_id", "chapter"]).join(about, "book_id")
     marks = written(marks.withColumn("title", F.coalesce(F.expr("nullif(toc[file], '')"), "title")), "marks")
+    if only_changed:
+        sound = sound.join(made, ["book_id", "chapter"], "left_semi")
     return marks.select("book_id", "chapter", "title", "start_ms", "end_ms").join(sound.select("book_id", "chapter", "data"), ["book_id", "chapter"]), narration.chapter_metadata(marks)
 
 
 def write_audio(sound: DataFrame, marks: DataFrame, target: str) -> None:
-    """Writes a folder for each book into one that all executors mount: chapters as WAV files, and the chapter marks as metadata.txt."""
+    """Writes a folder for each book into one that all executors mount: chapters as WAV files, and the chapter marks as metadata.txt. Fails where an executor doesn't see what the driver put there."""
     os.makedirs(target, exist_ok=True)
+    mark = os.path.join(target, f".shared-{uuid.uuid4().hex}")
+    with open(mark, "w"):
+        pass
 
     def put(folder: str, name: str, data: bytes) -> None:
+        if not os.path.exists(mark):
+            raise FileNotFoundError(f"{target} must be mounted on all machines")
         os.makedirs(folder, exist_ok=True)
         with open(os.path.join(folder, f".{name}.tmp"), "wb") as f:
             f.write(data)
@@ -319,5 +356,8 @@ def write_audio(sound: DataFrame, marks: DataFrame, target: str) -> None:
             put(os.path.join(target, r.book_id), "metadata.txt", r.metadata.encode())
 
     name = F.substring(T.output_name("title"), 1, 60)
-    sound.select("book_id", "chapter", name.alias("name"), "data").foreachPartition(chapters)
-    marks.foreachPartition(texts)
+    try:
+        sound.select("book_id", "chapter", name.alias("name"), "data").foreachPartition(chapters)
+        marks.foreachPartition(texts)
+    finally:
+        os.remove(mark)

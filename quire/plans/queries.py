@@ -18,6 +18,8 @@ from quire.operators import narration, packing, reports, segments, translation,
 from quire.operators.common import shared_dir, table, written
 from quire.operators.ordered import previous, running, spread
 from quire.operators.providers import provider
+from quire.operators.store import Store
+from quire.streaming.follow import RELEASED, follow
 
 CHUNK, PART, SLICE = 2000, 500, 3000
 BOOK, ORDER = ["book_id"], ["file_pos", "idx"]
@@ -298,11 +300,44 @@ def translate_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole books through the translation loop with the provider that needs no model."""
     lines = _lines(spark, sf_dir).withColumn("src", F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
     chunks = written(translation.chunk_rows(lines, packing.chunks(lines)), "chunks")
-    store = translation.Store(spark, f"{shared_dir(spark)}/books-{uuid.uuid4().hex}")
+    store = Store(spark, f"{shared_dir(spark)}/books-{uuid.uuid4().hex}")
     translation.translate(chunks, store, provider("echo").call)
     return translation.translated(store).select("book_id", "chunk", F.size("translation").alias("segments"), F.sha1(F.array_join("translation", "\n")).alias("digest"))
 
 
+def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is appended to, replaced in part, compacted and appended to again, read at a version before and at the last."""
+    store = Store(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    schema = "book_id string, chunk long, size long, step string"
+    rows = _documents(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").alias("chunk"), F.col("n_chars").cast("long").alias("size"))
+    step = lambda df, name: df.withColumn("step", F.lit(name))
+    store.append("rows", step(rows.where("chunk % 3 = 0"), "first"))
+    before = store.append("rows", step(rows.where("chunk % 3 = 1"), "second"))
+    german = _documents(spark, sf_dir).where("lang = 'de'").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chunk"))
+    again = rows.join(german, ["book_id", "chunk"], "left_semi").where("chunk % 3 < 2").withColumn("size", F.col("size") * 2)
+    store.replace_rows("rows", schema, step(again, "again"), german)
+    store.without("rows", schema, rows.where("book_id LIKE '%1'"))
+    store.compact("rows", schema, "book_id")
+    store.append("rows", step(rows.where("chunk % 3 = 2"), "last"))
+    return store.read("rows", schema, before).withColumn("at", F.lit("before")).unionByName(store.read("rows", schema).withColumn("at", F.lit("now")))
+
+
+def stream_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that come in any order, some never, released in order by a stream's state."""
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    docs = _documents(spark, sf_dir).select("source", "doc_id")
+    numbered = running(spread(docs, ["source"], ["doc_id"]), ["source"], ["doc_id"], {"chunk": F.lit(1)})
+    early = numbered.where("chunk <= 7").join(known, "doc_id", "left_anti")
+    arrived = numbered.join(known, "doc_id", "left_semi").unionByName(early, allowMissingColumns=True)
+    store = Store(spark, f"{shared_dir(spark)}/release-{uuid.uuid4().hex}")
+    rows = arrived.select(F.coalesce("source", F.lit("")).alias("book_id"), F.lit("").alias("edition"), F.col("chunk").cast("int").alias("chunk"))
+    translation.announce(store, rows.repartition(3, F.xxhash64("book_id", "chunk")))  # several files, in no order
+    out = f"{store.path}/released"
+    store.append("released", spark.createDataFrame([], RELEASED))
+    follow(spark, store, lambda new: store.append("released", new) and None, f"{out}-checkpoint", once=True).awaitTermination()
+    return store.read("released", RELEASED).select("book_id", "chunk")
+
+
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals and preceding events of each user, in order of time."""
     rows = spread(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
@@ -316,7 +351,7 @@ QUERIES = {
         segments_explode, plain_text_pages, word_counts, chunk_packing, split_by_words, glossary_slices, rolling_context, ordered_distinct, tag_signature, validate_ids,
         signature_mismatch, usage_rollup, status_rollup, first_gap_prefix, chapter_runs, skip_files, short_runs, note_join, speech_text, prepare_text, spell_detect,
         split_long_pieces, piece_keys, missing_pieces, length_batches, fixed_batches, best_take, chapter_offsets, judge_report, price_report, log_counters, spoken_lookup,
-        label_translate, slug_urls, json_props, similarity_best, xhtml_segments, inline_markup, write_back, label_union, translate_echo, event_sequences,
+        label_translate, slug_urls, json_props, similarity_best, xhtml_segments, inline_markup, write_back, label_union, translate_echo, store_snapshots, stream_release, event_sequences,
     )
 }
 
@@ -469,5 +504,14 @@ UNION ALL SELECT page_id, 2, 0, url, NULL, false, false FROM u UNION ALL SELECT
   FROM lines l JOIN groups g ON g.book_id = l.book_id AND g.file_pos = l.file_pos LEFT JOIN part_of p ON p.book_id = l.book_id AND p.file_pos = l.file_pos AND p.idx = l.idx
 )
 SELECT book_id, chunk, CAST(count(*) AS INTEGER) AS segments, sha1(string_agg('HU ' || replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10) ORDER BY file_pos, idx)) AS digest FROM numbered GROUP BY book_id, chunk""",
+    "store_snapshots": """WITH r AS (SELECT source AS book_id, doc_id AS chunk, CAST(n_chars AS BIGINT) AS size, lang = 'de' AND source IS NOT NULL AS german FROM documents)
+SELECT book_id, chunk, size, CASE WHEN chunk % 3 = 0 THEN 'first' ELSE 'second' END AS step, 'before' AS at FROM r WHERE chunk % 3 < 2
+UNION ALL
+SELECT book_id, chunk, CASE WHEN german THEN 2 * size ELSE size END, CASE WHEN german THEN 'again' WHEN chunk % 3 = 0 THEN 'first' ELSE 'second' END, 'now' FROM r WHERE chunk % 3 < 2 AND coalesce(book_id, '') NOT LIKE '%1'
+UNION ALL
+SELECT book_id, chunk, size, 'last', 'now' FROM r WHERE chunk % 3 = 2""",
+    "stream_release": """WITH n AS (SELECT coalesce(source, '') AS book_id, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS chunk FROM documents),
+a AS (SELECT *, chunk <= 7 OR doc_id IN (SELECT doc_id FROM labels) AS here FROM n)
+SELECT book_id, chunk FROM (SELECT *, bool_and(here) OVER (PARTITION BY book_id ORDER BY chunk) AS ready FROM a) WHERE ready""",
     "event_sequences": "SELECT event_id, lag(event_type) OVER w AS before, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.__main__ import main
 from quire.operators.narration import wav
 from quire.operators.providers import Result, echo, register
-from quire.operators.translation import Store
+from quire.operators.store import Store
 from quire.plans import books as B
 from tests import books
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quire.operators import narration, packing, reports, segments, translation, validation
 from quire.operators.ordered import previous, ranked, running, spread
 from quire.operators.providers import ModelError, QuotaError, Result, check_ready, chosen_model, echo, provider, register
+from quire.operators.store import Store
 from quire.sources import epub
-from quire.streaming.follow import finished, follow
 from tests import books
 
 
@@ -112,7 +112,7 @@ def test_chunks_are_retried_and_halved():
 
 def test_books_are_translated_resumably(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 1, ["one", "two"]), ("a", 2, ["three"]), ("b", 1, ["BAD"]), ("b", 2, ["never"]), ("c", 1, ["x"])], "book_id string, chunk int, sources array<string>")
-    store = translation.Store(spark, f"file://{tmp_path}/work")
+    store = Store(spark, f"file://{tmp_path}/work")
     assert not translation.translate(chunks, store, Scripted(), max_chunks=1)
     assert {(r.book_id, r.chunk) for r in translation.translated(store).collect()} == {("a", 1), ("c", 1)}
     assert not translation.translate(chunks, store, Scripted())
@@ -144,16 +144,16 @@ class Refusing:
 def test_a_quota_ends_the_run_of_its_provider(spark, tmp_path):
     rows = [("a", 1, ["QUOTA"], "p"), ("a", 2, ["x"], "p"), ("b", 1, ["y"], "p"), ("b", 2, ["never"], "p"), ("c", 1, ["z"], "q"), ("c", 2, ["w"], "q")]
     chunks = spark.createDataFrame(rows, "book_id string, chunk int, sources array<string>, provider string")
-    store = translation.Store(spark, f"file://{tmp_path}/work")
+    store = Store(spark, f"file://{tmp_path}/work")
     (tmp_path / "calls").mkdir()
     call = Refusing(str(tmp_path / "calls"), 0)
     assert not translation.translate(chunks, store, {"p": call, "q": echo})
     assert {(r.book_id, r.chunk) for r in translation.translated(store).collect()} == {("b", 1), ("c", 1), ("c", 2)}
     assert len(list((tmp_path / "calls").iterdir())) == 2
     assert translation.translate(chunks, store, echo)
-    files = len(list((tmp_path / "work" / "translations").rglob("*.parquet")))
+    assert len(store.version("translations").live) > 1
     translation.compact(store)
-    assert translation.translated(store).count() == 6 and len(list((tmp_path / "work" / "translations").rglob("*.parquet"))) <= files
+    assert translation.translated(store).count() == 6 and len(store.version("translations").live) == 1
 
 
 def test_context_is_the_end_of_the_chunk_before(spark):
@@ -164,7 +164,7 @@ def test_context_is_the_end_of_the_chunk_before(spark):
 
 
 def test_glossary_labels_and_spelling(spark, tmp_path):
-    store = translation.Store(spark, f"file://{tmp_path}/g")
+    store = Store(spark, f"file://{tmp_path}/g")
     rows = spark.createDataFrame([("b", 1, 0, "x", 3), ("b", 1, 1, "y", 1)], "book_id string, file_pos long, idx int, text string, words int")
     answers = lambda prompt, system, model: Result('text {"terms": ["%s"]} more' % prompt.split("\n")[1], {"t": 2})
     translation.glossary_parts(rows, store, answers, limit=3)
@@ -259,18 +259,3 @@ def test_reports(spark):
     assert sorted(map(tuple, reports.judged(scores, ["run"], ["a", "b", "c", "d"]).collect())) == [("m", 1, 6.0), ("n", 0, 0.0)]
     ok = spark.createDataFrame([("x", 0, ["a"]), ("y", 0, []), ("z", 1, ["a"]), ("w", 0, None)], "run string, code int, t array<string>")
     assert {r.run: r.ok for r in ok.groupBy("run").agg(reports.run_ok(F.col("code"), F.col("t")).alias("ok")).collect()} == {"x": True, "y": False, "z": False, "w": False}
-
-
-def test_following_releases_chunks_in_order(spark, tmp_path):
-    chunks = spark.createDataFrame([("a", i) for i in (1, 2, 3)], "book_id string, chunk int")
-    store = translation.Store(spark, f"file://{tmp_path}/s")
-    seen = []
-
-    def came(*numbers):
-        store.append("translations", spark.createDataFrame([("a", i, [f"t{i}"], None, None, "ok") for i in numbers], translation.TRANSLATIONS))
-        follow(spark, store, chunks, lambda df: seen.append(sorted(r.chunk for r in df.collect())), f"{tmp_path}/check", once=True).awaitTermination()
-
-    came(1, 3)
-    assert seen == [[1]] and not finished(chunks, store)
-    came(2)
-    assert seen[-1] == [1, 2, 3] and finished(chunks, store)
