@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -72,7 +72,13 @@ class WordTables:
         self.rank = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(pairs)}
         #: What each token is merged from, and when.
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], i) for i, (a, b) in reversed(list(enumerate(pairs)))}
-        self.longest = max(len(t.removesuffix(_LAST)) for t in self.vocab)
+        #: The longest token that ends in two letters, within a word and at its end; no entry: one letter.
+        self.within: dict[str, int] = {}
+        self.at_end: dict[str, int] = {}
+        for t in self.vocab:
+            reach, own = (self.at_end, t.removesuffix(_LAST)) if t.endswith(_LAST) else (self.within, t)
+            reach[own[-2:]] = max(reach.get(own[-2:], 1), len(own))
+        self.longest = max(*self.within.values(), *self.at_end.values())
         self.letters = _byte_letters()
         self.apart: dict[int, bool] = {}
         self.counts: dict[str, int] = _Counts(self)
@@ -108,10 +114,10 @@ class WordTables:
 
     def _inner(self, w: str) -> tuple[list[int], list[int]]:
         """For each prefix not ending a word: its last token and its count."""
-        vocab, apart, longest = self.vocab, self.stay_apart, self.longest
+        vocab, apart, reach = self.vocab, self.stay_apart, self.within
         last, count = [-1] * (len(w) + 1), [0] * (len(w) + 1)
         for i in range(1, len(w) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(max(0, i - reach.get(w[max(0, i - 2) : i], 1)), i):
                 t = vocab.get(w[j:i])
                 if t is not None and (not j or apart(last[j], t)):
                     last[i], count[i] = t, count[j] + 1
@@ -120,12 +126,31 @@ class WordTables:
 
     def _ending(self, w: str, i: int, last: list[int], count: list[int]) -> int:
         """The count of the prefix of i letters as a whole word."""
-        for j in range(max(0, i - self.longest), i):
+        for j in range(max(0, i - self.at_end.get(w[max(0, i - 2) : i], 1)), i):
             t = self.vocab.get(w[j:i] + _LAST)
             if t is not None and (not j or self.stay_apart(last[j], t)):
                 return count[j] + 1
         return 0
 
+    def after(self, w: str, at: int, more: str, last: list[int], count: list[int]) -> int:
+        """The count of the prefix of ``at`` letters and then ``more`` as a whole word, from the tables of w."""
+        if not more:
+            return self._ending(w, at, last, count) if at else 0
+        first = max(0, at - self.longest)
+        near, lasts, counts = w[first:at] + more, last[first : at + 1], count[first : at + 1]
+        for i in range(at - first + 1, len(near)):
+            for j in range(max(0, i - self.within.get(near[max(0, i - 2) : i], 1)), i):
+                t = self.vocab.get(near[j:i])
+                if t is not None and (not first + j or self.stay_apart(lasts[j], t)):
+                    lasts.append(t)
+                    counts.append(counts[j] + 1)
+                    break
+        for j in range(max(0, len(near) - self.at_end.get(near[-2:], 1)), len(near)):
+            t = self.vocab.get(near[j:] + _LAST)
+            if t is not None and (not first + j or self.stay_apart(lasts[j], t)):
+                return counts[j] + 1
+        return 0
+
     def whole(self, word: str) -> int:
         w = "".join(map(self.letters.__getitem__, word.encode()))
         last, count = self._inner(w[:-1])
@@ -169,14 +194,19 @@ def prefix_table(text: str, odd: bool, path: str) -> tuple[list[int], list[int]]
     if words is None:
         ends: list[int] = []
         totals: list[int] = []
-        found = library(path).encode(text, add_special_tokens=False)
-        for n, (word, (_, end)) in enumerate(zip(found.word_ids, found.offsets, strict=True)):
-            # a character that lower case makes two may hold two words: there is no prefix between them
-            if n and (ends[-1] == end or word is not None and word == found.word_ids[n - 1]):
-                ends[-1], totals[-1] = end, n + 1
+        found, joining = library(path).encode(text, add_special_tokens=False), _joining()
+        last, so_far = None, 0
+        for word, (_, end) in zip(found.word_ids, found.offsets, strict=True):
+            # no prefix ends between two words of one character, or before a mark that may belong to what is before it
+            while end < len(text) and text[end] in joining:
+                end += 1
+            so_far += 1
+            if ends and (ends[-1] == end or word is not None and word == last):
+                ends[-1], totals[-1] = end, so_far
             else:
                 ends.append(end)
-                totals.append(n + 1)
+                totals.append(so_far)
+            last = word
         return ends, totals
     counts = _tables(path).counts
     return [m.end() for m in words], list(accumulate(counts[m.group()] for m in words))
@@ -236,35 +266,113 @@ def longest_prefix(text: str | None, word_ends: list[int], tokens_at: list[int],
     odd = bool(uncommon(pa.array([text]), LEAD)[0])
     words = _words(text, odd)
     if words is None:
-        return _inside_odd(text, end, word_ends[done], before, budget, path or default_path())
+        stop = word_ends[done]
+        while done and "'" in text[max(0, end - 3) : end]:  # with another end it may begin a contraction
+            done -= 1
+            before, end = (tokens_at[done - 1], word_ends[done - 1]) if done else (0, 0)
+        return _inside_odd(text, end, stop, before, budget, path or default_path())
     word = words[done]
     inside = _tables(path or default_path()).prefixes(word.group())
     fits = [i for i, n in enumerate(inside) if before + n <= budget]
     return (word.start() + fits[-1], before + inside[fits[-1]])
 
 
+#: Clusters of a letter and its marks up to so many code points have tables; a longer one is encoded for each of its prefixes.
+CLUSTER = 64
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """The characters that may change with what stands before them when a text is composed: marks, and the second halves of compositions."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # Hangul vowels and finals
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        if unicodedata.combining(c):
+            found.add(c)
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
 def _inside_odd(text: str, start: int, stop: int, before: int, budget: int, path: str) -> tuple[int, int]:
     """longest_prefix where the library splits the text: it ends from start to before stop, the next word's end.
 
-    The word tables hold for the library's own word if each character has one of
-    its own in the library's spelling; otherwise prefixes are encoded, the longest
-    first.
+    The library composes characters before it looks words up, so a prefix that
+    ends inside a cluster (a letter and its marks, the parts of a syllable) is the
+    word up to the cluster with another end. The tables of the whole composed word
+    hold up to there; the few letters of the other end are added to them.
     """
-    lib = library(path)
-    low = lib.normalizer.normalize_str(text[start:stop])
-    if "<|" not in text and low == "".join(map(lib.normalizer.normalize_str, text[start:stop])) and len(low) == stop - start:
-        found = [(a, b) for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(low)]
-        if len(found) == 1:
-            a, b = found[0]
-            inside = _tables(path).prefixes(low[a:b])
-            i = max(i for i, n in enumerate(inside) if before + n <= budget)
-            return start + a + i, before + inside[i]
-    for i in range(stop - 1, start, -1):
-        n = len(lib.encode(text[:i], add_special_tokens=False).ids)
+    lib, own = library(path), text[start:stop]
+    encoded = lambda part: len(lib.encode(part, add_special_tokens=False).ids)
+    joining = _joining()
+    starts = [i for i, c in enumerate(own) if not i or c not in joining]
+    if "<|" in own or max(np.diff([*starts, len(own)])) > CLUSTER:
+        for i in range(stop - 1, start, -1):
+            n = before + encoded(text[start:i])
+            if n <= budget:
+                return i, n
+        return start, before
+    composed = [lib.normalizer.normalize_str(own[a:b]) for a, b in zip(starts, [*starts[1:], len(own)], strict=True)]
+    low = "".join(composed)
+    chars_at = [0, *accumulate(map(len, composed))]
+    words = [_Word(_tables(path), low[a:b], a, b) for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(low)]
+    first = [w.start for w in words]
+    so_far = [0, *accumulate(w.count for w in words)]
+
+    def tokens(i: int, k: int) -> int:
+        """Of the first i characters, which end in cluster k, or before it."""
+        at = chars_at[k]
+        end = lib.normalizer.normalize_str(own[starts[k] : i]) if i > starts[k] else ""
+        j = bisect_left(first, at) - 1  # the last word that begins before the cluster
+        # with another end, a mark and a letter before it may become a contraction, or cease to be one
+        mark = next((w for w in words[max(0, j - 2) : j + 1] if w.text[0] == "'" and at - w.start <= 3), None)
+        if mark is not None:
+            return so_far[words.index(mark)] + encoded(low[mark.start : at] + end)
+        if j < 0:
+            return encoded(end) if end else 0
+        own_word = words[j]
+        if own_word.end < at:  # there is a space between
+            return so_far[j + 1] + (encoded(end) if end else 0)
+        if not end:
+            return so_far[j] + own_word.prefix(at - own_word.start, "")
+        spans = [p[1] for p in lib.pre_tokenizer.pre_tokenize_str(low[at - 1] + end)]
+        joined = spans[0][1] - 1  # characters of the other end that belong to the word
+        rest = sum(own_word.tables.whole(end[a - 1 : b - 1]) for a, b in spans[1:])
+        return so_far[j] + own_word.prefix(at - own_word.start, end[:joined]) + rest
+
+    k = len(starts) - 1
+    for i in range(len(own) - 1, 0, -1):
+        while starts[k] > i:
+            k -= 1
+        n = before + tokens(i, k)
         if n <= budget:
-            return i, n
+            return start + i, n
     return start, before
 
 
+class _Word:
+    """A composed word, and its tables once they are asked for."""
+
+    def __init__(self, tables: WordTables, text: str, start: int, end: int):
+        self.tables, self.text, self.start, self.end = tables, text, start, end
+        self.spelled = self._letters(text)
+        self.inner: tuple[list[int], list[int]] | None = None
+        self.count = self._found(len(self.spelled), "")
+
+    def _letters(self, text: str) -> str:
+        return "".join(map(self.tables.letters.__getitem__, text.encode()))
+
+    def _found(self, at: int, more: str) -> int:
+        if self.inner is None:
+            self.inner = self.tables._inner(self.spelled)
+            self.bytes_at = [0, *accumulate(len(c.encode()) for c in self.text)]
+        return self.tables.after(self.spelled, at, more, *self.inner)
+
+    def prefix(self, chars: int, end: str) -> int:
+        """Tokens of its first characters and another end as a whole word."""
+        self._found(0, "")
+        return self._found(self.bytes_at[chars], self._letters(end))
+
+
 def over_limit(counted: DataFrame, limit: int = LIMIT) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

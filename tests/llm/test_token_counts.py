@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -96,3 +97,38 @@ def test_longest_prefix_of_other_scripts(text):
     for budget in range(lib(text) + 2):
         fits = max(i for i in range(len(text) + 1) if lib(text[:i]) <= budget)
         assert tc.longest_prefix(text, ends, at, budget, PATH) == (fits, lib(text[:fits])), budget
+
+
+ODD = [
+    "e\u0301te\u0301 cafe\u0301s", "a\u0323\u0302b\u0302\u0323c", "x\u0301y\u0323\u0301z", "か\u3099き\u3099は\u309aん\u3099", "\u1112\u1161\u11ab\u1100\u1173\u11af\u1112\u1161", "\u1100\u1161\u1100", "İi\u0307I\u0307",
+    "\u0301\u0301ab e\u0301", "n\u0303o\u0308 <|x|> u\u0308u\u0308", "日e\u0301本\u3099語", "ΣΑΣ\u0301ς", "\u09c7\u09be\u09c7\u09d7क\u093c", "ﬀ\u0301ﬁ", "'\u0301re's\u0301", "1\u03012\u0301", "Å\u0301ngstro\u0308m\u200d\u0308",
+]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_prefixes_of_composed_characters(text):
+    ends, at = tc.prefix_table(text, True, PATH)
+    for budget in range(lib(text) + 2):
+        fits = max(i for i in range(len(text) + 1) if lib(text[:i]) <= budget)
+        assert tc.longest_prefix(text, ends, at, budget, PATH) == (fits, lib(text[:fits])), budget
+
+
+def test_random_words_of_composed_characters():
+    rng = random.Random(8)
+    parts = ["e\u0301", "o\u0308", "u", "n\u0303", "s", "a\u0323\u0302", "か\u3099", "は\u309a", "ん", "\u1112\u1161\u11ab", "\u1100\u1173", "I\u0307", "я", "и\u0306", "x\u0301"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 12)))
+        ends, at = tc.prefix_table(text, True, PATH)
+        for budget in range(lib(text) + 1):
+            fits = max(i for i in range(len(text) + 1) if lib(text[:i]) <= budget)
+            assert tc.longest_prefix(text, ends, at, budget, PATH) == (fits, lib(text[:fits])), (text, budget)
+
+
+@pytest.mark.parametrize("part", ["e\u0301te\u0301", "か\u3099は\u309a", "\u1112\u1161\u11ab\u1100\u1173\u11af"])
+def test_very_long_words_take_seconds(part):
+    text = part * (100_000 // len(part))
+    began = time.perf_counter()
+    ends, at = tc.prefix_table(text, True, PATH)
+    fits, n = tc.longest_prefix(text, ends, at, tc.LIMIT, PATH)
+    assert time.perf_counter() - began < 30
+    assert n == lib(text[:fits]) <= tc.LIMIT < lib(text[: fits + 9])
