@@ -28,8 +28,10 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 4096
 #: Bytes of their n-grams that go to the driver, at most; with very long texts that is fewer rows.
 SAMPLE_BYTES = 1 << 28
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 256
+#: Languages that the driver has memory to learn (1 MB each for what FTRL keeps); more end the job, none is left out.
+LANGUAGES = 512
+#: Languages that a task adds up at once.
+CLASSES = 16
 #: One in so many of them is for the temperature alone.
 CALIBRATE = 4
 #: n-grams are handled in runs of about so many bytes of text.
@@ -144,7 +146,9 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
             more = ns + g * g
             zs += g - (np.sqrt(more) - np.sqrt(ns)) / alpha * w
             z[slots], n[slots] = zs, more
-    return weights(z, n)
+    for a in range(0, SLOTS, 4096):
+        z[a : a + 4096] = weights(z[a : a + 4096], n[a : a + 4096])
+    return z
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -177,9 +181,12 @@ class Model:
         """Per text: probability of each class, and its letters."""
         out, letters = [np.empty((0, len(self.classes)))], [np.empty(0, np.int64)]
         for run in ngram_runs(column):
-            gained = np.vstack([self.table[run.slots], np.zeros((1, len(self.classes)), np.float32)])
             count = np.maximum(np.diff(run.bounds), 1)
-            score = np.add.reduceat(gained, run.bounds[:-1], axis=0, dtype=np.float64) / count[:, None] / self.temperature
+            score = np.empty((len(count), len(self.classes)))
+            for a in range(0, len(self.classes), CLASSES):
+                gained = self.table[:, a : a + CLASSES][run.slots]
+                gained = np.vstack([gained, np.zeros((1, gained.shape[1]), np.float32)])
+                score[:, a : a + CLASSES] = np.add.reduceat(gained, run.bounds[:-1], axis=0, dtype=np.float64) / count[:, None] / self.temperature
             p = np.exp(score - score.max(1, keepdims=True))
             out.append(p / p.sum(1, keepdims=True))
             letters.append(run.letters)
@@ -191,12 +198,14 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", order: s
 
     Document frequencies are counted over all rows. The weights see a sample of
     at most ``sample_rows`` rows and SAMPLE_BYTES, shared evenly among labels and
-    taken by a hash of ``order``. At most LANGUAGES labels are learned, the most
-    frequent ones.
+    taken by a hash of ``order``. Every label is learned; more than LANGUAGES, or
+    than the sample has rows for, end the job.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    frequent = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(LANGUAGES)
-    sizes = {r[0]: r[1] for r in frequent.collect()}
+    most = min(LANGUAGES, sample_rows)
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"there are more than {most} languages to learn; map them to fewer, or raise sample_rows and LANGUAGES")
     if not sizes:
         return None
     classes = sorted(sizes)

@@ -159,7 +159,20 @@ def test_identify_matches_brute_force(spark):
 def test_the_sample_is_bounded(spark, monkeypatch):
     rows = [(i, f"word{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(200)] + [(900, "rare", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    monkeypatch.setattr(langid, "SAMPLE_BYTES", 2 * 3 * 60 * 8)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 3 * 3 * 60 * 8)
     model = langid.learn(docs)
-    assert model.classes == ["a", "b"]
+    assert model.classes == ["a", "b", "c"]
+
+
+def test_every_language_is_learned_or_the_job_ends(spark, monkeypatch):
+    names = [f"l{i:03}" for i in range(300)]
+    rows = [(i * 10 + j, " ".join([f"{chr(97 + i % 26)}{chr(97 + i // 26)}x", "und the", f"q{chr(97 + i // 26)}{chr(97 + i % 26)}"] * 3), name) for i, name in enumerate(names) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.classes == names
+    found = langid.predict(docs, model, keep=["lang"]).collect()
+    right = {n: [r.lang_pred == n for r in found if r.lang == n] for n in names}
+    assert sum(map(all, right.values())) > 290
+    monkeypatch.setattr(langid, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="more than 299 languages"):
+        langid.learn(docs)
