@@ -131,51 +131,92 @@ def plan_best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -
     return best_fit(counts, capacity, Runs(), CapacityTree(capacity))
 
 
-def plan_exact_complement(counts: dict[int, int], capacity: int = CAPACITY) -> Runs:
-    """Fills gaps exactly by one, two or three pieces while counts allow, then best-fits what is left.
+class SumIndex:
+    """Which single lengths, pairs and triples of lengths make a sum, under the counts that are left.
 
-    From the longest length down, each is completed by a single length, else by
-    a pair, else by a triple whose sum is the gap. A combination is used as
-    often as the counts of its members allow. Lengths are small whole numbers,
-    so the table of counts is itself the index of single, pair and triple sums:
-    what a sum lacks is an address in it. A table of all pairs' sums would have
-    capacity**2 / 4 entries, nearly all of lengths that are used up before a
-    gap asks for them.
+    Pairs are indexed by their sum: for each, the larger lengths in rising order,
+    two bytes each, at most capacity**2 / 4 in all. A triple is a length and an
+    indexed pair of what it lacks. Pairs of which a length is used up are dropped
+    from a sum's list when a search has passed over many of them.
     """
-    have = np.zeros(capacity + 1, np.int64)
-    for x, n in counts.items():
-        have[x] = n
-    out = Runs()
-    if have[capacity]:
-        out.together([capacity], int(have[capacity]))
-        have[capacity] = 0
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for x, n in counts.items():
+            self.have[x] = n
+        self.held: list[int] = []
+        self.present = np.flatnonzero(self.have)
+        self.pairs: list[np.ndarray] = []
+        there = self.have > 0
+        for total in range(capacity + 1):
+            high = self.present[np.searchsorted(self.present, (total + 1) // 2) : np.searchsorted(self.present, total)]
+            self.pairs.append(high[there[total - high]].astype(np.uint16))
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
         """Two available lengths of this sum, the larger one as large as can be, at most ``most``."""
-        high = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        ok = np.flatnonzero((have[high] > 0) & (have[total - high] > 0) & ((high * 2 != total) | (have[high] > 1)))
-        return (int(high[ok[0]]), int(total - high[ok[0]])) if len(ok) else None
+        own, have = self.pairs[total], self.have
+        first = int(np.searchsorted(own, most, "right")) - 1
+        for i in range(first, -1, -1):
+            high = int(own[i])
+            if have[high] > 0 and have[total - high] > 0 and (high * 2 != total or have[high] > 1):
+                if first - i > 8:
+                    left = own[i : first + 1].astype(np.int64)
+                    # what is held for the sequence in the making is at least one, so nothing that comes back is dropped
+                    kept = left[(self.spare(left) > 0) & (self.spare(total - left) > 0)]
+                    self.pairs[total] = np.concatenate([own[:i], kept.astype(np.uint16), own[first + 1 :]])
+                return high, total - high
+        return None
+
+    def spare(self, lengths: np.ndarray) -> np.ndarray:
+        """Counts with what is held for the sequence in the making."""
+        return self.have[lengths] + np.isin(lengths, self.held)
+
+    def hold(self, *lengths: int) -> None:
+        self.held = [*self.held, *lengths]
+        for x in lengths:
+            self.have[x] -= 1
 
-    def filling(gap: int, most: int) -> list[int] | None:
-        if gap <= most and have[gap] > 0:
+    def free(self) -> None:
+        for x in self.held:
+            self.have[x] += 1
+        self.held = []
+
+    def filling(self, gap: int, most: int) -> list[int] | None:
+        """One, two or three available lengths, none above ``most``, that fill a gap exactly."""
+        if gap <= most and self.have[gap] > 0:
             return [gap]
-        if found := pair(gap, most):
+        if found := self.pair(gap, most):
             return list(found)
-        for high in range(min(most, gap - 2), (gap + 2) // 3 - 1, -1):
-            if have[high] > 0:
-                have[high] -= 1
-                found = pair(gap - high, high)
-                have[high] += 1
+        low, high = np.searchsorted(self.present, [(gap + 2) // 3, min(most, gap - 2) + 1])
+        for x in self.present[low:high][::-1].tolist():
+            if self.have[x] > 0:
+                self.hold(x)
+                found = self.pair(gap - x, x)
+                self.have[x] += 1
+                self.held.pop()
                 if found:
-                    return [high, *found]
+                    return [x, *found]
         return None
 
+
+def plan_exact_complement(counts: dict[int, int], capacity: int = CAPACITY) -> Runs:
+    """Fills gaps exactly by one, two or three pieces while counts allow, then best-fits what is left.
+
+    From the longest length down, each is completed by a single length, else by
+    a pair, else by a triple whose sum is the gap, as the index of sums has them. A
+    combination is used as often as the counts of its members allow.
+    """
+    out, index = Runs(), SumIndex(counts, capacity)
+    have = index.have
+    if have[capacity]:
+        out.together([capacity], int(have[capacity]))
+        have[capacity] = 0
     residual: dict[int, int] = {}
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
-            have[length] -= 1
-            found = filling(capacity - length, length)
-            have[length] += 1
+            index.hold(length)
+            found = index.filling(capacity - length, length)
+            index.free()
             if not found:
                 residual[length] = int(have[length])
                 have[length] = 0
