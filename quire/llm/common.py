@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 _tables: list[str] = []
+#: Names under which some of these are known to the catalog.
+_named: dict[str, str] = {}
 
 
 #: Rows of an Arrow batch between the JVM and a worker; a batch of long texts would be large with Spark's 10,000.
@@ -38,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """rows written into the shared folder in buckets of ``key``: joins by that key shuffle the other side alone. Spark knows buckets of tables of its catalog alone; remove_tables takes it out of there too."""
+    spark, n = rows.sparkSession, shuffle_partitions(rows.sparkSession)
+    path = new_path(spark, "buckets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    _named[path] = name
+    rows.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A place in the shared folder, to be removed by remove_tables."""
     _tables.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
@@ -60,6 +72,8 @@ def remove_tables(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
     """Deletes the tables that operators wrote in this process, from the ``first``-th on but for the last ``keep``; to be called when what was computed from them is itself written."""
     jvm = spark.sparkContext._jvm
     for path in _tables[first : len(_tables) - keep]:
+        if path in _named:
+            spark.sql(f"DROP TABLE IF EXISTS `{_named.pop(path)}`")
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     del _tables[first : len(_tables) - keep]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import meeting
-from quire.llm.common import materialize, new_path, shuffle_partitions
+from quire.llm.common import bucketed, materialize
 from quire.llm.wordhash import Words, last_starts, runs, texts_of
 
 WINDOW = 13
@@ -148,15 +148,6 @@ def _with_digest(window: int):
     return run
 
 
-def bucketed(rows: DataFrame, key: str) -> DataFrame:
-    """rows written into the shared folder in buckets of ``key``: joins by that key shuffle the other side alone."""
-    spark, n = rows.sparkSession, shuffle_partitions(rows.sparkSession)
-    path = new_path(spark, "buckets")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    rows.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """Removes words covered by windows that also start in a document with a smaller key.
 

@@ -1,7 +1,7 @@
 import pytest
 
 from quire.llm import meeting
-from quire.llm.common import BATCH_ROWS, bound_batches, materialize, remove_tables, shared_dir, tables_written, unused
+from quire.llm.common import BATCH_ROWS, bound_batches, bucketed, materialize, remove_tables, shared_dir, tables_written, unused
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -59,3 +59,11 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 def test_unused_names(spark):
     assert unused(spark.range(1), "x") == "x"
     assert unused(spark.range(1).selectExpr("id AS _X", "id AS _x_"), "_x") == "_x__"
+
+
+def test_bucketed_tables_leave_the_catalog(spark):
+    first, before = tables_written(), {t.name for t in spark.catalog.listTables()}
+    kept = bucketed(spark.range(20).withColumnRenamed("id", "doc"), "doc")
+    assert kept.count() == 20 and len({t.name for t in spark.catalog.listTables()} - before) == 1
+    remove_tables(spark, first)
+    assert {t.name for t in spark.catalog.listTables()} == before
