@@ -98,7 +98,7 @@ def _work(a: argparse.Namespace) -> str:
 def _prepare(spark: SparkSession, store: Store, a: argparse.Namespace) -> list[str]:
     """Prepares what the store lacks, or with --force all, and gives the names of all books of the path."""
     known = {"run": "keep", "prepare": "replace" if getattr(a, "force", False) else "refuse"}[a.command]
-    entries = books.epub.read_entries(spark, a.path).select("book_id").distinct()
+    entries = books.epub.read_index(spark, a.path).select("book_id").distinct()
     names = [a.id] if a.id else [r[0] for r in entries.toLocalIterator()]
     new = set(names) - {r[0] for r in books._of(books.state(store), names).select("book_id").toLocalIterator()}
     if new or known != "keep":

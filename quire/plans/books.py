@@ -87,12 +87,13 @@ def prepare(spark: SparkSession, path: str, store: Store, profile: str, provider
         raise BookError(f"no profile {profile}; there are: {', '.join(PROFILES)}")
     check_ready(provider_name)
     model = chosen_model(provider_name, model)
-    entries = epub.read_entries(spark, path).withColumn("archive", F.col("book_id"))
+    index = epub.read_index(spark, path).withColumn("archive", F.col("book_id"))
     if book_id is not None:
-        if entries.select("archive").distinct().count() != 1:
+        if index.select("archive").distinct().count() != 1:
             raise BookError("a name can be given to one book alone")
-        entries = entries.withColumn("book_id", F.lit(book_id))
-    names = entries.select("book_id", "archive").distinct()
+        index = index.withColumn("book_id", F.lit(book_id))
+    index = written(index.select(F.lit(path).alias("source"), "book_id", "archive", "path", "ord", "entry"), "index")
+    names = index.select("book_id", "archive").distinct()
     there = names.join(state(store), "book_id", "left_semi")
     first = there.select("book_id").take(5)
     if first and known == "refuse":
@@ -103,8 +104,11 @@ def prepare(spark: SparkSession, path: str, store: Store, profile: str, provider
             store.without(name, schema, gone)
     if first and known == "keep":
         names = written(names.join(state(store), "book_id", "left_anti"), "new-books")
-        entries = entries.join(names.select("book_id"), "book_id", "left_semi")
-    found = written(segments.page_segments(segments.book_pages(entries, epub.spine(epub.packages(entries))), references), "segments")
+        index = index.join(names.select("book_id"), "book_id", "left_semi")
+    archives = Archives(spark, index, (path,))
+    spine = epub.spine(archives.package())
+    pages = segments.book_pages(archives.entries(spine.select("book_id", F.col("file").alias("entry"))), spine)
+    found = written(segments.page_segments(pages, references), "segments")
     store.append("segments", found.join(packing.chunks(found), ["book_id", "file_pos", "idx"]).select(*columns(SEGMENTS)))
     fresh = names.select("book_id", F.lit(profile).alias("profile"), F.lit(provider_name).alias("provider"), F.lit(model).cast("string").alias("model"), F.lit(path).alias("source"), "archive", F.lit(uuid.uuid4().hex).alias("edition"))
     fresh = written(fresh, "state")
@@ -153,21 +157,52 @@ def translate(store: Store, provider_name: str | None = None, model: str | None
     return done
 
 
-def _entries(spark: SparkSession, store: Store, books: Books) -> DataFrame:
-    """The archives' entries, under the names that books have in the store."""
+@dataclass(frozen=True)
+class Archives:
+    """The archives of some books, under the names that they have in the store: an index, and what it is asked for."""
+
+    spark: SparkSession
+    index: DataFrame  # source, book_id, archive, path, ord, entry
+    sources: tuple[str, ...]
+
+    def entries(self, wanted: DataFrame | None = None) -> DataFrame:
+        """All entries, or those that ``wanted`` (book_id, entry) names. To be written where it is used more than once."""
+        listed = self.index if wanted is None else self.index.join(wanted.select("book_id", "entry").distinct(), ["book_id", "entry"], "left_semi")
+        names = self.index.select("source", "archive", "book_id").distinct()
+        out = None
+        for source in self.sources:
+            own = epub.read_entries(self.spark, source, listed.where(F.col("source") == source).select("path", "ord"))
+            own = own.withColumnRenamed("book_id", "archive").join(names.where(F.col("source") == source).select("archive", "book_id"), "archive").drop("archive")
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def package(self) -> DataFrame:
+        """The books' package files as rows; the container and the package are all that is read."""
+        container = self.entries(self.index.where(F.col("entry") == epub.CONTAINER))
+        opf = written(epub.roots(container), "roots")
+        return written(epub.package_rows(self.entries(opf.select("book_id", F.col("opf").alias("entry"))), opf), "package")
+
+    def label_files(self, package: DataFrame) -> DataFrame:
+        navigation = epub.navigation(package)
+        named = navigation.select("book_id", F.explode(F.array("opf", "nav", "ncx")).alias("entry"))
+        return segments.label_files(self.entries(named), navigation)
+
+
+def _archives(spark: SparkSession, store: Store, books: Books) -> Archives:
     named = _of(state(store), books).select("book_id", "source", F.coalesce("archive", "book_id").alias("archive"))
+    sources = tuple(r[0] for r in named.select("source").distinct().collect())  # the folders that prepare was called with
     out = None
-    for (path,) in named.select("source").distinct().collect():  # the folders that prepare was called with
-        own = epub.read_entries(spark, path).withColumnRenamed("book_id", "archive").join(named.where(F.col("source") == path).select("archive", "book_id"), "archive").drop("archive")
+    for path in sources:
+        own = epub.read_index(spark, path).withColumnRenamed("book_id", "archive").join(named.where(F.col("source") == path), "archive").select("source", "book_id", "archive", "path", "ord", "entry")
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise BookError("the store has no books")
-    return out
+    return Archives(spark, written(out, "archives"), sources)
 
 
 def labels(spark: SparkSession, store: Store, books: Books = None) -> DataFrame:
-    entries = _entries(spark, store, books)
-    return segments.labels(segments.label_files(entries, epub.navigation(epub.packages(entries))))
+    archives = _archives(spark, store, books)
+    return segments.labels(archives.label_files(archives.package()))
 
 
 def _markup(store: Store, books: Books, done: DataFrame) -> DataFrame:
@@ -187,12 +222,13 @@ def build(store: Store, target: str, books: Books = None, partial: bool = False,
     gaps = left.groupBy("book_id").agg(F.count("*").alias("n"), F.min("chunk").alias("first")).take(5)
     if gaps and not partial:
         raise BookError("; ".join(f"{r.book_id}: {r.n} chunks aren't translated, the first is {r['first']}" for r in gaps))
-    entries = _entries(spark, store, books)
-    package = epub.packages(entries)
-    pages = segments.book_pages(entries, epub.spine(package))
+    archives = _archives(spark, store, books)
+    package = archives.package()
+    spine = epub.spine(package)
+    pages = segments.book_pages(archives.entries(spine.select("book_id", F.col("file").alias("entry"))), spine)
     new = segments.written_back(pages, _markup(store, books, done), language)
-    named = segments.relabelled(segments.label_files(entries, epub.navigation(package)), store.read("labels", LABELS), language)
-    epub.write_books(epub.overlaid(entries, new.unionByName(named)), target)
+    named = segments.relabelled(archives.label_files(package), store.read("labels", LABELS), language)
+    epub.write_books(epub.overlaid(archives.entries(), new.unionByName(named)), target)
 
 
 def _read_aloud(store: Store, books: Books, done: DataFrame, skip: list[str]) -> DataFrame:
@@ -268,17 +304,18 @@ def status(store: Store, books: Books = None) -> DataFrame:
 
 def metadata(store: Store, books: Books = None) -> DataFrame:
     """(book_id, title, artists, cover, image, toc): translated titles, authors, the cover's file and data, and a map from files to their translated labels."""
-    entries = _entries(store.spark, store, books)
-    package = epub.packages(entries)
+    archives = _archives(store.spark, store, books)
+    package = archives.package()
     named = store.read("labels", LABELS).where("label IS NOT NULL").select("book_id", F.col("label").alias("text"), "translation").dropDuplicates(["book_id", "text"])
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "own")))), lambda x: x["own"])
     about = package.where("kind IN ('title', 'creator')").join(named, ["book_id", "text"], "left").withColumn("own", F.when(F.col("kind") == "title", F.coalesce("translation", "text")).otherwise(F.col("text")))
     texts = about.groupBy("book_id").agg(F.array_join(listed("title"), ": ").alias("title"), F.array_join(listed("creator"), ", ").alias("artists"))
-    contents = segments.labels(segments.label_files(entries, epub.navigation(package))).where("toc AND href IS NOT NULL").withColumnRenamed("label", "text").join(named, ["book_id", "text"], "left")
+    contents = segments.labels(archives.label_files(package)).where("toc AND href IS NOT NULL").withColumnRenamed("label", "text").join(named, ["book_id", "text"], "left")
     first = contents.groupBy("book_id", "href").agg(F.min_by(F.coalesce("translation", "text"), "pos").alias("label"))
     toc = first.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("href", "label")))).alias("toc"))
     covers = epub.covers(package).select("book_id", F.col("file").alias("cover"))
-    images = covers.join(entries.select("book_id", F.col("entry").alias("cover"), F.col("data").alias("image")), ["book_id", "cover"])
+    images = archives.entries(covers.select("book_id", F.col("cover").alias("entry"))).select("book_id", F.col("entry").alias("cover"), F.col("data").alias("image"))
+    images = covers.join(images, ["book_id", "cover"])
     return epub.navigation(package).select("book_id").join(texts, "book_id", "left").join(images, "book_id", "left").join(toc, "book_id", "left").select("book_id", F.coalesce(F.expr("nullif(title, '')"), "book_id").alias("title"), "artists", "cover", "image", "toc")
 
 

@@ -1,4 +1,10 @@
-"""EPUB archives as tables of entries: reading from any store, a data source for shared folders, and writing."""
+"""EPUB archives as tables of entries: an index of what they hold, reading what a step asks for, a data source, and writing.
+
+An archive lists its entries at its end. That list makes the index; an entry is
+then read by its place, so a step that needs a few small files reads no others.
+On stores that only Spark reads an archive comes whole, but only what is asked
+for is unpacked.
+"""
 
 from __future__ import annotations
 
@@ -12,15 +18,19 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from quire.functions.markup import DC, Node, parse
 
 ENTRIES = "book_id string, ord int, entry string, stored boolean, data binary"
+INDEX = "book_id string, path string, ord int, entry string, stored boolean, size long"
+#: Bytes of entries that a task hands on at once.
+HANDED_BYTES = 1 << 24
 PACKAGES = "book_id string, opf string, kind string, pos int, id string, href string, media_type string, properties string, text string"
 # Media types of a book's pages and of its old table of contents.
 PAGE_TYPES = ("application/xhtml+xml", "text/html")
 NCX_TYPE = "application/x-dtbncx+xml"
+CONTAINER = "META-INF/container.xml"
 
 
 def resolve(base: str, href: str) -> tuple[str, str]:
@@ -33,26 +43,76 @@ def book_name(path: str) -> str:
     return posixpath.basename(unquote(path)).removesuffix(".epub")
 
 
-def _entries(name: str, archive: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(archive)) as z:
+def _mounted(path: str) -> bool:
+    """Whether a path is one of a folder that all machines mount, as Spark itself takes file paths."""
+    return path.startswith(("/", "file:"))
+
+
+def _local(path: str) -> str:
+    return unquote(path.removeprefix("file://").removeprefix("file:")) if path.startswith("file:") else path
+
+
+def _listed(files: Iterator[tuple[str, bytes | None]]) -> Iterator[tuple]:
+    """INDEX of archives, by path or by content; of an archive given by its path only the list at its end is read."""
+    for path, content in files:
+        with zipfile.ZipFile(io.BytesIO(content) if content is not None else _local(path)) as z:
+            for i, info in enumerate(z.infolist()):
+                yield book_name(path), path, i, info.filename, info.compress_type == zipfile.ZIP_STORED, info.file_size
+
+
+def _unpacked(archive: str | io.IOBase, places: set[int] | None = None, keep=lambda info: True) -> Iterator[tuple]:
+    """(place, name, stored, data) of an archive's entries at these places; no other is read."""
+    with zipfile.ZipFile(archive) as z:
         for i, info in enumerate(z.infolist()):
-            yield name, i, info.filename, info.compress_type == zipfile.ZIP_STORED, z.read(info)
+            if (places is None or i in places) and keep(info):
+                yield i, info.filename, info.compress_type == zipfile.ZIP_STORED, z.read(info)
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of every archive below a path that Spark can read, in their order. A book is unpacked in one task."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", (F.lit(None).cast("binary") if _mounted(path) else F.col("content")).alias("content"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """INDEX of every archive below a path that Spark can read."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(_listed(zip(batch["path"], batch["content"], strict=True)), columns=[c.split()[0] for c in INDEX.split(", ")])
+
+    return _files(spark, path).mapInPandas(listed, INDEX)
+
+
+def read_entries(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The entries of every archive below a path that Spark can read, in their order, or those that ``wanted`` lists (path, ord, as the index has them). An archive is unpacked in one task, some entries at a time."""
+    files = _files(spark, path)
+    if wanted is None:
+        asked = files.withColumn("places", F.lit(None).cast("array<int>"))
+    else:
+        asked = files.join(wanted.groupBy("path").agg(F.collect_set("ord").alias("places")), "path")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["book_id", "ord", "entry", "stored", "data"])
         for batch in batches:
-            for where, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(_entries(book_name(where), content), columns=["book_id", "ord", "entry", "stored", "data"])
+            for where, content, places in batch[["path", "content", "places"]].itertuples(index=False, name=None):
+                rows, held = [], 0
+                for row in _unpacked(io.BytesIO(content) if content is not None else _local(where), set(places) if places is not None else None):
+                    rows.append((book_name(where), *row))
+                    held += len(row[-1])
+                    if held > HANDED_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
+                yield frame(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(unpack, ENTRIES)
+    return asked.mapInPandas(unpack, ENTRIES)
 
 
 class EpubDataSource(DataSource):
-    """spark.read.format("epub").load(folder), and df.write.format("epub").save(folder), for folders every executor mounts."""
+    """spark.read.format("epub").load(folder), and df.write.format("epub").save(folder), for folders every executor mounts.
+
+    With option("pushdown", "true"), and spark.sql.python.filterPushdown.enabled,
+    conditions on book_id and entry reach the reader.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -62,31 +122,45 @@ class EpubDataSource(DataSource):
         return ENTRIES
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return (_FilteringReader if self.options.get("pushdown", "").lower() == "true" else _Reader)(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 class _Reader(DataSourceReader):
+    """A partition for each archive. Comparisons of book_id with a value leave archives out, those of entry what is read of them."""
+
     def __init__(self, path: str):
         self.path = _local(path)
+        self.tests: list[tuple[str, str, object]] = []
+
+    def _passes(self, column: str, value: str) -> bool:
+        tests = {"is": lambda x: value == x, "in": lambda x: value in x, "starts": value.startswith, "ends": value.endswith, "holds": lambda x: x in value}
+        return all(tests[kind](x) for name, kind, x in self.tests if name == column)
 
     def partitions(self) -> list[InputPartition]:
         names = [self.path] if self.path.endswith(".epub") else [os.path.join(self.path, x) for x in sorted(os.listdir(self.path)) if x.endswith(".epub")]
-        return [InputPartition(x) for x in names]
+        return [InputPartition(x) for x in names if self._passes("book_id", book_name(x))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            yield from _entries(book_name(partition.value), f.read())
+        for row in _unpacked(partition.value, keep=lambda info: self._passes("entry", info.filename)):
+            yield book_name(partition.value), *row
+
+
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        kinds = {EqualTo: "is", In: "in", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "holds"}
+        for f in filters:
+            kind = kinds.get(type(f))
+            if kind is None or f.attribute not in (("book_id",), ("entry",)):
+                yield f
+            else:
+                self.tests.append((f.attribute[0], kind, f.value))
 
 
 class _Writer(DataSourceWriter):
-    """Writes the books of each task; a book's rows must be in one task (see write_books). Files appear under their names on commit."""
+    """Writes the books of each task entry by entry; rows of a book must come one after another, ``mimetype`` first (see write_books). Files appear under their names on commit."""
 
     def __init__(self, path: str):
         self.path = _local(path)
@@ -95,16 +169,30 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        books: dict[str, list] = {}
-        for row in rows:
-            books.setdefault(row.book_id, []).append(row)
-        done = []
-        for name, own in books.items():
-            temporary = os.path.join(self.path, f".{name}-{TaskContext.get().taskAttemptId()}.tmp")
-            with open(temporary, "wb") as f:
-                f.write(archive([(r.ord, r.entry, r.stored, bytes(r.data)) for r in own]))
-            done.append((temporary, os.path.join(self.path, f"{name}.epub")))
-        return _Written(done)
+        done: dict[str, tuple[str, str]] = {}
+        name, out = None, None
+        try:
+            for row in rows:
+                if out is None or row.book_id != name:
+                    if out is not None:
+                        out.close()
+                    name = row.book_id
+                    if name in done:
+                        raise ValueError(f"the entries of {name} don't come one after another")
+                    temporary = os.path.join(self.path, f".{name}-{TaskContext.get().taskAttemptId()}.tmp")
+                    done[name] = (temporary, os.path.join(self.path, f"{name}.epub"))
+                    out = zipfile.ZipFile(temporary, "w")
+                elif row.entry == "mimetype":
+                    raise ValueError(f"mimetype isn't the first entry of {name}")
+                _add(out, row.entry, row.stored, bytes(row.data))
+            if out is not None:
+                out.close()
+        except BaseException:
+            for temporary, _ in done.values():
+                if os.path.exists(temporary):
+                    os.remove(temporary)
+            raise
+        return _Written(list(done.values()))
 
     def commit(self, messages) -> None:
         for message in messages:
@@ -124,13 +212,16 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
+def _add(out: zipfile.ZipFile, name: str, stored: bool, data: bytes) -> None:
+    out.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if stored or name == "mimetype" else zipfile.ZIP_DEFLATED)
+
+
 def archive(entries: list[tuple[int, str, bool, bytes]]) -> bytes:
     """An archive of (place, name, stored, data): the ``mimetype`` entry first and stored, the others in their order."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for _, name, stored, data in sorted(entries, key=lambda e: (e[1] != "mimetype", e[0])):
-            info = zipfile.ZipInfo(name)
-            z.writestr(info, data, zipfile.ZIP_STORED if stored or name == "mimetype" else zipfile.ZIP_DEFLATED)
+            _add(z, name, stored, data)
     return out.getvalue()
 
 
@@ -146,7 +237,8 @@ def packed_books(entries: DataFrame) -> DataFrame:
 
 def write_books(entries: DataFrame, path: str) -> None:
     entries.sparkSession.dataSource.register(EpubDataSource)
-    entries.repartition("book_id").write.format("epub").mode("append").save(path)
+    dealt = entries.repartition("book_id").sortWithinPartitions("book_id", F.col("entry") != "mimetype", "ord")
+    dealt.write.format("epub").mode("append").save(path)
 
 
 def overlaid(entries: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -175,10 +267,10 @@ def _package_rows(name: str, opf: str, data: bytes) -> Iterator[tuple]:
         yield name, opf, kind, pos, key, resolve(base, href)[0] if href is not None else None, _attribute(node, "media-type"), _attribute(node, "properties") or "", " ".join(node.text().split())
 
 
-def packages(entries: DataFrame) -> DataFrame:
-    """The package file of each book as rows: kind is item, page, title, creator, language or meta (a cover's id)."""
+def roots(container: DataFrame) -> DataFrame:
+    """(book_id, opf): the package file that each book's container names."""
 
-    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, data in zip(batch["book_id"], batch["data"], strict=True):
@@ -186,17 +278,26 @@ def packages(entries: DataFrame) -> DataFrame:
                 rows.append((name, root.attributes["full-path"]))
             yield pd.DataFrame(rows, columns=["book_id", "opf"])
 
+    return container.where(F.col("entry") == CONTAINER).select("book_id", "data").mapInPandas(named, "book_id string, opf string")
+
+
+def package_rows(entries: DataFrame, opf: DataFrame) -> DataFrame:
+    """PACKAGES of the package files among the entries, as ``opf`` (book_id, opf) names them."""
+
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for own in zip(batch["book_id"], batch["opf"], batch["data"], strict=True) for r in _package_rows(*own)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKAGES.split(", ")])
 
-    container = entries.where(F.col("entry") == "META-INF/container.xml").select("book_id", "data")
-    opf = container.mapInPandas(roots, "book_id string, opf string")
     found = entries.join(opf, (entries["book_id"] == opf["book_id"]) & (F.col("entry") == F.col("opf")), "left_semi")
     return found.select("book_id", F.col("entry").alias("opf"), "data").mapInPandas(listed, PACKAGES)
 
 
+def packages(entries: DataFrame) -> DataFrame:
+    """The package file of each book as rows: kind is item, page, title, creator, language or meta (a cover's id)."""
+    return package_rows(entries, roots(entries))
+
+
 def manifest(package: DataFrame) -> DataFrame:
     """(book_id, id, href, media_type, properties, pos): a book's items; of several with one id the last counts."""
     items = package.where("kind = 'item'")

@@ -1,5 +1,7 @@
 """Archives in and out, segments, writing back, labels."""
 
+import io
+
 import pytest
 
 from quire.functions.markup import MarkupError, inline_nodes, numbered, parse, segments, spliced
@@ -94,3 +96,66 @@ def test_documents_are_parsed_without_expansion_or_loading():
     assert numbered(segments(parse(deep.encode()))[0]).startswith('<i n="1"><i n="2">')
     with pytest.raises(MarkupError):
         parse(b"<p><b></p>")
+
+
+def test_index_and_the_entries_it_is_asked_for(spark, tmp_path):
+    data = bytearray(books.book({**books.ENTRIES, "pkg/art/large.jpg": bytes(300_000)}))
+    (tmp_path / "x y.epub").write_bytes(data)
+    index = epub.read_index(spark, f"file://{tmp_path}").cache()
+    assert [(r.entry, r.size, r.book_id) for r in index.orderBy("ord").collect()][-1] == ("pkg/art/large.jpg", 300_000, "x y")
+    asked = index.where("entry LIKE '%.css' OR entry = 'mimetype'").select("path", "ord")
+    found = epub.read_entries(spark, f"file://{tmp_path}", asked)
+    assert sorted((r.book_id, r.entry, bytes(r.data)) for r in found.collect()) == [("x y", "mimetype", b"application/epub+zip"), ("x y", "pkg/look.css", b"p {}")]
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.read_bytes += len(out)
+            return out
+
+    file = Counted(data)
+    assert [r[1] for r in epub._unpacked(file, {0, 1})] == list(books.ENTRIES)[:2]
+    assert file.read_bytes < 3000  # of 300,000
+
+
+def test_labels_and_metadata_read_no_image(spark, tmp_path):
+    from quire.operators.store import Store
+    from quire.plans import books as B
+
+    data = books.book({**books.ENTRIES, "pkg/art/other.jpg": b"\xff" * 5000})
+    at = data.index(b"\xff" * 5000)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.epub").write_bytes(data[: at + 10] + b"broken" + data[at + 16 :])  # whoever reads it sees a wrong checksum
+    store = Store(spark, f"file://{tmp_path}/work")
+    B.prepare(spark, f"file://{tmp_path}/in", store, "fiction", "echo")
+    assert B.labels(spark, store).count() == 6 and B.metadata(store).first().title == "The Harbour"
+    with pytest.raises(Exception, match="Bad CRC"):
+        epub.read_entries(spark, f"file://{tmp_path}/in").collect()
+
+
+def test_filters_reach_the_data_source(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.epub").write_bytes(books.book())
+    (tmp_path / "c.epub").write_bytes(b"no archive")
+    spark.dataSource.register(epub.EpubDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("epub").option("pushdown", "true").load(str(tmp_path))
+        assert sorted(r.book_id for r in rows.where("book_id IN ('a', 'b') AND entry = 'mimetype'").collect()) == ["a", "b"]
+        assert {r.entry for r in rows.where("book_id = 'a' AND entry LIKE 'pkg/parts/%' AND ord > 3").collect()} == {"pkg/parts/tide.xhtml", "pkg/parts/remarks.xhtml"}
+        with pytest.raises(Exception, match="not a zip"):
+            rows.where("entry LIKE '%.css'").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_books_are_written_entry_by_entry(spark, tmp_path):
+    rows = spark.createDataFrame([(b, i, n, True, bytearray(d)) for b in "ab" for i, (n, d) in enumerate([("one", b"1"), ("mimetype", b"m"), ("two", b"22")])], epub.ENTRIES)
+    epub.write_books(rows, str(tmp_path / "out"))
+    expected = epub.archive([(0, "one", True, b"1"), (1, "mimetype", True, b"m"), (2, "two", True, b"22")])
+    assert (tmp_path / "out" / "a.epub").read_bytes() == (tmp_path / "out" / "b.epub").read_bytes() == expected
+    with pytest.raises(Exception, match="one after another"):
+        rows.coalesce(1).sortWithinPartitions("ord").write.format("epub").mode("append").save(str(tmp_path / "wrong"))
+    assert not list((tmp_path / "wrong").iterdir())

@@ -80,3 +80,39 @@ def test_functions_in_sql(spark):
     row = spark.sql("""SELECT quire_similarity('a b', 'a b') AS s, quire_unescape_html('&eacute;') AS u, quire_split_long('x y') AS p, quire_normalize_spoken('2 Almák') AS n,
         quire_tag_signature('<b n="1"/>') AS t, quire_json_value('x [1, 2] y', '[') AS j, quire_parse_answer('<seg id="1">x</seg>').segments[0].markup AS a""").first()
     assert tuple(row) == (1.0, "é", ["x y"], "kettő almák", ["1 b"], "[1, 2]", "x")
+
+
+def test_matching_blocks_as_by_trying_all():
+    import difflib
+    import random
+
+    from quire.functions import matching
+
+    rng = random.Random(5)
+    for size in (0, 1, 5, 40, 300):
+        for letters in ("a", "ab", "abcdefgh "):
+            for _ in range(12):
+                a = "".join(rng.choice(letters) for _ in range(rng.randrange(size + 1)))
+                b = list(a) if rng.random() < 0.5 else [rng.choice(letters) for _ in range(rng.randrange(size + 1))]
+                for _ in range(rng.randrange(6)):
+                    b.insert(rng.randrange(len(b) + 1), rng.choice(letters))
+                b = "".join(b)
+                blocks = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+                best = blocks.find_longest_match()
+                assert matching.longest_block(a, b) == (best.size, best.a if best.size else 0, best.b if best.size else 0)
+                assert matching.matching_characters(a, b) == sum(x.size for x in blocks.get_matching_blocks())
+
+
+def test_long_texts_are_compared_in_seconds():
+    import random
+    import time
+
+    from quire.functions.speech import matching_ratio
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    a = [rng.choice(words) for _ in range(17000)]
+    b = [w if rng.random() > 0.02 else rng.choice(words) for w in a]
+    began = time.perf_counter()
+    assert len(" ".join(a)) > 90_000 and matching_ratio(" ".join(a), " ".join(b)) > 0.95
+    assert time.perf_counter() - began < 60
