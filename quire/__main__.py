@@ -8,17 +8,16 @@ import os
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from quire.operators.providers import ModelError
 from quire.operators.remote import register_settings
 from quire.operators.store import Store
 from quire.operators.voices import spoken_by, voice_loader
-from quire.plans import books
+from quire.plans import benchmark, books
 from quire.streaming.follow import wait_until_finished
 
-COMMANDS = ("run", "prepare", "glossary", "translate", "build", "audio", "status", "benchmark")
+COMMANDS = ("run", "prepare", "glossary", "translate", "build", "audio", "status", "benchmark", "judge", "report")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
         if name in ("run", "prepare", "benchmark"):
             p.add_argument("path", help="archives, or folders of them")
             p.add_argument("--profile", choices=books.PROFILES, required=True)
+        elif name in ("judge", "report"):
+            p.add_argument("--profile", choices=books.PROFILES, required=True)
         else:
             p.add_argument("books", nargs="*", help="names of books; all if none")
         if name in ("run", "prepare"):
@@ -60,7 +61,12 @@ def parser() -> argparse.ArgumentParser:
         if name in ("run", "prepare", "glossary", "translate"):
             p.add_argument("--model")
         if name == "benchmark":
-            p.add_argument("specs", nargs="+", help="provider or provider:model")
+            p.add_argument("specs", nargs="+", help="provider or provider:model; they run at the same time")
+            p.add_argument("--most-seconds", type=float, help="a specification that takes longer is ended")
+        if name == "judge":
+            p.add_argument("judges", nargs="+", help="provider or provider:model")
+        if name == "report":
+            p.add_argument("--subscription", action="append", default=[], help="a provider that isn't paid by use")
     return out
 
 
@@ -75,22 +81,6 @@ def _narrate(store: Store, a: argparse.Namespace, named: list[str] | None, follo
     books.write_audio(*books.audiobook(store, named, a.skip), a.audio_target)
 
 
-def benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """(spec, book_id, ok, seconds, words, calls and other counters): each specification translates every book, in a store of its own below the work folder."""
-    found = None
-    for spec in a.specs:
-        name, _, model = spec.partition(":")
-        store = Store(spark, f"{_work(a)}/benchmark-{''.join(c if c.isalnum() else '-' for c in spec)}")
-        books.prepare(spark, a.path, store, a.profile, name, model or None, known="keep")
-        began = time.perf_counter()
-        books.glossary(store)
-        books.translate(store)
-        words = store.read("segments", books.SEGMENTS).groupBy("book_id").agg(F.sum("words").alias("words"))
-        own = books.status(store).join(words, "book_id").select(F.lit(spec).alias("spec"), "book_id", (F.col("missing") == 0).alias("ok"), F.lit(time.perf_counter() - began).alias("seconds"), "words", F.col("usage")["calls"].alias("calls"), F.col("usage")["cost_usd"].alias("cost"))
-        found = own if found is None else found.unionByName(own)
-    return found
-
-
 def _work(a: argparse.Namespace) -> str:
     return a.work if "://" in a.work else f"file://{os.path.abspath(a.work)}"
 
@@ -114,7 +104,7 @@ def _prepare(spark: SparkSession, store: Store, a: argparse.Namespace) -> list[s
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
-    spark = SparkSession.builder.appName("quire").getOrCreate()
+    spark = SparkSession.builder.appName("quire").config("spark.scheduler.mode", "FAIR").getOrCreate()
     if a.providers:
         with open(a.providers, encoding="utf-8") as f:
             register_settings(json.load(f))
@@ -137,8 +127,14 @@ def main(arguments: list[str] | None = None) -> int:
             for r in books.status(store, named).orderBy("book_id").toLocalIterator():
                 print(f"{r.book_id}: {r.done} of {r.total} chunks{'' if r.first_missing is None else f', first missing {r.first_missing}'}, {'a' if r.glossary else 'no'} glossary, {r.usage or {}}")
         if a.command == "benchmark":
-            for r in benchmark(spark, a).orderBy("spec", "book_id").toLocalIterator():
+            for r in benchmark.benchmark(spark, a.path, _work(a), a.profile, a.specs, a.most_seconds).orderBy("spec").collect():
+                print(json.dumps(r.asDict()))
+        if a.command == "judge":
+            for r in benchmark.judge(spark, _work(a), a.profile, a.judges).orderBy("spec", "judge", "criterion").toLocalIterator():
                 print(json.dumps(r.asDict()))
+        if a.command == "report":
+            for r in benchmark.report(spark, _work(a), a.profile, tuple(a.subscription)).collect():
+                print(benchmark.line(r))
     except (books.BookError, ModelError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -251,7 +251,7 @@ def narrate(store: Store, speak: Callable[[DataFrame], DataFrame], provider_name
     """
     chunks = _chunks(store, books).select("book_id", "chunk")
     read = written(_read_aloud(store, books, released(chunks, tr.translated(store)), skip or []), "read")
-    prepared = read.withColumn("text", T.prepare("text", "heading")).withColumn("seq", F.xxhash64("book_id", "file_pos", "idx", "sub"))
+    prepared = read.withColumn("text", T.prepare("text", "heading")).withColumn("seq", F.struct("book_id", "file_pos", "idx", "sub"))
     for own in _settings(store, books, provider_name, model, call):
         store.append("spoken", tr.spelled(_of(prepared, own.books), _spoken(store), own.call, own.light_model or own.model))
     stored = store.read("pieces", PIECES)

@@ -142,4 +142,13 @@ def test_commands(spark, folder, capsys):
     assert main([*trial, "benchmark", f"file://{folder}/in", "echo", "tool:x", "--profile", "fiction"]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert [(x["spec"], x["ok"]) for x in lines] == [("echo", True), ("tool:x", True)]
+    judge = "import sys, json; asked = sys.stdin.read(); print(json.dumps({'answer': json.dumps({x: {'accuracy': 8, 'fluency': 6, 'style': 7, 'consistency': 7} for x in 'AB' if '# Version ' + x in asked})}))"
+    settings.write_text(json.dumps({"referee": {"command": [sys.executable, "-c", judge], "answer": "answer"}}))
+    capsys.readouterr()
+    assert main([*trial, "judge", "referee", "--profile", "fiction"]) == 0
+    assert main([*trial, "judge", "referee", "--profile", "nonfiction"]) == 1  # nothing was translated for it
+    assert main([*trial, "report", "--profile", "fiction", "--subscription", "tool"]) == 0
+    told = [x for x in capsys.readouterr().out.splitlines() if "of 10" in x]
+    assert [x.split(",")[0] for x in told] == ["echo: 7.0 of 10 by 1 judges", "tool:x: 7.0 of 10 by 1 judges"] and "by subscription" in told[1]
+    settings.write_text(json.dumps({"web": {"url": "http://127.0.0.1:9/", "key": "NO_SUCH_KEY"}}))
     assert main([*trial, "prepare", f"file://{folder}/in", "--profile", "fiction", "--provider", "web", "--model", "m"]) == 1
