@@ -1,7 +1,7 @@
 """A corpus made ready for training, in stages that each call one operator of quire.llm.
 
-Stages take documents with any further columns and keep them, whatever their
-names; nulls, empty texts, repeated rows and empty tables as the operators say.
+Stages take documents with any further columns and all but the last, whose rows
+are pieces, keep them, whatever their names; nulls, empty texts, repeated rows and empty tables as the operators say.
 """
 
 from __future__ import annotations
