@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
 import sys
@@ -60,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--provider", help="instead of the books' own")
         if name in ("run", "prepare", "glossary", "translate"):
             p.add_argument("--model")
+            p.add_argument("--glossaries", help="a mounted folder for glossaries as YAML files, which are read again before translating; in the store if not named")
         if name == "benchmark":
             p.add_argument("specs", nargs="+", help="provider or provider:model; they run at the same time")
             p.add_argument("--most-seconds", type=float, help="a specification that takes longer is ended")
@@ -85,6 +87,20 @@ def _work(a: argparse.Namespace) -> str:
     return a.work if "://" in a.work else f"file://{os.path.abspath(a.work)}"
 
 
+def _glossaries(a: argparse.Namespace) -> str | None:
+    """Where the glossaries lie as files: the folder named, else one in the store, if that is a mounted folder."""
+    if a.glossaries:
+        return os.path.abspath(a.glossaries)
+    work = _work(a)
+    return os.path.join(work.removeprefix("file://"), "glossaries") if work.startswith("file://") else None
+
+
+def _write_glossaries(store: Store, a: argparse.Namespace, named: list[str] | None) -> None:
+    if _glossaries(a):
+        books.write_glossaries(store, _glossaries(a), named)
+        print(f"glossaries to read and edit: {_glossaries(a)}")
+
+
 def _prepare(spark: SparkSession, store: Store, a: argparse.Namespace) -> list[str]:
     """Prepares what the store lacks, or with --force all, and gives the names of all books of the path."""
     known = {"run": "keep", "prepare": "replace" if getattr(a, "force", False) else "refuse"}[a.command]
@@ -95,10 +111,16 @@ def _prepare(spark: SparkSession, store: Store, a: argparse.Namespace) -> list[s
         if not a.provider:
             raise books.BookError(f"name a provider for {', '.join(sorted(new)[:5])}; echo repeats the source and needs no model")
         books.prepare(spark, a.path, store, a.profile, a.provider, a.model, a.references, known, a.id)
+        folder = _glossaries(a)
+        if known == "replace" and folder:  # what was edited belonged to what is gone
+            for name in names:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(os.path.join(folder, f"{name}.yaml"))
         if not a.no_glossary:
             books.glossary(store, books=names)
+            _write_glossaries(store, a, names)
             if a.command == "run" and not a.yes and sys.stdin.isatty():
-                input(f"The glossary is in {store.path}/glossary. Enter goes on: ")
+                input(f"The glossaries are in {_glossaries(a)}, to be edited there. Enter goes on: ")
     return names
 
 
@@ -115,8 +137,11 @@ def main(arguments: list[str] | None = None) -> int:
             named = _prepare(spark, store, a)
         if a.command == "glossary":
             books.glossary(store, a.provider, a.model, named)
+            _write_glossaries(store, a, named)
         done = True
         if a.command in ("run", "translate"):
+            if _glossaries(a) and os.path.isdir(_glossaries(a)):
+                books.read_glossaries(store, _glossaries(a), named)
             done = books.translate(store, a.provider, a.model, named, a.max_chunks)
             print("all chunks are translated" if done else "chunks are left; the same command goes on")
         if a.command == "build" or a.command == "run" and (done or a.partial):

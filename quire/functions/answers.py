@@ -94,3 +94,22 @@ def yaml_text(value: pd.Series) -> pd.Series:
     import yaml
 
     return value.map(lambda x: yaml.safe_dump(json.loads(x), allow_unicode=True, sort_keys=False, width=100), na_action="ignore")
+
+
+@F.pandas_udf(StructType([StructField("value", StringType()), StructField("error", StringType())]))
+def yaml_object(text: pd.Series) -> pd.DataFrame:
+    """The mapping that a YAML text holds as JSON, with keys in their order, or why it holds none. An empty text is an empty mapping, null is null."""
+    import yaml
+
+    def one(own: str | None) -> tuple[str | None, str | None]:
+        if own is None:
+            return None, None
+        try:
+            found = yaml.safe_load(own)
+            if not isinstance(found, dict | None):
+                return None, "not a mapping"
+            return json.dumps(found or {}, ensure_ascii=False, allow_nan=False, default=str), None
+        except (yaml.YAMLError, ValueError, TypeError, RecursionError) as e:
+            return None, str(e)
+
+    return pd.DataFrame([one(x) for x in text], columns=["value", "error"], dtype="object")

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import narration, packing, reports, segments
+from quire.operators import glossaries, narration, packing, reports, segments
 from quire.operators import translation as tr
-from quire.operators.common import written
+from quire.operators.common import mounted, put, written
 from quire.operators.providers import Provider, check_ready, chosen_model, provider
 from quire.operators.store import Store, columns
 from quire.operators.translation import LABELS, SPOKEN, SYSTEMS
@@ -134,6 +134,32 @@ def glossary(store: Store, provider_name: str | None = None, model: str | None =
         store.replace_rows("glossary", GLOSSARY, merged, merged.select("book_id"))
 
 
+def write_glossaries(store: Store, folder: str, books: Books = None) -> None:
+    """A YAML file for each book that has a glossary, to be read and edited, in a folder that all executors mount."""
+    glossaries.write_files(_of(store.read("glossary", GLOSSARY), books), folder)
+
+
+def read_glossaries(store: Store, folder: str, books: Books = None) -> None:
+    """Takes over what the files in a folder say now: a book whose file says something new, or that had no glossary, has its row replaced.
+
+    Books without a file keep what they have. A file that isn't a mapping ends
+    the step before anything is changed.
+    """
+    found = written(glossaries.read_files(_of(state(store), books), folder), "edited")
+    wrong = found.where("error IS NOT NULL").orderBy("book_id").take(5)
+    if wrong:
+        raise BookError("\n".join(f"{folder}/{r.book_id}.yaml: {r.error}" for r in wrong))
+    had = store.read("glossary", GLOSSARY).select("book_id", F.col("glossary").alias("before"), "usage")
+    changed = written(found.join(had, "book_id", "left").where("NOT glossary <=> before").select("book_id", "glossary", "usage"), "changed")
+    if not changed.isEmpty():
+        store.replace_rows("glossary", GLOSSARY, changed, changed.select("book_id"))
+
+
+def glossary_terms(store: Store, books: Books = None) -> DataFrame:
+    """The names and terms of the books' glossaries, a row each."""
+    return glossaries.terms(_of(store.read("glossary", GLOSSARY), books).select("book_id", "glossary"))
+
+
 def translate(store: Store, provider_name: str | None = None, model: str | None = None, books: Books = None, max_chunks: int | None = None, call: Provider | None = None) -> bool:
     """Translates what isn't yet, then the labels of books without any. True when all chunks are done.
 
@@ -371,30 +397,16 @@ def audiobook(store: Store, books: Books = None, skip: list[str] | None = None,
 
 def write_audio(sound: DataFrame, marks: DataFrame, target: str) -> None:
     """Writes a folder for each book into one that all executors mount: chapters as WAV files, and the chapter marks as metadata.txt. Fails where an executor doesn't see what the driver put there."""
-    os.makedirs(target, exist_ok=True)
-    mark = os.path.join(target, f".shared-{uuid.uuid4().hex}")
-    with open(mark, "w"):
-        pass
-
-    def put(folder: str, name: str, data: bytes) -> None:
-        if not os.path.exists(mark):
-            raise FileNotFoundError(f"{target} must be mounted on all machines")
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, f".{name}.tmp"), "wb") as f:
-            f.write(data)
-        os.replace(f.name, os.path.join(folder, name))
-
-    def chapters(rows: Iterator[Row]) -> None:
-        for r in rows:
-            put(os.path.join(target, r.book_id), f"{r.chapter:04d}-{r.name}.wav", bytes(r.data))
-
-    def texts(rows: Iterator[Row]) -> None:
-        for r in rows:
-            put(os.path.join(target, r.book_id), "metadata.txt", r.metadata.encode())
-
     name = F.substring(T.output_name("title"), 1, 60)
-    try:
+    with mounted(target) as place:
+
+        def chapters(rows: Iterator[Row]) -> None:
+            for r in rows:
+                put(place(f"{r.book_id}/{r.chapter:04d}-{r.name}.wav"), bytes(r.data))
+
+        def texts(rows: Iterator[Row]) -> None:
+            for r in rows:
+                put(place(f"{r.book_id}/metadata.txt"), r.metadata.encode())
+
         sound.select("book_id", "chapter", name.alias("name"), "data").foreachPartition(chapters)
         marks.foreachPartition(texts)
-    finally:
-        os.remove(mark)

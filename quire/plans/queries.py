@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import answers, speech
 from quire.functions import text as T
-from quire.operators import narration, packing, reports, segments, translation, validation
+from quire.operators import glossaries, narration, packing, reports, segments, translation, validation
 from quire.operators.common import shared_dir, table, written
 from quire.operators.ordered import previous, running, spread
 from quire.operators.providers import provider
@@ -238,6 +238,17 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.from_json(found, "k long")["k"].alias("k"))
 
 
+def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's distinct words as the glossary that a model answers, with talk around it: capitalised ones are characters, the others terms."""
+    words = F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", words.alias("w"))
+    people = F.transform(F.filter("w", lambda w: w.rlike("^[A-Z]")), lambda w: F.struct(w.alias("name"), F.concat(F.lit("HU "), w).alias("hu")))
+    others = F.transform(F.filter("w", lambda w: ~w.rlike("^[A-Z]")), lambda w: F.struct(w.alias("source"), F.concat(F.lit("HU "), w).alias("hu"), (F.length(w) > 8).alias("keep_original")))
+    answer = F.concat(F.lit("Here: "), F.to_json(F.struct(people.alias("characters"), others.alias("terms"))), F.lit("} done"))
+    found = docs.select("doc_id", answers.json_value(answer, F.lit("{")).alias("glossary"))
+    return glossaries.terms(found).select("doc_id", "kind", "place", "source", "hu", "keep_original")
+
+
 def similarity_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike each benchmark item is to the one whose id differs in the lowest bit."""
     items = table(spark, sf_dir, "benchmark")
@@ -351,7 +362,7 @@ QUERIES = {
         segments_explode, plain_text_pages, word_counts, chunk_packing, split_by_words, glossary_slices, rolling_context, ordered_distinct, tag_signature, validate_ids,
         signature_mismatch, usage_rollup, status_rollup, first_gap_prefix, chapter_runs, skip_files, short_runs, note_join, speech_text, prepare_text, spell_detect,
         split_long_pieces, piece_keys, missing_pieces, length_batches, fixed_batches, best_take, chapter_offsets, judge_report, price_report, log_counters, spoken_lookup,
-        label_translate, slug_urls, json_props, similarity_best, xhtml_segments, inline_markup, write_back, label_union, translate_echo, store_snapshots, stream_release, event_sequences,
+        label_translate, slug_urls, json_props, glossary_terms, similarity_best, xhtml_segments, inline_markup, write_back, label_union, translate_echo, store_snapshots, stream_release, event_sequences,
     )
 }
 
@@ -478,6 +489,9 @@ SELECT page_id, '<ncx><docTitle><text>' || CASE WHEN count(*) OVER (PARTITION BY
        regexp_replace(regexp_replace(url, '([^/])\.[^./]+$', '\1'), '[^\p{{L}}\p{{N}}\p{{M}}_.-]+', '_', 'g') AS output_name, regexp_replace(url, '([=;#\\\n])', '\\\1', 'g') AS escaped,
        '''' || replace(url, '''', '''\''''') || '''' AS quoted, {_domain('url')} AS domain FROM pages""",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE starts_with(props, '{')",
+    "glossary_terms": r"""WITH t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM documents WHERE text IS NOT NULL)),
+d AS (SELECT doc_id, w, min(i) AS i, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'characters' ELSE 'terms' END AS kind FROM t GROUP BY doc_id, w)
+SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) - 1 AS INTEGER) AS place, w AS source, 'HU ' || w AS hu, CASE WHEN kind = 'terms' THEN length(w) > 8 END AS keep_original FROM d""",
     "xhtml_segments": f"WITH {_LINES} SELECT book_id, file_pos, idx, 'p' AS tag, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS src, words FROM lines",
     "inline_markup": f"""WITH {_LINES}, s AS (SELECT book_id, file_pos, idx, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS l, text FROM lines),
 t AS (SELECT *, regexp_extract(l, '^[^ ]*') AS a, {_SHOWN.format("substr(l, length(regexp_extract(l, '^[^ ]*')) + 2)")} AS b FROM s)
