@@ -1,16 +1,20 @@
 """Cutting a book's segments into chunks, parts and slices by their words.
 
 Where a group ends depends on where it began, which no window frame can say. So
-a book is dealt by ranges of its order, and each range finds where the groups
-end for every place the first cut in it can have; there are no more such places
-than items in one group. These few rows of a book meet and say what is open where
-each range begins; then the ranges are numbered, each by itself. No task holds
-more than a range of a book, or one file; texts stay where they are.
+a book is dealt by ranges of its order, and each range says how many groups start
+in it, and what is open at its end, for every place the first cut in it can have;
+there are no more such places than words in one group. What two ranges say can be
+put together into what both say as one, so ranges meet by a tree: never more than
+FAN of them in one task, however long the book is. Then each range knows what is
+open where it begins, and is numbered by itself. No task holds more than a range
+of a book, FAN summaries, or one file; texts stay where they are, and are read
+once: their words are written as numbers first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,8 @@ from quire.operators.common import written
 from quire.operators.ordered import PART, spread
 
 CHUNK_WORDS, SLICE_WORDS = 8000, 40000
+#: Ranges of a book, or of what was put together from them, that meet in one task.
+FAN = 64
 
 
 def packed_groups(sizes: np.ndarray, limit: int) -> np.ndarray:
@@ -71,66 +77,132 @@ def chunk_numbers(files: np.ndarray, words: np.ndarray, limit: int) -> np.ndarra
     return np.cumsum(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(0)]))
 
 
-def _fitting(total: np.ndarray, at: np.ndarray | int, limit: int) -> np.ndarray:
-    """Where the next group starts, as packed_groups does, from running sums and the sum at which the open one began."""
-    return np.searchsorted(total, np.asarray(at) + limit, "right") - 1
+@dataclass(frozen=True)
+class Cut:
+    """How groups end. ``after``: where the next group starts, from running sums (0 first) and the sum at which the open one
+    began. ``enters``: which of a range's places is cut first, from the sums before the places, the range's sum and what is
+    open where it begins; the number of places where none is."""
 
+    after: Callable[[np.ndarray, np.ndarray | int, int], np.ndarray]
+    enters: Callable[[np.ndarray, int, np.ndarray | int, int], np.ndarray]
 
-def _reaching(total: np.ndarray, at: np.ndarray | int, limit: int) -> np.ndarray:
-    """The same as full_slices does."""
-    return np.searchsorted(total, np.asarray(at) + limit, "left")
 
+def _place_that_fits(reach: np.ndarray, total: int, open_: np.ndarray | int, limit: int) -> np.ndarray:
+    left = limit - np.asarray(open_)
+    return np.where(total <= left, len(reach), np.maximum(0, np.searchsorted(reach, left, "right") - 1))
 
-def _paths(sizes: np.ndarray, limit: int, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place the first cut can have: the running sum there, how many groups start from it on, and what is open at the end."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    reach = total[: np.searchsorted(total, limit, "right") + 1]
-    at = np.arange(len(reach))
-    starts, last = np.zeros(len(reach), np.int64), at.copy()
-    while (alive := at < len(sizes)).any():
-        last[alive] = at[alive]
-        starts += alive
-        at[alive] = np.maximum(at[alive] + 1, cut(total, total[at[alive]], limit))
-    return reach, starts, total[-1] - total[last]
 
+#: As packed_groups and as full_slices do.
+FITTING = Cut(lambda total, at, limit: np.searchsorted(total, np.asarray(at) + limit, "right") - 1, _place_that_fits)
+REACHING = Cut(lambda total, at, limit: np.searchsorted(total, np.asarray(at) + limit, "left"), lambda reach, total, open_, limit: np.searchsorted(reach, limit - np.asarray(open_), "left"))
+
+
+@dataclass(frozen=True)
+class Span:
+    """A stretch of a book as a function of what is open where it begins.
+
+    ``reach`` are the sums before the places that can be cut first: those up to
+    the limit and one beyond, of places with equal sums the first and the last.
+    ``starts`` is how many groups start from such a cut on, ``open`` what is
+    open at the end then. ``total`` and ``more`` are sums of the whole stretch.
+    """
+
+    total: int
+    more: int
+    reach: np.ndarray
+    starts: np.ndarray
+    open: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, more: np.ndarray, limit: int, cut: Cut) -> Span:
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        at = _places(total[:-1], limit)
+        reach, starts, last = total[at], np.zeros(len(at), np.int64), at.copy()
+        while (alive := at < len(sizes)).any():
+            last[alive] = at[alive]
+            starts += alive
+            at[alive] = np.maximum(at[alive] + 1, cut.after(total, total[at[alive]], limit))
+        return Span(int(total[-1]), int(more.sum()), reach, starts, total[-1] - total[last])
+
+    def passed(self, open_: np.ndarray, limit: int, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """What is open at the end, and the groups that started, for what is open at the beginning."""
+        place = cut.enters(self.reach, self.total, open_, limit)
+        inside = place < len(self.reach)
+        place = np.where(inside, place, 0)
+        return np.where(inside, self.open[place], open_ + self.total), np.where(inside, self.starts[place], 0)
 
-def _numbered(items: DataFrame, order: list[str], limit: int, cut, name: str) -> DataFrame:
+    def then(self, other: Span, limit: int, cut: Cut) -> Span:
+        """This stretch and the one behind it as one. Associative."""
+        open_, started = other.passed(self.open, limit, cut)
+        reach = np.concatenate([self.reach, self.total + other.reach])
+        kept = _places(reach, limit)
+        starts, open_ = np.concatenate([self.starts + started, other.starts]), np.concatenate([open_, other.open])
+        return Span(self.total + other.total, self.more + other.more, reach[kept], starts[kept], open_[kept])
+
+
+def _places(reach: np.ndarray, limit: int) -> np.ndarray:
+    """Which of ascending sums a Span keeps."""
+    reach = reach[: np.searchsorted(reach, limit, "right") + 1]
+    new = np.diff(reach) > 0
+    return np.flatnonzero(np.append(True, new) | np.append(new, True))
+
+
+def _numbered(items: DataFrame, order: list[str], limit: int, cut: Cut, name: str) -> DataFrame:
     """(book_id, order, name): the number, from 1, of the group of each item; items: book_id, order, words and more, by which numbers rise after an item."""
     kind = items.schema["book_id"].dataType.simpleString()
     dealt = spread(items.select("book_id", *order, F.col("words").cast("long").alias("words"), F.col("more").cast("long").alias("more")), ["book_id"], order)
-    keys = [PART, "book_id"]
+    keys, spans = [PART, "book_id"], f"{PART} int, book_id {kind}, total long, more long, reach array<long>, starts array<long>, open array<long>"
+
+    def row(rows: pd.DataFrame, span: Span) -> pd.DataFrame:
+        return rows[keys].head(1).assign(total=span.total, more=span.more, reach=[span.reach], starts=[span.starts], open=[span.open])
+
+    def spans_of(rows: pd.DataFrame) -> Iterator[Span]:
+        for r in rows.sort_values(PART).itertuples(index=False):
+            yield Span(r.total, r.more, np.asarray(r.reach), np.asarray(r.starts), np.asarray(r.open))
 
     def survey(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*order, "words"], kind="stable")
-        reach, starts, open_ = _paths(rows["words"].to_numpy(np.int64), limit, cut)
-        return rows[keys].head(1).assign(n=len(rows), total=rows["words"].sum(), more=rows["more"].sum(), reach=[reach], starts=[starts], open=[open_])
+        return row(rows, Span.of(rows["words"].to_numpy(np.int64), rows["more"].to_numpy(np.int64), limit, cut))
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        first, *others = spans_of(rows)
+        for span in others:
+            first = first.then(span, limit, cut)
+        return row(rows, first).assign(**{PART: rows[PART].min() // FAN})
 
-    def carry(ranges: pd.DataFrame) -> pd.DataFrame:
-        ranges = ranges.sort_values(PART)
-        open_, number, found = limit + 1, 0, []  # nothing is open: the first item starts a group
-        for r in ranges.itertuples(index=False):
+    def carry(rows: pd.DataFrame, open_: int, number: int) -> pd.DataFrame:
+        found = []
+        for span in spans_of(rows):
             found.append((open_, number))
-            first = max(0, int(cut(np.asarray(r.reach), -open_, limit)))
-            if first < r.n:
-                open_, number = int(r.open[first]), number + int(r.starts[first])
-            else:
-                open_ += int(r.total)
-            number += int(r.more)
-        return ranges[keys].assign(open=[f[0] for f in found], number=[f[1] for f in found])
-
-    def number(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+            passed, started = span.passed(np.asarray(open_), limit, cut)
+            open_, number = int(passed), number + int(started) + span.more
+        return rows.sort_values(PART)[keys].assign(open=[f[0] for f in found], number=[f[1] for f in found])
+
+    def before(surveyed: DataFrame, ranges: int) -> DataFrame:
+        """(PART, book_id, open, number) where each span begins."""
+        out = f"{PART} int, book_id {kind}, open long, number long"
+        if ranges <= FAN:
+            # nothing is open: the first item starts a group
+            return surveyed.groupBy("book_id").applyInPandas(lambda rows: carry(rows, limit + 1, 0), out)
+        surveyed = written(surveyed, "spans")
+        block = [F.expr(f"{PART} div {FAN}").cast("int").alias("_block"), F.col("book_id")]
+        above = before(surveyed.groupBy(*block).applyInPandas(joined, spans), -(-ranges // FAN))
+        going_on = lambda rows, at: carry(rows, int(at["open"].iloc[0]), int(at["number"].iloc[0]))
+        return surveyed.groupBy(*block).cogroup(above.groupBy(*keys)).applyInPandas(going_on, out)
+
+    def number(rows: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*order, "words"], kind="stable")
         total = np.concatenate([[0], np.cumsum(rows["words"].to_numpy(np.int64))])
         more = rows["more"].to_numpy(np.int64)
         starts = np.zeros(len(rows), np.int64)
-        i = max(0, int(cut(total, -int(before["open"].iloc[0]), limit)))
+        i = max(0, int(cut.after(total, -int(at["open"].iloc[0]), limit)))
         while i < len(rows):
             starts[i] = 1
-            i = max(i + 1, int(cut(total, total[i], limit)))
-        return rows[["book_id", *order]].assign(**{name: int(before["number"].iloc[0]) + np.cumsum(starts) + np.cumsum(more) - more})
+            i = max(i + 1, int(cut.after(total, total[i], limit)))
+        return rows[["book_id", *order]].assign(**{name: int(at["number"].iloc[0]) + np.cumsum(starts) + np.cumsum(more) - more})
 
-    surveyed = dealt.groupBy(*keys).applyInPandas(survey, f"{PART} int, book_id {kind}, n long, total long, more long, reach array<long>, starts array<long>, open array<long>")
-    carried = surveyed.groupBy("book_id").applyInPandas(carry, f"{PART} int, book_id {kind}, open long, number long")
+    ranges = (dealt.agg(F.max(PART)).first()[0] or 0) + 1
+    carried = before(dealt.groupBy(*keys).applyInPandas(survey, spans), ranges)
     places = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in order)
     return dealt.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(number, f"book_id {kind}, {places}, {name} int")
 
@@ -139,13 +211,13 @@ def chunks(segments: DataFrame, limit: int = CHUNK_WORDS) -> DataFrame:
     """(book_id, file_pos, idx, chunk): the chunk, from 1, of every segment of a book."""
     own, file = ["book_id", "file_pos", "idx"], ["book_id", "file_pos"]
     sized = segments.select("book_id", F.col("file_pos").cast("long").alias("file_pos"), F.col("idx").cast("int").alias("idx"), "words")
-    sized = sized.withColumn("_file", F.sum("words").over(Window.partitionBy(*file)))
+    sized = written(sized.withColumn("_file", F.sum("words").over(Window.partitionBy(*file))), "sized")
     cut = written(parts(sized.where(F.col("_file") > limit), limit), "parts")
     whole = sized.where(F.col("_file") <= limit)
     files = whole.groupBy(*file).agg(F.sum("words").alias("words"), F.lit(0).alias("more"))
     # a longer file is alone, however long; its parts are numbers of their own
     files = files.unionByName(cut.groupBy(*file).agg(F.lit(limit + 1).alias("words"), (F.max("part") - 1).alias("more")))
-    first = _numbered(files, ["file_pos"], limit, _fitting, "chunk").select(F.col("book_id").alias("_b"), F.col("file_pos").alias("_f"), "chunk")
+    first = _numbered(files, ["file_pos"], limit, FITTING, "chunk").select(F.col("book_id").alias("_b"), F.col("file_pos").alias("_f"), "chunk")
     rows = whole.select(*own, F.lit(1).alias("part")).unionByName(cut)
     joined = rows.join(first, F.col("book_id").eqNullSafe(F.col("_b")) & F.col("file_pos").eqNullSafe(F.col("_f")))
     return joined.select(*own, (F.col("chunk") + F.col("part") - 1).alias("chunk"))
@@ -154,7 +226,7 @@ def chunks(segments: DataFrame, limit: int = CHUNK_WORDS) -> DataFrame:
 def slices(segments: DataFrame, limit: int = SLICE_WORDS) -> DataFrame:
     """(book_id, file_pos, idx, slice): the slice, from 1, of every segment, for gathering terms; slices cross files and chunks."""
     items = segments.select("book_id", F.col("file_pos").cast("long").alias("file_pos"), F.col("idx").cast("int").alias("idx"), "words", F.lit(0).alias("more"))
-    return _numbered(items, ["file_pos", "idx"], limit, _reaching, "slice")
+    return _numbered(written(items, "sized"), ["file_pos", "idx"], limit, REACHING, "slice")
 
 
 def parts(segments: DataFrame, limit: int) -> DataFrame:

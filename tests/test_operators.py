@@ -40,12 +40,36 @@ def test_packing_known_values():
     assert packing.chunk_numbers(files, words, 8).tolist() == [1, 1, 1, 2, 3, 4, 5]
 
 
-@pytest.mark.parametrize("limit", [1, 7, 40, 100_000])
-def test_hot_book_is_numbered_in_ranges(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("cut", "numbers"), [(packing.FITTING, packing.packed_groups), (packing.REACHING, packing.full_slices)])
+def test_spans_put_together_are_the_span_of_the_whole(cut, numbers):
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        limit = int(rng.integers(1, 12))
+        sizes = rng.choice([0, 0, 1, 2, 5, 14], int(rng.integers(1, 30)))
+        more = rng.integers(0, 3, len(sizes))
+        at = np.flatnonzero(rng.random(len(sizes) - 1) < 0.4) + 1
+        spans = [packing.Span.of(s, m, limit, cut) for s, m in zip(np.split(sizes, at), np.split(more, at), strict=True)]
+        whole = packing.Span.of(sizes, more, limit, cut)
+        assert len(whole.reach) <= 2 * (limit + 2)
+        left = right = None
+        for span in spans:
+            left = left.then(span, limit, cut) if left else span
+        for span in spans[::-1]:
+            right = span.then(right, limit, cut) if right else span
+        for open_ in range(limit + 3):
+            want = [int(x) for x in whole.passed(np.asarray(open_), limit, cut)]
+            assert all([int(x) for x in s.passed(np.asarray(open_), limit, cut)] == want for s in (left, right))
+        assert (left.total, left.more) == (right.total, right.more) == (sizes.sum(), more.sum())
+        assert whole.passed(np.asarray(limit + 1), limit, cut)[1] == numbers(sizes, limit)[-1] + 1
+
+
+@pytest.mark.parametrize(("limit", "fan"), [(1, 64), (7, 2), (40, 3), (100_000, 2)])
+def test_hot_book_is_numbered_in_ranges(spark, monkeypatch, limit, fan):
     rng = random.Random(limit)
     rows = [(b, f, i, rng.choice([0, 1, 1, 2, 3, 9])) for b, n in (("hot", 60), ("b", 3), (None, 5)) for f in range(n) for i in range(rng.randrange(1, 9))]
     segs = spark.createDataFrame(rows, "book_id string, file_pos long, idx int, words int").repartition(5)
     ranges = []
+    monkeypatch.setattr(packing, "FAN", fan)  # ranges of a book meet on several levels
     monkeypatch.setattr(packing, "spread", lambda *a: ranges.append(spread(*a)) or ranges[-1])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
     got = {(r.book_id, r.file_pos, r.idx): (r.chunk, r.slice) for r in packing.chunks(segs, limit).alias("c").join(packing.slices(segs, limit).alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("book_id", "file_pos", "idx")]).select("c.*", "slice").collect()}
