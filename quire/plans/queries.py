@@ -135,13 +135,13 @@ def short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, each citing a benchmark item as a note, or one that isn't there: then the first of its file."""
+    """Whole documents, each citing a benchmark item as a note, or one that isn't there: then the first of its file. Sources whose name ends in 1 are skipped."""
     none = F.lit(None).cast("struct<file: string, id: string>")
     ref = F.struct(F.concat(F.lit("notes"), (F.col("n_chars") % 7).cast("string")).alias("file"), (F.col("n_chars") % 60).cast("string").alias("id"))
     docs = _documents(spark, sf_dir).select(F.lit("b").alias("book_id"), F.col("source").alias("file"), F.col("doc_id").alias("file_pos"), F.lit(0).alias("idx"), "text", F.lit(False).alias("heading"), none.alias("note"), F.array(ref).alias("refs"))
     where = F.concat(F.lit("notes"), (F.col("item_id") % 7).cast("string"))
     notes = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("book_id"), where.alias("file"), (F.col("item_id") + 10**12).alias("file_pos"), F.lit(0).alias("idx"), "text", F.lit(False).alias("heading"), F.struct(where.alias("file"), F.col("item_id").cast("string").alias("id")).alias("note"), F.array().cast(docs.schema["refs"].dataType).alias("refs"))
-    skipped = docs.limit(0).select("book_id", "file")
+    skipped = docs.where(F.col("file").endswith("1")).select("book_id", "file").distinct()
     return narration.flow(docs.unionByName(notes), skipped, note_label="Note: ").select("file_pos", "sub", "text")
 
 
@@ -462,7 +462,7 @@ s AS (SELECT *, {_words('text')} <= 3 AND NOT regexp_matches(text, '[.!?…]["
 r AS (SELECT *, sum(CASE WHEN short AND coalesce(last, false) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS run FROM (SELECT *, lag(short) OVER (PARTITION BY page_id ORDER BY i) AS last FROM s)),
 g AS (SELECT *, lag(text) OVER (PARTITION BY page_id, run ORDER BY i) AS before FROM r WHERE regexp_matches(text, '{_L}'))
 SELECT page_id, CAST(run AS BIGINT) AS run, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[,:;–—]$') THEN ' ' ELSE ', ' END || text, '' ORDER BY i) AS text FROM g GROUP BY page_id, run""",
-    "note_join": f"""WITH m AS (SELECT doc_id AS file_pos, text, n_chars % 7 AS f, n_chars % 60 AS id FROM documents WHERE regexp_matches(text, '{_L}')),
+    "note_join": f"""WITH m AS (SELECT doc_id AS file_pos, text, n_chars % 7 AS f, n_chars % 60 AS id FROM documents WHERE regexp_matches(text, '{_L}') AND NOT coalesce(source LIKE '%1', false)),
 b AS (SELECT item_id % 7 AS f, item_id AS id, CASE WHEN regexp_matches(text, '{_L}') THEN text ELSE '' END AS text FROM benchmark), o AS (SELECT f, arg_min(text, id) AS text FROM b GROUP BY f)
 SELECT file_pos, CAST(0 AS INTEGER) AS sub, text FROM m
 UNION ALL
