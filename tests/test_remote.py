@@ -3,6 +3,7 @@
 import json
 import sys
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.operators import trials, voices
 from quire.operators.narration import samples
 from quire.operators.providers import ModelError, QuotaError, Result, check_ready, provider
-from quire.operators.remote import Chat, Command, JsonAnswer, json_lines, register_chat, register_command
+from quire.operators.remote import Chat, Command, JsonAnswer, events, json_lines, register_chat, register_command
 
 
 def test_commands():
@@ -56,7 +57,7 @@ def service():
 
 def test_chat_services(service, monkeypatch):
     monkeypatch.setenv("SOME_KEY", "k")
-    call = Chat(service, "SOME_KEY")
+    call = Chat(service, "SOME_KEY", retries=0)
     found = call("hello", "s", "m")
     assert (found.text, found.usage) == ("m: hello", {"input_tokens": 3.0, "output_tokens": 4.0, "cost_usd": 0.5})
     for kind in ("paid", "busy"):
@@ -72,6 +73,86 @@ def test_chat_services(service, monkeypatch):
         check_ready("service")
 
 
+@pytest.fixture
+def streaming():
+    """Answers in parts. A prompt lists the statuses of the first calls, and then how the answer goes on."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body)
+            *codes, kind = body["messages"][1]["content"].split()
+            code = int(codes[len(asked) - 1]) if len(asked) <= len(codes) else 200
+            self.send_response(code)
+            self.send_header("Content-Type", "text/event-stream; charset=utf-8")
+            if code != 200:
+                self.send_header("Retry-After", "0")
+            self.end_headers()
+            if code != 200:
+                return self.wfile.write(b"not now")
+            self.part({"choices": [{"delta": {"content": "ő"}}]}, b": still here\n\nevent: part\n")
+            if kind == "silent":
+                time.sleep(2)
+            if kind == "broken":
+                return None
+            if kind == "error":
+                return self.part({"error": {"message": "overloaded"}})
+            self.part({"choices": [{"delta": {"content": "b\n"}, "finish_reason": None}]})
+            self.part({"choices": [{"delta": {}, "finish_reason": "stop" if kind == "whole" else kind}]})
+            self.part({"choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": 2}})
+            return self.wfile.write(b"data: [DONE]\n\n")
+
+        def part(self, value, before=b""):
+            self.wfile.write(before + b"data: " + json.dumps(value).encode() + b"\r\n\r\n")
+            self.wfile.flush()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    server.handle_error = lambda *args: None  # who asked is gone
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", asked
+    server.shutdown()
+
+
+def test_events():
+    assert list(events([b": hello\n", b"\n", b"data: a\n", b"data:b\n", b"id: 1\n", b"\n", b"\r\n", b"data: [DONE]\r\n", b"\r\n", b"data: cut"])) == ["a\nb", "[DONE]"]
+
+
+def test_streamed_answers(streaming):
+    url, asked = streaming
+    call = Chat(url, "SOME_KEY", timeout=0.5, retries=2, pause=0.01)
+    found = call("whole", "s", "m")
+    assert (found.text, found.usage) == ("őb\n", {"input_tokens": 3.0, "output_tokens": 2.0})
+    assert asked[0]["stream"] and len(asked) == 1
+    for prompt, calls in (("429 503 whole", 3), ("broken", 1), ("error", 1), ("length", 1), ("content_filter", 1), ("400 whole", 1), ("500 500 500 whole", 3)):
+        asked.clear()
+        if calls == 3 and prompt.startswith("429"):
+            assert call(prompt, "s", "m").text == "őb\n"
+        else:
+            with pytest.raises(ModelError) as e:
+                call(prompt, "s", "m")
+            assert not isinstance(e.value, QuotaError)
+        assert len(asked) == calls, prompt
+    asked.clear()
+    with pytest.raises(QuotaError):  # still limited after all tries
+        call("429 429 429 whole", "s", "m")
+    asked.clear()
+    with pytest.raises(ModelError, match="timed out"):
+        call("silent", "s", "m")
+    assert len(asked) == 1
+
+
+def test_services_out_of_reach_are_tried_again(monkeypatch):
+    pauses = []
+    monkeypatch.setattr("quire.operators.remote.time.sleep", pauses.append)
+    with pytest.raises(ModelError):
+        Chat("http://127.0.0.1:9/", "SOME_KEY", retries=3, pause=20)("p", "s", "m")
+    assert pauses == [20, 40, 60]
+
+
 class Scripted:
     """Hears half of a text that holds "hard" until its second retake; sound is the length of the text."""
 
