@@ -13,13 +13,14 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import materialize
 from quire.llm.tokens import Encoder, added_tokens, default_path, library
@@ -27,6 +28,8 @@ from quire.llm.tokens import Encoder, added_tokens, default_path, library
 CAPACITY, END = 2048, 0
 #: Texts that a task holds as strings.
 TEXTS_AT_ONCE = 1024
+#: Bytes of the matrix rows that a task makes at once, one row at least.
+MATRIX_BYTES = 1 << 23
 Run = tuple[int, int, int, int, int]  # length, rank, count, sequence, offset
 
 
@@ -284,19 +287,30 @@ def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capac
     return docs.select(F.col(key), F.col(text)).mapInArrow(pieces, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True)))
 
 
-def assign(pieces: DataFrame, runs: list[Run]) -> DataFrame:
+def task_counts(pieces: DataFrame) -> DataFrame:
+    """Pieces of each length in each task."""
+    return pieces.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+
+
+def length_counts(pieces: DataFrame) -> tuple[dict[int, int], int]:
+    """Pieces of each length, which come as as many rows as there are lengths, and how many rows task_counts has."""
+    rows = task_counts(pieces).groupBy("length").agg(F.sum("_n"), F.count("*")).collect()
+    return {r[0]: r[1] for r in rows}, sum(r[2] for r in rows)
+
+
+def assign(pieces: DataFrame, plan: Callable[[dict[int, int]], Runs]) -> DataFrame:
     """Adds sequence_id and offset to materialized pieces, by the rank of each among those of its length.
 
     The rank is the rank within the piece's task after all pieces of this length
     in earlier tasks; so a length that a third of all pieces have needs no
     gathering of its rows.
     """
+    counts, rows = length_counts(pieces)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = pieces.groupBy("length", "_task").agg(F.count("*").alias("_n"))
-    starts = materialize(counts.select("length", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "ranks")
-    if starts.count() <= BROADCAST_ROWS:
+    starts = task_counts(pieces).select("length", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    if rows <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    at = _lookup(runs)(F.col("length"), F.col("_base") + F.col("_rank"))
+    at = _lookup(plan(counts).runs)(F.col("length"), F.col("_base") + F.col("_rank"))
     kept = [c for c in pieces.columns if c not in ("_task", "_rank")]
     return pieces.join(starts, ["length", "_task"]).withColumn("_at", at).select(*kept, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
@@ -316,11 +330,6 @@ def _lookup(runs: list[Run]):
     return lookup
 
 
-def length_counts(pieces: DataFrame) -> dict[int, int]:
-    """Pieces of each length; as many rows as there are lengths."""
-    return {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}
-
-
 def pack_exact_complement(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
     """Packs every document into as few sequences as exact-complement hashing finds.
 
@@ -331,7 +340,51 @@ def pack_exact_complement(docs: DataFrame, text: str = "text", key: str = "doc_i
     rows; other columns are not read. A null key stays null.
     """
     pieces = materialize(token_pieces(docs, text, key, capacity, end, path), "pieces")
-    return assign(pieces, plan_exact_complement(length_counts(pieces), capacity).runs)
+    return assign(pieces, lambda counts: plan_exact_complement(counts, capacity))
+
+
+def sequence_rows(batches: Iterator[pa.RecordBatch], capacity: int, width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Matrix rows from pieces that come sorted by sequence and offset; the last sequence of a batch waits for the next one."""
+    at_once, rest = max(1, MATRIX_BYTES // (width * capacity)), None
+    for batch in batches:
+        rest = batch if rest is None else pa.concat_batches([rest, batch])
+        of = rest.column(0).to_numpy()
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        for i in range(0, len(cuts), at_once):
+            first = int(cuts[i - 1]) if i else 0
+            yield _matrix_rows(rest.slice(first, int(cuts[min(i + at_once, len(cuts)) - 1]) - first), capacity, width, names)
+        if len(cuts):
+            rest = rest.slice(int(cuts[-1]))
+    if rest is not None and rest.num_rows:
+        yield _matrix_rows(rest, capacity, width, names)
+
+
+def _matrix_rows(pieces: pa.RecordBatch, capacity: int, width: int, names: list[str]) -> pa.RecordBatch:
+    """Whole sequences, one row each. Columns: sequence_id, offset, key, piece, start, length, ids_crc32, ids."""
+    of, offset, length = (pieces.column(i).to_numpy() for i in (0, 1, 5))
+    ends = offset + length
+    firsts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    edges = np.r_[firsts, len(of)]
+    n, n_tokens = len(firsts), ends[edges[1:] - 1]
+
+    ids = pieces.column(7).cast(pa.large_binary())
+    at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    matrix = np.zeros((n, width * capacity), np.uint8)
+    matrix[np.arange(width * capacity) < width * n_tokens[:, None]] = np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]]
+    places = pa.py_buffer(np.arange(n + 1, dtype=np.int64) * (width * capacity))
+
+    cumulative = np.zeros(len(of) + n, np.int64)
+    cumulative[np.arange(len(of)) + np.repeat(np.arange(n), np.diff(edges)) + 1] = ends
+    lists = pa.array(edges, pa.int32())
+    columns = [
+        pa.array(of[firsts], pa.int64()),
+        pa.array(n_tokens, pa.int64()),
+        pa.Array.from_buffers(pa.large_binary(), n, [None, places, pa.py_buffer(matrix)]).cast(pa.binary()),
+        pa.ListArray.from_arrays(pa.array(edges + np.arange(n + 1), pa.int32()), pa.array(cumulative)),
+        pa.ListArray.from_arrays(lists, pa.array(offset, pa.int64())),
+        pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(pieces.columns[2:7], pieces.schema.names[2:7])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def packed_matrices(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
@@ -343,19 +396,16 @@ def packed_matrices(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
     position_resets (array: where positions start again at 0: each piece's
     first place) and pieces (array of key, piece, start, length, ids_crc32 in
     their order, from which each document can be put together without loss).
+    Pieces are sorted within partitions, and a task holds one Arrow batch of
+    them and a sequence; see quire.llm.common.bound_batches.
     Edge cases as in pack_exact_complement.
     """
     path = path or default_path()
     width = 2 if library(path).get_vocab_size() <= 1 << 16 else 4
     pieces = materialize(token_pieces(docs, text, key, capacity, end, path, with_ids=True), "pieces")
-    placed = assign(pieces, plan_best_fit_decreasing(length_counts(pieces), capacity).runs)
-    rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", key, "piece", "start", "length", "ids_crc32", "ids"))).alias("p"))
-    zeros = "X'" + "00" * width + "'"
-    return rows.selectExpr(
-        "sequence_id",
-        "aggregate(p, 0L, (n, x) -> n + x.length) AS n_tokens",
-        f"rpad(aggregate(p, X'', (all, x) -> concat(all, x.ids)), {width * capacity}, {zeros}) AS input_ids",
-        "concat(array(0L), transform(p, x -> x.offset + x.length)) AS cu_seqlens",
-        "transform(p, x -> x.offset) AS position_resets",
-        f"transform(p, x -> struct(x.`{key}` AS `{key}`, x.piece AS piece, x.start AS start, x.length AS length, x.ids_crc32 AS ids_crc32)) AS pieces",
-    )
+    placed = assign(pieces, lambda counts: plan_best_fit_decreasing(counts, capacity))
+    parts = ["piece", "start", "length", "ids_crc32"]
+    rows = placed.select("sequence_id", "offset", key, *parts, "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    piece = T.StructType([placed.schema[c] for c in (key, *parts)])
+    kinds = {"sequence_id": T.LongType(), "n_tokens": T.LongType(), "input_ids": T.BinaryType(), "cu_seqlens": T.ArrayType(T.LongType()), "position_resets": T.ArrayType(T.LongType()), "pieces": T.ArrayType(piece)}
+    return rows.mapInArrow(lambda batches: sequence_rows(batches, capacity, width, list(kinds)), T.StructType([T.StructField(n, k) for n, k in kinds.items()]))

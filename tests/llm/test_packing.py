@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quire.llm import packing, tokens
+from quire.llm.common import tables_written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -131,3 +132,36 @@ def test_empty_table(spark, docs):
     assert packing.pack_exact_complement(none).count() == 0
     assert packing.packed_matrices(none).count() == 0
     assert json.loads(none.schema.json())["fields"]
+
+
+def test_pieces_are_the_only_table_and_no_list_of_ids_is_gathered(docs, capsys):
+    for pack in (packing.packed_matrices, packing.pack_exact_complement):
+        first = tables_written()
+        pack(docs).explain()
+        plan = capsys.readouterr().out
+        assert tables_written() == first + 1 and "HashAggregate" in plan
+        assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_sequences_go_across_batches_and_hold_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MATRIX_BYTES", 1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        rows = packing.packed_matrices(spark.createDataFrame([(f"k{i}", None if i % 2 else "") for i in range(300)], "k string, t string"), "t", "k", capacity=100).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.sequence_id for r in rows) == [0, 1, 2] and sorted(p.k for r in rows for p in r.pieces) == sorted(f"k{i}" for i in range(300))
+    assert all(r.n_tokens == 100 and list(r.cu_seqlens) == list(range(101)) and list(r.position_resets) == list(range(100)) for r in rows)
+
+
+def test_many_ranks_are_joined_without_a_hint(docs, monkeypatch, capsys):
+    expected = packing.pack_exact_complement(docs)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    found = packing.pack_exact_complement(docs)
+    for df, hinted in ((expected, True), (found, False)):
+        df.explain(True)
+        assert ("strategy=broadcast" in capsys.readouterr().out) == hinted
+    rows = found.collect()
+    assert len(rows) == expected.count() and check_layout(rows, 2048) == -(-sum(r.length for r in rows) // 2048)
