@@ -25,6 +25,11 @@ def test_lines_without_letters_are_no_segments(spark, odd_dir):
     assert found == oracle_rows(ORACLE_SQL["inline_markup"], odd_dir) and len(found[1]) == 10
 
 
+def test_lines_without_letters_are_written_back_as_they_are(spark, odd_dir):
+    found = rows_of(QUERIES["write_back"](spark, odd_dir))
+    assert found == oracle_rows(ORACLE_SQL["write_back"], odd_dir) and len(found[1]) == len(TEXTS) - 1
+
+
 def test_text_inside_opaque_elements_makes_no_segment():
     own = parse(b"<html><body><p>1 <svg><text>no</text></svg></p><p><i>a</i><math><mi>x</mi></math></p><div><img/><object><p>in</p></object></div></body></html>")
     assert [numbered(n) for n in segments(own)] == ['<i n="1">a</i><math n="2"/>', "in"]
