@@ -1,8 +1,9 @@
 """Translating books chunk by chunk with a model, resumably.
 
 A chunk needs the end of the one before it, so within a book chunks follow one
-another; books run side by side. Each round takes the next chunk of every book,
-calls the model in tasks, and appends what came to the stored tables. A later
+another; books run side by side. Each round takes the next chunks of every book,
+as many as the time of the rounds before allows, calls the model in tasks that
+read a book's chunks in order, and appends what came to the stored tables. A later
 run goes on from there. A model stage is written before anything reads it, so
 no call is made twice for one result. Each call's usage is stored with its
 result, also where the answer was of no use.
@@ -13,10 +14,13 @@ from __future__ import annotations
 import html
 import json
 import re
+import time
 from collections.abc import Callable, Iterator, Mapping
+from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -30,7 +34,15 @@ from quire.operators.store import Store
 
 CONTEXT_SEGMENTS, ATTEMPTS, SPEECH_BATCH = 10, 2, 60
 TRANSLATIONS = "book_id string, chunk int, translation array<string>, usage map<string,double>, error string, error_kind string"
-ROUND = TRANSLATIONS + ", provider string"
+ROUND = TRANSLATIONS + ", provider string, seconds double"
+_ROUND = pa.schema([
+    ("book_id", pa.string()), ("chunk", pa.int32()), ("translation", pa.list_(pa.string())), ("usage", pa.map_(pa.string(), pa.float64())),
+    ("error", pa.string()), ("error_kind", pa.string()), ("provider", pa.string()), ("seconds", pa.float64()),
+])
+#: A round in which no book was worked on for so many seconds is followed by one of so many times the chunks a book; one that took as many times longer, by one of fewer.
+ROUND_SECONDS, GROWTH = 30, 8
+#: The books' places, each with the end of a chunk, are broadcast up to so many books.
+BROADCAST_BOOKS = 10_000
 #: Which chunks the store has, for streams; an edition is a book as it was prepared once.
 ARRIVALS = "book_id string, edition string, chunk int"
 USAGE = "usage map<string,double>"
@@ -57,8 +69,9 @@ def checked(answer: str, sources: list[str]) -> list[str]:
     """The content of each segment of an answer, in order; fails with all that is wrong with it."""
     found = {name: (markup, own) for name, markup, own in read_segments(answer)}
     asked = [str(i) for i in range(1, len(sources) + 1)]
+    named = set(asked)
     wrong = [f"missing: {', '.join(x)}" for x in [[i for i in asked if i not in found]] if x]
-    wrong += [f"extra: {', '.join(x)}" for x in [[i for i in found if i not in asked]] if x]
+    wrong += [f"extra: {', '.join(x)}" for x in [[i for i in found if i not in named]] if x]
     wrong += [f"tags of {i} differ: expected {signature(s)}; got {found[i][1]}" for i, s in zip(asked, sources, strict=True) if i in found and found[i][1] != signature(s)]
     if wrong:
         raise MarkupError("\n".join(wrong))
@@ -112,8 +125,10 @@ def chunk_rows(segments: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def translated(store: Store) -> DataFrame:
-    """The chunks that are translated."""
-    return store.read("translations", TRANSLATIONS).where("translation IS NOT NULL").dropDuplicates(["book_id", "chunk"])
+    """The chunks that are translated, each once. Texts are only shuffled for that where a chunk was stored more than once."""
+    rows, keys = store.read("translations", TRANSLATIONS), ["book_id", "chunk"]
+    good = rows.where("translation IS NOT NULL")
+    return good if rows.groupBy(*keys).count().where("count > 1").isEmpty() else good.dropDuplicates(keys)
 
 
 def arrivals(store: Store) -> DataFrame:
@@ -144,16 +159,49 @@ def next_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(first, ["book_id", "chunk"]).join(_tails(done), ["book_id", "chunk"], "left")
 
 
+def _answered(rows: DataFrame, call: Provider | Mapping[str, Provider]) -> DataFrame:
+    """ROUND for chunks (book_id, chunk, sources, context, glossary, provider, model, system), each book's in order and up to one that fails.
+
+    A chunk sees the end of the one before it, where that was translated here, or else its context.
+    A task holds one chunk and a batch of segments.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches)
+        last, tail, good = None, [], True
+        for (book, chunk), own in groupby(segments, key=lambda r: r[:2]):
+            _, _, source, context, glossary, name, model, system = next(own)
+            if last is not None and last[0] == book and not good:
+                continue
+            if last != (book, chunk - 1):
+                tail = context or []
+            sources, began = [source, *(r[2] for r in own)], time.monotonic()
+            found = translate_chunk(call if callable(call) else call[name], sources, [_plain(m) for m in tail], glossary or "", system, model)
+            last, tail, good = (book, chunk), (found[0] or [])[-CONTEXT_SEGMENTS:], found[0] is not None
+            row = (book, chunk, found[0], list(found[1].items()), *found[2:], name, time.monotonic() - began)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ROUND, strict=True)], schema=_ROUND)
+
+    once = ("context", "glossary", "provider", "model", "system")  # with a chunk's first segment
+    split = F.transform("sources", lambda x, i: F.struct(x.alias("src"), *[F.when(i == 0, F.col(c)).alias(c) for c in once]))
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: books stay side by side, however small they are
+    dealt = rows.repartition(many, "book_id").sortWithinPartitions("book_id", "chunk")
+    return dealt.select("book_id", F.col("chunk").cast("int").alias("chunk"), F.inline(split)).mapInArrow(answer, ROUND)
+
+
 def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Provider], model: str | None = None, glossary: DataFrame | None = None, system: str = SYSTEM, max_chunks: int | None = None) -> bool:
     """Translates what the store lacks, at most ``max_chunks`` new ones a book; True when all chunks are done.
 
     chunks: book_id, chunk (from 1), sources, and, where books differ in them,
-    provider, model, system and edition; call is then a map from providers. A book whose
+    provider, model, system and edition; call is then a map from providers. They
+    are read in each round, so they should be written. A book whose
     chunk fails stops for this run and keeps what it has; its errors are in the
     store. A provider whose quota is used up is asked no more after that round.
-    glossary: book_id, glossary. A round reads what the round before it wrote,
-    not the whole store. What a round stored is then announced to streams; what
-    a run that broke off had stored and not announced is at the next one's start.
+    glossary: book_id, glossary. The first round takes one chunk of each book;
+    how many the next one takes follows from the seconds that the calls for a book
+    took, so a run that breaks off loses some minutes' work on a book at most, or one
+    chunk. A round reads what the round before it wrote, not the whole store. What a
+    round stored is then announced to streams; what a run that broke off had stored
+    and not announced is at the next one's start.
     """
     for name, value in (("provider", None), ("model", model), ("system", system), ("edition", "")):
         if name not in chunks.columns:
@@ -164,37 +212,43 @@ def translate(chunks: DataFrame, store: Store, call: Provider | Mapping[str, Pro
     untold = written(untold.select("book_id", "edition", "chunk"), "untold")
     if not untold.isEmpty():
         announce(store, untold)
-    todo = written(chunks.join(known.select("book_id", "chunk"), ["book_id", "chunk"], "left_anti"), "todo")
-    before = context = written(_tails(known), "context")
-    following = todo.groupBy("book_id").agg(F.min("chunk").alias("chunk"))
+    fresh = known.isEmpty()
+    pending = chunks if fresh else written(chunks.join(known.select("book_id", "chunk"), ["book_id", "chunk"], "left_anti"), "pending")
+    numbered = pending.select("book_id", "chunk", F.row_number().over(Window.partitionBy("book_id").orderBy("chunk")).alias("_place"))
+    if max_chunks is not None:
+        numbered = numbered.where(F.col("_place") <= max_chunks)
+    # what is missing, as stretches of chunks that follow one another
+    stretches = written(numbered.groupBy("book_id", (F.col("chunk") - F.col("_place")).alias("_by")).agg(F.min("chunk").alias("_first"), F.max("chunk").alias("_end")).drop("_by"), "stretches")
+    before = written(_tails(known), "context")
+
+    def next_of(left: DataFrame, context: DataFrame) -> DataFrame:
+        """(book_id, _first, _end, context): the first stretch of each book and the end of the chunk before it."""
+        first = left.groupBy("book_id").agg(F.min("_first").alias("_first"), F.min("_end").alias("_end"))
+        return written(first.join(context.withColumnRenamed("chunk", "_first"), ["book_id", "_first"], "left"), "following")
+
+    following = next_of(stretches, before)
     stopped: set[str | None] = set()
-    rounds = 0
-    while max_chunks is None or rounds < max_chunks:
-        rows = todo.join(following, ["book_id", "chunk"]).join(context, ["book_id", "chunk"], "left")
+    size = 1
+    while books := following.count():
+        own = pending.join(F.broadcast(following) if books <= BROADCAST_BOOKS else following, "book_id")
+        rows = own.where(F.col("chunk").between(F.col("_first"), F.col("_end")) & (F.col("chunk") < F.col("_first") + F.lit(size)))
+        rows = rows.withColumn("context", F.when(F.col("chunk") == F.col("_first"), F.col("context")))
         rows = rows.join(glossary.select("book_id", "glossary"), "book_id", "left") if glossary is not None else rows.withColumn("glossary", F.lit(""))
-
-        def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for r in batch.itertuples():
-                    own = call if callable(call) else call[r.provider]
-                    context = [_plain(m) for m in r.context] if r.context is not None else []
-                    found = translate_chunk(own, list(r.sources), context, r.glossary or "", r.system, r.model)
-                    yield pd.DataFrame([(r.book_id, r.chunk, *found, r.provider)], columns=["book_id", "chunk", "translation", "usage", "error", "error_kind", "provider"])
-
-        asked = rows.select("book_id", "chunk", "sources", "context", "glossary", "provider", "model", "system").repartition("book_id").mapInPandas(answer, ROUND)
-        folder = store.stage("translations", asked)
+        folder = store.stage("translations", _answered(rows.select("book_id", "chunk", "sources", "context", "glossary", "provider", "model", "system"), call))
         now = store.staged("translations", folder, ROUND)
-        if now.isEmpty():
-            break
         store.commit("translations", folder)
         announce(store, now.where("translation IS NOT NULL").select("book_id", "chunk").join(editions, "book_id"))
-        stopped |= {r[0] for r in now.where("error_kind = 'quota'").select("provider").distinct().collect()}
-        good = now.where("translation IS NOT NULL")
+        of_books = now.groupBy("provider", "book_id").agg(F.sum("seconds").alias("seconds"), F.bool_or(F.col("error_kind") == "quota").alias("quota"))
+        ended = of_books.groupBy("provider").agg(F.max("seconds").alias("seconds"), F.bool_or("quota").alias("quota")).collect()
+        stopped |= {r.provider for r in ended if r.quota}
+        good = F.col("translation").isNotNull()
         if stopped:
-            good = good.where(~F.coalesce("provider", F.lit("")).isin([x or "" for x in stopped]))
-        context = before.unionByName(_tails(good))
-        following = todo.join(good.select("book_id", F.col("chunk").alias("_last")), "book_id").where("chunk > _last").groupBy("book_id").agg(F.min("chunk").alias("chunk"))
-        rounds += 1
+            good &= ~F.coalesce("provider", F.lit("")).isin([x or "" for x in stopped])
+        ends = now.groupBy("book_id").agg(F.max("chunk").alias("chunk"), F.bool_and(good).alias("_good")).where("_good").select("book_id", "chunk")
+        left = stretches.join(ends.withColumnRenamed("chunk", "_last"), "book_id").where("_end > _last").withColumn("_first", F.greatest("_first", F.col("_last") + 1))
+        following = next_of(left, before.unionByName(_tails(now.join(ends, ["book_id", "chunk"]))))
+        took = max((r.seconds for r in ended), default=0.0)
+        size = size * GROWTH if took < ROUND_SECONDS else max(1, size // GROWTH) if took > GROWTH * ROUND_SECONDS else size
     return chunks.join(translated(store).select("book_id", "chunk"), ["book_id", "chunk"], "left_anti").isEmpty()
 
 
